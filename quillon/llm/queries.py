@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import substring_dedup
+from quillon.llm import id_files, substring_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,25 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
+def vocabulary() -> str:
+    """Path of the public byte-level vocabulary."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op2_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_files.encode_and_read(_table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_documents(_table(spark, sf_dir, "documents"), vocabulary(), end_id=50256)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_token_id_files": op2_token_id_files,
+    "op3_token_counts": op3_token_counts,
 }
 
 ORACLES: dict[str, str] = {}
