@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import id_files, substring_dedup, token_counts
+from quillon.llm import id_files, ngram_join, substring_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +32,15 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_documents(_table(spark, sf_dir, "documents"), vocabulary(), end_id=50256)
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_id_files": op2_token_id_files,
     "op3_token_counts": op3_token_counts,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {}

@@ -194,6 +194,13 @@ def _answered(keys: np.ndarray, n_buckets: int, replies: dict) -> np.ndarray:
     return out
 
 
+def _answered_bytes(keys: np.ndarray, n_buckets: int, replies: dict) -> np.ndarray:
+    out = np.zeros(len(keys), np.uint8)
+    for b, i, j in _cut(keys, n_buckets):
+        out[i:j] = np.frombuffer(replies[b, 0], np.uint8)
+    return out
+
+
 def _fingerprints(h: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
