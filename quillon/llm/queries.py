@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import id_files, ngram_join, substring_dedup, token_counts
+from quillon.llm import id_files, ngram_join, substring_dedup, token_counts, vector_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,11 +36,16 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(_table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_id_files": op2_token_id_files,
     "op3_token_counts": op3_token_counts,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
 }
 
 ORACLES: dict[str, str] = {}
