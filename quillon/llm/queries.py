@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import decontaminate, id_files, ngram_join, substring_dedup, token_counts, toxicity, vector_dedup
+from quillon.llm import decontaminate, id_files, mixing, ngram_join, resampling, substring_dedup, token_counts, toxicity, vector_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample_to_labelled_share(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(_table(spark, sf_dir, "documents"))
 
@@ -48,14 +52,24 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+#: Shares of tokens by language that the mixing operator is run for.
+MIXTURE = {"en": 0.55, "de": 0.17, "fr": 0.17, "es": 0.11}
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture_rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), MIXTURE)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_id_files": op2_token_id_files,
     "op3_token_counts": op3_token_counts,
     "op4_toxicity": op4_toxicity,
     "op5_decontamination": op5_decontamination,
+    "op6_quality_resampling": op6_quality_resampling,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLES: dict[str, str] = {}
