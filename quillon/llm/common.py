@@ -49,6 +49,19 @@ def with_conf(spark: SparkSession, key: str, value: str) -> str | None:
     return old
 
 
+#: Most ids that drop_ids() broadcasts (16 MB); beyond it the join is a shuffle.
+IDS_TO_SEND = 2_000_000
+
+
+def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """docs without the rows whose id is among ids (one column); rows without an id stay."""
+    ids = ids.toDF("_dropped").filter("_dropped is not null").distinct()
+    ids = materialize(ids, "dropped")
+    if ids.count() <= IDS_TO_SEND:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs[id_col] == ids["_dropped"], "left_anti")
+
+
 # ---------------------------------------------------------------- words
 
 

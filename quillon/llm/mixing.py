@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from quillon.llm import common as C
 
@@ -74,6 +75,12 @@ def train(docs: DataFrame, labels: DataFrame, domains: list[str], id_col: str, t
     return np.frombuffer(got[0]["w"], "<f4").reshape(DIMENSIONS + 1, k) if got else np.zeros((DIMENSIONS + 1, k), np.float32)
 
 
+def _softmax(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    z = (x @ w[:-1] + w[-1]).astype(np.float64)
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    return z / z.sum(axis=1, keepdims=True)
+
+
 def posteriors(docs: DataFrame, weights: np.ndarray, id_col: str, text_col: str) -> DataFrame:
     """_id, _key (a hash of the text), n_tokens (words) and posterior of each document."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
@@ -84,9 +91,7 @@ def posteriors(docs: DataFrame, weights: np.ndarray, id_col: str, text_col: str)
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
                 n, x = _profile(part["_text"])
-                z = (x @ w[:-1] + w[-1]).astype(np.float64)
-                z = np.exp(z - z.max(axis=1, keepdims=True))
-                p = z / z.sum(axis=1, keepdims=True)
+                p = _softmax(x, w)
                 yield pa.RecordBatch.from_pydict({"_id": part["_id"], "_key": part["_key"], "n_tokens": pa.array(n, pa.int64()), "posterior": pa.array(list(p), pa.list_(pa.float64()))})
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("_text"))
@@ -103,7 +108,7 @@ def rate(steps: list[list[float]], posterior: str = "posterior", least: float =
 
 def fit_rates(table: DataFrame, targets: np.ndarray, least: float = 0.0) -> list[list[float]]:
     """Projected-gradient steps; table has n_tokens and posterior, targets the tokens of each domain."""
-    k, steps = len(targets), []
+    k, steps, errors = len(targets), [], []
     scale = max(1.0, float(targets.sum()))
     p = [F.col("posterior")[i] for i in range(k)]
     for _ in range(STEPS):
@@ -112,14 +117,53 @@ def fit_rates(table: DataFrame, targets: np.ndarray, least: float = 0.0) -> list
         curve = [F.sum(F.when(F.col("_r") > least, F.col("n_tokens") * p[i] * p[j]).otherwise(0.0)).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]
         got = mine.agg(*sums, *curve).first()
         error = np.array([got[f"s{i}"] or 0.0 for i in range(k)]) - targets
-        if np.abs(error).max() <= TOLERANCE * scale:
-            break
+        errors.append(float(np.abs(error).max()))
+        if errors[-1] <= TOLERANCE * scale or len(errors) > 4 and errors[-1] > 0.98 * errors[-4]:
+            break  # met, or as near as rates of this least value come
         h = np.array([[got[f"h{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
         step = np.linalg.lstsq(h + 1e-12 * scale * np.eye(k), error, rcond=1e-10)[0]
         steps.append([float(x) for x in step])
     return steps
 
 
+def _drawn(steps: list[list[float]], least: float, seed: int, *key: str, posterior: str = "posterior") -> Column:
+    """Copies of a document: its rate, rounded up or down at random by a hash of the key columns."""
+    r = rate(steps, posterior, least)
+    u = F.shiftrightunsigned(F.xxhash64(*key, F.lit(seed)), 11).cast("double") / F.lit(float(1 << 53))
+    return (F.floor(r) + (u < r - F.floor(r)).cast("int")).cast("int")
+
+
+def plan_mix(table: DataFrame, domains: list[str], weights: dict[str, float], total: float | None, least: float, slack: float = 0.0) -> list[list[float]]:
+    """The steps that bring the posterior table to the target shares; slack: see repeated()."""
+    share = np.array([weights[d] for d in domains], float)
+    share /= share.sum()
+    if total is None:
+        got = table.agg(*(F.sum(F.col("n_tokens") * F.col("posterior")[i]).alias(f"s{i}") for i in range(len(domains)))).first()
+        has = np.array([got[f"s{i}"] or 0.0 for i in range(len(domains))])
+        total = float(np.max(np.where(share > 0, has / np.maximum(share, 1e-12), 0.0), initial=0.0)) * (1 + slack)
+    return fit_rates(table, share * total, least)
+
+
+def repeated(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total: float | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", least: float = 0.0, slack: float = 0.0, seed: int = 5) -> DataFrame:
+    """docs itself, each row as often as its rate says (see mix).  slack: share by which a total of None is raised,
+    so that rates of at least 1 can meet the targets although posteriors are not quite 0 or 1."""
+    domains = sorted(weights)
+    model = train(docs, labels, domains, id_col, text_col, domain_col)
+    table = C.materialize(posteriors(docs, model, id_col, text_col), "posteriors")
+    steps = plan_mix(table, domains, weights, total, least, slack)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    own = StructType([*docs.schema.fields, StructField("_quillon_posterior", ArrayType(DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, max(1, len(batch)), 500):
+                part = batch.slice(at, 500)
+                yield part.append_column("_quillon_posterior", pa.array(list(_softmax(_profile(part[text_col])[1], sent.value)), pa.list_(pa.float64())))
+
+    copies = _drawn(steps, least, seed, id_col, text_col, posterior="_quillon_posterior")
+    return docs.mapInArrow(run, own).withColumn("_quillon_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
+
+
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total: float | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", least: float = 0.0, seed: int = 5) -> DataFrame:
     """_id, _key, n_tokens, posterior, rate and copies of each document.
 
@@ -129,16 +173,8 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total: fl
     """
     domains = sorted(weights)
     table = C.materialize(posteriors(docs, train(docs, labels, domains, id_col, text_col, domain_col), id_col, text_col), "posteriors")
-    share = np.array([weights[d] for d in domains], float)
-    share /= share.sum()
-    if total is None:
-        got = table.agg(*(F.sum(F.col("n_tokens") * F.col("posterior")[i]).alias(f"s{i}") for i in range(len(domains)))).first()
-        has = np.array([got[f"s{i}"] or 0.0 for i in range(len(domains))])
-        total = float(np.max(np.where(share > 0, has / np.maximum(share, 1e-12), 0.0), initial=0.0))
-    steps = fit_rates(table, share * total, least)
-    u = F.shiftrightunsigned(F.xxhash64("_id", "_key", F.lit(seed)), 11).cast("double") / F.lit(float(1 << 53))
-    out = table.withColumn("rate", rate(steps, least=least))
-    return out.withColumn("copies", (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
+    steps = plan_mix(table, domains, weights, total, least)
+    return table.withColumns({"rate": rate(steps, least=least), "copies": _drawn(steps, least, seed, "_id", "_key")})
 
 
 def mixture_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float]) -> DataFrame:

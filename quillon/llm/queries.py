@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import decontaminate, id_files, mixing, ngram_join, resampling, substring_dedup, token_counts, toxicity, vector_dedup
+from quillon.llm import decontaminate, id_files, line_dedup, mixing, ngram_join, resampling, substring_dedup, token_counts, toxicity, vector_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
 #: Shares of tokens by language that the mixing operator is run for.
 MIXTURE = {"en": 0.55, "de": 0.17, "fr": 0.17, "es": 0.11}
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_resampling": op6_quality_resampling,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
 }
 
