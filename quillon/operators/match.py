@@ -103,15 +103,16 @@ def bind_symbols(imports: DataFrame, exports: DataFrame, order: DataFrame) -> Da
     the exact version; an unversioned one an empty or default version.  Statuses: ok, interposed,
     version_mismatch, visibility_blocked, weak_unresolved, missing.
     """
-    asked = imports.withColumn("_row", F.struct("consumer", "symbol", "version"))
-    found = asked.join(exports.select("provider", "symbol", F.col("version").alias("_v"), "is_default", "hidden"), "symbol", "left").join(order, "provider", "left").filter("provider is null or provider <> consumer")
-    fits = ~F.col("hidden") & F.when(F.coalesce("version", F.lit("")) != "", F.col("_v") == F.col("version")).otherwise((F.coalesce("_v", F.lit("")) == "") | F.col("is_default"))
+    found = imports.join(exports.select("provider", "symbol", F.col("version").alias("_v"), "is_default", "hidden"), "symbol", "left").join(order, "provider", "left")
+    # a row that only the consumer itself provides stays, as one without a provider
+    own = F.coalesce(F.col("provider") == F.col("consumer"), F.lit(False))
+    found = found.withColumns({c: F.when(~own, F.col(c)) for c in ("_v", "is_default", "hidden", "rank")}).withColumn("provider", F.when(~own, F.col("provider")))
+    seen = F.col("provider").isNotNull() & ~F.col("hidden")
+    fits = seen & F.when(F.coalesce("version", F.lit("")) != "", F.col("_v") == F.col("version")).otherwise((F.coalesce("_v", F.lit("")) == "") | F.col("is_default"))
     at = F.struct("rank", "provider")
     best = found.groupBy("consumer", "symbol", "version", "weak").agg(
-        F.min(F.when(fits, at)).alias("_fit"), F.min(F.when(~F.col("hidden"), at)).alias("_seen"), F.max(F.coalesce("hidden", F.lit(False))).alias("_hidden"),
+        F.min(F.when(fits, at)).alias("_fit"), F.min(F.when(seen, at)).alias("_seen"), F.max(F.coalesce("hidden", F.lit(False))).alias("_hidden"),
     )
-    # only self provides: the row was filtered away, so it comes back from the imports
-    best = imports.select("consumer", "symbol", "version", "weak").distinct().join(best.withColumnRenamed("version", "_bv"), (imports["consumer"] == best["consumer"]) & (imports["symbol"] == best["symbol"]) & imports["version"].eqNullSafe(F.col("_bv")), "left").select(imports["consumer"], imports["symbol"], imports["version"], imports["weak"], "_fit", "_seen", "_hidden")
     status = (
         F.when(F.col("_fit").isNotNull() & (F.col("_fit") != F.col("_seen")) & (F.coalesce("version", F.lit("")) != ""), "interposed").when(F.col("_fit").isNotNull(), "ok")
         .when(F.col("_seen").isNotNull(), "version_mismatch").when(F.coalesce("_hidden", F.lit(False)), "visibility_blocked").when(F.col("weak"), "weak_unresolved").otherwise("missing")

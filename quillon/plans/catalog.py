@@ -1,11 +1,532 @@
-"""Queries over the star schema, each with the DuckDB SQL that gives the same rows."""
+"""Queries over the star schema, each with the DuckDB SQL that gives the same rows.
+
+The tables stand in for relations of interface descriptions: two versions of one table are derived from it by
+arithmetic on its keys, and the generic operators run on them as they do on snapshots.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillon.functions import text as T
+from quillon.operators import diff, graph, match, rollup, rules
 
 FLAGSHIP = "keyed_diff_orders"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str):
+    """Register a function under its name, with its SQL."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# ------------------------------------------------------------------ diffs
+
+ORDERS_SQL = """
+WITH o AS (SELECT o_orderkey k, o_orderstatus status, CAST(round(o_totalprice * 100) AS BIGINT) cents FROM orders WHERE o_orderkey % 13 <> 0),
+     n AS (SELECT o_orderkey k, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END status,
+                  CAST(round(o_totalprice * 100) AS BIGINT) + CASE WHEN o_orderkey % 11 = 0 THEN 100 ELSE 0 END cents FROM orders WHERE o_orderkey % 17 <> 0),
+     d AS (SELECT 'removed' change, k, CAST(NULL AS VARCHAR) attr, CAST(NULL AS VARCHAR) old_value, CAST(NULL AS VARCHAR) new_value FROM o WHERE k NOT IN (SELECT k FROM n)
+           UNION ALL SELECT 'added', k, NULL, NULL, NULL FROM n WHERE k NOT IN (SELECT k FROM o)
+           UNION ALL SELECT 'changed', o.k, 'status', o.status, n.status FROM o JOIN n USING (k) WHERE o.status IS DISTINCT FROM n.status
+           UNION ALL SELECT 'changed', o.k, 'cents', CAST(o.cents AS VARCHAR), CAST(n.cents AS VARCHAR) FROM o JOIN n USING (k) WHERE o.cents IS DISTINCT FROM n.cents)
+"""
+
+
+def order_versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    base = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), "o_custkey", "o_orderpriority")
+    new = base.withColumns({"status": F.when(F.col("k") % 7 == 0, "X").otherwise(F.col("status")), "cents": F.col("cents") + F.when(F.col("k") % 11 == 0, 100).otherwise(0)})
+    return base.filter("k % 13 <> 0"), new.filter("k % 17 <> 0")
+
+
+@query(ORDERS_SQL + "SELECT change, k, attr, old_value, new_value FROM d")
+def keyed_diff_orders(spark, d):
+    old, new = order_versions(spark, d)
+    return diff.keyed_diff(old, new, ["k"], ["status", "cents"])
+
+
+VERDICT_SQL = "CASE change WHEN 'removed' THEN 4 WHEN 'changed' THEN CASE WHEN attr = 'status' THEN 3 ELSE 2 END ELSE 1 END"
+
+
+def _verdict():
+    return F.when(F.col("change") == "removed", "BREAKING").when((F.col("change") == "changed") & (F.col("attr") == "status"), "API_BREAK").when(F.col("change") == "changed", "COMPATIBLE_WITH_RISK").otherwise("COMPATIBLE")
+
+
+NAMES_SQL = "['NO_CHANGE','COMPATIBLE','COMPATIBLE_WITH_RISK','API_BREAK','BREAKING']"
+
+
+@query(ORDERS_SQL + f"SELECT change, count(*) n, {NAMES_SQL}[max({VERDICT_SQL}) + 1] verdict FROM d GROUP BY change")
+def keyed_diff_summary(spark, d):
+    found = keyed_diff_orders(spark, d).withColumn("verdict", _verdict())
+    return found.groupBy("change").agg(F.count(F.lit(1)).alias("n"), F.max(rules.rank(F.col("verdict"))).alias("_r")).select("change", "n", rules.verdict_of(F.col("_r")).alias("verdict"))
+
+
+@query(ORDERS_SQL + f", c AS (SELECT o_custkey, {VERDICT_SQL} r FROM d JOIN orders ON k = o_orderkey) SELECT o_custkey, {NAMES_SQL}[max(r) + 1] verdict FROM c GROUP BY o_custkey")
+def worst_verdict_by_customer(spark, d):
+    owner = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), "o_custkey")
+    return rules.worst_verdict(keyed_diff_orders(spark, d).withColumn("verdict", _verdict()).join(owner, "k"), ["o_custkey"])
+
+
+CATEGORY_SQL = f"CASE {VERDICT_SQL} WHEN 4 THEN 'abi_breaking' WHEN 1 THEN 'addition' ELSE 'potential_breaking' END"
+
+
+def _categories(spark, d):
+    return keyed_diff_orders(spark, d).withColumn("category", rules.category(_verdict(), F.col("change") == "added"))
+
+
+@query(ORDERS_SQL + f"SELECT {CATEGORY_SQL} category, count(*) n FROM d GROUP BY 1")
+def severity_partition(spark, d):
+    return _categories(spark, d).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(ORDERS_SQL + f"SELECT k % 100 AS bucket, max(CASE {CATEGORY_SQL} WHEN 'abi_breaking' THEN 4 WHEN 'potential_breaking' THEN 2 ELSE 0 END) exit_code FROM d GROUP BY 1")
+def exit_code_rollup(spark, d):
+    levels = {"abi_breaking": "error", "potential_breaking": "error", "addition": "info"}
+    return _categories(spark, d).groupBy((F.col("k") % 100).alias("bucket")).agg(rules.exit_code(F.col("category"), levels).alias("exit_code"))
+
+
+@query(ORDERS_SQL + """, b AS (SELECT DISTINCT k FROM d WHERE change = 'removed')
+SELECT c_mktsegment segment, count(o.k) old_count, count(b.k) breaking, CASE WHEN count(b.k) = 0 THEN 100.0 ELSE round(greatest(0.0, (count(o.k) - count(b.k)) / count(o.k) * 100), 6) END pct
+FROM o JOIN orders ON o.k = o_orderkey JOIN customer ON o_custkey = c_custkey LEFT JOIN b ON b.k = o.k GROUP BY 1""")
+def compat_pct_by_segment(spark, d):
+    old, new = order_versions(spark, d)
+    gone = old.join(new.select("k"), "k", "left_anti").select("k", F.lit(1).alias("_gone"))
+    seg = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment"))
+    out = old.join(gone, "k", "left").join(seg, "o_custkey").groupBy("segment").agg(F.count("k").alias("old_count"), F.count("_gone").alias("breaking"))
+    return out.withColumn("pct", F.round(rules.compatibility_percent(F.col("old_count"), F.col("breaking"), F.col("breaking")), 6))
+
+
+LINES_SQL = """
+WITH o AS (SELECT l_orderkey k, l_linenumber ln, CAST(l_quantity AS BIGINT) q, l_returnflag f FROM lineitem),
+     n AS (SELECT k, ln, q + CASE WHEN k % 9 = 0 THEN 1 ELSE 0 END q, CASE WHEN k % 7 = 0 AND ln = 1 THEN 'Z' ELSE f END f FROM o WHERE NOT (k % 5 = 0 AND ln = 2)),
+     oo AS (SELECT DISTINCT k FROM o WHERE k % 3 <> 0), nn AS (SELECT DISTINCT k FROM n WHERE k % 4 <> 0), kk AS (SELECT k FROM oo JOIN nn USING (k)),
+     a AS (SELECT * FROM o JOIN kk USING (k)), b AS (SELECT * FROM n JOIN kk USING (k))
+"""
+
+
+@query(LINES_SQL + """
+SELECT 'removed' change, k, ln linenumber, CAST(NULL AS VARCHAR) attr, CAST(NULL AS VARCHAR) old_value, CAST(NULL AS VARCHAR) new_value FROM a WHERE (k, ln) NOT IN (SELECT k, ln FROM b)
+UNION ALL SELECT 'added', k, ln, NULL, NULL, NULL FROM b WHERE (k, ln) NOT IN (SELECT k, ln FROM a)
+UNION ALL SELECT 'changed', k, ln, 'quantity', CAST(a.q AS VARCHAR), CAST(b.q AS VARCHAR) FROM a JOIN b USING (k, ln) WHERE a.q <> b.q
+UNION ALL SELECT 'changed', k, ln, 'flag', a.f, b.f FROM a JOIN b USING (k, ln) WHERE a.f <> b.f""")
+def keyed_diff_nested_lineitem(spark, d):
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("linenumber"), F.col("l_quantity").cast("long").alias("quantity"), F.col("l_returnflag").alias("flag"))
+    changed = lines.filter("not (k % 5 = 0 and linenumber = 2)").withColumns({"quantity": F.col("quantity") + F.when(F.col("k") % 9 == 0, 1).otherwise(0), "flag": F.when((F.col("k") % 7 == 0) & (F.col("linenumber") == 1), "Z").otherwise(F.col("flag"))})
+    nest = lambda x: x.groupBy("k").agg(F.collect_list(F.struct("linenumber", "quantity", "flag")).alias("lines"))  # noqa: E731  (an order has few lines)
+    return diff.nested_diff(nest(lines).filter("k % 3 <> 0"), nest(changed).filter("k % 4 <> 0"), ["k"], "lines", "linenumber", ["quantity", "flag"])
+
+
+@query("""WITH o AS (SELECT s_suppkey k, s_name name, s_nationkey nation FROM supplier), n AS (SELECT s_suppkey k, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_name END name, CASE WHEN s_suppkey % 6 = 0 THEN s_nationkey + 1 ELSE s_nationkey END nation FROM supplier)
+SELECT k, 'name' attr, o.name old_value, n.name new_value FROM o JOIN n USING (k) WHERE o.name IS DISTINCT FROM n.name UNION ALL SELECT k, 'nation', CAST(o.nation AS VARCHAR), CAST(n.nation AS VARCHAR) FROM o JOIN n USING (k) WHERE o.nation IS DISTINCT FROM n.nation""")
+def attr_change_supplier(spark, d):
+    old = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    new = old.withColumns({"name": F.when(F.col("k") % 4 != 0, F.col("name")), "nation": F.when(F.col("k") % 6 == 0, F.col("nation") + 1).otherwise(F.col("nation"))})
+    return diff.keyed_diff(old, new, ["k"], ["name", "nation"]).select("k", "attr", "old_value", "new_value")
+
+
+@query("""WITH p AS (SELECT p_partkey k, CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE p_size > 25 END a, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_size % 2 = 0 END b FROM part)
+SELECT k, CASE WHEN NOT coalesce(a, false) AND coalesce(b, false) THEN 'added' WHEN coalesce(a, false) AND NOT coalesce(b, false) THEN 'removed' END loose, CASE WHEN NOT a AND b THEN 'added' WHEN a AND NOT b THEN 'removed' END strict FROM p""")
+def bool_transition_parts(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.when(F.col("p_partkey") % 10 != 0, F.col("p_size") > 25).alias("a"), F.when(F.col("p_partkey") % 9 != 0, F.col("p_size") % 2 == 0).alias("b"))
+    return p.select("k", diff.transition(F.col("a"), F.col("b"), "added", "removed").alias("loose"), diff.transition(F.col("a"), F.col("b"), "added", "removed", skip_none=True).alias("strict"))
+
+
+@query("""WITH l AS (SELECT l_orderkey k, list(l_suppkey ORDER BY l_linenumber, l_suppkey) a, list(l_suppkey ORDER BY l_quantity, l_linenumber, l_suppkey) b FROM lineitem GROUP BY 1) SELECT k, a <> b AND list_sort(a) = list_sort(b) AS changed FROM l""")
+def order_change(spark, d):
+    seq = lambda *c: F.transform(F.array_sort(F.collect_list(F.struct(*c, "l_suppkey"))), lambda x: x["l_suppkey"])
+    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(seq("l_linenumber").alias("a"), seq("l_quantity", "l_linenumber").alias("b")).select("k", diff.order_changed(F.col("a"), F.col("b")).alias("changed"))
+
+
+@query("""WITH a AS (SELECT p_partkey, p_name, p_partkey % 1500 nk FROM part WHERE p_partkey % 3 <> 0), b AS (SELECT p_partkey, p_name, p_partkey % 1500 nk FROM part WHERE p_partkey % 5 <> 0)
+SELECT 'removed' side, p_partkey, p_name FROM a WHERE nk NOT IN (SELECT nk FROM b) UNION ALL SELECT 'added', p_partkey, p_name FROM b WHERE nk NOT IN (SELECT nk FROM a)""")
+def set_except_both(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_name")
+    return diff.except_both(p.filter("p_partkey % 3 <> 0"), p.filter("p_partkey % 5 <> 0"), F.col("p_partkey") % 1500, ["p_partkey", "p_name"])
+
+
+@query("""SELECT conv_id, role, arg_min(turn, turn) AS turn, arg_min(text, turn) AS text FROM conversations GROUP BY 1, 2""")
+def dedupe_first_wins(spark, d):
+    c = table(spark, d, "conversations").select("conv_id", "role", "turn", "text")
+    return diff.first_wins(c, ["conv_id", "role"], "turn")
+
+
+@query("""WITH x AS (SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) k FROM events), y AS (SELECT event_id, CASE WHEN event_id % 6 = 0 THEN k + 1 WHEN event_id % 10 = 0 THEN NULL ELSE k END k2 FROM x)
+SELECT event_id, CAST(k AS VARCHAR) old_k, CAST(k2 AS VARCHAR) new_k FROM x JOIN y USING (event_id) WHERE k IS DISTINCT FROM k2""")
+def json_attr_diff(spark, d):
+    x = table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("old_k"))
+    return x.withColumn("new_k", F.when(F.col("event_id") % 6 == 0, F.col("old_k") + 1).when(F.col("event_id") % 10 != 0, F.col("old_k"))).filter(~F.col("old_k").eqNullSafe(F.col("new_k"))).select("event_id", F.col("old_k").cast("string"), F.col("new_k").cast("string"))
+
+
+@query("""WITH o AS (SELECT l_partkey s, min(l_returnflag) b FROM lineitem WHERE l_orderkey % 29 = 0 GROUP BY 1), n AS (SELECT l_partkey s, max(l_returnflag) b FROM lineitem WHERE l_orderkey % 31 = 0 GROUP BY 1)
+SELECT coalesce(o.s, n.s) symbol, CASE WHEN n.s IS NULL THEN 'removed' WHEN o.s IS NULL THEN 'added' ELSE 'strengthened' END change FROM o FULL JOIN n ON o.s = n.s WHERE n.s IS NULL OR (o.s IS NULL AND n.b <> 'N') OR (o.b = 'N' AND n.b <> 'N')""")
+def import_set_diff(spark, d):
+    l = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("symbol"), F.col("l_returnflag").alias("b"))
+    a = l.filter("l_orderkey % 29 = 0").groupBy("symbol").agg(F.min("b").alias("old_b"), F.lit(True).alias("_o"))
+    b = l.filter("l_orderkey % 31 = 0").groupBy("symbol").agg(F.max("b").alias("new_b"), F.lit(True).alias("_n"))
+    change = F.when(F.col("_n").isNull(), "removed").when(F.col("_o").isNull() & (F.col("new_b") != "N"), "added").when((F.col("old_b") == "N") & (F.col("new_b") != "N"), "strengthened")
+    return a.join(b, "symbol", "full_outer").select("symbol", change.alias("change")).filter("change is not null")
+
+
+# ------------------------------------------------------------------ rules
+
+RULES_SQL = """
+WITH r(rule_idx, symbol, pat, kind, expires) AS (VALUES (0, CAST(NULL AS VARCHAR), 'PART-.*9', CAST('removed' AS VARCHAR), CAST(NULL AS DATE)), (1, 'PART-17', NULL, NULL, NULL), (2, NULL, 'PART-1[0-9][0-9]', NULL, DATE '2024-06-20'), (3, NULL, 'never', NULL, NULL), (4, NULL, 'PART-2.*', 'added', DATE '2024-01-01'), (5, NULL, 'PART-[0-9]*0', NULL, DATE '2030-01-01')),
+f AS (SELECT 'PART-' || p_partkey symbol, CASE p_partkey % 3 WHEN 0 THEN 'removed' WHEN 1 THEN 'added' ELSE 'changed' END kind FROM part),
+m AS (SELECT f.symbol, f.kind, rule_idx FROM f JOIN r ON (r.symbol IS NULL OR r.symbol = f.symbol) AND (r.kind IS NULL OR r.kind = f.kind) AND (pat IS NULL OR regexp_full_match(f.symbol, pat)) AND (expires IS NULL OR expires >= DATE '2024-06-01'))
+"""
+
+
+def _findings(spark, d):
+    k = F.col("p_partkey") % 3
+    return table(spark, d, "part").select(F.concat(F.lit("PART-"), F.col("p_partkey").cast("string")).alias("symbol"), F.when(k == 0, "removed").when(k == 1, "added").otherwise("changed").alias("kind"), F.lit(None).cast("string").alias("source"))
+
+
+def _rules(spark):
+    schema = "rule_idx int, symbol string, symbol_pattern string, change_kind string, source_glob string, namespace string, expires string"
+    rows = [(0, None, "PART-.*9", "removed", None, None, None), (1, "PART-17", None, None, None, None, None), (2, None, "PART-1[0-9][0-9]", None, None, None, "2024-06-20"), (3, None, "never", None, None, None, None), (4, None, "PART-2.*", "added", None, None, "2024-01-01"), (5, None, "PART-[0-9]*0", None, None, None, "2030-01-01")]
+    return spark.createDataFrame(rows, schema).withColumn("expires", F.col("expires").cast("date"))
+
+
+@query(RULES_SQL + "SELECT f.symbol, f.kind, coalesce(min(rule_idx), -1) rule_idx FROM f LEFT JOIN m ON m.symbol = f.symbol AND m.kind = f.kind GROUP BY 1, 2")
+def suppression_match(spark, d):
+    return rules.suppressed(_findings(spark, d), _rules(spark), ["symbol", "kind"], "2024-06-01").select("symbol", "kind", F.coalesce("rule_idx", F.lit(-1)).alias("rule_idx"))
+
+
+@query(RULES_SQL + """SELECT r.rule_idx, count(m.symbol) match_count, count(m.symbol) = 0 AND NOT coalesce(expires < DATE '2024-06-01', false) stale, coalesce(expires < DATE '2024-06-01', false) expired,
+coalesce(expires <= DATE '2024-07-01', false) AND NOT coalesce(expires < DATE '2024-06-01', false) near_expiry, coalesce(bool_or(m.kind = 'removed'), false) high_risk FROM r LEFT JOIN m USING (rule_idx) GROUP BY r.rule_idx, expires""")
+def suppression_audit(spark, d):
+    return rules.audit(_findings(spark, d), _rules(spark), "2024-06-01", ["removed"])
+
+
+@query("""WITH t AS (SELECT p_partkey k, p_size % 3 + 1 maj, p_partkey % 40 mnr, p_partkey % 11 = 0 priv FROM part)
+SELECT k, CASE WHEN priv THEN NULL WHEN maj < 2 OR (maj = 2 AND mnr <= 17) THEN 'COMPATIBLE' ELSE 'BREAKING' END verdict FROM t""")
+def version_floor_check(spark, d):
+    k = F.col("p_partkey")
+    tag = F.when(k % 11 == 0, "GLIBC_PRIVATE").otherwise(F.concat(F.lit("GLIBC_"), (F.col("p_size") % 3 + 1).cast("string"), F.lit("."), (k % 40).cast("string")))
+    return table(spark, d, "part").select(k.alias("k"), rules.with_floor(F.lit("floor"), tag, F.lit("GLIBC_2.17")).alias("verdict"))
+
+
+@query("""WITH t AS (SELECT l_suppkey lib, l_orderkey % 2 side, l_partkey % 3 + 1 maj, l_partkey % 30 mnr FROM lineitem WHERE l_orderkey % 101 IN (0, 1)), m AS (SELECT lib, side, max(maj * 1000 + mnr) v FROM t GROUP BY 1, 2)
+SELECT a.lib, a.v // 1000 || '.' || a.v % 1000 old_max, b.v // 1000 || '.' || b.v % 1000 new_max FROM m a JOIN m b ON a.lib = b.lib AND a.side = 0 AND b.side = 1 WHERE b.v > a.v""")
+def runtime_floor_rollup(spark, d):
+    tag = F.concat(F.lit("LIB_"), (F.col("l_partkey") % 3 + 1).cast("string"), F.lit("."), (F.col("l_partkey") % 30).cast("string"))
+    t = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("lib"), (F.col("l_orderkey") % 2).alias("side"), T.tag_version(tag).alias("v"), (F.col("l_orderkey") % 101).isin(0, 1).alias("_in")).filter("_in")
+    m = t.groupBy("lib").agg(F.max(F.when(F.col("side") == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("v"))).alias("b"))
+    dotted = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ".")
+    return m.filter("a is not null and b > a").select("lib", dotted(F.col("a")).alias("old_max"), dotted(F.col("b")).alias("new_max"))
+
+
+@query("""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) host, regexp_replace(url, '^[a-z]+://[^/]+', '') path FROM pages)
+SELECT host, max(CASE WHEN regexp_matches(path, '\\.h$') THEN 100 WHEN regexp_matches(path, '[0-9]') THEN 40 WHEN path = '' OR path = '/' THEN -10 ELSE 10 END) AS score, count(*) n_paths FROM p GROUP BY 1""")
+def risk_score_paths(spark, d):
+    path = F.regexp_replace("url", "^[a-z]+://[^/]+", "")
+    weight = F.when(path.rlike(r"\.h$"), 100).when(path.rlike("[0-9]"), 40).when(path.isin("", "/"), -10).otherwise(10)
+    return table(spark, d, "pages").groupBy(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host")).agg(F.max(weight).alias("score"), F.count(F.lit(1)).alias("n_paths"))
+
+
+@query("""WITH p AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN '/usr/include/x' WHEN 1 THEN '/src/include/api/y' WHEN 2 THEN '/src/build/gen/z' WHEN 3 THEN '/src/lib/w' ELSE '' END || CASE WHEN page_id % 5 = 4 THEN '' ELSE page_id || '.h' END path FROM pages)
+SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'SYSTEM_HEADER' WHEN 1 THEN 'PUBLIC_HEADER' WHEN 2 THEN 'GENERATED' WHEN 3 THEN 'PRIVATE_HEADER' ELSE 'UNKNOWN' END origin FROM p""")
+def provenance_classify(spark, d):
+    k = F.col("page_id") % 5
+    root = F.when(k == 0, "/usr/include/x").when(k == 1, "/src/include/api/y").when(k == 2, "/src/build/gen/z").when(k == 3, "/src/lib/w").otherwise("")
+    path = F.concat(root, F.when(k == 4, "").otherwise(F.concat(F.col("page_id").cast("string"), F.lit(".h"))))
+    return table(spark, d, "pages").select("page_id", T.path_origin(path, ("/src/include/api",)).alias("origin"))
+
+
+# ------------------------------------------------------------------ matching
+
+
+@query("""WITH c AS (SELECT l_partkey, l_suppkey, s_nationkey, n_regionkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)
+SELECT p_partkey, arg_min(l_suppkey, CAST(n_regionkey AS BIGINT) * 1000000000000 + s_nationkey * 10000000000 + l_suppkey) provider FROM part LEFT JOIN c ON p_partkey = l_partkey GROUP BY 1""")
+def first_match_binding(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("provider"), "s_nationkey").join(F.broadcast(table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")), "s_nationkey")  # 25 nations
+    c = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("provider")).distinct().join(s, "provider")
+    return match.first_match(table(spark, d, "part").select("p_partkey"), c, ["p_partkey"], ["n_regionkey", "s_nationkey", "provider"], ["provider"])
+
+
+RENAMES_SQL = """WITH o AS (SELECT p_partkey, p_type, p_size, p_brand FROM part WHERE p_partkey % 4 <> 0), n AS (SELECT p_partkey + CASE WHEN p_partkey % 6 = 0 THEN 10000000 ELSE 0 END p_partkey, p_type, p_size, p_brand FROM part),
+r AS (SELECT * FROM o WHERE p_partkey NOT IN (SELECT p_partkey FROM n)), a AS (SELECT * FROM n WHERE p_partkey NOT IN (SELECT p_partkey FROM o))
+"""
+
+
+def _renames(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_type", "p_size", "p_brand", "p_retailprice")
+    old = p.filter("p_partkey % 4 <> 0")
+    new = p.withColumn("p_partkey", F.col("p_partkey") + F.when(F.col("p_partkey") % 6 == 0, 10000000).otherwise(0))
+    return old.join(new.select("p_partkey"), "p_partkey", "left_anti"), new.join(old.select("p_partkey"), "p_partkey", "left_anti")
+
+
+@query(RENAMES_SQL + """SELECT x.k old_key, y.k new_key FROM (SELECT p_type, p_size, p_brand, min(p_partkey) k FROM r GROUP BY ALL HAVING count(*) = 1) x JOIN (SELECT p_type, p_size, p_brand, min(p_partkey) k FROM a GROUP BY ALL HAVING count(*) = 1) y USING (p_type, p_size, p_brand)""")
+def rename_exact_match(spark, d):
+    gone, came = _renames(spark, d)
+    return match.unique_pairs(gone.withColumnRenamed("p_partkey", "old_key"), came.withColumnRenamed("p_partkey", "new_key"), ["p_type", "p_size", "p_brand"], "old_key", "new_key")
+
+
+@query("""SELECT a.p_partkey old_key, count(*) candidates FROM part a JOIN part b ON a.p_partkey % 50 = 0 AND b.p_partkey % 50 = 1 AND abs(a.p_retailprice - b.p_retailprice) <= 0.05 * greatest(a.p_retailprice, b.p_retailprice) GROUP BY 1""")
+def rename_band_match(spark, d):
+    p = table(spark, d, "part")
+    a = p.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("old_key"), F.col("p_retailprice").alias("x"))
+    b = p.filter("p_partkey % 50 = 1").select(F.col("p_partkey").alias("new_key"), F.col("p_retailprice").alias("y"))
+    return match.band_join(a, b, "x", "y", 0.05).groupBy("old_key").agg(F.count(F.lit(1)).alias("candidates"))
+
+
+@query("""WITH o AS (SELECT n_nationkey k FROM nation WHERE n_nationkey % 6 <> 0), n AS (SELECT DISTINCT s_nationkey k FROM supplier WHERE s_nationkey % 4 <> 0)
+SELECT CASE WHEN n.k IS NULL THEN 'removed' WHEN o.k IS NULL THEN 'added' ELSE 'matched' END state, count(*) n FROM o FULL JOIN n ON o.k = n.k GROUP BY 1""")
+def release_key_match(spark, d):
+    a = table(spark, d, "nation").select(F.col("n_nationkey").alias("k")).filter("k % 6 <> 0").withColumn("_o", F.lit(1))
+    b = table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")).filter("k % 4 <> 0").distinct().withColumn("_n", F.lit(1))
+    return a.join(b, "k", "full_outer").groupBy(F.when(F.col("_n").isNull(), "removed").when(F.col("_o").isNull(), "added").otherwise("matched").alias("state")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH o AS (SELECT p_partkey k, p_size || p_brand al FROM part WHERE p_partkey % 3 <> 0), n AS (SELECT p_partkey k, p_size || p_brand al FROM part WHERE p_partkey % 5 <> 0),
+ro AS (SELECT * FROM o WHERE k NOT IN (SELECT k FROM n) AND al IN (SELECT al FROM o GROUP BY al HAVING count(*) = 1)), rn AS (SELECT * FROM n WHERE k NOT IN (SELECT k FROM o) AND al IN (SELECT al FROM n GROUP BY al HAVING count(*) = 1))
+SELECT o.k old_key, n.k new_key FROM o JOIN n ON o.k = n.k UNION ALL SELECT ro.k, rn.k FROM ro JOIN rn USING (al)""")
+def alias_match(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.concat(F.col("p_size").cast("string"), "p_brand").alias("al"))
+    return match.alias_join(p.filter("k % 3 <> 0"), p.filter("k % 5 <> 0"), "k", "al")
+
+
+@query("""WITH r AS (SELECT 'f' || p_partkey || '_v1' old_name, 'f' || p_partkey s FROM part WHERE p_partkey % 7 = 0), a AS (SELECT 'f' || p_partkey || '_v2' new_name, 'f' || p_partkey s FROM part WHERE p_partkey % 14 = 0) SELECT old_name, new_name FROM r JOIN a USING (s)""")
+def version_scheme_pairs(spark, d):
+    k = F.col("p_partkey").cast("string")
+    p = table(spark, d, "part")
+    gone = p.filter("p_partkey % 7 = 0").select(F.concat(F.lit("f"), k, F.lit("_v1")).alias("name"))
+    came = p.filter("p_partkey % 14 = 0").select(F.concat(F.lit("f"), k, F.lit("_v2")).alias("name"))
+    return match.scheme_pairs(gone, came, "name", F.regexp_replace("name", r"_v\d+$", ""), least_share=0.4)
+
+
+BIND_SQL = """WITH i AS (SELECT DISTINCT 'c' || l_orderkey % 20 consumer, 's' || l_partkey % 300 symbol, CASE WHEN l_partkey % 300 % 4 = 0 THEN 'V1' ELSE '' END AS version, l_partkey % 300 % 9 = 0 weak FROM lineitem),
+e AS (SELECT DISTINCT 'c' || l_suppkey % 20 provider, 's' || l_partkey % 250 symbol, CASE WHEN l_partkey % 250 % 8 = 0 THEN 'V1' WHEN l_partkey % 250 % 4 = 0 THEN 'V2' ELSE '' END AS ev, l_partkey % 250 % 5 <> 0 is_default, l_partkey % 250 % 11 = 0 hidden FROM lineitem WHERE l_orderkey % {m} = 0),
+x AS (SELECT i.*, e.provider, e.ev, e.is_default, e.hidden, CAST(substr(e.provider, 2) AS INTEGER) rk FROM i LEFT JOIN e ON i.symbol = e.symbol AND e.provider <> i.consumer),
+g AS (SELECT consumer, symbol, version, weak, min(CASE WHEN NOT hidden AND (CASE WHEN version <> '' THEN ev = version ELSE ev = '' OR is_default END) THEN rk END) fit, min(CASE WHEN NOT hidden THEN rk END) seen, coalesce(bool_or(hidden), false) hid FROM x GROUP BY 1, 2, 3, 4),
+b AS (SELECT consumer, symbol, version, 'c' || coalesce(fit, seen) provider, CASE WHEN fit IS NOT NULL AND fit <> seen AND version <> '' THEN 'interposed' WHEN fit IS NOT NULL THEN 'ok' WHEN seen IS NOT NULL THEN 'version_mismatch' WHEN hid THEN 'visibility_blocked' WHEN weak THEN 'weak_unresolved' ELSE 'missing' END status FROM g)"""
+
+
+def _bindings(spark, d, m):
+    l = table(spark, d, "lineitem")
+    tag = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    s, t = F.col("l_partkey") % 300, F.col("l_partkey") % 250
+    i = l.select(tag("c", F.col("l_orderkey") % 20).alias("consumer"), tag("s", s).alias("symbol"), F.when(s % 4 == 0, "V1").otherwise("").alias("version"), (s % 9 == 0).alias("weak")).distinct()
+    e = l.filter(F.col("l_orderkey") % m == 0).select(tag("c", F.col("l_suppkey") % 20).alias("provider"), tag("s", t).alias("symbol"), F.when(t % 8 == 0, "V1").when(t % 4 == 0, "V2").otherwise("").alias("version"), (t % 5 != 0).alias("is_default"), (t % 11 == 0).alias("hidden")).distinct()
+    order = e.select("provider").distinct().withColumn("rank", F.substring("provider", 2, 9).cast("int"))
+    return match.bind_symbols(i, e, order)
+
+
+@query(BIND_SQL.format(m=7) + " SELECT * FROM b")
+def symbol_binding(spark, d):
+    return _bindings(spark, d, 7)
+
+
+@query(BIND_SQL.format(m=7) + ", e2 AS (SELECT 1), " + BIND_SQL.format(m=5).replace("WITH i AS", "i2 AS").replace("\ne AS", "\ne3 AS").replace("\nx AS", "\nx2 AS").replace("\ng AS", "\ng2 AS").replace("\nb AS", "\nb2 AS").replace("FROM i LEFT JOIN e ON i.symbol = e.symbol AND e.provider <> i.consumer", "FROM i2 i LEFT JOIN e3 e ON i.symbol = e.symbol AND e.provider <> i.consumer").replace("FROM x GROUP", "FROM x2 GROUP").replace("FROM g)", "FROM g2)") + """
+SELECT consumer, symbol, version, b.provider old_provider, b2.provider new_provider, CASE WHEN b.status IN ('ok', 'interposed') AND b2.status IN ('ok', 'interposed') AND b.provider <> b2.provider THEN 'provider_changed' ELSE 'weak_resolution_changed' END kind FROM b JOIN b2 USING (consumer, symbol, version)
+WHERE (b.status IN ('ok', 'interposed') AND b2.status IN ('ok', 'interposed') AND b.provider <> b2.provider) OR (b.status = 'weak_unresolved' AND b2.status IN ('ok', 'interposed')) OR (b.status IN ('ok', 'interposed') AND b2.status = 'weak_unresolved')""")
+def binding_diff(spark, d):
+    return match.binding_diff(_bindings(spark, d, 7), _bindings(spark, d, 5)).select("consumer", "symbol", "version", "old_provider", "new_provider", "kind")
+
+
+@query("""SELECT event_id, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events""")
+def baseline_before(spark, d):
+    e = table(spark, d, "events").select("event_id", "user_id", F.struct("ts", "event_id").alias("at"), "value")
+    return match.latest_before(e, "user_id", "at", "value").select("event_id", "previous")
+
+
+# ------------------------------------------------------------------ aggregates
+
+
+@query("""WITH c AS (SELECT DISTINCT event_type FROM events), p AS (SELECT DISTINCT user_id, event_type FROM events), g AS (SELECT user_id, list_sort(list(event_type)) pr FROM p GROUP BY 1), a AS (SELECT list(event_type) al FROM c)
+SELECT user_id, array_to_string(pr, ',') present, array_to_string(list_sort(list_filter(al, lambda x: NOT list_contains(pr, x))), ',') absent FROM g, a WHERE len(pr) < len(al)""")
+def config_matrix_presence(spark, d):
+    return rollup.presence(table(spark, d, "events"), "user_id", "event_type").select("user_id", F.array_join("present", ",").alias("present"), F.array_join("absent", ",").alias("absent"))
+
+
+@query("""SELECT p_brand, count(DISTINCT p_type) n_values, array_to_string(list_sort(list(DISTINCT p_type)), '|') AS "values" FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 1""")
+def divergence_groups(spark, d):
+    return rollup.divergent(table(spark, d, "part"), ["p_brand"], "p_type").select("p_brand", F.col("n_values").cast("long").alias("n_values"), F.array_join("values", "|").alias("values"))
+
+
+@query("""SELECT o_custkey, ['F', 'O', 'P'][min(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 WHEN 'P' THEN 3 ELSE 1 END)] o_orderstatus FROM orders GROUP BY 1""")
+def worst_state_rollup(spark, d):
+    return rollup.worst_state(table(spark, d, "orders"), ["o_custkey"], "o_orderstatus", ["F", "O", "P"], "F")
+
+
+@query("""SELECT o_custkey, CASE WHEN count(DISTINCT o_orderstatus) = 1 AND count(*) = count(o_orderstatus) THEN min(o_orderstatus) END o_orderstatus FROM orders GROUP BY 1""")
+def unanimous_rollup(spark, d):
+    return rollup.unanimous(table(spark, d, "orders"), ["o_custkey"], "o_orderstatus")
+
+
+FACTS_SQL = """WITH f AS (SELECT user_id, event_id % 3 conf, event_type producer, CAST(floor(value) AS BIGINT) v FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY conf DESC, producer, v) rn FROM f), b AS (SELECT user_id, v w, producer p FROM r WHERE rn = 1) """
+
+
+def _facts(spark, d):
+    return table(spark, d, "events").select("user_id", (F.col("event_id") % 3).alias("conf"), F.col("event_type").alias("producer"), F.floor("value").cast("long").alias("v"))
+
+
+@query(FACTS_SQL + "SELECT b.user_id, any_value(w) AS \"value\", any_value(p) producer, count(DISTINCT v) - 1 n_conflicts FROM b JOIN f USING (user_id) GROUP BY 1")
+def fact_merge_precedence(spark, d):
+    return rollup.merge_facts(_facts(spark, d), ["user_id"], "conf", "producer", "v").withColumn("n_conflicts", F.col("n_conflicts").cast("long"))
+
+
+@query(FACTS_SQL + "SELECT user_id, count(*) n FROM f JOIN b USING (user_id) WHERE v <> w GROUP BY 1")
+def fact_conflicts(spark, d):
+    return rollup.fact_conflicts(_facts(spark, d), ["user_id"], "conf", "producer", "v").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH t AS (SELECT user_id, event_id % 4 tier, event_type v FROM events), p AS (SELECT user_id, tier, min(v) v, count(DISTINCT v) n FROM t GROUP BY 1, 2) SELECT user_id, arg_min(v, tier) AS "value", max(n) > 1 conflict FROM p GROUP BY 1""")
+def field_precedence(spark, d):
+    return rollup.first_tier(table(spark, d, "events").select("user_id", (F.col("event_id") % 4).alias("tier"), F.col("event_type").alias("v")), ["user_id"], "tier", "v")
+
+
+@query("""WITH f AS (SELECT DISTINCT user_id % 20 target, 'f' || user_id % 7 AS identity, event_type profile FROM events WHERE event_id % 37 = 0),
+c AS (SELECT user_id % 20 target, event_type profile, min(CASE WHEN event_id % 997 = 0 THEN 0 ELSE 1 END) complete FROM events GROUP BY 1, 2),
+g AS (SELECT i.target, i.identity, c.profile, CASE WHEN f.profile IS NOT NULL THEN 'a' WHEN c.complete = 0 THEN 'u' ELSE 'n' END s FROM (SELECT DISTINCT target, identity FROM f) i JOIN c USING (target) LEFT JOIN f ON f.target = i.target AND f.identity = i.identity AND f.profile = c.profile)
+SELECT target, identity, coalesce(string_agg(CASE WHEN s = 'a' THEN profile END, ',' ORDER BY profile), '') affected, coalesce(string_agg(CASE WHEN s = 'n' THEN profile END, ',' ORDER BY profile), '') unaffected, coalesce(string_agg(CASE WHEN s = 'u' THEN profile END, ',' ORDER BY profile), '') undetermined,
+CASE WHEN count(*) FILTER (s = 'u') > 0 THEN 'undetermined' WHEN count(*) FILTER (s = 'n') = 0 THEN 'all_profiles' WHEN count(*) FILTER (s = 'a') = 1 THEN 'profile_specific' ELSE 'partial' END scope FROM g GROUP BY 1, 2""")
+def finding_matrix(spark, d):
+    e = table(spark, d, "events").select("event_id", (F.col("user_id") % 20).alias("target"), F.concat(F.lit("f"), (F.col("user_id") % 7).cast("string")).alias("identity"), F.col("event_type").alias("profile"))
+    out = rollup.finding_matrix(e.filter("event_id % 37 = 0"), e.select("target", "profile", (F.col("event_id") % 997 != 0).alias("complete")))
+    return out.select("target", "identity", *(F.array_join(c, ",").alias(c) for c in ("affected", "unaffected", "undetermined")), "scope")
+
+
+@query("""SELECT d.doc_id, coalesce(CASE l.quality WHEN 1 THEN 'ok' WHEN 0 THEN 'poor' END, 'missing') failure FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.quality IS DISTINCT FROM 1""")
+def coverage_expected(spark, d):
+    seen = table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "ok").when(F.col("quality") == 0, "poor").alias("state"))
+    return rollup.coverage(table(spark, d, "documents").select("doc_id"), seen, ["doc_id"])
+
+
+@query("""WITH p AS (SELECT DISTINCT p_brand b, p_type t FROM part), r AS (SELECT b, t, row_number() OVER (PARTITION BY b ORDER BY t) rn, count(*) OVER (PARTITION BY b) c FROM p)
+SELECT b AS p_brand, string_agg(t, ', ' ORDER BY t) FILTER (rn <= 5) || CASE WHEN max(c) > 5 THEN ' (+' || max(c) - 5 || ' more)' ELSE '' END AS detail FROM r GROUP BY 1""")
+def sampled_detail(spark, d):
+    return table(spark, d, "part").groupBy("p_brand").agg(rollup.sampled("p_type").alias("detail"))
+
+
+@query("""SELECT lang, source, count(*) n, CAST(count(*) FILTER (text IS NULL OR text = '') AS BIGINT) AS empty FROM documents GROUP BY 1, 2""")
+def surface_breakdown(spark, d):
+    return table(spark, d, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("text").isNull() | (F.col("text") == "")).alias("empty"))
+
+
+@query("""WITH m AS (SELECT count(*) FILTER (p_partkey % 13 <> 0) old_n, count(*) FILTER (p_partkey % 17 <> 0) new_n, count(*) FILTER (p_partkey % 13 <> 0 AND p_size > 40) old_u, count(*) FILTER (p_partkey % 17 <> 0 AND p_size > 38) new_u FROM part)
+SELECT old_n, new_n, round(old_u / old_n, 6) old_ratio, round(new_u / new_n, 6) new_ratio, CASE WHEN new_n > old_n THEN 'grew' WHEN new_n < old_n THEN 'shrank' ELSE 'same' END size_drift, new_u / new_n - old_u / old_n > 0.01 AS ratio_drift FROM m""")
+def surface_metrics(spark, d):
+    n = lambda c: F.count_if(F.expr(c))
+    m = table(spark, d, "part").agg(n("p_partkey % 13 <> 0").alias("old_n"), n("p_partkey % 17 <> 0").alias("new_n"), n("p_partkey % 13 <> 0 and p_size > 40").alias("old_u"), n("p_partkey % 17 <> 0 and p_size > 38").alias("new_u"))
+    a, b = F.col("old_u") / F.col("old_n"), F.col("new_u") / F.col("new_n")
+    return m.select("old_n", "new_n", F.round(a, 6).alias("old_ratio"), F.round(b, 6).alias("new_ratio"), F.when(F.col("new_n") > F.col("old_n"), "grew").when(F.col("new_n") < F.col("old_n"), "shrank").otherwise("same").alias("size_drift"), (b - a > 0.01).alias("ratio_drift"))
+
+
+@query("""WITH x AS (SELECT p_brand isa, p_type stem, p_partkey % 3 = 0 gone FROM part), s AS (SELECT DISTINCT stem, isa FROM x WHERE NOT gone), r AS (SELECT DISTINCT isa, stem FROM x WHERE gone)
+SELECT r.isa, count(*) removed, count(*) FILTER (EXISTS (SELECT 1 FROM s WHERE s.stem = r.stem AND s.isa <> r.isa)) surviving FROM r GROUP BY 1 HAVING count(*) >= 3 AND count(*) FILTER (EXISTS (SELECT 1 FROM s WHERE s.stem = r.stem AND s.isa <> r.isa)) > 0""")
+def isa_drop_cluster(spark, d):
+    x = table(spark, d, "part").select(F.col("p_brand").alias("isa"), F.col("p_type").alias("stem"), (F.col("p_partkey") % 3 == 0).alias("gone"))
+    alive = x.filter("not gone").groupBy("stem").agg(F.min("isa").alias("_lo"), F.max("isa").alias("_hi"))
+    r = x.filter("gone").select("isa", "stem").distinct().join(alive, "stem", "left")
+    other = F.coalesce((F.col("_lo") != F.col("isa")) | (F.col("_hi") != F.col("isa")), F.lit(False))
+    return r.groupBy("isa").agg(F.count(F.lit(1)).alias("removed"), F.count_if(other).alias("surviving")).filter("removed >= 3 and surviving > 0")
+
+
+@query("""SELECT p_brand family, count(*) n, bool_and(p_partkey % 2 = 0) AS all_removed FROM part WHERE p_size > 48 GROUP BY 1 HAVING count(*) >= 2""")
+def overload_family_removal(spark, d):
+    return table(spark, d, "part").filter("p_size > 48").groupBy(F.col("p_brand").alias("family")).agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("p_partkey") % 2 == 0).alias("all_removed")).filter("n >= 2")
+
+
+@query("""WITH v AS (SELECT p_partkey % 501 stem, p_partkey % 2 side, 1 + p_size % 7 ver FROM part), g AS (SELECT stem, max(ver) FILTER (side = 0) a, max(ver) FILTER (side = 1) b, list_sort(list(DISTINCT ver) FILTER (side = 0)) la, list_sort(list(DISTINCT ver) FILTER (side = 1)) lb FROM v GROUP BY 1) SELECT stem, a old_version, b new_version FROM g WHERE la <> lb AND b > a""")
+def inline_namespace_bump(spark, d):
+    v = table(spark, d, "part").select((F.col("p_partkey") % 501).alias("stem"), (F.col("p_partkey") % 2).alias("side"), (1 + F.col("p_size") % 7).alias("ver"))
+    side = lambda s: F.when(F.col("side") == s, F.col("ver"))
+    g = v.groupBy("stem").agg(F.max(side(0)).alias("old_version"), F.max(side(1)).alias("new_version"), F.array_sort(F.collect_set(side(0))).alias("_a"), F.array_sort(F.collect_set(side(1))).alias("_b"))
+    return g.filter("_a <> _b and new_version > old_version").select("stem", "old_version", "new_version")
+
+
+# ------------------------------------------------------------------ graphs
+
+REACH_SQL = """WITH RECURSIVE e AS (SELECT n_nationkey src, (n_nationkey * 7 + 3) % 25 dst FROM nation UNION SELECT n_nationkey, (n_nationkey * 3 + 1) % 25 FROM nation WHERE n_nationkey % 2 = 0), r(root, node, hops) AS (SELECT n_nationkey, n_nationkey, 0 FROM nation WHERE n_nationkey < 6 UNION SELECT root, dst, hops + 1 FROM r JOIN e ON node = src WHERE hops < 30)
+"""
+
+
+def _nation_edges(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"))
+    return n.select(F.col("k").alias("src"), ((F.col("k") * 7 + 3) % 25).alias("dst")).unionByName(n.filter("k % 2 = 0").select(F.col("k").alias("src"), ((F.col("k") * 3 + 1) % 25).alias("dst")))
+
+
+@query(REACH_SQL + "SELECT root, node, min(hops) hops FROM r GROUP BY 1, 2")
+def closure_nation_reach(spark, d):
+    seeds = table(spark, d, "nation").filter("n_nationkey < 6").select(F.col("n_nationkey").alias("root"), F.col("n_nationkey").alias("node"))
+    return graph.reach(_nation_edges(spark, d), seeds)
+
+
+@query(REACH_SQL + "SELECT node, array_to_string(list_sort(list(DISTINCT root)), ',') roots FROM r GROUP BY 1")
+def inverse_reachability(spark, d):
+    return graph.roots_of(closure_nation_reach(spark, d)).select("node", F.array_join(F.transform("roots", lambda x: x.cast("string")), ",").alias("roots"))
+
+
+@query("""SELECT l_partkey node, count(DISTINCT l_suppkey) n FROM lineitem GROUP BY 1 ORDER BY n DESC, node LIMIT 10""")
+def fan_in_topk(spark, d):
+    return graph.fan_in(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")), 10)
+
+
+@query("""WITH RECURSIVE e AS (SELECT p_partkey src, p_partkey // 2 dst FROM part WHERE p_partkey % 3 <> 0), r(node, cur) AS (SELECT src, src FROM e UNION SELECT dst, dst FROM e UNION ALL SELECT node, dst FROM r JOIN e ON cur = src AND dst <> cur) SELECT node, min(cur) component FROM r GROUP BY 1""")
+def graph_components(spark, d):
+    p = table(spark, d, "part").filter("p_partkey % 3 <> 0")
+    return graph.components(p.select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).cast("long").alias("dst")))
+
+
+@query("""WITH r AS (SELECT p_partkey k, p_type, p_brand, p_size FROM part WHERE p_partkey % 20 = 0), a AS (SELECT p_partkey k, p_type, p_brand, p_size FROM part WHERE p_partkey % 20 = 1),
+t0 AS (SELECT x.k ok, y.k nk FROM (SELECT p_type || p_brand || p_size u, min(k) k FROM r GROUP BY 1 HAVING count(*) = 1) x JOIN (SELECT p_type || p_brand || p_size u, min(k) k FROM a GROUP BY 1 HAVING count(*) = 1) y USING (u)),
+t1 AS (SELECT x.k ok, y.k nk FROM (SELECT p_type || p_brand u, min(k) k FROM r WHERE k NOT IN (SELECT ok FROM t0) GROUP BY 1 HAVING count(*) = 1) x JOIN (SELECT p_type || p_brand u, min(k) k FROM a WHERE k NOT IN (SELECT nk FROM t0) GROUP BY 1 HAVING count(*) = 1) y USING (u))
+SELECT ok old_node, nk new_node, 0 tier FROM t0 UNION ALL SELECT ok, nk, 1 FROM t1""")
+def graph_reconcile(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.concat("p_type", "p_brand", F.col("p_size").cast("string")).alias("exact"), F.concat("p_type", "p_brand").alias("alias"))
+    return graph.reconcile(p.filter("node % 20 = 0"), p.filter("node % 20 = 1"), ["exact", "alias"])
+
+
+# ------------------------------------------------------------------ text
+
+WORD_SQL = "regexp_split_to_array(trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), '[ \\t\\n\\r\\f\\v]+')"
+
+
+@query(f"""WITH w AS (SELECT DISTINCT doc_id, unnest({WORD_SQL}) word FROM documents), b AS (SELECT DISTINCT unnest({WORD_SQL}) word FROM benchmark) SELECT word, count(*) n_docs FROM w JOIN b USING (word) WHERE word <> '' GROUP BY 1""")
+def token_reference_join(spark, d):
+    words = lambda t: F.explode(F.array_distinct(F.split(F.regexp_replace("text", r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$", ""), r"[ \t\n\r\f\x0B]+"))).alias("word")  # noqa: E731, ARG005
+    b = table(spark, d, "benchmark").select(words(0)).distinct()
+    return table(spark, d, "documents").select(words(0)).filter("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n_docs")).join(b, "word")
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) line FROM documents) SELECT doc_id, count(*) n_lines, count(*) FILTER (regexp_matches(line, '[A-Za-z0-9._]+@[A-Za-z0-9.]+')) email, count(*) FILTER (regexp_matches(line, '[0-9]{3}')) digits, count(*) FILTER (regexp_matches(line, '\\|')) bars FROM l GROUP BY 1""")
+def pattern_scan_lines(spark, d):
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    hit = lambda p: F.count_if(F.col("line").rlike(p))
+    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), hit("[A-Za-z0-9._]+@[A-Za-z0-9.]+").alias("email"), hit("[0-9]{3}").alias("digits"), hit(r"\|").alias("bars"))
+
+
+@query("""SELECT n_nationkey, sha256(n_name || chr(1) || n_regionkey) AS digest FROM nation""")
+def content_digest(spark, d):
+    return table(spark, d, "nation").select("n_nationkey", F.sha2(F.concat("n_name", F.lit("\u0001"), F.col("n_regionkey").cast("string")), 256).alias("digest"))
+
+
+# ------------------------------------------------------------------ time
+
+
+@query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) n FROM events GROUP BY 1, 2""")
+def hourly_counts(spark, d):
+    return table(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "event_type", "n")
+
+
+@query("""WITH s AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER w > INTERVAL '6 hours' OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, CAST(sum(b) AS BIGINT) AS sessions, count(*) n FROM s GROUP BY 1""")
+def user_sessions(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    gap = F.col("ts") - F.lag("ts").over(w)
+    s = table(spark, d, "events").select("user_id", F.when(gap.isNull() | (gap > F.expr("INTERVAL 6 HOURS")), 1).otherwise(0).alias("b"))
+    return s.groupBy("user_id").agg(F.sum("b").alias("sessions"), F.count(F.lit(1)).alias("n"))
