@@ -129,7 +129,8 @@ def remove_common_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     gone = both.mapInArrow(_align(least_chars), "_id long, _k long, gone array<int>").filter(F.size("gone") > 0)
     # one row for each line of a document at most, however many partners found it
     gone = C.materialize(gone.select("_id", "_k", F.explode("gone").alias("line")).distinct().groupBy("_id", "_k").agg(F.collect_list("line").alias("gone")), "gone")
-    out = rows.join(gone, ["_id", "_k"], "left").select("_out", "_text", "gone").mapInArrow(_keep, "_out long, n_lines long, n_removed long, kept_text string")
+    # a merge join at every size: what is removed grows with the corpus, so it is never broadcast
+    out = rows.join(gone.hint("merge"), ["_id", "_k"], "left").select("_out", "_text", "gone").mapInArrow(_keep, "_out long, n_lines long, n_removed long, kept_text string")
     return out.withColumnRenamed("_out", id_col)
 
 
