@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -17,12 +19,13 @@ def ship(spark: SparkSession) -> SparkSession:
     on_path = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
     sc = spark.sparkContext
     if str(ROOT) not in on_path and not getattr(sc, "_quillon_shipped", False):
-        with tempfile.TemporaryDirectory() as d:
-            target = f"{d}/quillon_src.zip"
-            with zipfile.ZipFile(target, "w") as z:
-                for f in sorted((ROOT / "quillon").rglob("*.py")):
-                    z.write(f, f.relative_to(ROOT))
-            sc.addPyFile(target)
+        folder = tempfile.mkdtemp()  # the driver serves the file from here as long as it lives
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        target = f"{folder}/quillon_src.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted((ROOT / "quillon").rglob("*.py")):
+                z.write(f, f.relative_to(ROOT))
+        sc.addPyFile(target)
         sc._quillon_shipped = True
     return spark
 
