@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import time
 import uuid
 
 import numpy as np
@@ -12,6 +14,64 @@ from pyspark.sql import functions as F
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+# ---------------------------------------------------------------- memory
+
+#: Most rows of an Arrow batch: texts may be long, and a worker holds a few batches.
+BATCH_ROWS = 1000
+pa.set_memory_pool(pa.system_memory_pool())  # so that what is freed can go back to the system
+_trimmed = [0.0]
+
+
+def trim(now: bool = False) -> None:
+    """Give freed memory of this worker back, four times a second at most: idle workers are kept for later stages."""
+    if now or time.monotonic() - _trimmed[0] > 0.25:
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except OSError:
+            pass  # another C library
+        _trimmed[0] = time.monotonic()
+
+
+def tidy(f):
+    """f over an iterator of batches, followed by trim()."""
+
+    def run(batches):
+        yield from f(batches)
+        trim(now=True)
+
+    return run
+
+
+def tidy_group(f):
+    """f over a group, followed by trim()."""
+
+    def run(table):
+        out = f(table)
+        trim()
+        return out
+
+    return run
+
+
+def tidy_pair(f):
+    """f over two groups of a key, followed by trim()."""
+
+    def run(left, right):
+        out = f(left, right)
+        trim()
+        return out
+
+    return run
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session that hands Python workers BATCH_ROWS rows at once at most."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 # ---------------------------------------------------------------- storage
 
 
@@ -43,12 +103,6 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def with_conf(spark: SparkSession, key: str, value: str) -> str | None:
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    return old
-
-
 #: Most ids that drop_ids() broadcasts (16 MB); beyond it the join is a shuffle.
 IDS_TO_SEND = 2_000_000
 
@@ -96,6 +150,7 @@ class Words:
     """Words [^\\x20\\x09-\\x0D]+ of many texts: byte offsets of each word, and where each text's words begin."""
 
     def __init__(self, texts: pa.Array):
+        trim()
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0)
         texts = texts.cast(pa.large_string()).fill_null("")
@@ -161,7 +216,7 @@ def chunk_count(docs: DataFrame, text: str, chunk_bytes: int) -> tuple[int, int]
 
 def chunked(docs: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
     """id, text and _chunk: a chunk is a fixed function of a row, so that every pass sees the same chunks."""
-    return docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.pmod(F.xxhash64(id_col, text), F.lit(n)).cast("int").alias("_chunk"))
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.pmod(F.xxhash64(id_col, text), F.lit(n)).cast("int").alias("_chunk"))
 
 
 def pack(values: np.ndarray, width: int) -> bytes:

@@ -45,7 +45,7 @@ def components(edges: DataFrame) -> DataFrame:
     map-side minima and two equi-joins, written to the shared folder; the number of rounds is about the
     logarithm of the longest shortest path.
     """
-    now = C.materialize(edges.select("u", "v").filter("u <> v").mapInArrow(_contract, "u long, v long").distinct(), "edges")
+    now = C.materialize(edges.select("u", "v").filter("u <> v").mapInArrow(C.tidy(_contract), "u long, v long").distinct(), "edges")
     before = None
     for _ in range(MAX_ROUNDS):
         state = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()

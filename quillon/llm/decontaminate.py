@@ -112,13 +112,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     blocks = -(-words // bench_words)
     schema = f"{id_col} long, {item_col} long, start long, item_start long, n_words long, n_matched long, n_item_words long"
     out = spark.createDataFrame([], schema)
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    rows = C.small_batches(docs).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     for k in range(blocks):
         # about bench_words words, by a hash of item and text
         block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("_item", "_text"), F.lit(blocks)) == k)
         got = block.sort("_item", "_text").collect()
         sent = spark.sparkContext.broadcast(([r["_item"] for r in got], [r["_text"] for r in got]))
-        out = out.unionByName(rows.mapInArrow(_scan(sent, least, share, id_col, item_col), schema))
+        out = out.unionByName(rows.mapInArrow(C.tidy(_scan(sent, least, share, id_col, item_col)), schema))
     return out
 
 

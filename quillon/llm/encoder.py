@@ -86,6 +86,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn, number of ids of each); a null text has none."""
+        C.trim()
         texts = (texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts).cast(pa.large_string()).fill_null("")
         if not len(texts):
             return np.zeros(0, self.dtype), np.zeros(0, np.int64)

@@ -43,8 +43,8 @@ MAGIC = b"QIDSHRD1"
 LEVELS = 24
 GAMMA = 2.0
 #: Bytes of text in a shard, about.
-SHARD_BYTES = 16 << 20
-_ROWS_A_BATCH = 2048
+SHARD_BYTES = 8 << 20
+_ROWS_A_BATCH = 1000
 
 
 def open_folder(uri: str) -> tuple[pa.fs.FileSystem, str]:
@@ -188,7 +188,7 @@ MANIFEST = "shard int, path string, n_rows long, n_ids long, least_key long, mos
 def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", text_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encode every whole text and write the shards; the manifest (one row a shard) as a table in the folder."""
     n = C.chunk_count(docs, text_col, text_bytes)[0]
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    rows = C.small_batches(docs).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     rows = rows.repartitionByRange(n, F.col("_id"), F.xxhash64("_text")).sortWithinPartitions("_id", F.xxhash64("_text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +213,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0,
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_rows": [len(size)], "n_ids": [int(size.sum())], "least_key": pa.array([int(some[0]) if len(some) else None], pa.int64()), "most_key": pa.array([int(some[-1]) if len(some) else None], pa.int64())})
 
     manifest = f"{folder.rstrip('/')}/manifest"
-    rows.mapInArrow(write, MANIFEST).write.mode("overwrite").parquet(manifest)
+    rows.mapInArrow(C.tidy(write), MANIFEST).write.mode("overwrite").parquet(manifest)
     return docs.sparkSession.read.schema(MANIFEST).parquet(manifest)
 
 
@@ -243,7 +243,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                         "n_tokens": pa.array(shard.first[part + 1] - shard.first[part], pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "shard": pa.array([row["shard"]] * len(part), pa.int32()),
                     })
 
-    return placed.repartition(n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
+    return placed.repartition(n).mapInArrow(C.tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
 
 
 def lookup(manifest: DataFrame, keys: list[int]) -> DataFrame:
@@ -258,7 +258,7 @@ def lookup(manifest: DataFrame, keys: list[int]) -> DataFrame:
                 got = [(int(k), ids.astype(np.int64)) for k in mine for ids in shard.get(int(k))]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([k for k, _ in got], pa.int64()), "ids": pa.array([x for _, x in got], pa.list_(pa.int64()))})
 
-    return near.mapInArrow(read, "doc_id long, ids array<long>")
+    return near.mapInArrow(C.tidy(read), "doc_id long, ids array<long>")
 
 
 def encode_and_read(docs: DataFrame, vocabulary: str, end_id: int = 0, folder: str | None = None) -> DataFrame:

@@ -118,19 +118,19 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_common_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, seed_chars: int = SEED_CHARS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """id_col, n_lines, n_removed and kept_text of each row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("_out"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = C.small_batches(docs).select(F.col(id_col).cast("long").alias("_out"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = rows.withColumn("_k", F.xxhash64("_text"))
-    seqs = C.materialize(rows.select("_id", "_k", "_text").mapInArrow(_sequences, "_id long, _k long, lines array<long>, sizes array<int>").dropDuplicates(["_id", "_k"]), "lines")
+    seqs = C.materialize(rows.select("_id", "_k", "_text").mapInArrow(C.tidy(_sequences), "_id long, _k long, lines array<long>, sizes array<int>").dropDuplicates(["_id", "_k"]), "lines")
     seeds = seqs.select("_id", "_k", F.explode(F.array_distinct(F.expr(f"transform(filter(arrays_zip(lines, sizes), x -> x.sizes >= {seed_chars}), x -> x.lines)"))).alias("line"))
     first = seeds.groupBy("line").agg(F.min("_id").alias("own"), F.count(F.lit(1)).alias("df")).filter("df > 1")
     pairs = seeds.join(first, "line").filter("own < _id").groupBy("_id", "_k", "own").agg(F.min("df").alias("rarest"), F.count(F.lit(1)).alias("n")).filter((F.col("rarest") <= rare) | (F.col("n") >= 2))
     owners = seqs.select(F.col("_id").alias("own"), F.col("lines").alias("first"))
     both = pairs.select("_id", "_k", "own").join(owners, "own").join(seqs, ["_id", "_k"]).select("_id", "_k", "lines", "sizes", "first")
-    gone = both.mapInArrow(_align(least_chars), "_id long, _k long, gone array<int>").filter(F.size("gone") > 0)
+    gone = both.mapInArrow(C.tidy(_align(least_chars)), "_id long, _k long, gone array<int>").filter(F.size("gone") > 0)
     # one row for each line of a document at most, however many partners found it
     gone = C.materialize(gone.select("_id", "_k", F.explode("gone").alias("line")).distinct().groupBy("_id", "_k").agg(F.collect_list("line").alias("gone")), "gone")
     # a merge join at every size: what is removed grows with the corpus, so it is never broadcast
-    out = rows.join(gone.hint("merge"), ["_id", "_k"], "left").select("_out", "_text", "gone").mapInArrow(_keep, "_out long, n_lines long, n_removed long, kept_text string")
+    out = rows.join(gone.hint("merge"), ["_id", "_k"], "left").select("_out", "_text", "gone").mapInArrow(C.tidy(_keep), "_out long, n_lines long, n_removed long, kept_text string")
     return out.withColumnRenamed("_out", id_col)
 
 

@@ -68,7 +68,9 @@ def train(docs: DataFrame, labels: DataFrame, domains: list[str], id_col: str, t
 
     def one(t: pa.Table) -> pa.Table:
         t = t.sort_by([("_id", "ascending")]).combine_chunks()
+        C.trim(now=True)
         w = fit(t["_text"].combine_chunks().cast(pa.large_string()).fill_null(""), t["_y"].to_numpy() - 1, k)
+        C.trim(now=True)
         return pa.table({"w": pa.array([w.astype("<f4").tobytes()], pa.binary())})
 
     got = mine.select("_text", "_y", "_id", F.lit(0).alias("_all")).groupBy("_all").applyInArrow(one, "w binary").collect()
@@ -94,8 +96,8 @@ def posteriors(docs: DataFrame, weights: np.ndarray, id_col: str, text_col: str)
                 p = _softmax(x, w)
                 yield pa.RecordBatch.from_pydict({"_id": part["_id"], "_key": part["_key"], "n_tokens": pa.array(n, pa.int64()), "posterior": pa.array(list(p), pa.list_(pa.float64()))})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(run, "_id long, _key long, n_tokens long, posterior array<double>")
+    rows = C.small_batches(docs).select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("_text"))
+    return rows.mapInArrow(C.tidy(run), "_id long, _key long, n_tokens long, posterior array<double>")
 
 
 def rate(steps: list[list[float]], posterior: str = "posterior", least: float = 0.0) -> Column:
@@ -161,7 +163,7 @@ def repeated(docs: DataFrame, labels: DataFrame, weights: dict[str, float], tota
                 yield part.append_column("_quillon_posterior", pa.array(list(_softmax(_profile(part[text_col])[1], sent.value)), pa.list_(pa.float64())))
 
     copies = _drawn(steps, least, seed, id_col, text_col, posterior="_quillon_posterior")
-    return docs.mapInArrow(run, own).withColumn("_quillon_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
+    return C.small_batches(docs).mapInArrow(C.tidy(run), own).withColumn("_quillon_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total: float | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", least: float = 0.0, seed: int = 5) -> DataFrame:

@@ -208,7 +208,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     dealt = pairs.join(parts, "probe").select("probe", "node", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.lit(False).alias("is_probe"))
     probes = parts.select("probe", F.col("probe").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_probe"))
     rows = dealt.unionByName(probes).join(texts, "node")
-    return rows.select("probe", "part", "node", "is_probe", "text").groupBy("probe", "part").applyInArrow(lambda t: _verify(t, width, percent), "u long, v long")
+    return rows.select("probe", "part", "node", "is_probe", "text").groupBy("probe", "part").applyInArrow(C.tidy_group(lambda t: _verify(t, width, percent)), "u long, v long")
 
 
 # ---------------------------------------------------------------- the join
@@ -220,9 +220,9 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = chunk_bytes or min(8 << 20, max(1 << 20, total // 2000))
     n, n_buckets = max(1, -(-total // size)), max(1, -(-total // (8 * size)))
     rows = C.chunked(docs, id_col, text_col, n)
-    asked = rows.groupBy("_chunk").applyInArrow(lambda t: _ask_frequency(t, width, n_buckets), BLOCK)
-    told = asked.groupBy("_bucket").applyInArrow(_tell_frequency, BLOCK)
-    sets = C.materialize(rows.groupBy("_chunk").cogroup(told.groupBy("_chunk")).applyInArrow(lambda t, r: _prefixes(t, r, width, percent, n_buckets), LIVE), "sets")
+    asked = rows.groupBy("_chunk").applyInArrow(C.tidy_group(lambda t: _ask_frequency(t, width, n_buckets)), BLOCK)
+    told = asked.groupBy("_bucket").applyInArrow(C.tidy_group(_tell_frequency), BLOCK)
+    sets = C.materialize(rows.groupBy("_chunk").cogroup(told.groupBy("_chunk")).applyInArrow(C.tidy_pair(lambda t, r: _prefixes(t, r, width, percent, n_buckets)), LIVE), "sets")
 
     live = sets.filter("live")
     classes = C.materialize(live.groupBy("one", "two").agg(F.min_by(F.struct("n", "skip", "prefix", "sketch", "text"), "_id").alias("_s"), F.min("_id").alias("node")).select("node", "one", "two", "_s.*"), "classes")
@@ -246,7 +246,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_pydict({"gram": key, "node": pa.array([node] * k, pa.int64()), "comp": pa.array([comp] * k, pa.int64()), "n": pa.array([n] * k, pa.int32()), "rest": pa.array(n - skip - np.arange(k), pa.int32())})
 
     placed = classes.join(first.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    grams = placed.select("node", "comp", "n", "skip", "prefix").mapInArrow(unfold, "gram long, node long, comp long, n int, rest int")
+    grams = placed.select("node", "comp", "n", "skip", "prefix").mapInArrow(C.tidy(unfold), "gram long, node long, comp long, n int, rest int")
     mixed = grams.groupBy("gram").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a <> _b").select("gram")
     open_ = C.materialize(grams.join(mixed, "gram"), "open")
     a, b = (open_.select("gram", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "comp", "n", "rest"))) for k in "ab")

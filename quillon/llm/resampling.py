@@ -65,8 +65,8 @@ def log_ratios(docs: DataFrame, good: DataFrame, id_col: str, text_col: str) ->
     ids = good.select(F.col(id_col).cast("long").alias("_id")).filter("_id is not null").distinct().withColumn("_target", F.lit(True))
     if ids.count() <= LABELS_TO_SEND:
         ids = F.broadcast(ids)
-    marked = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(ids, "_id", "left").select("_text", F.coalesce("_target", F.lit(False)).alias("_target"))
-    rows = marked.mapInArrow(_count, "bucket int, target long, raw long").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).collect()  # BUCKETS rows at most
+    marked = C.small_batches(docs).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(ids, "_id", "left").select("_text", F.coalesce("_target", F.lit(False)).alias("_target"))
+    rows = marked.mapInArrow(C.tidy(_count), "bucket int, target long, raw long").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).collect()  # BUCKETS rows at most
     count = np.zeros((2, BUCKETS))
     for r in rows:
         count[:, r["bucket"]] = r["target"], r["raw"]
@@ -121,7 +121,7 @@ def resample(docs: DataFrame, good: DataFrame, k: int, id_col: str = "doc_id", t
                 total = np.bincount(text, ratio[bucket], minlength=len(part))
                 yield pa.RecordBatch.from_pydict({id_col: part["_id"], "n_grams": pa.array(n, pa.int64()), "log_weight": pa.array(sharpness * total / np.maximum(n, 1), pa.float64())})
 
-    weighed = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(weigh, f"{id_col} long, n_grams long, log_weight double")
+    weighed = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(C.tidy(weigh), f"{id_col} long, n_grams long, log_weight double")
     keys = C.materialize(weighed.withColumn("sampling_key", F.col("log_weight") + gumbel(id_col, seed)), "weights")
     least = threshold(keys, "sampling_key", k)
     return keys.withColumn("kept", F.lit(True) if least is None else F.col("sampling_key") >= least)

@@ -305,12 +305,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = chunk_bytes or min(8 << 20, max(1 << 20, total // 2000))
     n, n_buckets = max(1, -(-total // size)), max(1, -(-total // (8 * size)))
     rows = C.chunked(docs, id_col, text_col, n)
-    asked = rows.groupBy("_chunk").applyInArrow(lambda t: _ask_anchors(t, width, rounds, n_buckets), BLOCK)
-    told = asked.groupBy("_bucket").applyInArrow(_tell_shared, BLOCK)
-    asked = rows.groupBy("_chunk").cogroup(told.groupBy("_chunk")).applyInArrow(lambda t, r: _ask_windows(t, r, width, rounds, n_buckets), BLOCK)
-    told = asked.groupBy("_bucket").applyInArrow(_tell_earlier, BLOCK)
+    asked = rows.groupBy("_chunk").applyInArrow(C.tidy_group(lambda t: _ask_anchors(t, width, rounds, n_buckets)), BLOCK)
+    told = asked.groupBy("_bucket").applyInArrow(C.tidy_group(_tell_shared), BLOCK)
+    asked = rows.groupBy("_chunk").cogroup(told.groupBy("_chunk")).applyInArrow(C.tidy_pair(lambda t, r: _ask_windows(t, r, width, rounds, n_buckets)), BLOCK)
+    told = asked.groupBy("_bucket").applyInArrow(C.tidy_group(_tell_earlier), BLOCK)
     schema = "_id long, n_words long, n_removed long, kept_text string, removed_spans array<struct<start:long,end:long>>"
-    out = rows.groupBy("_chunk").cogroup(told.groupBy("_chunk")).applyInArrow(lambda t, r: _remove(t, r, width, n_buckets), schema)
+    out = rows.groupBy("_chunk").cogroup(told.groupBy("_chunk")).applyInArrow(C.tidy_pair(lambda t, r: _remove(t, r, width, n_buckets)), schema)
     return out.withColumnRenamed("_id", id_col)
 
 

@@ -27,7 +27,7 @@ from quillon.llm.encoder import encoder
 from quillon.llm.id_files import _publish, open_folder
 
 BLOCK_IDS = 1 << 21
-_ROWS_A_BATCH = 2048
+_ROWS_A_BATCH = 1000
 
 
 def write_flat(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -53,10 +53,10 @@ def write_flat(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_co
             packed = np.asarray(key.is_null()).astype(np.uint8).tobytes() + key.fill_null(0).to_numpy().astype("<i8").tobytes()
             yield pa.RecordBatch.from_pydict({"path": [path], "width": pa.array([enc.width], pa.int32()), "n_ids": pa.array([count[0]], pa.int64()), "doc_ids": [zlib.compress(packed, 1)]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    rows = C.small_batches(docs).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     schema = "path string, width int, n_ids long, doc_ids binary"
     manifest = f"{folder.rstrip('/')}/manifest"
-    rows.mapInArrow(write, schema).write.mode("overwrite").parquet(manifest)
+    rows.mapInArrow(C.tidy(write), schema).write.mode("overwrite").parquet(manifest)
     return docs.sparkSession.read.schema(schema).parquet(manifest)
 
 
@@ -79,7 +79,7 @@ def scan(files: DataFrame, end_id: int, block_ids: int = BLOCK_IDS) -> DataFrame
                     "ends": pa.array([here], pa.list_(pa.int64())), "n": pa.array([len(here)], pa.int64()), "last": pa.array([int(here[-1]) if len(here) else None], pa.int64()),
                 })
 
-    found = blocks.mapInArrow(find, "path string, n_ids long, block long, ends array<long>, n long, last long")
+    found = blocks.mapInArrow(C.tidy(find), "path string, n_ids long, block long, ends array<long>, n long, last long")
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     stitched = found.withColumns({"_from": F.coalesce(F.max("last").over(before) + 1, F.lit(0)), "_base": F.coalesce(F.sum("n").over(before), F.lit(0))})
     closed = stitched.select("path", "_base", "_from", "ends", F.posexplode("ends").alias("_k", "_end")).select(
@@ -102,6 +102,6 @@ def count_documents(docs: DataFrame, vocabulary: str, end_id: int, folder: str |
                 null = np.frombuffer(raw, np.uint8, n).astype(bool)
                 yield pa.RecordBatch.from_pydict({"path": [row["path"]] * n, "ordinal": pa.array(np.arange(n)), "doc_id": pa.array(np.frombuffer(raw, "<i8", n, n), mask=null)})
 
-    names = manifest.select("path", "doc_ids").mapInArrow(unfold, "path string, ordinal long, doc_id long")
+    names = manifest.select("path", "doc_ids").mapInArrow(C.tidy(unfold), "path string, ordinal long, doc_id long")
     got = names.join(scan(manifest, end_id, block_ids), ["path", "ordinal"])
     return got.select("doc_id", "n_tokens", F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "ordinal", "start", "complete")

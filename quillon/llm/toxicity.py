@@ -198,7 +198,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def fit_one(t: pa.Table) -> pa.Table:
         t = t.sort_by([("_id", "ascending")]).combine_chunks()
+        C.trim(now=True)
         model = fit(t["_text"].combine_chunks().cast(pa.large_string()).fill_null(""), t["_y"].to_numpy().astype(float).clip(0, 1), identity, balance)
+        C.trim(now=True)
         return pa.table({"model": pa.array([np.r_[model.keys.view(np.float64), model.weights, model.bias].tobytes()], pa.binary())})
 
     got = mine.select("_id", "_text", "_y", F.lit(0).alias("_all")).groupBy("_all").applyInArrow(fit_one, "model binary").collect()
@@ -224,7 +226,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
                 part = batch.slice(at, 1000)
                 yield part.append_column(score_col, pa.array(opened["m"].score(part[text_col]), pa.float64()))
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
+    return C.small_batches(docs).mapInArrow(C.tidy(run), StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -143,7 +143,7 @@ def _leaves(classes: DataFrame, dim: int, trees: int, spill: float, leaf_rows: i
         for batch in batches:
             yield from _placed(batch, dim, model).to_batches()
 
-    now = C.materialize(classes.select("_id", "w", "unit").mapInArrow(first, ROWS), "leaves")
+    now = C.materialize(classes.select("_id", "w", "unit").mapInArrow(C.tidy(first), ROWS), "leaves")
     for k in range(MAX_FITS):
         size = now.groupBy("code").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > leaf_rows)
         large = C.materialize(size, "large")
@@ -160,7 +160,7 @@ def _leaves(classes: DataFrame, dim: int, trees: int, spill: float, leaf_rows: i
             way, low, high = fit(_matrix(t["unit"], dim), want, spill, code & 0x7FFFFFFF)
             return pa.table({"code": pa.array([code], pa.int64()), "tree": pa.array([way.tobytes() + low.tobytes() + high.tobytes()], pa.binary())})
 
-        grown = picked.select("code", "size", "unit").groupBy("code").applyInArrow(grow, "code long, tree binary")
+        grown = picked.select("code", "size", "unit").groupBy("code").applyInArrow(C.tidy_group(grow), "code long, tree binary")
         grown = grown.join(large, "code").select("code", "tree", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("size") / F.lit(16 * SAMPLE)) - 1).cast("int"))).alias("part"))
 
         def split(rows: pa.Table, model: pa.Table) -> pa.Table:
@@ -171,7 +171,7 @@ def _leaves(classes: DataFrame, dim: int, trees: int, spill: float, leaf_rows: i
             tree = np.frombuffer(raw, np.float32, m * dim).reshape(m, dim), np.frombuffer(raw, np.float64, m, 4 * m * dim), np.frombuffer(raw, np.float64, m, 4 * m * dim + 8 * m)
             return _placed(rows, dim, [(rows["code"][0].as_py(), tree)])
 
-        again = mine.withColumn("part", part).select("code", "part", "_id", "w", "unit").groupBy("code", "part").cogroup(grown.groupBy("code", "part")).applyInArrow(split, ROWS)
+        again = mine.withColumn("part", part).select("code", "part", "_id", "w", "unit").groupBy("code", "part").cogroup(grown.groupBy("code", "part")).applyInArrow(C.tidy_pair(split), ROWS)
         new = C.materialize(now.join(large, "code", "left_anti").select("_id", "w", "unit", "code").unionByName(again), "leaves")
         C.discard(now)
         C.discard(large)
@@ -224,7 +224,7 @@ def _compare(dim: int, threshold: float):
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, trees: int = TREES, spill: float = SPILL, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """One row per vector: id_col, n_links, component_id, kept; see the head of this file."""
-    base = C.materialize(vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("_v")).mapInArrow(unit_rows, "_id long, dim int, unit binary, raw binary"), "units")
+    base = C.materialize(vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("_v")).mapInArrow(C.tidy(unit_rows), "_id long, dim int, unit binary, raw binary"), "units")
     sound = base.filter("unit is not null and _id is not null").withColumns({"_one": F.xxhash64("raw"), "_two": F.xxhash64("raw", F.lit(7))})
     classes = C.materialize(sound.groupBy("dim", "_one", "_two").agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("w"), F.min("unit").alias("unit")), "classes")
     found = None
@@ -236,7 +236,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_o")
         rows = mine.select("code", "_id", "w", "unit", "codes", "_b", other).select("code", F.least("_b", "_o").alias("low"), F.greatest("_b", "_o").alias("high"), "_b", "_id", "w", "unit", "codes")
 
-        part = rows.groupBy("code", "low", "high").applyInArrow(_compare(dim, threshold), "u long, v long, n long")
+        part = rows.groupBy("code", "low", "high").applyInArrow(C.tidy_group(_compare(dim, threshold)), "u long, v long, n long")
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = base.sparkSession.createDataFrame([], "u long, v long, n long")
