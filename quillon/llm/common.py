@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,17 @@ def trim(now: bool = False) -> None:
         _trimmed[0] = time.monotonic()
 
 
+def pieces(batch: pa.RecordBatch, text: str, most: int = 1 << 20, rows: int = BATCH_ROWS):
+    """Slices of a batch of about `most` bytes of text and `rows` rows, a row at least: what a kernel holds at once."""
+    if not len(batch):
+        return
+    size = pa.compute.binary_length(batch[text]).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    block = np.maximum((np.cumsum(size) - size) // most, 0) + np.arange(len(size)) // rows
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(batch)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(a, b - a)
+
+
 def tidy(f):
     """f over an iterator of batches, followed by trim()."""
 

@@ -130,8 +130,7 @@ def _scan(sent, least: int, share: float, id_col: str, item_col: str):
             opened["s"] = Seeds(*sent.value)
         seeds = opened["s"]
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
+            for part in C.pieces(batch, "_text"):
                 got = list(seeds.overlaps(C.Words(part["_text"]), least, share)) if len(seeds.key) else []
                 ids = part["_id"].to_pylist()
                 cols = {id_col: [ids[t] for t, *_ in got], item_col: [seeds.ids[i] for _, i, *_ in got]}

@@ -194,8 +194,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0,
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, payload, sizes, keys = encoder(vocabulary), [], [], []
         for batch in batches:
-            for at in range(0, len(batch), _ROWS_A_BATCH):
-                part = batch.slice(at, _ROWS_A_BATCH)
+            for part in C.pieces(batch, "_text", 2 << 20):
                 ids, size = enc.encode(part["_text"])
                 ids = np.insert(ids, np.cumsum(size), end_id)
                 payload.append(ids.tobytes())

@@ -90,8 +90,7 @@ def posteriors(docs: DataFrame, weights: np.ndarray, id_col: str, text_col: str)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.slice(at, 500)
+            for part in C.pieces(batch, "_text", rows=250):
                 n, x = _profile(part["_text"])
                 p = _softmax(x, w)
                 yield pa.RecordBatch.from_pydict({"_id": part["_id"], "_key": part["_key"], "n_tokens": pa.array(n, pa.int64()), "posterior": pa.array(list(p), pa.list_(pa.float64()))})
@@ -158,8 +157,7 @@ def repeated(docs: DataFrame, labels: DataFrame, weights: dict[str, float], tota
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, max(1, len(batch)), 500):
-                part = batch.slice(at, 500)
+            for part in C.pieces(batch, text_col, rows=250):
                 yield part.append_column("_quillon_posterior", pa.array(list(_softmax(_profile(part[text_col])[1], sent.value)), pa.list_(pa.float64())))
 
     copies = _drawn(steps, least, seed, id_col, text_col, posterior="_quillon_posterior")

@@ -50,8 +50,7 @@ def buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros((2, BUCKETS), np.int64)
     for batch in batches:
-        for at in range(0, len(batch), 1000):
-            part = batch.slice(at, 1000)
+        for part in C.pieces(batch, "_text"):
             target = part["_target"].to_numpy(zero_copy_only=False)
             text, bucket = buckets(part["_text"])
             total[1] += np.bincount(bucket, minlength=BUCKETS)
@@ -114,8 +113,7 @@ def resample(docs: DataFrame, good: DataFrame, k: int, id_col: str = "doc_id", t
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.slice(at, 1000)
+            for part in C.pieces(batch, "_text"):
                 text, bucket = buckets(part["_text"])
                 n = np.bincount(text, minlength=len(part))
                 total = np.bincount(text, ratio[bucket], minlength=len(part))

@@ -27,7 +27,6 @@ from quillon.llm.encoder import encoder
 from quillon.llm.id_files import _publish, open_folder
 
 BLOCK_IDS = 1 << 21
-_ROWS_A_BATCH = 1000
 
 
 def write_flat(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -38,8 +37,7 @@ def write_flat(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_co
 
         def pour(out) -> None:
             for batch in batches:
-                for at in range(0, len(batch), _ROWS_A_BATCH):
-                    part = batch.slice(at, _ROWS_A_BATCH)
+                for part in C.pieces(batch, "_text", 2 << 20):
                     ids, size = enc.encode(part["_text"])
                     if end_id in ids:
                         raise ValueError("a text holds the end-of-document id")

@@ -222,8 +222,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
             n = (len(raw) - 1) // 2
             opened["m"] = Model(raw[:n].copy().view(np.uint64), raw[n : 2 * n].copy(), float(raw[-1]))
         for batch in batches:
-            for at in range(0, max(1, len(batch)), 1000):
-                part = batch.slice(at, 1000)
+            for part in C.pieces(batch, text_col):
                 yield part.append_column(score_col, pa.array(opened["m"].score(part[text_col]), pa.float64()))
 
     return C.small_batches(docs).mapInArrow(C.tidy(run), StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
