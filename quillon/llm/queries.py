@@ -77,4 +77,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) i FROM w),
+g AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 12), ' ') k FROM p),
+m AS (SELECT k, min(doc_id) o FROM g GROUP BY k),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) j FROM g JOIN m USING (k) WHERE o < doc_id),
+x AS (SELECT doc_id, unnest(ws) word, generate_subscripts(ws, 1) j FROM w),
+t AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.j) kept, count(*) n FROM x LEFT JOIN c ON c.doc_id = x.doc_id AND c.j = x.j WHERE c.j IS NULL GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) n_removed, sha256(coalesce(kept, '')) kept_sha256 FROM w LEFT JOIN t USING (doc_id)""",
+    "op7_ngram_jaccard_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') k FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 3))) i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY 1),
+o AS (SELECT a.doc_id x, b.doc_id y, count(*) c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM o JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+f AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r(doc_id, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, f.y FROM r JOIN f ON r.node = f.x)
+SELECT r.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) n_shingles, min(node) component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY 1""",
+}
