@@ -135,8 +135,8 @@ def functions(p: Pair) -> DataFrame:
             ("func_visibility_changed", same & ~pub(n), o("visibility"), n("visibility")),
             ("func_return_changed", same & differs(o, n, "_ret"), o("return_type"), n("return_type")),
             ("func_params_changed", same & differs(o, n, "_types"), o("_types"), n("_types")),
-            ("func_virtual_became_pure", same & o("is_virtual") & off(n, o, "is_pure_virtual"), F.lit("virtual"), F.lit("pure virtual")),
-            ("func_pure_virtual_added", same & ~o("is_virtual") & off(n, o, "is_pure_virtual"), None, F.lit("pure virtual")),
+            ("func_virtual_became_pure", same & o("is_virtual") & on(o, n, "is_pure_virtual"), F.lit("virtual"), F.lit("pure virtual")),
+            ("func_pure_virtual_added", same & ~o("is_virtual") & on(o, n, "is_pure_virtual"), None, F.lit("pure virtual")),
             ("func_static_changed", same & differs(o, n, "is_static"), o("is_static"), n("is_static")),
             ("func_cv_changed", same & (differs(o, n, "is_const") | differs(o, n, "is_volatile")), F.concat_ws(" ", F.when(o("is_const"), "const"), F.when(o("is_volatile"), "volatile")), F.concat_ws(" ", F.when(n("is_const"), "const"), F.when(n("is_volatile"), "volatile"))),
             ("func_deleted", same & on(o, n, "is_deleted"), None, F.lit("= delete")),

@@ -143,7 +143,9 @@ class Result:
 
 def compare(snapshots: DataFrame, pairs: DataFrame, suppressions: DataFrame | None = None, overrides: dict[str, str] | None = None, frozen: Sequence[str] = (), today: str = "1970-01-01", detectors_: Sequence[str] = ()) -> Result:
     """Compare all pairs.  snapshots as read_snapshots gives them; pairs: pair_id, old_id, new_id."""
-    pair = detectors.Pair(snapshots, pairs)
+    # documents are parsed once; the detectors then read only the columns of their relations
+    pairs = materialize(pairs, "pairs")
+    pair = detectors.Pair(materialize(snapshots, "snapshots"), pairs)
     edges, roots = type_graph(pair)
     found = materialize(deduplicated(findings(pair, detectors_)), "findings")
     found = redundant_collapsed(renames_consumed(scoped(found, public_types(edges, roots), pair)))
