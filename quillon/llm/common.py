@@ -44,6 +44,19 @@ def pieces(batch: pa.RecordBatch, text: str, most: int = 1 << 20, rows: int = BA
         yield batch.slice(a, b - a)
 
 
+def gathered(batches, text: str, most: int):
+    """Batches joined or cut to about `most` bytes of text each: kernels that look up each distinct word once gain by it."""
+    held, size = [], 0
+    for batch in batches:
+        for part in pieces(batch, text, most):
+            held.append(part)
+            size += pa.compute.sum(pa.compute.binary_length(part[text])).as_py() or 0
+            if size >= most:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+    yield from pa.Table.from_batches(held).combine_chunks().to_batches() if held else []
+
+
 def tidy(f):
     """f over an iterator of batches, followed by trim()."""
 

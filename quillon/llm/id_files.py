@@ -45,6 +45,8 @@ GAMMA = 2.0
 #: Bytes of text in a shard, about.
 SHARD_BYTES = 8 << 20
 _ROWS_A_BATCH = 1000
+#: Bytes of text that are encoded at once, about.
+ENCODE_BYTES = 7 << 20
 
 
 def open_folder(uri: str) -> tuple[pa.fs.FileSystem, str]:
@@ -193,13 +195,12 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0,
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, payload, sizes, keys = encoder(vocabulary), [], [], []
-        for batch in batches:
-            for part in C.pieces(batch, "_text", 2 << 20):
-                ids, size = enc.encode(part["_text"])
-                ids = np.insert(ids, np.cumsum(size), end_id)
-                payload.append(ids.tobytes())
-                sizes.append(size + 1)
-                keys.append(part["_id"])
+        for part in C.gathered(batches, "_text", ENCODE_BYTES):
+            ids, size = enc.encode(part["_text"])
+            ids = np.insert(ids, np.cumsum(size), end_id)
+            payload.append(ids.tobytes())
+            sizes.append(size + 1)
+            keys.append(part["_id"])
         if not sizes:
             return
         size = np.concatenate(sizes)

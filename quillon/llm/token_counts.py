@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import common as C
 from quillon.llm.encoder import encoder
-from quillon.llm.id_files import _publish, open_folder
+from quillon.llm.id_files import ENCODE_BYTES, _publish, open_folder
 
 BLOCK_IDS = 1 << 21
 
@@ -36,14 +36,13 @@ def write_flat(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_co
         enc, keys, count = encoder(vocabulary, True), [], [0]
 
         def pour(out) -> None:
-            for batch in batches:
-                for part in C.pieces(batch, "_text", 2 << 20):
-                    ids, size = enc.encode(part["_text"])
-                    if end_id in ids:
-                        raise ValueError("a text holds the end-of-document id")
-                    out.write(np.insert(ids, np.cumsum(size), end_id).astype(enc.dtype).tobytes())
-                    keys.append(part["_id"])
-                    count[0] += len(ids) + len(size)
+            for part in C.gathered(batches, "_text", ENCODE_BYTES):
+                ids, size = enc.encode(part["_text"])
+                if end_id in ids:
+                    raise ValueError("a text holds the end-of-document id")
+                out.write(np.insert(ids, np.cumsum(size), end_id).astype(enc.dtype).tobytes())
+                keys.append(part["_id"])
+                count[0] += len(ids) + len(size)
 
         path = _publish(folder, f"{TaskContext.get().partitionId():07d}.ids", pour)
         if keys:
