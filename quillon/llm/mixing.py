@@ -99,23 +99,25 @@ def posteriors(docs: DataFrame, weights: np.ndarray, id_col: str, text_col: str)
     return rows.mapInArrow(C.tidy(run), "_id long, _key long, n_tokens long, posterior array<double>")
 
 
-def rate(steps: list[list[float]], posterior: str = "posterior", least: float = 0.0) -> Column:
-    """The rate after these steps: from 1, less the step along the posterior each time, never under `least`."""
+def rate(steps: list[list[float]], posterior: str = "posterior", least: float = 0.0, most: float = float("inf")) -> Column:
+    """The rate after these steps: from 1, less the step along the posterior each time, never under `least` or over `most`."""
     if not steps:
         return F.lit(1.0)
     p = F.col(posterior)
-    return F.aggregate(F.lit(steps), F.lit(1.0).cast("double"), lambda r, g: F.greatest(F.lit(float(least)), r - F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0).cast("double"), lambda s, x: s + x)))
+    return F.aggregate(F.lit(steps), F.lit(1.0).cast("double"), lambda r, g: F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), r - F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0).cast("double"), lambda s, x: s + x))))
 
 
-def fit_rates(table: DataFrame, targets: np.ndarray, least: float = 0.0) -> list[list[float]]:
+def fit_rates(table: DataFrame, targets: np.ndarray, least: float = 0.0, most: float = float("inf")) -> list[list[float]]:
     """Projected-gradient steps; table has n_tokens and posterior, targets the tokens of each domain."""
     k, steps, errors = len(targets), [], []
     scale = max(1.0, float(targets.sum()))
     p = [F.col("posterior")[i] for i in range(k)]
     for _ in range(STEPS):
-        mine = table.withColumn("_r", rate(steps, least=least))
+        mine = table.withColumn("_r", rate(steps, least=least, most=most))
+        # at the start every rate may move; later those at a bound stay there
+        free = (F.col("_r") > least) & (F.col("_r") < most) if steps else F.lit(True)
         sums = [F.sum(F.col("_r") * F.col("n_tokens") * p[i]).alias(f"s{i}") for i in range(k)]
-        curve = [F.sum(F.when(F.col("_r") > least, F.col("n_tokens") * p[i] * p[j]).otherwise(0.0)).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]
+        curve = [F.sum(F.when(free, F.col("n_tokens") * p[i] * p[j]).otherwise(0.0)).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]
         got = mine.agg(*sums, *curve).first()
         error = np.array([got[f"s{i}"] or 0.0 for i in range(k)]) - targets
         errors.append(float(np.abs(error).max()))
@@ -127,14 +129,14 @@ def fit_rates(table: DataFrame, targets: np.ndarray, least: float = 0.0) -> list
     return steps
 
 
-def _drawn(steps: list[list[float]], least: float, seed: int, *key: str, posterior: str = "posterior") -> Column:
+def _drawn(steps: list[list[float]], least: float, seed: int, *key: str, posterior: str = "posterior", most: float = float("inf")) -> Column:
     """Copies of a document: its rate, rounded up or down at random by a hash of the key columns."""
-    r = rate(steps, posterior, least)
+    r = rate(steps, posterior, least, most)
     u = F.shiftrightunsigned(F.xxhash64(*key, F.lit(seed)), 11).cast("double") / F.lit(float(1 << 53))
     return (F.floor(r) + (u < r - F.floor(r)).cast("int")).cast("int")
 
 
-def plan_mix(table: DataFrame, domains: list[str], weights: dict[str, float], total: float | None, least: float, slack: float = 0.0) -> list[list[float]]:
+def plan_mix(table: DataFrame, domains: list[str], weights: dict[str, float], total: float | None, least: float, slack: float = 0.0, most: float = float("inf")) -> list[list[float]]:
     """The steps that bring the posterior table to the target shares; slack: see repeated()."""
     share = np.array([weights[d] for d in domains], float)
     share /= share.sum()
@@ -142,16 +144,17 @@ def plan_mix(table: DataFrame, domains: list[str], weights: dict[str, float], to
         got = table.agg(*(F.sum(F.col("n_tokens") * F.col("posterior")[i]).alias(f"s{i}") for i in range(len(domains)))).first()
         has = np.array([got[f"s{i}"] or 0.0 for i in range(len(domains))])
         total = float(np.max(np.where(share > 0, has / np.maximum(share, 1e-12), 0.0), initial=0.0)) * (1 + slack)
-    return fit_rates(table, share * total, least)
+    return fit_rates(table, share * total, least, most)
 
 
-def repeated(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total: float | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", least: float = 0.0, slack: float = 0.0, seed: int = 5) -> DataFrame:
+def repeated(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total: float | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", least: float = 0.0, slack: float = 0.0, most: float = float("inf"), seed: int = 5) -> DataFrame:
     """docs itself, each row as often as its rate says (see mix).  slack: share by which a total of None is raised,
-    so that rates of at least 1 can meet the targets although posteriors are not quite 0 or 1."""
+    so that rates of at least 1 can meet the targets although posteriors are not quite 0 or 1.  most: the most
+    that a document is repeated; targets that would need more are met as far as it goes."""
     domains = sorted(weights)
     model = train(docs, labels, domains, id_col, text_col, domain_col)
     table = C.materialize(posteriors(docs, model, id_col, text_col), "posteriors")
-    steps = plan_mix(table, domains, weights, total, least, slack)
+    steps = plan_mix(table, domains, weights, total, least, slack, most)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     own = StructType([*docs.schema.fields, StructField("_quillon_posterior", ArrayType(DoubleType()))])
 
@@ -160,7 +163,7 @@ def repeated(docs: DataFrame, labels: DataFrame, weights: dict[str, float], tota
             for part in C.pieces(batch, text_col, rows=250):
                 yield part.append_column("_quillon_posterior", pa.array(list(_softmax(_profile(part[text_col])[1], sent.value)), pa.list_(pa.float64())))
 
-    copies = _drawn(steps, least, seed, id_col, text_col, posterior="_quillon_posterior")
+    copies = _drawn(steps, least, seed, id_col, text_col, posterior="_quillon_posterior", most=most)
     return C.small_batches(docs).mapInArrow(C.tidy(run), own).withColumn("_quillon_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
 
 
