@@ -36,7 +36,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that expected tokens by language meet the target shares; rates are 1 at least, so none is lost."""
     known = _table(spark, sf_dir, "labels").select("doc_id").distinct().join(docs.select("doc_id", "lang"), "doc_id")
-    return mixing.repeated(docs, known, queries.MIXTURE, least=1.0, slack=0.05)
+    return mixing.repeated(docs, known, queries.MIXTURE, least=1.0, slack=0.05, most=4.0)
 
 
 def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
