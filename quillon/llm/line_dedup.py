@@ -1,12 +1,11 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap if a rare line of one stands in the other.  Of all documents that hold a line, each later
-one is paired with the first (the one of smallest id), so pairs are as many as shared lines, not as pairs of
-copies: a line in a third of all documents gives each of them one partner.  Lines that are too common to be
-rare count as seeds where at least two of a document's lines lead to the same first document, so large groups of
-copies are found whole.  Each pair is aligned by patience diff over line hashes (lines that are unique in both
-sides anchor the alignment, the longest increasing chain of anchors is kept, equal neighbours extend it),
-and aligned common blocks of at least `least_chars` bytes are deleted from the later document.
+Documents overlap if a line of one stands in the other, however common the line is.  Of all documents that
+hold a line, each later one is paired with the first (the one of smallest id), so pairs are as many as shared
+lines, not as pairs of copies: a line in a third of all documents gives each of them one partner.  Each pair
+is aligned by patience diff over line hashes (lines that are unique in both sides anchor the alignment, the
+longest increasing chain of anchors is kept, equal neighbours extend it), and aligned common blocks of at least
+`least_chars` bytes are deleted from the later document.
 
 Lines are compared without ASCII white space at their ends.  Defined results: a null or empty text has no
 lines; a null id counts as later than every id and comes back null; rows of one id are not aligned with
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import common as C
 
-SEED_CHARS, RARE, LEAST_CHARS = 20, 64, 40
+SEED_CHARS, LEAST_CHARS = 20, 40
 _LAST = np.iinfo(np.int64).max
 
 
@@ -116,14 +115,14 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"_out": batch["_out"], "n_lines": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept, pa.string())})
 
 
-def remove_common_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, seed_chars: int = SEED_CHARS, least_chars: int = LEAST_CHARS) -> DataFrame:
+def remove_common_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed_chars: int = SEED_CHARS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """id_col, n_lines, n_removed and kept_text of each row."""
     rows = C.small_batches(docs).select(F.col(id_col).cast("long").alias("_out"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = rows.withColumn("_k", F.xxhash64("_text"))
     seqs = C.materialize(rows.select("_id", "_k", "_text").mapInArrow(C.tidy(_sequences), "_id long, _k long, lines array<long>, sizes array<int>").dropDuplicates(["_id", "_k"]), "lines")
     seeds = seqs.select("_id", "_k", F.explode(F.array_distinct(F.expr(f"transform(filter(arrays_zip(lines, sizes), x -> x.sizes >= {seed_chars}), x -> x.lines)"))).alias("line"))
-    first = seeds.groupBy("line").agg(F.min("_id").alias("own"), F.count(F.lit(1)).alias("df")).filter("df > 1")
-    pairs = seeds.join(first, "line").filter("own < _id").groupBy("_id", "_k", "own").agg(F.min("df").alias("rarest"), F.count(F.lit(1)).alias("n")).filter((F.col("rarest") <= rare) | (F.col("n") >= 2))
+    first = seeds.groupBy("line").agg(F.min("_id").alias("own"), F.max("_id").alias("last")).filter("own < last").select("line", "own")
+    pairs = seeds.join(first, "line").filter("own < _id").select("_id", "_k", "own").distinct()
     owners = seqs.select(F.col("_id").alias("own"), F.col("lines").alias("first"))
     both = pairs.select("_id", "_k", "own").join(owners, "own").join(seqs, ["_id", "_k"]).select("_id", "_k", "lines", "sizes", "first")
     gone = both.mapInArrow(C.tidy(_align(least_chars)), "_id long, _k long, gone array<int>").filter(F.size("gone") > 0)

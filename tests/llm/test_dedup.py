@@ -114,3 +114,12 @@ def test_line_dedup(spark):
     assert (got[2].n_lines, got[2].n_removed, got[2].kept_text) == (6, 4, "own words here\nmore of them")
     assert got[3].n_removed == 1 and got[4].n_lines == 0 and got[5].n_lines == 0 and got[None].kept_text == ""
     assert line_dedup.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_line_dedup_common_line(spark):
+    """A line in more than 64 documents that share nothing else goes from all but the first."""
+    common = "This line stands in a great many documents."
+    docs = [(i, f"own head {i} of a document\n{common}\nown tail {i} of a document") for i in range(90)]
+    got = {r.doc_id: r for r in line_dedup.remove_common_blocks(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[0].n_removed == 0
+    assert all(got[i].n_removed == 1 and common not in got[i].kept_text for i in range(1, 90))
