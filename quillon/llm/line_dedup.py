@@ -1,8 +1,11 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap if a line of one stands in the other, however common the line is.  Of all documents that
-hold a line, each later one is paired with the first (the one of smallest id), so pairs are as many as shared
-lines, not as pairs of copies: a line in a third of all documents gives each of them one partner.  Each pair
+Documents overlap if a line or a block of lines of one stands in the other, however common it is.  Of all
+documents that hold a line or block, each later one is paired with the first (the one of smallest id), so pairs
+are as many as shared seeds, not as pairs of copies: a line in a third of all documents gives each of them one
+partner.  Seeds are lines of `seed_chars` bytes and, at each line, the shortest runs of lines that start and that
+end there and reach `least_chars` bytes.  Every line of a common block of that size stands in such a run within the
+block, so it is found with the first holder of the run, whichever documents hold the run's lines alone.  Each pair
 is aligned by patience diff over line hashes (lines that are unique in both sides anchor the alignment, the
 longest increasing chain of anchors is kept, equal neighbours extend it), and aligned common blocks of at least
 `least_chars` bytes are deleted from the later document.
@@ -88,6 +91,29 @@ def common_blocks(a: list[int], size: list[int], b: list[int], least_chars: int)
     return out
 
 
+def seeds_of(lines: list[int], sizes: list[int], seed_chars: int, least_chars: int) -> np.ndarray:
+    """Distinct hashes of the lines of seed_chars bytes, and of the shortest runs from and up to each line that reach least_chars."""
+    packed, size = np.array(lines, np.int64), np.array(sizes, np.int64)
+    raw, end = packed.tobytes(), np.r_[0, np.cumsum(size)]
+    at = np.arange(len(size))
+    stop = np.maximum(np.searchsorted(end, end[:-1] + least_chars), at + 1)  # the run from i is lines i to stop[i] - 1
+    start = np.minimum(np.searchsorted(end, end[1:] - least_chars, side="right") - 1, at)  # the run up to i is lines start[i] to i
+    whole = stop <= len(size)
+    runs = {*zip(at[whole].tolist(), stop[whole].tolist(), strict=True), *zip(start[start >= 0].tolist(), (at[start >= 0] + 1).tolist(), strict=True)}
+    found = [lines[i] if j == i + 1 else xxhash.xxh3_64_intdigest(raw[8 * i : 8 * j]) - (1 << 63) for i, j in runs]
+    return np.unique(np.r_[packed[size >= seed_chars], np.array(found, np.int64)])
+
+
+def _seeds(seed_chars: int, least_chars: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [seeds_of(a, s, seed_chars, least_chars) for a, s in zip(batch["lines"].to_pylist(), batch["sizes"].to_pylist(), strict=True)]
+            at = pa.array(np.repeat(np.arange(len(got)), [len(g) for g in got]))
+            yield pa.RecordBatch.from_pydict({"_id": batch["_id"].take(at), "_k": batch["_k"].take(at), "line": pa.array(np.concatenate(got) if got else np.zeros(0, np.int64))})
+
+    return run
+
+
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         got = [line_hashes(t) for t in batch["_text"].to_pylist()]
@@ -120,7 +146,7 @@ def remove_common_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = C.small_batches(docs).select(F.col(id_col).cast("long").alias("_out"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = rows.withColumn("_k", F.xxhash64("_text"))
     seqs = C.materialize(rows.select("_id", "_k", "_text").mapInArrow(C.tidy(_sequences), "_id long, _k long, lines array<long>, sizes array<int>").dropDuplicates(["_id", "_k"]), "lines")
-    seeds = seqs.select("_id", "_k", F.explode(F.array_distinct(F.expr(f"transform(filter(arrays_zip(lines, sizes), x -> x.sizes >= {seed_chars}), x -> x.lines)"))).alias("line"))
+    seeds = C.materialize(seqs.select("_id", "_k", "lines", "sizes").mapInArrow(C.tidy(_seeds(seed_chars, least_chars)), "_id long, _k long, line long"), "seeds")
     first = seeds.groupBy("line").agg(F.min("_id").alias("own"), F.max("_id").alias("last")).filter("own < last").select("line", "own")
     pairs = seeds.join(first, "line").filter("own < _id").select("_id", "_k", "own").distinct()
     owners = seqs.select(F.col("_id").alias("own"), F.col("lines").alias("first"))

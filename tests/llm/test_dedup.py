@@ -116,6 +116,29 @@ def test_line_dedup(spark):
     assert line_dedup.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_line_dedup_blocks(spark):
+    """A block goes although each of its lines has an earlier owner, and although its lines are too short for seeds."""
+    x, y, verse = "a line of thirty bytes, called x"[:30], "a line of thirty bytes, named yy"[:30], "\n".join(f"short line {i}" for i in range(9))
+    docs = [(1, f"{x}\nown of one"), (2, f"{y}\nown of two"), (3, f"own of three\n{x}\n{y}"), (4, f"own of four\n{x}\n{y}\nmore of four")]
+    docs += [(5, f"head of five\n{verse}"), (6, f"{verse}\ntail of six"), (7, "short line 1\n\nshort line 3"), (8, f"{x}\nown of eight")]
+    got = {r.doc_id: r for r in line_dedup.remove_common_blocks(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {i: r.n_removed for i, r in got.items()} == {1: 0, 2: 0, 3: 0, 4: 2, 5: 0, 6: 9, 7: 0, 8: 0}
+    assert got[4].kept_text == "own of four\nmore of four" and got[6].kept_text == "tail of six"
+
+
+def test_line_seeds_cover_common_blocks():
+    """Each line of a common block that reaches least_chars lies in a run of the block that is a seed of both."""
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        size = {k: int(rng.integers(0, 30)) for k in range(8)}
+        block, around = rng.integers(0, 8, rng.integers(1, 7)).tolist(), rng.integers(0, 8, (4, 3)).tolist()
+        a, b = [*around[0], *block, *around[1]], [*around[2], *block, *around[3]]
+        both = np.intersect1d(*(line_dedup.seeds_of(v, [size[k] for k in v], 20, 40) for v in (a, b)))
+        runs = [(i, j) for i in range(len(block)) for j in range(i + 1, len(block) + 1) if sum(size[k] for k in block[i:j]) >= 40]
+        seen = {k for i, j in runs if np.isin(line_dedup.seeds_of(block[i:j], [size[k] for k in block[i:j]], 99, 40), both).all() for k in range(i, j)}
+        assert seen == {k for i, j in runs for k in range(i, j)}
+
+
 def test_line_dedup_common_line(spark):
     """A line in more than 64 documents that share nothing else goes from all but the first."""
     common = "This line stands in a great many documents."
