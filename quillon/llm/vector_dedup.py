@@ -1,11 +1,14 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
 Equal vectors are one class first, so that a third of all rows being one vector costs one row.  A tree splits
-its vectors at the median of a random projection; vectors within `spill` quantiles of the median go both
-ways, so near neighbours are seldom parted.  Trees are fitted a few levels at a time on a bounded sample of
+its vectors at the median of a random projection or, where vectors of its sample link, at the projection and
+quantile that part the fewest links; vectors within `spill` quantiles of the cut go both ways, so near
+neighbours are seldom parted.  A node whose vectors largely link (DENSE) and that no cut leaves intact (LOST) is not
+split: a group of near copies larger than a leaf stays whole and is compared exactly, at a cost of its square.  Trees are fitted a few levels at a time on a bounded sample of
 each node (SAMPLE rows): the first fit covers the whole table and is small enough to broadcast; leaves that
 still hold over LEAF_ROWS vectors are fitted again from their own samples, in groups of bounded size, until
-all leaves fit, and every vector is indexed.  Leaves that stay too large are compared block by block.
+all leaves fit, and every vector is indexed.  Leaves that stay too large are compared block by block; rows that
+shared an earlier leaf are not compared with each other again.
 
 Within a leaf all pairs are compared exactly.  A pair is counted in the first of the leaves that it shares,
 which each vector's list of leaves tells without a shuffle of pairs, and a leaf gives back counts and the
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import common as C
-from quillon.llm.components import components, spanning
+from quillon.llm.components import components
 
 TREES = 10
 #: Rows of a node that a fit sees, levels of one fit, and sample rows that a split needs.
@@ -34,6 +37,12 @@ SAMPLE, LEVELS, LEAST_SAMPLE = 8192, 7, 48
 #: Share of a node's vectors on either side of the median that go both ways.
 SPILL = 0.04
 LEAF_ROWS, MAX_FITS, BLOCK_ROWS = 2048, 8, 2048
+#: Where so large a share of a node's pairs link, and any cut parts more than LOST of the links, the node stays whole.
+DENSE, LOST = 0.25, 0.02
+#: Sample rows of a node whose links are looked at; directions and quantiles tried where there are any.
+LINK_SAMPLE, WAYS, CUTS = 512, 8, (0.5, 0.4, 0.6, 0.3, 0.7, 0.2, 0.8, 0.1, 0.9)
+#: Bit of a leaf's code: not to be split again.
+WHOLE = 1 << 55
 
 
 def _matrix(column, dim: int) -> np.ndarray:
@@ -66,7 +75,29 @@ def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------- trees
 
 
-def fit(x: np.ndarray, levels: int, spill: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _cut(x: np.ndarray, spill: float, threshold: float, rng: np.random.Generator) -> tuple[np.ndarray, float, float] | None:
+    """(direction, low, high) of a split at the median or, where rows of x link, of one that parts few links; None if x stays whole."""
+    few = x[rng.choice(len(x), LINK_SAMPLE, replace=False)] if len(x) > LINK_SAMPLE else x
+    i, j = np.nonzero(np.triu(few @ few.T >= threshold, 1))
+    share = len(i) / (len(few) * (len(few) - 1) / 2)
+    best, found, fewest = np.inf, None, 1.0
+    for _ in range(WAYS if len(i) else 1):
+        direction = rng.standard_normal(x.shape[1]).astype(np.float32)
+        p = x @ direction.astype(np.float64)
+        q = few @ direction.astype(np.float64)
+        least, most = np.minimum(q[i], q[j]), np.maximum(q[i], q[j])
+        for cut in CUTS if len(i) else CUTS[:1]:
+            a, m, b = np.quantile(p, [max(0.0, cut - spill), cut, min(1.0, cut + spill)])
+            if not (p < m).any():
+                continue  # nothing stands on the left: this projection can't split
+            lost = float(((least < a) & (most > b)).mean()) if len(i) else 0.0
+            fewest = min(fewest, lost)
+            if lost + 0.05 * abs(cut - 0.5) < best:
+                best, found = lost + 0.05 * abs(cut - 0.5), (direction, a, b)
+    return None if share >= DENSE and fewest > LOST else found
+
+
+def fit(x: np.ndarray, levels: int, spill: float, threshold: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(directions, low, high) of the inner nodes of one tree, heap order; high < low marks a leaf."""
     rng = np.random.default_rng(seed)
     n = (1 << levels) - 1
@@ -76,14 +107,13 @@ def fit(x: np.ndarray, levels: int, spill: float, seed: int) -> tuple[np.ndarray
         mine = rows.pop(node, None)
         if mine is None or len(mine) < LEAST_SAMPLE:
             continue
-        direction = rng.standard_normal(x.shape[1]).astype(np.float32)
-        p = x[mine] @ direction.astype(np.float64)
-        a, m, b = np.quantile(p, [0.5 - spill, 0.5, 0.5 + spill])
-        if not (p < m).any():
-            continue  # nothing stands on the left: this projection can't split
-        way[node], low[node], high[node] = direction, a, b
+        cut = _cut(x[mine], spill, threshold, rng)
+        if cut is None:
+            continue
+        way[node], low[node], high[node] = cut
+        p = x[mine] @ way[node].astype(np.float64)
         if 2 * node + 2 < n:
-            rows[2 * node + 1], rows[2 * node + 2] = mine[p <= b], mine[p >= a]
+            rows[2 * node + 1], rows[2 * node + 2] = mine[p <= high[node]], mine[p >= low[node]]
     return way, low, high
 
 
@@ -112,7 +142,7 @@ def descend(x: np.ndarray, tree: tuple[np.ndarray, np.ndarray, np.ndarray]) -> t
 def _next_code(code: int | np.ndarray, node: np.ndarray) -> np.ndarray:
     """Code of a leaf below another: a hash, with the tree's number kept in the top byte."""
     code = np.asarray(code).astype(np.int64).view(np.uint64)
-    low = np.uint64((1 << 56) - 1)
+    low = np.uint64(WHOLE - 1)
     return ((code & ~low) | (C.mix((code & low) * np.uint64(0x9E3779B97F4A7C15) + node.astype(np.uint64) + np.uint64(1)) & low)).view(np.int64)
 
 
@@ -125,19 +155,19 @@ def _placed(batch: pa.Table | pa.RecordBatch, dim: int, trees: list[tuple[int, t
     for start, tree in trees:
         r, node = descend(x, tree)
         row.append(r)
-        code.append(_next_code(np.full(len(node), start), node))
+        code.append(_next_code(np.full(len(node), start | WHOLE if (tree[1] > tree[2])[:1].any() else start), node))
     row, code = np.concatenate(row), np.concatenate(code)
     at = pa.array(row)
     return pa.table({"_id": batch["_id"].take(at), "w": batch["w"].take(at), "unit": batch["unit"].take(at), "code": code}).combine_chunks()
 
 
-def _leaves(classes: DataFrame, dim: int, trees: int, spill: float, leaf_rows: int) -> DataFrame:
+def _leaves(classes: DataFrame, dim: int, trees: int, spill: float, leaf_rows: int, threshold: float) -> DataFrame:
     """A row for each class and leaf that it falls in."""
     n = classes.count()
     levels = min(LEVELS, max(0, int(np.ceil(np.log2(max(1, n / (leaf_rows / 4)))))))
     few = classes if n <= SAMPLE else classes.filter(F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(1 << 20)) < F.lit(int((1 << 20) * SAMPLE / n) + 1))
     sample = _matrix(few.select("unit").limit(2 * SAMPLE).toArrow()["unit"], dim)  # SAMPLE expected; the limit is a bound only
-    model = [(t << 56, fit(sample, levels, spill, 1000 + t)) for t in range(trees)]  # trees * 2^LEVELS directions at most
+    model = [(t << 56, fit(sample, levels, spill, threshold, 1000 + t)) for t in range(trees)]  # trees * 2^LEVELS directions at most
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +175,7 @@ def _leaves(classes: DataFrame, dim: int, trees: int, spill: float, leaf_rows: i
 
     now = C.materialize(classes.select("_id", "w", "unit").mapInArrow(C.tidy(first), ROWS), "leaves")
     for k in range(MAX_FITS):
-        size = now.groupBy("code").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > leaf_rows)
+        size = now.filter(F.col("code").bitwiseAND(F.lit(WHOLE)) == 0).groupBy("code").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > leaf_rows)
         large = C.materialize(size, "large")
         if large.isEmpty():
             C.discard(large)
@@ -157,7 +187,7 @@ def _leaves(classes: DataFrame, dim: int, trees: int, spill: float, leaf_rows: i
         def grow(t: pa.Table) -> pa.Table:
             code = t["code"][0].as_py()
             want = min(LEVELS, max(1, int(np.ceil(np.log2(t["size"][0].as_py() / (leaf_rows / 4))))))
-            way, low, high = fit(_matrix(t["unit"], dim), want, spill, code & 0x7FFFFFFF)
+            way, low, high = fit(_matrix(t["unit"], dim), want, spill, threshold, code & 0x7FFFFFFF)
             return pa.table({"code": pa.array([code], pa.int64()), "tree": pa.array([way.tobytes() + low.tobytes() + high.tobytes()], pa.binary())})
 
         grown = picked.select("code", "size", "unit").groupBy("code").applyInArrow(C.tidy_group(grow), "code long, tree binary")
@@ -182,12 +212,37 @@ def _leaves(classes: DataFrame, dim: int, trees: int, spill: float, leaf_rows: i
 # ---------------------------------------------------------------- leaves
 
 
+def _stars(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, first row it is joined to) of a symmetric matrix of links: each row is looked at once, however many links it has."""
+    root, unseen = np.arange(len(near)), np.ones(len(near), bool)
+    for first in range(len(near)):
+        if not unseen[first]:
+            continue
+        unseen[first] = False
+        reached = np.array([first])
+        while len(reached):
+            reached = np.flatnonzero(near[reached].any(axis=0) & unseen)
+            unseen[reached] = False
+            root[reached] = first
+    node = np.flatnonzero(root != np.arange(len(near)))
+    return node, root[node]
+
+
 def _links_in(ids, w, x, codes_flat, codes_off, code: int, split: int, threshold: float) -> pa.Table:
     """Counts and stars of one leaf, or of two blocks of it: rows before `split` against those after it if split > 0."""
     n = len(ids)
     near = np.zeros((n, n), bool)
-    for a in range(0, n, 512):
-        near[a : a + 512] = x[a : a + 512] @ x.T >= threshold
+    # rows that share an earlier leaf were compared there: of the commonest one's, only pairs with other rows are new
+    owners, earlier = np.repeat(np.arange(n), np.diff(codes_off)), codes_flat < code
+    names, times = np.unique(codes_flat[earlier], return_counts=True)
+    new = np.ones(n, bool)
+    if len(names):
+        new[owners[earlier][codes_flat[earlier] == names[times.argmax()]]] = False
+    at = np.flatnonzero(new)
+    for a in range(0, len(at), 512):
+        hit = x[at[a : a + 512]] @ x.T >= threshold
+        near[at[a : a + 512]] = hit
+        near[:, at[a : a + 512]] |= hit.T
     np.fill_diagonal(near, False)
     near &= ids[:, None] != ids[None, :]
     if split:
@@ -200,13 +255,17 @@ def _links_in(ids, w, x, codes_flat, codes_off, code: int, split: int, threshold
     size = codes_off[some + 1] - codes_off[some]
     flat, owner = codes_flat[C.ragged(codes_off[some], size)], np.repeat(np.arange(len(some)), size)
     before = flat < code
-    _, column = np.unique(flat[before], return_inverse=True)
-    held = np.zeros((len(some), int(column.max()) + 1 if len(column) else 1), np.float32)
-    held[owner[before], column] = 1
-    counted = near & ~(held @ held.T > 0)
-    links = counted.astype(np.int64) @ w[some]
-    a, b = np.nonzero(np.triu(near))
-    u, v = spanning(ids[some][a], ids[some][b])
+    flat, owner = flat[before], owner[before]
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times[column] > 1  # a leaf of one row is shared by no pair
+    names, column = np.unique(column[shared], return_inverse=True)
+    held = np.zeros((len(some), max(1, len(names))), np.float32)
+    held[owner[shared], column] = 1
+    links, weight = np.zeros(len(some), np.int64), w[some].astype(np.float64)  # sums below 2^53 are exact
+    for a in range(0, len(some), 256):
+        links[a : a + 256] = (near[a : a + 256] & ~(held[a : a + 256] @ held.T > 0)).astype(np.float64) @ weight
+    node, root = _stars(near)
+    u, v = ids[some][node], ids[some][root]
     zero = np.zeros(len(u), np.int64)
     return pa.table({"u": np.r_[ids[some], u], "v": np.r_[ids[some], v], "n": np.r_[links, zero]})
 
@@ -229,7 +288,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = C.materialize(sound.groupBy("dim", "_one", "_two").agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("w"), F.min("unit").alias("unit")), "classes")
     found = None
     for dim in sorted(r["dim"] for r in classes.select("dim").distinct().collect()):
-        placed = _leaves(classes.filter(F.col("dim") == dim), dim, trees, spill, leaf_rows)
+        placed = _leaves(classes.filter(F.col("dim") == dim), dim, trees, spill, leaf_rows, threshold)
         lists = placed.groupBy("_id").agg(F.collect_set("code").alias("codes"))  # as many as the leaves of one vector
         size = placed.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"))
         mine = placed.join(lists, "_id").join(size, "code").withColumn("_b", F.pmod(F.xxhash64("_id"), "blocks").cast("int"))

@@ -93,6 +93,20 @@ def test_vectors(spark, leaf_rows):
     assert [tuple(got[i])[1:] for i in range(500, 507)] == [(0, 500, True), (0, 501, True), (0, 502, True), (1, 503, True), (1, 503, False), (0, 505, True), (0, 506, True)]
 
 
+def test_vectors_of_a_group_larger_than_a_leaf(spark):
+    """Near copies of one vector, a third of all rows and many leaves large, keep their links."""
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centre = unit(rng.normal(size=32))
+    x = np.r_[unit(centre + 0.204 * unit(rng.normal(size=(1000, 32)))), unit(rng.normal(size=(2000, 32)))]
+    rows = [(i, v.tolist()) for i, v in enumerate(x[rng.permutation(3000)])]
+    got = {r.vec_id: r for r in vector_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), leaf_rows=100).collect()}
+    n, label = brute.cosine_links([v for _, v in rows])
+    assert all(got[i].n_links <= n[i] for i in range(3000))
+    assert sum(got[i].n_links for i in range(3000)) >= 0.98 * n.sum()
+    assert [got[i].component_id for i in range(3000)] == label.tolist()
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 300)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long").repartition(7)).collect()}
