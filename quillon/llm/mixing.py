@@ -126,7 +126,7 @@ def fit_rates(table: DataFrame, targets: np.ndarray, least: float = 0.0, most: f
         h = np.array([[got[f"h{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
         step = np.linalg.lstsq(h + 1e-12 * scale * np.eye(k), error, rcond=1e-10)[0]
         steps.append([float(x) for x in step])
-    return steps
+    return steps[: int(np.argmin(errors))]  # bounds can make later steps overshoot
 
 
 def _drawn(steps: list[list[float]], least: float, seed: int, *key: str, posterior: str = "posterior", most: float = float("inf")) -> Column:

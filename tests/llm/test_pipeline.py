@@ -32,3 +32,26 @@ def test_stages(spark):
     for name, stage in P.STAGES:
         empty = C.materialize(stage(spark, empty, DATA), name)
         assert empty.count() == 0
+
+
+def test_mixing_meets_the_targets(spark, tmp_path):
+    """Tokens by language come to the target shares although one language has to be repeated many times."""
+    import corpus_pipeline as P
+    import numpy as np
+    from pyspark.sql import functions as F
+    from quillon.llm import mixing
+    from quillon.llm.queries import MIXTURE
+
+    rng = np.random.default_rng(1)
+    size = {lang: 40 for lang in MIXTURE} | {"en": 900, "es": 20}
+    langs = [lang for lang, n in size.items() for _ in range(n)]
+    docs = [(i, " ".join(f"{lang}{k}" for k in rng.integers(0, 30, 40)), lang) for i, lang in enumerate(langs)]
+    spark.createDataFrame([(i, 1, 0) for i, _, _ in docs], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    source = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    out = P.mix_to_weights(spark, source, str(tmp_path)).cache()
+    assert out.select("doc_id").distinct().count() == len(docs)
+    domains = sorted(MIXTURE)
+    model = mixing.train(source, source, domains, "doc_id", "text", "lang")
+    table = mixing.posteriors(out, model, "doc_id", "text")
+    got = np.array(table.agg(*(F.sum(F.col("n_tokens") * F.col("posterior")[i]) for i in range(len(domains)))).first())
+    assert got / got.sum() == pytest.approx(np.array([MIXTURE[d] for d in domains]) / sum(MIXTURE.values()), rel=0.1)
