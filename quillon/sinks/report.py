@@ -1,7 +1,8 @@
 """Reports of findings.
 
 Documents are put together in the executors, one per pair, with ordered collect_list over that pair's active
-findings (a report is read by people; `limit` bounds it, and says so).  Tables are written as Parquet or JSON.
+findings.  Reports read by machines (and HTML) are whole unless `limit` is given; Markdown, read by people, is
+bounded by LIMIT and says so.  Tables are written as Parquet or JSON.
 """
 
 from __future__ import annotations
@@ -21,14 +22,15 @@ SARIF_LEVEL = {"BREAKING": "error", "API_BREAK": "error", "COMPATIBLE_WITH_RISK"
 LIMIT = 10_000
 
 
-def _ordered(found: DataFrame, limit: int) -> DataFrame:
-    """Active findings of each pair, worst first, at most limit; and how many there are."""
+def _ordered(found: DataFrame, limit: int | None) -> DataFrame:
+    """Active findings of each pair, worst first, at most limit (all if None); and how many there are."""
     live = found.filter("disposition = 'active'").withColumn("_rank", -rules.rank(F.col("effective_verdict")))
     w = Window.partitionBy("pair_id").orderBy("_rank", "kind", "symbol")
-    return live.withColumns({"_n": F.row_number().over(w), "_all": F.count(F.lit(1)).over(Window.partitionBy("pair_id"))}).filter(F.col("_n") <= limit)
+    out = live.withColumns({"_n": F.row_number().over(w), "_all": F.count(F.lit(1)).over(Window.partitionBy("pair_id"))})
+    return out if limit is None else out.filter(F.col("_n") <= limit)
 
 
-def _documents(found: DataFrame, render, limit: int) -> DataFrame:
+def _documents(found: DataFrame, render, limit: int | None) -> DataFrame:
     rows = _ordered(found, limit).select("pair_id", "_n", "_all", "kind", "symbol", F.coalesce("old_value", F.lit("")).alias("old_value"), F.coalesce("new_value", F.lit("")).alias("new_value"), "effective_verdict")
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
@@ -66,15 +68,15 @@ def markdown(found: DataFrame, limit: int = LIMIT) -> DataFrame:
     return _documents(found, _markdown, limit)
 
 
-def junit(found: DataFrame, limit: int = LIMIT) -> DataFrame:
+def junit(found: DataFrame, limit: int | None = None) -> DataFrame:
     return _documents(found, _junit, limit)
 
 
-def html(found: DataFrame, limit: int = LIMIT) -> DataFrame:
+def html(found: DataFrame, limit: int | None = None) -> DataFrame:
     return _documents(found, _html, limit)
 
 
-def sarif(found: DataFrame, limit: int = LIMIT) -> DataFrame:
+def sarif(found: DataFrame, limit: int | None = None) -> DataFrame:
     """SARIF 2.1.0 documents, built by the JSON functions."""
     level = F.lit("none")
     for verdict, name in SARIF_LEVEL.items():
@@ -87,7 +89,7 @@ def sarif(found: DataFrame, limit: int = LIMIT) -> DataFrame:
     return runs.select("pair_id", F.to_json(doc).alias("document"))
 
 
-def json_report(found: DataFrame, limit: int = LIMIT) -> DataFrame:
+def json_report(found: DataFrame, limit: int | None = None) -> DataFrame:
     item = F.struct("kind", "symbol", "old_value", "new_value", F.col("effective_verdict").alias("verdict"), "detector")
     out = _ordered(found, limit).groupBy("pair_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", item.alias("r")))), lambda x: x["r"]).alias("changes"), F.max("_all").alias("n_changes"))
     return out.select("pair_id", F.to_json(F.struct("pair_id", "n_changes", (F.size("changes") < F.col("n_changes")).alias("truncated"), "changes")).alias("document"))

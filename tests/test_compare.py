@@ -170,3 +170,19 @@ def test_release_and_reports(spark):
     assert len(back["changes"]) == 1 and back["truncated"] == (back["n_changes"] > 1)
     assert report.annotations(out.findings, 1).first().line.startswith("::error title=")
     assert report.suggest_suppressions(out.findings, "2024-01-01").count() >= 1
+
+
+def test_machine_reports_are_whole(spark):
+    import json
+    import re
+
+    from quillon.sinks import report
+
+    n = report.LIMIT + 5
+    found = spark.range(n).selectExpr("'p' as pair_id", "'func_removed' as kind", "concat('f', id) as symbol", "cast(null as string) as old_value", "cast(null as string) as new_value", "'BREAKING' as effective_verdict", "'active' as disposition", "'functions' as detector")
+    assert len(json.loads(report.sarif(found).first().document)["runs"][0]["results"]) == n
+    back = json.loads(report.json_report(found).first().document)
+    assert len(back["changes"]) == n and not back["truncated"]
+    assert len(re.findall("<testcase ", report.junit(found).first().document)) == n
+    assert report.html(found).first().document.count("<td>func_removed</td>") == n
+    assert "5 more findings are not shown." in report.markdown(found).first().document
