@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import ctypes
 import time
-import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.storage import materialize, new_path, shared_dir  # noqa: F401
+
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -100,24 +101,6 @@ def small_batches(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- storage
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or "file:///tmp/checkpoints").rstrip("/") + "/quillon"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{uuid.uuid4().hex}/{name}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def discard(df: DataFrame) -> None:
     """Delete a table that materialize() wrote, once nothing reads it any more."""
     spark = df.sparkSession
@@ -151,7 +134,8 @@ _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_PIECE = 1 << 22
+_BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
+_PIECE = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -171,6 +155,16 @@ def _powers(n: int, step: np.uint64 = _STEP) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+_tables: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _STEP and of its inverse, n at least; those of a common length are kept."""
+    if not _tables:
+        _tables.append((_powers(2 * _PIECE), _powers(2 * _PIECE, _BACK)))
+    return _tables[0] if n <= 2 * _PIECE else (_powers(n), _powers(n, _BACK))
+
+
 class Words:
     """Words [^\\x20\\x09-\\x0D]+ of many texts: byte offsets of each word, and where each text's words begin."""
 
@@ -207,14 +201,16 @@ class Words:
         if not len(out):
             return out
         size = self.end - self.start
-        power = _powers(int(size.max()))
-        cuts = np.searchsorted(np.cumsum(size), np.arange(_PIECE, int(size.sum()), _PIECE)) if size.sum() > _PIECE else np.zeros(0, int)
+        # a word's sum of byte * step^k is a difference of running sums, brought back by the inverse power of its start
+        cuts = np.searchsorted(self.start, np.arange(_PIECE, len(self.data), _PIECE))
         for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(out)], strict=True):
             if a < b:
-                s, k = self.start[a:b], size[a:b]
-                first = np.cumsum(k) - k
-                at = np.arange(int(k.sum())) - np.repeat(first, k)
-                out[a:b] = np.add.reduceat(table[self.data[at + np.repeat(s, k)]] * power[at], first)
+                lo, hi = int(self.start[a]), int(self.end[b - 1])
+                power, back = _power_table(hi - lo)
+                run = np.zeros(hi - lo + 1, np.uint64)
+                np.cumsum(table[self.data[lo:hi]] * power[: hi - lo], out=run[1:])
+                s = self.start[a:b] - lo
+                out[a:b] = (run[self.end[a:b] - lo] - run[s]) * back[s]
         return mix(out + size.astype(np.uint64))
 
 
@@ -240,20 +236,9 @@ def chunk_count(docs: DataFrame, text: str, chunk_bytes: int) -> tuple[int, int]
 
 
 def chunked(docs: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
-    """id, text and _chunk: a chunk is a fixed function of a row, so that every pass sees the same chunks."""
-    return small_batches(docs).select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.pmod(F.xxhash64(id_col, text), F.lit(n)).cast("int").alias("_chunk"))
-
-
-def pack(values: np.ndarray, width: int) -> bytes:
-    """Low `width` bytes of each 64-bit value."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
-
-
-def unpack(blob: bytes, width: int) -> np.ndarray:
-    raw = np.frombuffer(blob, np.uint8).reshape(-1, width)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :width] = raw
-    return out.reshape(-1).view("<u8")
+    """id, text and _chunk.  A chunk is a function of a row and of the input partition that it lies in, so that rows
+    that are equal in all respects do not all meet in one; all passes read the chunks from one shuffle."""
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.pmod(F.xxhash64(F.col(id_col), F.col(text), F.spark_partition_id()), F.lit(n)).cast("int").alias("_chunk"))
 
 
 def buckets_of(keys: np.ndarray, n: int) -> np.ndarray:

@@ -1,27 +1,28 @@
 """Jaccard self-join of documents over word n-grams, by a prefix-tree join.
 
-1.  Document frequency.  Chunks of documents send the hash-range buckets their distinct n-grams once, four
-    bytes each, and get one byte back: a class of the n-gram's document frequency.  That fixes the global
-    order of n-grams, rare ones first.
-2.  Prefixes.  Two sets of Jaccard similarity >= t share one of the first n - ceil(t n) + 1 n-grams of each
-    in that order.  N-grams of one document alone link nothing, so a document whose prefix holds only such
-    is done; only the others go on, with their compressed text and the rest of their prefix.  Equal sets
-    become one class.
-3.  Stars.  Classes that share a min-hash propose the one they share most min-hashes with; the proposals
-    are verified, and the links found contract classes to components.  A group of thousands of near copies
-    ends here with a link a member.
-4.  The exact rest.  Prefix n-grams that still meet classes of two components are joined on the n-gram, with
-    filters on sizes and positions; what passes is verified.  Pairs inside one component need no test, as
-    they cannot change it.
-
-Verification is the tree join: a group is one probe and a bounded number of partners.  The partners' sets,
-ordered by how many of the group have an n-gram, form a trie, held as sorted sets with the lengths of their
-common prefixes.  The probe walks it, counts the overlap of a shared prefix once, and leaves a subtree as
-soon as the overlap so far and the n-grams that remain can't reach the overlap that the lengths ask for.
-
-Defined results: no text, no word: n_shingles 0 and linked with nothing.  Fewer words than n: one n-gram,
-the whole sequence.  A null id: counted, linked with nothing, component null.  Rows of one id are one node.
-Other columns are not looked at.
+1.  Global order.  Chunks of documents send the hash-range buckets their distinct n-grams once, four bytes each, and
+    get one byte back: a class of the n-gram's document frequency.  N-grams are ordered by it, rare ones first, and
+    then by hash: one order for the whole table.
+2.  Prefixes.  Two sets of Jaccard similarity >= t share one of the first n - ceil(t n) + 1 n-grams of each in that
+    order.  N-grams of one document alone link nothing, so a document whose prefix holds only such is done; only the
+    others go on, with their compressed text and the frequency classes of its n-grams.  Equal sets become one class.
+3.  Tries.  A class is stored once, in the trie of the first n-gram of its path (the set in global order without the
+    n-grams of one document).  Small tries share a task; one of more than PART_GRAMS n-grams is dealt over several.
+    Neighbours in a trie, which share the longest paths, are joined first: that contracts groups of near copies to
+    few components at a cost that grows with their members.
+4.  Probes.  A prefix n-gram that still meets two components sends the classes that have it down every trie that
+    holds it.  A probe visits the stored paths that share a prefix n-gram with it, in the order of the trie: the
+    overlap of a shared path is counted once, and a subtree is left as soon as the overlap so far and the n-grams
+    that remain on both sides cannot reach what the lengths ask for.  Neither pairs of a group nor pairs that
+    share an n-gram are ever listed: what moves is one row for each probe and trie.  Classes already in one component
+    need no test, as they cannot change it.
+
+The traversal is exact: it counts whole paths, so what reaches its length's overlap is a link and needs no other check.
+
+Defined results: no text, no word: n_shingles 0 and linked with nothing.  Fewer words than n: one n-gram, the whole
+sequence.  A null id: counted, linked with nothing, component null.  Rows of one id are one node, each of its texts
+links; of tied (equal) sets the least id stands for all.  Very long texts are taken whole.  An empty table gives an
+empty result.  Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,13 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import common as C
-from quillon.llm.components import components
-from quillon.llm.substring_dedup import BLOCK, _answered_bytes, _blocks, _cut, _replies, _sorted
+from quillon.llm import exchange as X
+from quillon.llm.components import components, spanning
+from quillon.llm.substring_dedup import _sorted
 
-#: Min-hashes a class is grouped by; partners a verification task takes at once.
-SKETCH, PARTNERS = 6, 256
-_SEEDS = C.mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * C.GOLDEN)
-LIVE = "_id long, n int, one long, two long, live boolean, skip int, prefix binary, sketch array<long>, text binary"
+#: N-grams that the tries of one task hold, and those of the probes that it takes, about; a set is never divided.
+PART_GRAMS, PROBE_GRAMS = 1 << 20, 1 << 22
+#: Neighbours on each path that are joined before the exact probes.
+NEAR = 16
+LIVE = "_id long, n int, one long, two long, live boolean, first long, prefix binary, text binary, df binary"
 
 
 def shingles(w: C.Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,9 +84,7 @@ def _frequency_class(df: np.ndarray) -> np.ndarray:
 def _ask_frequency(table: pa.Table, width: int, n_buckets: int) -> pa.Table:
     key, _ = shingles(C.Words(table["_text"]), width)
     keys, count = np.unique(key, return_counts=True)
-    few = np.minimum(count, 255).astype(np.uint8)
-    chunk = table["_chunk"][0].as_py()
-    return _blocks([(chunk, b, 0, C.pack(_within(keys[i:j], n_buckets), 4) + few[i:j].tobytes()) for b, i, j in _cut(keys, n_buckets)])
+    return X.send(table["_chunk"][0].as_py(), keys, X.columns((_within(keys, n_buckets), 4), (np.minimum(count, 255).astype(np.uint8), 1)), n_buckets)
 
 
 def _within(keys: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -92,168 +93,231 @@ def _within(keys: np.ndarray, n_buckets: int) -> np.ndarray:
 
 
 def _tell_frequency(table: pa.Table) -> pa.Table:
-    chunks, bucket = table["_chunk"].to_pylist(), table["_bucket"][0].as_py()
-    raw = [np.frombuffer(x, np.uint8) for x in table["_blob"].to_pylist()]
-    size = np.array([len(x) // 5 for x in raw])
-    key = np.concatenate([x[: 4 * n].view("<u4") for x, n in zip(raw, size, strict=True)])
-    count = np.concatenate([x[4 * n :] for x, n in zip(raw, size, strict=True)])
-    order = np.argsort(key, kind="stable")
-    new = np.r_[True, key[order][1:] != key[order][:-1]]
-    first = np.flatnonzero(new)
-    df = np.add.reduceat(count[order].astype(np.int64), first)
-    out = np.empty(len(key), np.uint8)
-    out[order] = _frequency_class(df)[np.cumsum(new) - 1]
-    return _blocks([(c, bucket, 0, x.tobytes()) for c, x in zip(chunks, np.split(out, np.cumsum(size)[:-1]), strict=True)])
-
-
-def _prefixes(table: pa.Table, told: pa.Table, width: int, percent: int, n_buckets: int) -> pa.Table:
-    names = ("_id", "n", "one", "two", "live", "skip", "prefix", "sketch", "text")
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary())
+    def classes(records: np.ndarray) -> np.ndarray:
+        _, inverse = np.unique(X.column(records, 0, 4), return_inverse=True)
+        return _frequency_class(np.bincount(inverse, records[:, 4]))[inverse][:, None]
+
+    return X.answer(table, 5, classes)
+
+
+def _reach(n, percent: int):
+    """Length of the prefix of a set of n: n - ceil(t n) + 1."""
+    return n + (-percent * n // 100) + 1
+
+
+def _prefixes(table: pa.Table, told: pa.Table, width: int, percent: int) -> pa.Table:
+    names = ("_id", "n", "one", "two", "live", "first", "prefix", "text", "df")
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
     if not len(table):
         return pa.table({k: pa.array([], t) for k, t in zip(names, kinds, strict=True)})
     table = _sorted(table)
     key, off = shingles(C.Words(table["_text"]), width)
     n = np.diff(off)
-    keys, inverse = np.unique(key, return_inverse=True)
-    df = _answered_bytes(keys, n_buckets, _replies(told))[inverse]
+    inverse = np.unique(key, return_inverse=True)[1]
+    df = X.answers(told, 1)[inverse, 0] if len(key) else np.zeros(0, np.uint8)
     doc = np.repeat(np.arange(len(n)), n)
     full = np.flatnonzero(n)
     fold = np.zeros((2, len(n)), np.uint64)
     if len(full):
         fold[0, full] = np.add.reduceat(C.mix(key), off[full])
         fold[1, full] = np.add.reduceat(C.mix(key ^ C.GOLDEN), off[full])
-    order = np.lexsort((key, df, doc))
-    ordered = key[order]
+    ordered = key[np.lexsort((key, df, doc))]
     alone = np.diff(np.r_[0, np.cumsum(df == 1)][off])
-    reach = n + (-percent * n // 100) + 1  # n - ceil(t n) + 1
+    reach = _reach(n, percent)
     null = table["_id"].is_null().to_numpy(zero_copy_only=False)
     live = (n > 0) & (alone < reach) & ~null
-    zip_text = zstandard.ZstdCompressor(level=3)
-    texts = table["_text"]
-    rows = []
-    for i in range(len(n)):
-        if live[i]:
-            mine = key[off[i] : off[i + 1]]
-            sketch = [int(C.mix(mine ^ s).min().view(np.int64)) for s in _SEEDS]
-            rows.append((int(alone[i]), ordered[off[i] + alone[i] : off[i] + reach[i]].tobytes(), sketch, zip_text.compress(texts[i].as_py().encode())))
-        else:
-            rows.append((None, None, None, None))
-    rest = list(zip(*rows, strict=True))
+    zipper = zstandard.ZstdCompressor(level=3)
+    rows: list[list] = [[None] * len(n) for _ in range(4)]
+    for i in np.flatnonzero(live):
+        at = off[i] + alone[i]
+        rows[0][i] = int(ordered[at].view(np.int64))
+        rows[1][i] = ordered[at : off[i] + reach[i]].tobytes()
+        rows[2][i] = zipper.compress(table["_text"][int(i)].as_py().encode())
+        rows[3][i] = zipper.compress(df[off[i] : off[i + 1]].tobytes())
     cols = [table["_id"], pa.array(n, pa.int32()), pa.array(fold[0].view(np.int64)), pa.array(fold[1].view(np.int64)), pa.array(live)]
-    return pa.table([*cols, *(pa.array(v, t) for v, t in zip(rest, kinds[5:], strict=True))], names=list(names))
+    return pa.table([*cols, *(pa.array(v, t) for v, t in zip(rows, kinds[5:], strict=True))], names=list(names))
 
 
-# ---------------------------------------------------------------- the tree
+# ---------------------------------------------------------------- tries
 
 
-def tree_overlaps(probe: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which of the sets link with the probe.  All are distinct keys; the trie is built over the sets."""
-    sizes = np.array([len(s) for s in sets])
-    keys, code, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(keys), np.int64)
-    rank[np.argsort(-held, kind="stable")] = np.arange(len(keys))
-    at = np.r_[0, np.cumsum(sizes)]
-    paths = [np.sort(rank[code[at[i] : at[i + 1]]]) for i in range(len(sets))]
-    where = np.minimum(np.searchsorted(keys, probe), len(keys) - 1)
-    probe_rank = rank[where[keys[where] == probe]]
-    inside = np.zeros(len(keys), np.int64)
-    inside[probe_rank] = 1
-    after = np.r_[np.cumsum(inside[::-1])[::-1], 0]  # probe's n-grams at or beyond a rank
-    order = sorted(range(len(sets)), key=lambda i: paths[i].astype(">u4").tobytes())
-    out = np.zeros(len(sets), bool)
-    shortest = -(-percent * len(probe) // 100)
-    last, seen, dead = np.zeros(0, np.int64), np.zeros(1, np.int64), None
-    for i in order:
-        path = paths[i]
-        m = min(len(path), len(last))
-        differ = np.flatnonzero(path[:m] != last[:m])
-        shared = int(differ[0]) if len(differ) else m
-        if dead is not None and shared > dead:
-            continue  # in the subtree that was left; the walk's path is as it was
-        dead = None
-        shared = min(shared, len(seen) - 1)
-        seen = np.r_[seen[: shared + 1], seen[shared] + np.cumsum(inside[path[shared:]])]
-        last = path
-        need = int(needed(len(probe), len(path), percent))
-        if seen[-1] >= need:
-            out[i] = True
-            continue
-        # the first depth from which no set of a size that may link can reach its overlap
-        floor = needed(len(probe), np.maximum(np.arange(1, len(path) + 1), shortest), percent)
-        hopeless = np.flatnonzero(seen[1:] + after[path + 1] < floor)
-        if len(hopeless):
-            dead = int(hopeless[0])
-    return out
-
-
-def _verify(table: pa.Table, width: int, percent: int) -> pa.Table:
-    """Rows of one probe and its partners (probe, part, node, is_probe, text): the links among them."""
-    nodes, own = table["node"].to_pylist(), table["is_probe"].to_pylist()
+def paths_of(table: pa.Table, width: int) -> list[np.ndarray]:
+    """Of rows with text and df: each set's path, as ascending ranks in the global order; n-grams of one document alone are left out."""
     unzip = zstandard.ZstdDecompressor()
     texts = pa.array([unzip.decompress(x) for x in table["text"].to_pylist()], pa.large_binary()).cast(pa.large_string())
     key, off = shingles(C.Words(texts), width)
-    sets = [key[off[i] : off[i + 1]] for i in range(len(nodes))]
-    mine = [i for i, x in enumerate(own) if x]
-    others = [i for i, x in enumerate(own) if not x]
-    hit = [nodes[i] for i, ok in zip(others, tree_overlaps(sets[mine[0]], [sets[i] for i in others], percent), strict=True) if ok] if mine and others else []
-    return pa.table({"u": pa.array([table["probe"][0].as_py()] * len(hit), pa.int64()), "v": pa.array(hit, pa.int64())})
-
+    df = np.frombuffer(b"".join(unzip.decompress(x) for x in table["df"].to_pylist()), np.uint8)
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    shared = df > 1
+    key, df, doc = key[shared], df[shared], doc[shared]
+    keys, at, inverse = np.unique(key, return_index=True, return_inverse=True)
+    rank = np.empty(len(keys), np.int64)
+    rank[np.lexsort((keys, df[at]))] = np.arange(len(keys))
+    code = np.sort(doc * max(1, len(keys)) + rank[inverse])
+    return np.split(code % max(1, len(keys)), np.searchsorted(code, np.arange(1, len(off) - 1) * max(1, len(keys))))
+
+
+class Tree:
+    """A trie of paths: the paths in lexicographic order, so that a subtree is a range of neighbours."""
+
+    def __init__(self, paths: list[np.ndarray], sizes: np.ndarray, percent: int):
+        self.paths, self.sizes, self.percent = paths, sizes, percent
+        self.order = np.array(sorted(range(len(paths)), key=lambda i: paths[i].astype(">u4").tobytes()), np.int64)
+
+    def walk(self, probe: np.ndarray, n: int, some: Iterator[int]) -> Iterator[int]:
+        """Of these stored paths, in the order of the trie, those that link with the probe (a path of a set of n)."""
+        last, seen, dead = np.zeros(0, np.int64), np.zeros(1, np.int64), None
+        shortest = -(-self.percent * n // 100)
+        for i in some:
+            path = self.paths[i]
+            m = min(len(path), len(last))
+            differ = np.flatnonzero(path[:m] != last[:m])
+            shared = int(differ[0]) if len(differ) else m
+            if dead is not None and shared > dead:
+                continue  # in the subtree that was left; the walk's path is as it was
+            dead = None
+            shared = min(shared, len(seen) - 1)
+            tail = path[shared:]
+            at = np.searchsorted(probe, tail)
+            hit = probe[np.minimum(at, len(probe) - 1)] == tail if len(probe) else np.zeros(len(tail), bool)
+            new = seen[shared] + np.cumsum(hit)
+            seen, last = np.r_[seen[: shared + 1], new], path
+            if seen[-1] >= needed(n, self.sizes[i], self.percent):
+                yield i
+                continue
+            # the first depth from which no set of a size that may link can reach its overlap
+            floor = needed(n, np.maximum(np.arange(shared + 1, len(path) + 1), shortest), self.percent)
+            hopeless = np.flatnonzero(new + len(probe) - at - hit < floor)
+            if len(hopeless):
+                dead = shared + int(hopeless[0])
+
+
+class _Union:
+    """Components of nodes, joined as links are found."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+
+
+def _links(u: list[int], v: list[int]) -> pa.Table:
+    a, b = spanning(np.array(u, np.int64), np.array(v, np.int64)) if u else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return pa.table({"u": a, "v": b})
+
+
+def _join_neighbours(table: pa.Table, width: int, percent: int) -> pa.Table:
+    """Links between paths of one trie and their nearest neighbours in it that are of other components by then."""
+    table = table.sort_by([("node", "ascending"), ("one", "ascending"), ("two", "ascending")]).combine_chunks()
+    nodes, sizes = table["node"].to_pylist(), table["n"].to_numpy().astype(np.int64)
+    tree, joined, u, v = Tree(paths_of(table, width), sizes, percent), _Union(), [], []
+    order = tree.order.tolist()
+    for k, i in enumerate(order):
+        path, near = tree.paths[i], []
+        for j in reversed(order[max(0, k - NEAR) : k]):
+            if tree.paths[j][0] != path[0]:
+                break
+            near.append(j)
+        for j in tree.walk(path, int(sizes[i]), (j for j in reversed(near) if joined.find(nodes[j]) != joined.find(nodes[i]))):
+            joined.join(nodes[i], nodes[j])
+            u.append(nodes[i])
+            v.append(nodes[j])
+    return _links(u, v)
+
+
+def _probe(table: pa.Table, width: int, percent: int) -> pa.Table:
+    """Rows of stored sets and of probes (is_probe): the links between sets of different components."""
+    table = table.sort_by([("is_probe", "ascending"), ("node", "ascending"), ("one", "ascending"), ("two", "ascending")]).combine_chunks()
+    nodes, comps, sizes = table["node"].to_numpy(), table["comp"].to_pylist(), table["n"].to_numpy().astype(np.int64)
+    probes = table["is_probe"].to_numpy(zero_copy_only=False)
+    stored = int((~probes).sum())
+    if not stored or stored == len(table):
+        return _links([], [])
+    paths = paths_of(table, width)
+    tree, joined, u, v = Tree(paths[:stored], sizes[:stored], percent), _Union(), [], []
+    prefix = np.maximum(_reach(sizes, percent) - (sizes - [len(p) for p in paths]), 0)
+    place = np.empty(stored, np.int64)
+    place[tree.order] = np.arange(stored)
+    gram = np.concatenate([paths[i][: prefix[i]] for i in range(stored)])
+    at = np.repeat(place, np.minimum(prefix[:stored], [len(p) for p in paths[:stored]]))
+    by = np.lexsort((at, gram))
+    gram, at = gram[by], at[by]
+    for i in range(stored, len(table)):
+        mine = paths[i][: prefix[i]]
+        lo, hi = np.searchsorted(gram, mine), np.searchsorted(gram, mine, "right")
+        some = tree.order[np.unique(at[C.ragged(lo, hi - lo)])]
+        n = sizes[some]
+        some = some[((n < sizes[i]) | ((n == sizes[i]) & (nodes[some] < nodes[i]))) & (100 * n >= percent * sizes[i])].tolist()
+        for j in tree.walk(paths[i], int(sizes[i]), (j for j in some if joined.find(comps[j]) != joined.find(comps[i]))):
+            joined.join(comps[i], comps[j])
+            u.append(int(nodes[i]))
+            v.append(int(nodes[j]))
+    return _links(u, v)
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """pairs (probe, node), distinct; texts (node, text).  Returns the links u, v among them.
 
-    A probe with many partners is dealt over several groups by a hash of the partner, with the probe in each.
-    """
-    parts = pairs.groupBy("probe").agg(F.count(F.lit(1)).alias("_k")).select("probe", (F.col("_k") / PARTNERS + 1).cast("int").alias("parts"))
-    dealt = pairs.join(parts, "probe").select("probe", "node", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.lit(False).alias("is_probe"))
-    probes = parts.select("probe", F.col("probe").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_probe"))
-    rows = dealt.unionByName(probes).join(texts, "node")
-    return rows.select("probe", "part", "node", "is_probe", "text").groupBy("probe", "part").applyInArrow(C.tidy_group(lambda t: _verify(t, width, percent)), "u long, v long")
+# ---------------------------------------------------------------- the join
 
 
-# ---------------------------------------------------------------- the join
+def in_tries(classes: DataFrame, part_grams: int) -> DataFrame:
+    """classes with `part`, the task of its trie: tries of one first n-gram, several to a task, or one dealt over several."""
+    weight = classes.groupBy("first").agg(F.sum("n").alias("_w"))
+    total = weight.agg(F.coalesce(F.sum("_w"), F.lit(0)).alias("w")).first()["w"]
+    slots = max(1, -(-total // part_grams))
+    several = weight.filter(F.col("_w") > part_grams).select("first", F.ceil(F.col("_w") / F.lit(part_grams)).cast("int").alias("_k"))
+    return classes.join(several, "first", "left").withColumn("part", F.when(F.col("_k").isNull(), F.pmod(F.xxhash64("first"), F.lit(slots))).otherwise(F.xxhash64("first", F.pmod(F.xxhash64("node", "one"), "_k")))).drop("_k")
 
 
-def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, chunk_bytes: int | None = None) -> DataFrame:
+def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, chunk_bytes: int | None = None, part_grams: int = PART_GRAMS, probe_grams: int = PROBE_GRAMS) -> DataFrame:
     """id_col, n_shingles and component_id of each row of docs; see the head of this file."""
     total = C.chunk_count(docs, text_col, 1)[1]
     size = chunk_bytes or min(8 << 20, max(1 << 20, total // 2000))
     n, n_buckets = max(1, -(-total // size)), max(1, -(-total // (8 * size)))
     rows = C.chunked(docs, id_col, text_col, n)
-    asked = rows.groupBy("_chunk").applyInArrow(C.tidy_group(lambda t: _ask_frequency(t, width, n_buckets)), BLOCK)
-    told = asked.groupBy("_bucket").applyInArrow(C.tidy_group(_tell_frequency), BLOCK)
-    sets = C.materialize(rows.groupBy("_chunk").cogroup(told.groupBy("_chunk")).applyInArrow(C.tidy_pair(lambda t, r: _prefixes(t, r, width, percent, n_buckets)), LIVE), "sets")
+    asked = rows.groupBy("_chunk").applyInArrow(C.tidy_group(lambda t: _ask_frequency(t, width, n_buckets)), X.BLOCK)
+    told = asked.groupBy("_bucket").applyInArrow(C.tidy_group(_tell_frequency), X.BLOCK)
+    sets = C.materialize(rows.groupBy("_chunk").cogroup(told.groupBy("_chunk")).applyInArrow(C.tidy_pair(lambda t, r: _prefixes(t, r, width, percent)), LIVE), "sets")
 
     live = sets.filter("live")
-    classes = C.materialize(live.groupBy("one", "two").agg(F.min_by(F.struct("n", "skip", "prefix", "sketch", "text"), "_id").alias("_s"), F.min("_id").alias("node")).select("node", "one", "two", "_s.*"), "classes")
+    one_each = live.groupBy("one", "two").agg(F.min_by(F.struct("n", "first", "prefix", "text", "df"), "_id").alias("_s"), F.min("_id").alias("node")).select("node", "one", "two", "_s.*")
+    classes = C.materialize(in_tries(C.materialize(one_each, "classes"), part_grams), "tries")
     members = live.select(F.col("_id").alias("u"), "one", "two").join(classes.select(F.col("node").alias("v"), "one", "two"), ["one", "two"]).filter("u <> v").select("u", "v").distinct()
-    texts = classes.select("node", "text")
 
-    # a class of one id may differ from another of the same id; nodes are ids, so the least text speaks for it
-    sketch = classes.select("node", F.posexplode("sketch").alias("i", "h"))
-    hubs = sketch.groupBy("i", "h").agg(F.min("node").alias("probe"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    proposed = sketch.join(hubs.drop("k"), ["i", "h"]).filter("probe <> node").groupBy("node", "probe").agg(F.count(F.lit(1)).alias("k"))
-    star = C.materialize(proposed.groupBy("node").agg(F.max_by("probe", F.struct("k", -F.col("probe"))).alias("probe")), "proposals")
-    links = C.materialize(verified(star, texts, width, percent), "links")
-    first = C.materialize(components(links), "components")
+    near = lambda some: C.materialize(some.select("part", "node", "one", "two", "n", "text", "df").groupBy("part").applyInArrow(C.tidy_group(lambda t: _join_neighbours(t, width, percent)), "u long, v long"), "links")
+    first = C.materialize(components(near(classes)), "components")
+    dealt = classes.groupBy("first").agg(F.count_distinct("part").alias("k")).filter("k > 1").select("first")
+    if not dealt.isEmpty():  # a trie dealt over several tasks: the heads of its components once more, now among each other
+        heads = classes.drop("part").join(dealt, "first").join(first.withColumnRenamed("component", "comp"), "node", "left").filter("comp is null or comp = node").drop("comp")
+        more = near(in_tries(heads, part_grams)).unionByName(first.select(F.col("node").alias("u"), F.col("component").alias("v")))
+        first = C.materialize(components(more), "components")
 
-    # the exact rest: prefix n-grams that two components share
+    # prefix n-grams that two components share
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, comp, n, skip, blob in zip(*(batch[k].to_pylist() for k in ("node", "comp", "n", "skip", "prefix")), strict=True):
-                key = np.frombuffer(blob, np.int64)
-                k = len(key)
-                yield pa.RecordBatch.from_pydict({"gram": key, "node": pa.array([node] * k, pa.int64()), "comp": pa.array([comp] * k, pa.int64()), "n": pa.array([n] * k, pa.int32()), "rest": pa.array(n - skip - np.arange(k), pa.int32())})
+            blob = batch["prefix"].to_pylist()
+            at = pa.array(np.repeat(np.arange(len(blob)), [len(b) // 8 for b in blob]))
+            yield pa.RecordBatch.from_pydict({"gram": np.frombuffer(b"".join(blob), np.int64), **{c: batch[c].take(at) for c in ("node", "one", "two", "comp", "n", "part")}})
 
     placed = classes.join(first.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    grams = placed.select("node", "comp", "n", "skip", "prefix").mapInArrow(C.tidy(unfold), "gram long, node long, comp long, n int, rest int")
+    grams = placed.select("node", "one", "two", "comp", "n", "part", "prefix").mapInArrow(C.tidy(unfold), "gram long, node long, one long, two long, comp long, n int, part long")
     mixed = grams.groupBy("gram").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a <> _b").select("gram")
     open_ = C.materialize(grams.join(mixed, "gram"), "open")
-    a, b = (open_.select("gram", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "comp", "n", "rest"))) for k in "ab")
-    need = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
-    near = a.join(b, (a["gram"] == b["gram"]) & (F.col("comp_a") != F.col("comp_b")) & (F.col("n_a") <= F.col("n_b")) & ((F.col("n_a") < F.col("n_b")) | (F.col("node_a") < F.col("node_b"))) & (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.least("rest_a", "rest_b") >= need))
-    rest = C.materialize(near.select(F.col("node_a").alias("probe"), F.col("node_b").alias("node")).distinct(), "rest")
-    more = verified(rest, texts, width, percent)
+    stores = open_.groupBy("gram", "part").agg(F.min("n").alias("_lo"), F.max("n").alias("_hi"), F.min("comp").alias("_a"), F.max("comp").alias("_b"))
+    fits = (F.col("_lo") <= F.col("n")) & (F.col("_hi") * 100 >= F.col("n") * percent) & ((F.col("_a") != F.col("comp")) | (F.col("_b") != F.col("comp")))
+    key = ["node", "one", "two", "comp", "n"]
+    probes = C.materialize(open_.drop("part").join(stores, "gram").filter(fits).select(*key, "part").distinct(), "probes")
+    salts = probes.groupBy("part").agg(F.ceil(F.sum("n") / F.lit(probe_grams)).cast("int").alias("_k"))
+    dealt = probes.join(salts, "part").select(*key, "part", F.pmod(F.xxhash64("node", "one"), "_k").cast("int").alias("salt"), F.lit(True).alias("is_probe"))
+    kept = open_.select(*key, "part").distinct().join(salts, "part").select(*key, "part", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("salt"), F.lit(False).alias("is_probe"))
+    sent = dealt.unionByName(kept).join(classes.select("node", "one", "two", "text", "df"), ["node", "one", "two"])
+    more = sent.select("part", "salt", "is_probe", "node", "one", "two", "comp", "n", "text", "df").groupBy("part", "salt").applyInArrow(C.tidy_group(lambda t: _probe(t, width, percent)), "u long, v long")
 
     linked = members.unionByName(first.select(F.col("node").alias("u"), F.col("component").alias("v"))).unionByName(more)
     comp = components(linked).select(F.col("node").alias("_id"), "component")

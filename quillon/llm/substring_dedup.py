@@ -1,20 +1,26 @@
 """Substring dedup by recompression.
 
-Rounds name runs of equal symbols and then pairs (left symbol, right symbol) over the words of a text.
-Names are hashes of what they stand for, so they agree over the whole corpus without a dictionary: equal
-substrings get equal interior symbols wherever they stand.  With each symbol goes its evidence, the range
-of words that alone forces it.  A window of `width` words therefore holds the same fully evidenced symbols
-in every text; one of the highest level is its anchor.  Anchors that two documents share reveal where
-repeats may be, and only windows on such anchors are compared, by 128-bit fingerprints, with the smallest
-document id that has them.
-
-The exchange is one of packed blocks.  A chunk (a fixed set of about 1 to 8 MB of documents) sends each
-hash-range bucket its distinct keys once, so a passage in a third of all documents costs one entry per
-chunk, and gets one bit per key back.  Nothing is collected; a task holds one chunk or one bucket.
-
-Defined results: a null text has no words; a null id counts as larger than every id; repeated rows of one
-id are judged alike and do not make each other repeats; an empty table gives an empty result; other
-columns are not looked at.
+Rounds name runs of equal symbols and then pairs (left symbol, right symbol) over the words of a text; a name is a
+64-bit hash of what it stands for, so that all tasks give equal substrings equal interior symbols wherever they
+stand.  With each symbol goes its evidence, the range of words that alone forces it: a window of `width` words holds
+the same symbols, those whose evidence lies in it, in every text.
+
+Each level is one round of the cluster.  Chunks of documents send the names of their level to the buckets of the
+names, and learn which of them more than one document has.  A window that holds the evidence of a name of one
+document only is no repeat; names of the next level are asked for only where windows are left.  So names shared at
+all levels reveal the long repeats, level after level with fewer questions.  Evidence grows by about four words a
+level, and rounds end where it no longer fits a window (`levels_of`).  What is left is verified by 128-bit
+fingerprints of the windows' words, with the smallest document id that has them.  Two symbols of one name (a
+collision) can only leave a window to the verification, never drop one.
+
+The exchange is one of packed blocks (exchange.py).  A chunk (about 1 to 8 MB of documents) sends each distinct key
+once, so a passage in a third of all documents costs one entry per chunk.  Nothing is collected; a task holds one
+chunk or one bucket.
+
+Defined results: a null text has no words; a null id counts as larger than every id; repeated rows of one id are
+judged alike and do not make each other repeats; of rows that tie in id and window neither goes; a text of any
+length is taken whole (its chunk is as large as it is); an empty table gives an empty result; other columns are not
+looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import common as C
+from quillon.llm import exchange as X
 
-BLOCK = "_chunk int, _bucket int, _kind int, _blob binary"
 _LAST = np.iinfo(np.int64).max
 _SIDE, _RUN, _PAIR = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
@@ -38,10 +44,6 @@ class Level:
         self.name, self.text, self.lo, self.hi = name, text, lo, hi
 
 
-def _joined(left: Level, right: Level) -> tuple[np.ndarray, np.ndarray]:
-    return np.minimum(left.lo, right.lo), np.maximum(left.hi, right.hi)
-
-
 def name_runs(x: Level, far: int) -> Level:
     """Each maximal run of one symbol becomes a symbol; its evidence holds both neighbours, which end it."""
     n = len(x.name)
@@ -79,126 +81,117 @@ def name_pairs(x: Level, far: int) -> Level:
     return Level(name[keep], x.text[keep], lo[keep], hi[keep])
 
 
-def anchors(h: np.ndarray, off: np.ndarray, width: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start of each window, its anchor key) for all windows of `width` words within one text."""
-    n, far = len(h), len(h) + width + 1
-    size = np.diff(off)
-    starts = C.ragged(off[:-1], np.maximum(size - width + 1, 0))
-    if not len(starts):
-        return starts, np.zeros(0, np.uint64)
-    text = np.repeat(np.arange(len(size)), size)
-    at = np.arange(n)
-    level, levels = Level(h, text, at, at + 1), []
-    levels.append(level)
-    for _ in range(rounds):
-        level = name_pairs(name_runs(level, far), far)
-        levels.append(level)
-    # of a range of words, by differences of one running sum
-    powers = C._powers(width + 1, np.uint64(0x9FB21C651E98DF25))
-    free = np.zeros(n, bool)
-    free[starts] = True
-    best = np.zeros(n, np.uint64)
-    for level in reversed(levels):
-        length = level.hi - level.lo
-        ok = (length <= width) & (level.lo >= 0) & (level.hi <= n)
-        lo, length, name = level.lo[ok], length[ok], level.name[ok]
-        key = name.copy()
-        for k in range(width):  # the words of the evidence make the key selective
-            more = length > k
-            if not more.any():
-                break
-            key[more] += h[lo[more] + k] * powers[k + 1]
-        key = C.mix(key) | np.uint64(1)
-        mine = np.zeros(n, np.uint64)
-        for k in range(width):
-            fits = length <= width - k
-            w = lo[fits] - k
-            v = key[fits]
-            inside = w >= 0
-            w, v = w[inside], v[inside]
-            mine[w] = np.maximum(mine[w], v)
-        take = free & (mine > 0)
-        best[take] = mine[take]
-        free &= ~take
-    return starts, best[starts]
+def levels_of(width: int) -> int:
+    """Levels whose symbols mostly have their evidence within `width` words."""
+    return max(1, (width - 1) // 4)
 
 
-def _sorted(table: pa.Table) -> pa.Table:
-    return table.select(["_id", "_text", "_chunk"]).sort_by([("_id", "ascending"), ("_text", "ascending")]).combine_chunks()
+def symbols(h: np.ndarray, off: np.ndarray, width: int, level: int, x: Level | None = None) -> Level:
+    """Symbols of a level over words of these hashes; off: where the words of each text begin; x: those of the level before."""
+    n, far = len(h), np.int32(len(h) + width + 1)
+    if x is None:
+        at = np.arange(n, dtype=np.int32)
+        x = Level(h, np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off)), at, at + np.int32(1))
+    else:
+        level = 1
+    for _ in range(level if n else 0):
+        x = name_pairs(name_runs(x, far), far)
+    return x
 
 
-def _ids(table: pa.Table) -> np.ndarray:
-    return table["_id"].combine_chunks().fill_null(_LAST).to_numpy(zero_copy_only=False) if len(table) else np.zeros(0, np.int64)
+def window_starts(off: np.ndarray, width: int) -> np.ndarray:
+    """For each word: does a window of its text begin there?"""
+    out = np.zeros(int(off[-1]) if len(off) else 0, bool)
+    out[C.ragged(off[:-1], np.maximum(np.diff(off) - width + 1, 0))] = True
+    return out
+
 
+def within(x: Level, alive: np.ndarray, width: int) -> np.ndarray:
+    """Symbols whose evidence lies in a window that is left."""
+    n = len(alive)
+    left = np.r_[0, np.cumsum(alive)]
+    first, last = np.clip(x.hi - width, 0, n), np.clip(x.lo + 1, 0, n)
+    return np.flatnonzero((x.hi - x.lo <= width) & (x.lo >= 0) & (x.hi <= n) & (left[last] > left[np.minimum(first, last)]))
 
-def _blocks(rows: list[tuple]) -> pa.Table:
-    cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
-    return pa.table({k: pa.array(v, t) for (k, v, t) in zip(("_chunk", "_bucket", "_kind", "_blob"), cols, kinds, strict=True)})
 
+def without(alive: np.ndarray, x: Level, lone: np.ndarray, width: int) -> np.ndarray:
+    """Windows that are left and hold none of the evidences of these symbols."""
+    n = len(alive)
+    end = np.full(n + 1, n + width + 1)
+    np.minimum.at(end, x.lo[lone], x.hi[lone])
+    end = np.minimum.accumulate(end[::-1])[::-1][:n]
+    return alive & (end > np.arange(n) + width)
 
-def _cut(keys: np.ndarray, n_buckets: int) -> list[tuple[int, int, int]]:
-    """(bucket, from, to) over ascending keys."""
-    at = np.searchsorted(C.buckets_of(keys, n_buckets), np.arange(n_buckets + 1))
-    return [(int(b), int(at[b]), int(at[b + 1])) for b in np.flatnonzero(np.diff(at))]
+
+def _sorted(table: pa.Table) -> pa.Table:
+    return table.select(["_id", "_text", "_chunk"]).sort_by([("_id", "ascending"), ("_text", "ascending")]).combine_chunks()
 
 
-def _distinct_owner(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ascending distinct keys; smallest and largest owner of each; where each key went."""
+def _ids(table: pa.Table) -> np.ndarray:
+    return table["_id"].combine_chunks().fill_null(_LAST).to_numpy(zero_copy_only=False) if len(table) else np.zeros(0, np.int64)
+
+
+def _distinct_owner(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending distinct keys; does more than one owner have it; where each key went."""
     order = np.argsort(keys, kind="stable")
-    k = keys[order]
+    k, own = keys[order], owner[order]
     new = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
     first = np.flatnonzero(new)
     inverse = np.empty(len(k), np.int64)
     inverse[order] = np.cumsum(new) - 1
-    own = owner[order]
-    least, most = (f.reduceat(own, first) if len(k) else own for f in (np.minimum, np.maximum))
-    return k[first], least, most, inverse
+    several = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first) if len(k) else new
+    return k[first], several, inverse
 
 
-def _ask_anchors(table: pa.Table, width: int, rounds: int, n_buckets: int) -> pa.Table:
-    table = _sorted(table)
-    w = C.Words(table["_text"])
-    starts, key = anchors(w.hashes(), w.off, width, rounds)
-    keys, least, most, _ = _distinct_owner(key, _ids(table)[w.doc_of()[starts]])
-    chunk = table["_chunk"][0].as_py()
-    return _blocks([(chunk, b, 0, C.pack(keys[i:j], 6) + np.packbits(least[i:j] != most[i:j]).tobytes()) for b, i, j in _cut(keys, n_buckets)])
+class _Chunk:
+    """A chunk of documents: words, ids, and the windows that are left before a round."""
+
+    def __init__(self, table: pa.Table, width: int):
+        self.table, self.width = _sorted(table), width
+        self.chunk = self.table["_chunk"][0].as_py()
+        self.words, self.ids = C.Words(self.table["_text"]), _ids(self.table)
+        self.h = self.words.hashes()
+
+    def ask(self, alive: np.ndarray, x: Level, n_buckets: int) -> pa.Table:
+        at = within(x, alive, self.width)
+        keys, several, _ = _distinct_owner(x.name[at], self.ids[x.text[at]])
+        return X.send(self.chunk, keys, X.columns((keys, 6), (several, 1)), n_buckets, alive)
+
+    def symbols(self, level: int, x: Level | None = None) -> Level:
+        return symbols(self.h, self.words.off, self.width, level, x)
+
+    def after(self, told: pa.Table, level: int) -> tuple[np.ndarray, Level]:
+        """Windows that are left after the answers of a round, and the symbols of its level."""
+        alive, x = X.marks(told, len(self.h)), self.symbols(level)
+        at = within(x, alive, self.width)
+        _, _, inverse = _distinct_owner(x.name[at], np.zeros(len(at), np.int8))
+        return without(alive, x, at[X.answers(told, 1)[inverse, 0] == 0], self.width), x
+
+
+def _ask_first(table: pa.Table, width: int, n_buckets: int) -> pa.Table:
+    c = _Chunk(table, width)
+    return c.ask(window_starts(c.words.off, width), c.symbols(1), n_buckets)
+
+
+def _ask_next(table: pa.Table, told: pa.Table, width: int, level: int, n_buckets: int) -> pa.Table:
+    """After the answers of the level before, the names of this one."""
+    if not len(table):
+        return X.empty()
+    c = _Chunk(table, width)
+    alive, x = c.after(told, level - 1)
+    return c.ask(alive, c.symbols(level, x), n_buckets)
 
 
 def _tell_shared(table: pa.Table) -> pa.Table:
-    """A bit for each key sent: more than one document has it."""
-    table = table.combine_chunks()
-    chunks, bucket = table["_chunk"].to_pylist(), table["_bucket"][0].as_py()
-    keys, several = [], []
-    for blob in table["_blob"].to_pylist():
-        n = (len(blob) * 8) // 49
-        while 6 * n + (n + 7) // 8 < len(blob):
-            n += 1
-        keys.append(C.unpack(blob[: 6 * n], 6))
-        several.append(np.unpackbits(np.frombuffer(blob[6 * n :], np.uint8), count=n).astype(bool))
-    _, inverse, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    shared = count > 1
-    shared[inverse[np.concatenate(several)]] = True
-    bits = np.split(shared[inverse], np.cumsum([len(k) for k in keys])[:-1])
-    return _blocks([(c, bucket, 0, np.packbits(x).tobytes()) for c, x in zip(chunks, bits, strict=True)])
-
-
-def _replies(table: pa.Table) -> dict[tuple[int, int], bytes]:
-    return {(b, k): v for b, k, v in zip(*(table[c].to_pylist() for c in ("_bucket", "_kind", "_blob")), strict=True)}
-
-
-def _answered(keys: np.ndarray, n_buckets: int, replies: dict) -> np.ndarray:
-    out = np.zeros(len(keys), bool)
-    for b, i, j in _cut(keys, n_buckets):
-        out[i:j] = np.unpackbits(np.frombuffer(replies[b, 0], np.uint8), count=j - i)
-    return out
+    """Of each name sent: does more than one document have it?"""
 
+    def shared(records: np.ndarray) -> np.ndarray:
+        _, inverse, count = np.unique(X.column(records, 0, 6), return_inverse=True, return_counts=True)
+        several = count > 1
+        several[inverse[records[:, 6] > 0]] = True
+        return several[inverse].astype(np.uint8)[:, None]
 
-def _answered_bytes(keys: np.ndarray, n_buckets: int, replies: dict) -> np.ndarray:
-    out = np.zeros(len(keys), np.uint8)
-    for b, i, j in _cut(keys, n_buckets):
-        out[i:j] = np.frombuffer(replies[b, 0], np.uint8)
-    return out
+    return X.answer(table, 7, shared)
 
 
 def _fingerprints(h: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +201,7 @@ def _fingerprints(h: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.nda
 
 
 def _distinct_windows(one: np.ndarray, two: np.ndarray, owner: np.ndarray):
-    """As _distinct_owner, for keys of two parts: a fold of both orders them, one of 2^128 decides."""
+    """Ascending distinct keys of two parts, the smallest owner of each, where each key went."""
     order = np.lexsort((two, one))
     a, b = one[order], two[order]
     new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
@@ -219,55 +212,39 @@ def _distinct_windows(one: np.ndarray, two: np.ndarray, owner: np.ndarray):
     return a[first], b[first], least, inverse
 
 
-def _ask_windows(table: pa.Table, told: pa.Table, width: int, rounds: int, n_buckets: int) -> pa.Table:
+def _ask_windows(table: pa.Table, told: pa.Table, width: int, level: int, n_buckets: int) -> pa.Table:
     if not len(table):
-        return _blocks([])
-    table = _sorted(table)
-    w = C.Words(table["_text"])
-    h = w.hashes()
-    starts, key = anchors(h, w.off, width, rounds)
-    keys, inverse = np.unique(key, return_inverse=True)
-    on = _answered(keys, n_buckets, _replies(told))[inverse]
-    one, two = _fingerprints(h, starts[on], width)
-    a, b, least, _ = _distinct_windows(one, two, _ids(table)[w.doc_of()[starts[on]]])
-    chunk = table["_chunk"][0].as_py()
-    rows = [(chunk, k, 0, C.pack(a[i:j], 8) + C.pack(b[i:j], 8) + least[i:j].astype("<i8").tobytes()) for k, i, j in _cut(a, n_buckets)]
-    if on.any():
-        rows.append((chunk, chunk % n_buckets, 1, np.packbits(on).tobytes()))
-    return _blocks(rows)
+        return X.empty()
+    c = _Chunk(table, width)
+    alive, _ = c.after(told, level)
+    starts = np.flatnonzero(alive)
+    a, b, least, _ = _distinct_windows(*_fingerprints(c.h, starts, width), c.ids[c.words.doc_of()[starts]])
+    return X.send(c.chunk, a, X.columns((a, 8), (b, 8), (least, 8)), n_buckets, alive)
 
 
 def _tell_earlier(table: pa.Table) -> pa.Table:
-    """A bit for each window sent: a document of another chunk with a smaller id has it too."""
-    table = table.combine_chunks()
-    rows, sent = [], []
-    for c, b, kind, blob in zip(*(table[k].to_pylist() for k in ("_chunk", "_bucket", "_kind", "_blob")), strict=True):
-        rows.append((c, b, 1, blob)) if kind else sent.append((c, b, np.frombuffer(blob, "<u8").reshape(3, -1)))
-    if sent:
-        one, two, own = (np.concatenate([x[2][k] for x in sent]) for k in range(3))
-        own = own.view(np.int64)
-        _, _, least, inverse = _distinct_windows(one, two, own)
-        earlier = least[inverse] < own
-        for (c, b, _), x in zip(sent, np.split(earlier, np.cumsum([x[2].shape[1] for x in sent])[:-1]), strict=True):
-            rows.append((c, b, 0, np.packbits(x).tobytes()))
-    return _blocks(rows)
-
-
-def _remove(table: pa.Table, told: pa.Table, width: int, n_buckets: int) -> pa.Table:
+    """Of each window sent: does a document of smaller id have it?"""
+
+    def earlier(records: np.ndarray) -> np.ndarray:
+        own = X.column(records, 16, 8, "<i8")
+        _, _, least, inverse = _distinct_windows(X.column(records, 0, 8), X.column(records, 8, 8), own)
+        return (least[inverse] < own).astype(np.uint8)[:, None]
+
+    return X.answer(table, 24, earlier)
+
+
+def _remove(table: pa.Table, told: pa.Table, width: int) -> pa.Table:
     out = {"_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_text": pa.string(), "removed_spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
     if not len(table):
         return pa.table({k: pa.array([], t) for k, t in out.items()})
     table = _sorted(table)
-    w, ids, replies = C.Words(table["_text"]), _ids(table), _replies(told)
+    w, ids = C.Words(table["_text"]), _ids(table)
     gone = np.zeros(len(w.start) + 1, np.int64)
-    marks = next((v for (_, kind), v in replies.items() if kind), None)
-    if marks is not None:
-        starts = C.ragged(w.off[:-1], np.maximum(w.n - width + 1, 0))
-        starts = starts[np.unpackbits(np.frombuffer(marks, np.uint8), count=len(starts)).astype(bool)]
-        one, two = _fingerprints(w.hashes(), starts, width)
+    starts = np.flatnonzero(X.marks(told, len(w.start)))
+    if len(starts):
         owner = ids[w.doc_of()[starts]]
-        a, _, least, inverse = _distinct_windows(one, two, owner)
-        hit = starts[_answered(a, n_buckets, replies)[inverse] | (least[inverse] < owner)]
+        _, _, least, inverse = _distinct_windows(*_fingerprints(w.hashes(), starts, width), owner)
+        hit = starts[(X.answers(told, 1)[inverse, 0] > 0) | (least[inverse] < owner)]
         np.add.at(gone, hit, 1)
         np.add.at(gone, hit + width, -1)
     removed = np.cumsum(gone[:-1]) > 0
@@ -294,24 +271,28 @@ def _remove(table: pa.Table, told: pa.Table, width: int, n_buckets: int) -> pa.T
     return pa.table({"_id": table["_id"], "n_words": pa.array(w.n), "n_removed": pa.array(w.n - words_left), "kept_text": kept, "removed_spans": spans}).cast(pa.schema(list(out.items())))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, rounds: int = 2, chunk_bytes: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, levels: int | None = None, chunk_bytes: int | None = None) -> DataFrame:
     """Remove each word covered by a window of `width` words that also starts in a document of smaller id.
 
     One row per input row: id_col, n_words, n_removed, kept_text (kept words joined by one space) and
-    removed_spans (ranges of words).  Windows are judged on the input.  The three passes over the texts
-    read one shuffle of them, which Spark reuses.
+    removed_spans (ranges of words).  Windows are judged on the input.  All passes over the texts read one
+    shuffle of them, which Spark reuses.
     """
     total = C.chunk_count(docs, text_col, 1)[1]
     size = chunk_bytes or min(8 << 20, max(1 << 20, total // 2000))
-    n, n_buckets = max(1, -(-total // size)), max(1, -(-total // (8 * size)))
+    n, n_buckets, levels = max(1, -(-total // size)), max(1, -(-total // (8 * size))), levels or levels_of(width)
     rows = C.chunked(docs, id_col, text_col, n)
-    asked = rows.groupBy("_chunk").applyInArrow(C.tidy_group(lambda t: _ask_anchors(t, width, rounds, n_buckets)), BLOCK)
-    told = asked.groupBy("_bucket").applyInArrow(C.tidy_group(_tell_shared), BLOCK)
-    asked = rows.groupBy("_chunk").cogroup(told.groupBy("_chunk")).applyInArrow(C.tidy_pair(lambda t, r: _ask_windows(t, r, width, rounds, n_buckets)), BLOCK)
-    told = asked.groupBy("_bucket").applyInArrow(C.tidy_group(_tell_earlier), BLOCK)
+    asked = rows.groupBy("_chunk").applyInArrow(C.tidy_group(lambda t: _ask_first(t, width, n_buckets)), X.BLOCK)
+
+    def with_answers(f, tell, out: str) -> DataFrame:
+        told = asked.groupBy("_bucket").applyInArrow(C.tidy_group(tell), X.BLOCK)
+        return rows.groupBy("_chunk").cogroup(told.groupBy("_chunk")).applyInArrow(C.tidy_pair(f), out)
+
+    for level in range(2, levels + 1):
+        asked = with_answers(lambda t, r, level=level: _ask_next(t, r, width, level, n_buckets), _tell_shared, X.BLOCK)
+    asked = with_answers(lambda t, r: _ask_windows(t, r, width, levels, n_buckets), _tell_shared, X.BLOCK)
     schema = "_id long, n_words long, n_removed long, kept_text string, removed_spans array<struct<start:long,end:long>>"
-    out = rows.groupBy("_chunk").cogroup(told.groupBy("_chunk")).applyInArrow(C.tidy_pair(lambda t, r: _remove(t, r, width, n_buckets)), schema)
-    return out.withColumnRenamed("_id", id_col)
+    return with_answers(lambda t, r: _remove(t, r, width), _tell_earlier, schema).withColumnRenamed("_id", id_col)
 
 
 def digest(docs: DataFrame) -> DataFrame:

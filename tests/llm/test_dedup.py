@@ -4,6 +4,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from quillon.llm import components, line_dedup, ngram_join, substring_dedup, vector_dedup
 from quillon.llm.queries import QUERIES
@@ -43,15 +44,37 @@ def test_substring_dedup_edges(spark):
     assert substring_dedup.digest(docs.limit(0)).count() == 0
 
 
-def test_anchors_agree_between_texts():
-    """The same window has the same anchor wherever it stands."""
+def test_symbols_agree_between_texts():
+    """The same window holds the same symbols, by place and name, wherever it stands; names span more words by level."""
     rng = np.random.default_rng(1)
-    seen = {}
-    for _ in range(200):
-        h = rng.integers(0, 4, 60).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        starts, key = substring_dedup.anchors(h, np.array([0, 25, 60]), 5, 2)
-        for s, k in zip(starts, key, strict=True):
-            assert seen.setdefault(tuple(h[s : s + 5]), k) == k
+    spans = []
+    for level in (1, 2, 3):
+        seen = {}
+        for _ in range(200):
+            h = rng.integers(0, 4, 60).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            off = np.array([0, 25, 60])
+            x = substring_dedup.symbols(h, off, 13, level)
+            for s in np.flatnonzero(substring_dedup.window_starts(off, 13)):
+                inside = np.flatnonzero((x.lo >= s) & (x.hi <= s + 13))
+                here = [(int(x.lo[i] - s), int(x.hi[i] - s), int(x.name[i])) for i in inside]
+                assert seen.setdefault(tuple(h[s : s + 13]), here) == here
+            spans.append((level, 60 / len(x.name)))
+    means = [np.mean([v for k, v in spans if k == level]) for level in (1, 2, 3)]
+    assert means[0] < means[1] < means[2]
+
+
+def test_words_hash_as_a_polynomial():
+    from quillon.llm import common as C
+
+    texts = ["aB \u00e9\t" + "x" * 300_000, None, "", " aB", "Ab"]
+    w = C.Words(pa.array(texts))
+    for lower, table in ((False, C._BYTE), (True, C._BYTE_LOWER)):
+        words = [b for t in texts for b in brute.words(t)]
+        want = []
+        for b in words:
+            raw = np.frombuffer(b.encode(), np.uint8)
+            want.append(C.mix(np.array([(table[raw] * C._powers(len(raw))).sum(dtype=np.uint64) + np.uint64(len(raw))]))[0])
+        assert w.hashes(lower).tolist() == [int(x) for x in want]
 
 
 @pytest.mark.parametrize("letters", [3, 30])
@@ -73,10 +96,37 @@ def test_ngram_join_query_and_edges(spark):
 def test_tree_finds_what_sets_say():
     rng = np.random.default_rng(2)
     for _ in range(100):
-        sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30))).astype(np.uint64) for _ in range(12)]
-        got = ngram_join.tree_overlaps(sets[0], sets[1:], 75)
-        want = [100 * len(np.intersect1d(sets[0], s)) >= 75 * len(np.union1d(sets[0], s)) for s in sets[1:]]
-        assert got.tolist() == want
+        base = [np.sort(rng.permutation(60)[: rng.integers(8, 40)]) for _ in range(3)]
+        sets = [np.unique(np.r_[rng.choice(b, rng.integers(1, len(b) + 1), replace=False), rng.integers(0, 60, 2)]) for b in base for _ in range(6)]
+        tree = ngram_join.Tree(sets[1:], np.array([len(s) + 1 for s in sets[1:]]), 75)  # one more n-gram each, of one document alone
+        got = sorted(tree.walk(sets[0], len(sets[0]) + 1, iter(tree.order.tolist())))
+        want = [i for i, s in enumerate(sets[1:]) if 100 * len(np.intersect1d(sets[0], s)) >= 75 * (len(np.union1d(sets[0], s)) + 2)]
+        assert got == want
+
+
+@pytest.mark.parametrize(("part", "probe"), [(1 << 20, 1 << 22), (60, 100)])
+def test_ngram_join_of_a_large_group(spark, part, probe):
+    """Near copies of one text, a third of all rows, in tries of one task and in tries dealt over many."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    docs = []
+    for i in range(240):
+        w = list(base) if i % 3 == 0 else [f"w{rng.randrange(90)}" for _ in range(60)]
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(60)] = f"x{rng.randrange(5)}"
+        docs.append((i, " ".join(w)))
+    docs += [(7, " ".join(base)), (7, " ".join(base[:50])), (500, " ".join(base[2:]))]  # one id with several texts
+    frame = spark.createDataFrame([(i, t, 0, "x", 1) for i, t in docs], "doc_id long, text string, part int, prefix string, n int").repartition(5)
+    got = {r.doc_id: r.component_id for r in ngram_join.link_components(frame, chunk_bytes=2000, part_grams=part, probe_grams=probe).collect()}
+    renamed = [(i if k < 240 else 10_000 + k, t) for k, (i, t) in enumerate(docs)]
+    want = brute.jaccard_components(renamed)
+    same = {}
+    for k, (i, _) in enumerate(docs):
+        same.setdefault(want[renamed[k][0]][1], set()).add(i)
+    assert {min(v) for v in same.values() if 0 in v} == {0}
+    group = next(v for v in same.values() if 0 in v)
+    assert 7 in group and all(got[i] == 0 for i in group)
+    assert all(got[i] == want[i][1] for i in range(240) if i not in group and i != 7)
 
 
 @pytest.mark.parametrize("leaf_rows", [2048, 100])
