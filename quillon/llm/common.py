@@ -8,7 +8,7 @@ import time
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.storage import materialize, new_path, shared_dir  # noqa: F401
@@ -111,8 +111,8 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-#: Most ids that drop_ids() broadcasts (16 MB); beyond it the join is a shuffle.
-IDS_TO_SEND = 2_000_000
+#: Most ids that drop_ids() broadcasts (about 40 MB as a table of a join); beyond it the join is a shuffle.
+IDS_TO_SEND = 250_000
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
@@ -124,6 +124,33 @@ def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     return docs.join(ids, docs[id_col] == ids["_dropped"], "left_anti")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, lengthened until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def running(df: DataFrame, by: list[str], order: str, before: dict[str, tuple[str, str]], width: int = 4096) -> DataFrame:
+    """df with aggregates over all earlier rows (by `order`, a long from 0 on) of the same `by`, null in the first.
+
+    before: for each new column "sum" or "max" and the column it is of.  Two levels: ranges of `width` rows are
+    aggregated, a scan over the ranges gives what stands before each, and a scan within a range the rest; so no task
+    gets all rows.
+    """
+    of = {"sum": F.sum, "max": F.max}
+    part, inside = free_name(df, "_part"), {k: free_name(df, f"_in_{k}") for k in before}
+    dealt = df.withColumn(part, F.expr(f"{order} div {width}"))
+    here = Window.partitionBy(*by, part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(*by, part).agg(*(of[how](c).alias(k) for k, (how, c) in before.items()))
+    ranges = totals.select(*by, part, *(of[how](k).over(earlier).alias(k) for k, (how, _) in before.items()))
+    both = dealt.withColumns({inside[k]: of[how](c).over(here) for k, (how, c) in before.items()}).join(ranges, [*by, part])
+    plus = lambda a, b: F.when(F.col(a).isNull(), F.col(b)).otherwise(F.col(a) + F.coalesce(b, F.lit(0)))
+    return both.withColumns({k: plus(k, inside[k]) if how == "sum" else F.greatest(k, inside[k]) for k, (how, _) in before.items()}).select(*df.columns, *before)
+
+
 # ---------------------------------------------------------------- words
 
 

@@ -19,7 +19,8 @@ file and a reader never sees half of one.  The folder's file system must be one
 
 Defined results: a null text is empty (its row holds the end id alone); rows of one id stay together, in
 the order of a hash of their texts, and a lookup returns them all; rows without an id come first and are
-found by no key; an empty table gives no shard rows.
+found by no key; very long texts are encoded whole and make their shard as large as they are; an empty table
+gives no shard rows.  Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import common as C
@@ -219,8 +220,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0,
 
 def read_shards(manifest: DataFrame) -> DataFrame:
     """Every document of the shards, found by its key through the index: doc_id, start, n_tokens, ids_crc32, shard."""
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    placed = manifest.withColumn("_before", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    placed = C.running(manifest.withColumn("_all", F.lit(0)), ["_all"], "shard", {"_before": ("sum", "n_ids")}).withColumn("_before", F.coalesce("_before", F.lit(0)))
     n = max(1, manifest.count())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,10 +234,11 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     raise ValueError(f"{row['path']}: the index does not give back the keys of the rows")
                 order = np.r_[np.arange(lead), C.ragged(first, count)]
                 for part in np.array_split(order, max(1, len(order) // _ROWS_A_BATCH)):
-                    crc = []
-                    for r in part:
-                        ids = shard.read(shard.first[r], shard.first[r + 1])
-                        crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
+                    if not len(part):
+                        continue
+                    at = shard.first[part[0]]  # rows are in the order of their keys, so a part is one range of the payload
+                    ids = shard.read(at, shard.first[part[-1] + 1]).astype("<u4")
+                    crc = [zlib.crc32(ids[shard.first[r] - at : shard.first[r + 1] - at]) for r in part]
                     yield pa.RecordBatch.from_pydict({
                         "doc_id": pa.array(shard.keys[part], pa.int64(), mask=shard.null[part]), "start": pa.array(row["_before"] + shard.first[part], pa.int64()),
                         "n_tokens": pa.array(shard.first[part + 1] - shard.first[part], pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "shard": pa.array([row["shard"]] * len(part), pa.int32()),

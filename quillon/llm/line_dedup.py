@@ -7,12 +7,15 @@ partner.  Seeds are lines of `seed_chars` bytes and, at each line, the shortest
 end there and reach `least_chars` bytes.  Every line of a common block of that size stands in such a run within the
 block, so it is found with the first holder of the run, whichever documents hold the run's lines alone.  Each pair
 is aligned by patience diff over line hashes (lines that are unique in both sides anchor the alignment, the
-longest increasing chain of anchors is kept, equal neighbours extend it), and aligned common blocks of at least
-`least_chars` bytes are deleted from the later document.
+longest increasing chain of anchors is kept, equal neighbours extend it; what is left is aligned again, for blocks
+that stand in another order), and aligned common blocks of at least `least_chars` bytes are deleted from the later
+document.
 
 Lines are compared without ASCII white space at their ends.  Defined results: a null or empty text has no
 lines; a null id counts as later than every id and comes back null; rows of one id are not aligned with
-each other; an empty table gives an empty result.  Other columns are not looked at.
+each other, and equal rows of one id lose the same lines; of documents that tie as first holder of a line there is
+only one id, the least; very long texts are aligned whole; an empty table gives an empty result.  Other columns are
+not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -79,16 +82,29 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def common_blocks(a: list[int], size: list[int], b: list[int], least_chars: int) -> list[int]:
-    """Lines of a in aligned blocks of at least least_chars bytes."""
-    out, block, before = [], [], None
-    for i, j in [*patience(a, b), (-1, -1)]:
-        if before is not None and (i, j) != (before[0] + 1, before[1] + 1):
-            if sum(size[k] for k in block) >= least_chars:
-                out.extend(block)
-            block = []
-        block.append(i)
-        before = (i, j)
-    return out
+    """Lines of a in aligned blocks of at least least_chars bytes.
+
+    One alignment keeps the order of both sides; what is left of a is aligned once more as long as blocks are found,
+    so that blocks that stand in another order are found too.
+    """
+    out, left = [], list(a)
+    there = set(b)
+    while True:
+        found, block, before = [], [], None
+        for i, j in [*patience(left, b), (-1, -1)]:
+            if before is not None and (i, j) != (before[0] + 1, before[1] + 1):
+                if sum(size[k] for k in block) >= least_chars:
+                    found.extend(block)
+                block = []
+            block.append(i)
+            before = (i, j)
+        if not found:
+            return sorted(out)
+        out.extend(found)
+        for k in found:
+            left[k] = None  # equal to no line
+        if sum(s for x, s in zip(left, size, strict=True) if x in there) < least_chars:
+            return sorted(out)
 
 
 def seeds_of(lines: list[int], sizes: list[int], seed_chars: int, least_chars: int) -> np.ndarray:

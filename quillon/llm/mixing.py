@@ -3,19 +3,22 @@
 A classifier fitted on a bounded sample of labelled texts gives every document the posterior of each domain.
 With t the tokens and p the posterior of a document, the expected tokens of domain k under rates r are
 S_k = sum r t p_k.  Rates r >= 0 are fitted by projected gradient steps on the squared distance of S from
-the targets, from r = 1: every step computes S and the K x K curvature of the documents with r > 0 in one
-distributed aggregation, moves each rate along the gradient scaled by the inverse curvature, and clips it
-at 0.  A rate is a fold of the steps over the document's own posterior, so no state is kept between steps:
+the targets, from r = 1: every step computes S and the K x K curvature of the documents whose rates can move in
+distributed aggregations, moves each rate along the gradient scaled by the (damped) inverse curvature, and clips
+it at 0.  A rate is a fold of the steps over the document's own posterior, so no state is kept between steps:
 the driver holds K numbers a step, the executors the posterior table.
 
 Defined results: a null or empty text has 0 tokens, the prior as posterior, and the rate that follows; a
 target for a domain without tokens cannot be met and is left at 0; without labelled texts the posteriors
-are uniform; null ids and repeated rows are treated like others (a copy count depends on id and text).
-Other columns are not looked at.
+are uniform; null ids and repeated rows are treated like others (a copy count depends on id and text, so equal
+rows, which tie in it, get equal counts); very long texts are weighed whole; an empty table gives an empty result.
+Targets that the bounds on rates keep out of reach are met as nearly as they allow, and a warning says how far off
+they are.  Other columns are kept or not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +31,8 @@ from quillon.llm import common as C
 
 FIT_ROWS, FIT_BYTES, DIMENSIONS = 4_000, 32 << 20, 4096
 STEPS, TOLERANCE = 40, 1e-6
+#: Share of all tokens by which a target may be missed without a warning.
+MISSED = 0.005
 
 
 def _profile(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -61,19 +66,22 @@ def train(docs: DataFrame, labels: DataFrame, domains: list[str], id_col: str, t
     share = min(1.0, FIT_ROWS / max(1, known.count()))
     few = known.filter(F.pmod(F.xxhash64("_id", F.lit(21)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).limit(2 * FIT_ROWS)
     mine = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(few), "_id")  # 2 * FIT_ROWS rows at most
-    size = mine.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)).alias("b")).first()["b"]
-    if size > FIT_BYTES:
-        mine = mine.filter(F.pmod(F.xxhash64("_id", F.lit(22)), F.lit(1 << 30)) < F.lit(int(FIT_BYTES / size * (1 << 30))))
+    # an id may repeat: equal rows count once, and the rest is thinned by a hash of id and text
+    mine = mine.groupBy("_id", "_y", F.xxhash64("_text").alias("_k")).agg(F.min("_text").alias("_text"))
+    got = mine.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    part = min(1.0, FIT_BYTES / max(1, got["b"]), 2 * FIT_ROWS / max(1, got["n"]))
+    if part < 1:
+        mine = mine.filter(F.pmod(F.xxhash64("_id", "_k", F.lit(22)), F.lit(1 << 30)) < F.lit(int(part * (1 << 30))))
     k = len(domains)
 
     def one(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("_id", "ascending")]).combine_chunks()
+        t = t.sort_by([("_id", "ascending"), ("_k", "ascending"), ("_y", "ascending")]).combine_chunks()
         C.trim(now=True)
         w = fit(t["_text"].combine_chunks().cast(pa.large_string()).fill_null(""), t["_y"].to_numpy() - 1, k)
         C.trim(now=True)
         return pa.table({"w": pa.array([w.astype("<f4").tobytes()], pa.binary())})
 
-    got = mine.select("_text", "_y", "_id", F.lit(0).alias("_all")).groupBy("_all").applyInArrow(one, "w binary").collect()
+    got = mine.select("_text", "_y", "_id", "_k", F.lit(0).alias("_all")).groupBy("_all").applyInArrow(one, "w binary").collect()
     return np.frombuffer(got[0]["w"], "<f4").reshape(DIMENSIONS + 1, k) if got else np.zeros((DIMENSIONS + 1, k), np.float32)
 
 
@@ -108,25 +116,49 @@ def rate(steps: list[list[float]], posterior: str = "posterior", least: float =
 
 
 def fit_rates(table: DataFrame, targets: np.ndarray, least: float = 0.0, most: float = float("inf")) -> list[list[float]]:
-    """Projected-gradient steps; table has n_tokens and posterior, targets the tokens of each domain."""
-    k, steps, errors = len(targets), [], []
-    scale = max(1.0, float(targets.sum()))
+    """Projected-gradient steps; table has n_tokens and posterior, targets the tokens of each domain.
+
+    A step that does not bring the sums nearer to the targets is taken back and the next is damped, down to a plain
+    gradient step, so that the fit also settles where bounds keep the targets out of reach.
+    """
+    k, scale = len(targets), max(1.0, float(targets.sum()))
     p = [F.col("posterior")[i] for i in range(k)]
-    for _ in range(STEPS):
-        mine = table.withColumn("_r", rate(steps, least=least, most=most))
-        # at the start every rate may move; later those at a bound stay there
-        free = (F.col("_r") > least) & (F.col("_r") < most) if steps else F.lit(True)
-        sums = [F.sum(F.col("_r") * F.col("n_tokens") * p[i]).alias(f"s{i}") for i in range(k)]
-        curve = [F.sum(F.when(free, F.col("n_tokens") * p[i] * p[j]).otherwise(0.0)).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]
-        got = mine.agg(*sums, *curve).first()
-        error = np.array([got[f"s{i}"] or 0.0 for i in range(k)]) - targets
-        errors.append(float(np.abs(error).max()))
-        if errors[-1] <= TOLERANCE * scale or len(errors) > 4 and errors[-1] > 0.98 * errors[-4]:
-            break  # met, or as near as rates of this least value come
-        h = np.array([[got[f"h{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
-        step = np.linalg.lstsq(h + 1e-12 * scale * np.eye(k), error, rcond=1e-10)[0]
-        steps.append([float(x) for x in step])
-    return steps[: int(np.argmin(errors))]  # bounds can make later steps overshoot
+
+    def error_of(steps: list[list[float]]) -> np.ndarray:
+        r = rate(steps, least=least, most=most)
+        got = table.agg(*(F.sum(r * F.col("n_tokens") * p[i]).alias(f"s{i}") for i in range(k))).first()
+        return np.array([x or 0.0 for x in got]) - targets
+
+    def curvature(steps: list[list[float]], error: np.ndarray) -> np.ndarray:
+        """K x K, over the documents whose rate can move: at first all, later those that no bound holds."""
+        free = F.lit(True)
+        if steps:
+            pull = sum((x * float(e) for x, e in zip(p, error, strict=True)), F.lit(0.0))
+            free = ((F.col("_r") > least) | (pull < 0)) & ((F.col("_r") < most) | (pull > 0))
+        parts = [F.sum(F.when(free, F.col("n_tokens") * p[i] * p[j]).otherwise(0.0)).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]
+        got = table.withColumn("_r", rate(steps, least=least, most=most)).agg(*parts).first()
+        return np.array([[got[f"h{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
+
+    steps: list[list[float]] = []
+    error = error_of(steps)
+    h = curvature(steps, error)
+    top, damp, flat, passes = float(np.linalg.eigvalsh(h)[-1]) if k else 0.0, 0.0, 0, 0
+    while passes < STEPS and flat < 4 and np.abs(error).max(initial=0.0) > TOLERANCE * scale and damp <= 16 * top:
+        step = np.linalg.lstsq(h + (damp + 1e-12 * scale) * np.eye(k), error, rcond=1e-10)[0]
+        new = error_of([*steps, [float(x) for x in step]])
+        passes += 1
+        if np.linalg.norm(new) < np.linalg.norm(error):
+            flat = flat + 1 if np.linalg.norm(new) > 0.99 * np.linalg.norm(error) else 0
+            steps.append([float(x) for x in step])
+            error, damp = new, damp / 4 if damp > 4e-4 * top else 0.0
+            if np.abs(error).max() > TOLERANCE * scale:
+                h = curvature(steps, error)
+        else:
+            damp = max(4 * damp, top / 64) or np.inf
+    missed = float(np.abs(error).max(initial=0.0)) / scale
+    if missed > MISSED:
+        warnings.warn(f"the mixture is off its targets by up to {missed:.1%} of all tokens", stacklevel=2)
+    return steps
 
 
 def _drawn(steps: list[list[float]], least: float, seed: int, *key: str, posterior: str = "posterior", most: float = float("inf")) -> Column:
@@ -156,15 +188,16 @@ def repeated(docs: DataFrame, labels: DataFrame, weights: dict[str, float], tota
     table = C.materialize(posteriors(docs, model, id_col, text_col), "posteriors")
     steps = plan_mix(table, domains, weights, total, least, slack, most)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    own = StructType([*docs.schema.fields, StructField("_quillon_posterior", ArrayType(DoubleType()))])
+    posterior, copy = C.free_name(docs, "_posterior"), C.free_name(docs, "_copy")
+    own = StructType([*docs.schema.fields, StructField(posterior, ArrayType(DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in C.pieces(batch, text_col, rows=250):
-                yield part.append_column("_quillon_posterior", pa.array(list(_softmax(_profile(part[text_col])[1], sent.value)), pa.list_(pa.float64())))
+                yield part.append_column(posterior, pa.array(list(_softmax(_profile(part[text_col])[1], sent.value)), pa.list_(pa.float64())))
 
-    copies = _drawn(steps, least, seed, id_col, text_col, posterior="_quillon_posterior", most=most)
-    return C.small_batches(docs).mapInArrow(C.tidy(run), own).withColumn("_quillon_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
+    copies = _drawn(steps, least, seed, id_col, text_col, posterior=posterior, most=most)
+    return C.small_batches(docs).mapInArrow(C.tidy(run), own).withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total: float | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", least: float = 0.0, seed: int = 5) -> DataFrame:

@@ -41,7 +41,7 @@ from quillon.llm.components import components, spanning
 from quillon.llm.substring_dedup import _sorted
 
 #: N-grams that the tries of one task hold, and those of the probes that it takes, about; a set is never divided.
-PART_GRAMS, PROBE_GRAMS = 1 << 20, 1 << 22
+PART_GRAMS, PROBE_GRAMS = 1 << 18, 1 << 19
 #: Neighbours on each path that are joined before the exact probes.
 NEAR = 16
 LIVE = "_id long, n int, one long, two long, live boolean, first long, prefix binary, text binary, df binary"

@@ -29,7 +29,7 @@ def op2_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_documents(_table(spark, sf_dir, "documents"), vocabulary(), end_id=50256)
+    return token_counts.count_documents(_table(spark, sf_dir, "documents"), vocabulary(), token_counts.end_of(vocabulary()))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

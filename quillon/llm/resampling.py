@@ -1,10 +1,11 @@
 """Quality by importance resampling.
 
 Two generative models of hashed word n-grams, one of the target texts (those that the labelled table calls
-good) and one of all raw texts, give each document the log of its importance weight: the sum over its
-n-grams of log p_target - log p_raw, times `sharpness` over their number.  Documents are then sampled without
-replacement in proportion to their weights by Gumbel top-k: a Gumbel number that is a function of the id is
-added, and the k largest sums are kept.
+good) and one of all raw texts, give each document its importance weight, the ratio of its likelihoods under
+the two: the log weight is the sum over its n-grams of log p_target - log p_raw, divided by `temperature`
+(1: the ratio itself; larger: closer to even sampling).  Documents are then sampled without replacement in
+proportion to their weights by Gumbel top-k: a Gumbel number that is a function of the id is added, and the k
+largest sums are kept.
 
 N-grams are single words and pairs of neighbours (A-Z lower-cased), hashed into BUCKETS; a word that repeats
 the one before it counts as one mark, whatever the word.  Counts cover every document: each task sums its
@@ -12,8 +13,9 @@ own and sends BUCKETS numbers at most.  k is found exactly, by counts of the lea
 passes over (id, sum) rows; no sort, no window, nothing collected but the counts.
 
 Defined results: a null or empty text has log weight 0; without target texts all weights are equal; rows
-whose sums tie at the k-th are all kept; a null id gets the Gumbel number of a null.  Other columns are not
-looked at.
+whose sums tie at the k-th are all kept, so repeated rows (same id, same text) are kept or left together; a
+null id gets the Gumbel number of a null and is never a target; very long texts are counted whole; an empty
+table gives an empty result.  Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,9 +30,9 @@ from pyspark.sql import functions as F
 from quillon.llm import common as C
 
 BUCKETS = 10_000
-SHARPNESS = 20.0
-#: Most labelled rows that are broadcast to mark target texts; beyond it the join is a shuffle.
-LABELS_TO_SEND = 2_000_000
+TEMPERATURE = 1.0
+#: Most target ids that are broadcast to mark target texts (about 40 MB as a table of a join); beyond it the join is a shuffle.
+LABELS_TO_SEND = 250_000
 _REPEAT = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -107,7 +109,7 @@ def threshold(keys: DataFrame, column: str, k: int) -> float | None:
     return lo
 
 
-def resample(docs: DataFrame, good: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, sharpness: float = SHARPNESS) -> DataFrame:
+def resample(docs: DataFrame, good: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, temperature: float = TEMPERATURE) -> DataFrame:
     """id_col, n_grams, log_weight, sampling_key and kept of every document; k are kept."""
     ratio = log_ratios(docs, good, id_col, text_col)
 
@@ -117,7 +119,7 @@ def resample(docs: DataFrame, good: DataFrame, k: int, id_col: str = "doc_id", t
                 text, bucket = buckets(part["_text"])
                 n = np.bincount(text, minlength=len(part))
                 total = np.bincount(text, ratio[bucket], minlength=len(part))
-                yield pa.RecordBatch.from_pydict({id_col: part["_id"], "n_grams": pa.array(n, pa.int64()), "log_weight": pa.array(sharpness * total / np.maximum(n, 1), pa.float64())})
+                yield pa.RecordBatch.from_pydict({id_col: part["_id"], "n_grams": pa.array(n, pa.int64()), "log_weight": pa.array(total / temperature, pa.float64())})
 
     weighed = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(C.tidy(weigh), f"{id_col} long, n_grams long, log_weight double")
     keys = C.materialize(weighed.withColumn("sampling_key", F.col("log_weight") + gumbel(id_col, seed)), "weights")

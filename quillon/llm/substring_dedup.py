@@ -9,7 +9,7 @@ Each level is one round of the cluster.  Chunks of documents send the names of t
 names, and learn which of them more than one document has.  A window that holds the evidence of a name of one
 document only is no repeat; names of the next level are asked for only where windows are left.  So names shared at
 all levels reveal the long repeats, level after level with fewer questions.  Evidence grows by about four words a
-level, and rounds end where it no longer fits a window (`levels_of`).  What is left is verified by 128-bit
+level, and rounds end where it no longer fits a window (`levels_of`).  What is left is verified by 104-bit
 fingerprints of the windows' words, with the smallest document id that has them.  Two symbols of one name (a
 collision) can only leave a window to the verification, never drop one.
 
@@ -25,6 +25,8 @@ looked at, whatever their names.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +35,8 @@ from pyspark.sql import functions as F
 from quillon.llm import common as C
 from quillon.llm import exchange as X
 
-_LAST = np.iinfo(np.int64).max
+#: Bytes of a fingerprint's second part; the first has 8.
+TWO = 5
 _SIDE, _RUN, _PAIR = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
 
@@ -127,8 +130,21 @@ def _sorted(table: pa.Table) -> pa.Table:
     return table.select(["_id", "_text", "_chunk"]).sort_by([("_id", "ascending"), ("_text", "ascending")]).combine_chunks()
 
 
-def _ids(table: pa.Table) -> np.ndarray:
-    return table["_id"].combine_chunks().fill_null(_LAST).to_numpy(zero_copy_only=False) if len(table) else np.zeros(0, np.int64)
+class Ids(NamedTuple):
+    """How ids are sent: less the least id, in as few bytes as their range needs; all bits set for a null."""
+
+    least: int
+    width: int
+
+    @classmethod
+    def between(cls, least: int | None, most: int | None) -> Ids:
+        least, most = least or 0, most or 0
+        return cls(least, next(k for k in range(1, 9) if k == 8 or most - least < (1 << 8 * k) - 1))
+
+    def of(self, table: pa.Table) -> np.ndarray:
+        col = table["_id"].combine_chunks()
+        out = col.fill_null(0).to_numpy().view(np.uint64) - np.uint64(self.least % (1 << 64)) if len(col) else np.zeros(0, np.uint64)
+        return np.where(np.asarray(col.is_null()), np.uint64((1 << 8 * self.width) - 1), out)
 
 
 def _distinct_owner(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,10 +162,10 @@ def _distinct_owner(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np
 class _Chunk:
     """A chunk of documents: words, ids, and the windows that are left before a round."""
 
-    def __init__(self, table: pa.Table, width: int):
+    def __init__(self, table: pa.Table, width: int, ids: Ids):
         self.table, self.width = _sorted(table), width
         self.chunk = self.table["_chunk"][0].as_py()
-        self.words, self.ids = C.Words(self.table["_text"]), _ids(self.table)
+        self.words, self.ids = C.Words(self.table["_text"]), ids.of(self.table)
         self.h = self.words.hashes()
 
     def ask(self, alive: np.ndarray, x: Level, n_buckets: int) -> pa.Table:
@@ -168,16 +184,16 @@ class _Chunk:
         return without(alive, x, at[X.answers(told, 1)[inverse, 0] == 0], self.width), x
 
 
-def _ask_first(table: pa.Table, width: int, n_buckets: int) -> pa.Table:
-    c = _Chunk(table, width)
+def _ask_first(table: pa.Table, ids: Ids, width: int, n_buckets: int) -> pa.Table:
+    c = _Chunk(table, width, ids)
     return c.ask(window_starts(c.words.off, width), c.symbols(1), n_buckets)
 
 
-def _ask_next(table: pa.Table, told: pa.Table, width: int, level: int, n_buckets: int) -> pa.Table:
+def _ask_next(table: pa.Table, told: pa.Table, ids: Ids, width: int, level: int, n_buckets: int) -> pa.Table:
     """After the answers of the level before, the names of this one."""
     if not len(table):
         return X.empty()
-    c = _Chunk(table, width)
+    c = _Chunk(table, width, ids)
     alive, x = c.after(told, level - 1)
     return c.ask(alive, c.symbols(level, x), n_buckets)
 
@@ -197,7 +213,7 @@ def _tell_shared(table: pa.Table) -> pa.Table:
 def _fingerprints(h: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return C.rolling(h, width)[starts], C.rolling(C.mix(h ^ C.GOLDEN), width, 0xD1B54A32D192ED03)[starts]
+    return C.rolling(h, width)[starts], C.rolling(C.mix(h ^ C.GOLDEN), width, 0xD1B54A32D192ED03)[starts] & np.uint64((1 << 8 * TWO) - 1)
 
 
 def _distinct_windows(one: np.ndarray, two: np.ndarray, owner: np.ndarray):
@@ -212,37 +228,37 @@ def _distinct_windows(one: np.ndarray, two: np.ndarray, owner: np.ndarray):
     return a[first], b[first], least, inverse
 
 
-def _ask_windows(table: pa.Table, told: pa.Table, width: int, level: int, n_buckets: int) -> pa.Table:
+def _ask_windows(table: pa.Table, told: pa.Table, ids: Ids, width: int, level: int, n_buckets: int) -> pa.Table:
     if not len(table):
         return X.empty()
-    c = _Chunk(table, width)
+    c = _Chunk(table, width, ids)
     alive, _ = c.after(told, level)
     starts = np.flatnonzero(alive)
     a, b, least, _ = _distinct_windows(*_fingerprints(c.h, starts, width), c.ids[c.words.doc_of()[starts]])
-    return X.send(c.chunk, a, X.columns((a, 8), (b, 8), (least, 8)), n_buckets, alive)
+    return X.send(c.chunk, a, X.columns((a, 8), (b, TWO), (least, ids.width)), n_buckets, alive)
 
 
-def _tell_earlier(table: pa.Table) -> pa.Table:
+def _tell_earlier(table: pa.Table, ids: Ids) -> pa.Table:
     """Of each window sent: does a document of smaller id have it?"""
 
     def earlier(records: np.ndarray) -> np.ndarray:
-        own = X.column(records, 16, 8, "<i8")
-        _, _, least, inverse = _distinct_windows(X.column(records, 0, 8), X.column(records, 8, 8), own)
+        own = X.column(records, 8 + TWO, ids.width)
+        _, _, least, inverse = _distinct_windows(X.column(records, 0, 8), X.column(records, 8, TWO), own)
         return (least[inverse] < own).astype(np.uint8)[:, None]
 
-    return X.answer(table, 24, earlier)
+    return X.answer(table, 8 + TWO + ids.width, earlier)
 
 
-def _remove(table: pa.Table, told: pa.Table, width: int) -> pa.Table:
+def _remove(table: pa.Table, told: pa.Table, ids: Ids, width: int) -> pa.Table:
     out = {"_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_text": pa.string(), "removed_spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
     if not len(table):
         return pa.table({k: pa.array([], t) for k, t in out.items()})
     table = _sorted(table)
-    w, ids = C.Words(table["_text"]), _ids(table)
+    w = C.Words(table["_text"])
     gone = np.zeros(len(w.start) + 1, np.int64)
     starts = np.flatnonzero(X.marks(told, len(w.start)))
     if len(starts):
-        owner = ids[w.doc_of()[starts]]
+        owner = ids.of(table)[w.doc_of()[starts]]
         _, _, least, inverse = _distinct_windows(*_fingerprints(w.hashes(), starts, width), owner)
         hit = starts[(X.answers(told, 1)[inverse, 0] > 0) | (least[inverse] < owner)]
         np.add.at(gone, hit, 1)
@@ -267,7 +283,7 @@ def _remove(table: pa.Table, told: pa.Table, width: int) -> pa.Table:
     inner = np.r_[False, removed[1:] & removed[:-1], False] & bound if len(removed) else np.zeros(1, bool)
     s, e = np.flatnonzero((edge == 1) | inner), np.flatnonzero((edge == -1) | inner)
     doc = np.searchsorted(w.off, s, "right") - 1
-    spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(ids) + 1)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(s - w.off[doc]), pa.array(e - w.off[doc])], ["start", "end"]))
+    spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(table) + 1)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(s - w.off[doc]), pa.array(e - w.off[doc])], ["start", "end"]))
     return pa.table({"_id": table["_id"], "n_words": pa.array(w.n), "n_removed": pa.array(w.n - words_left), "kept_text": kept, "removed_spans": spans}).cast(pa.schema(list(out.items())))
 
 
@@ -278,21 +294,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     removed_spans (ranges of words).  Windows are judged on the input.  All passes over the texts read one
     shuffle of them, which Spark reuses.
     """
-    total = C.chunk_count(docs, text_col, 1)[1]
+    got = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("b"), F.min(F.col(id_col).cast("long")).alias("least"), F.max(F.col(id_col).cast("long")).alias("most")).first()
+    total, ids = got["b"], Ids.between(got["least"], got["most"])
     size = chunk_bytes or min(8 << 20, max(1 << 20, total // 2000))
     n, n_buckets, levels = max(1, -(-total // size)), max(1, -(-total // (8 * size))), levels or levels_of(width)
     rows = C.chunked(docs, id_col, text_col, n)
-    asked = rows.groupBy("_chunk").applyInArrow(C.tidy_group(lambda t: _ask_first(t, width, n_buckets)), X.BLOCK)
+    asked = rows.groupBy("_chunk").applyInArrow(C.tidy_group(lambda t: _ask_first(t, ids, width, n_buckets)), X.BLOCK)
 
     def with_answers(f, tell, out: str) -> DataFrame:
         told = asked.groupBy("_bucket").applyInArrow(C.tidy_group(tell), X.BLOCK)
         return rows.groupBy("_chunk").cogroup(told.groupBy("_chunk")).applyInArrow(C.tidy_pair(f), out)
 
     for level in range(2, levels + 1):
-        asked = with_answers(lambda t, r, level=level: _ask_next(t, r, width, level, n_buckets), _tell_shared, X.BLOCK)
-    asked = with_answers(lambda t, r: _ask_windows(t, r, width, levels, n_buckets), _tell_shared, X.BLOCK)
+        asked = with_answers(lambda t, r, level=level: _ask_next(t, r, ids, width, level, n_buckets), _tell_shared, X.BLOCK)
+    asked = with_answers(lambda t, r: _ask_windows(t, r, ids, width, levels, n_buckets), _tell_shared, X.BLOCK)
     schema = "_id long, n_words long, n_removed long, kept_text string, removed_spans array<struct<start:long,end:long>>"
-    return with_answers(lambda t, r: _remove(t, r, width), _tell_earlier, schema).withColumnRenamed("_id", id_col)
+    return with_answers(lambda t, r: _remove(t, r, ids, width), lambda t: _tell_earlier(t, ids), schema).withColumnRenamed("_id", id_col)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -4,11 +4,13 @@ A file is ids of 2 or 4 bytes, little-endian, each document closed by the end-of
 into blocks; a block's separators are found by one vector comparison.  A prefix scan over the blocks of a
 file (running maximum of separator positions, running count of separators) then gives each block the place
 where the document that runs into it began and the ordinal of its first document, so documents may span
-any number of blocks.  Blocks are the unit of work; a file is never read by one task.
+any number of blocks.  Blocks are the unit of work; each is read once, by its own task, and the scan runs over one
+small row for each block, range by range (common.running), so no task gets a whole file or all of its separators.
 
 Defined results: two separators in a row are an empty document of 0 tokens; ids after the last separator are
 a document with complete = false; an empty file has none; a null text is an empty document; ids of the
-manifest may be null or repeat.
+manifest may be null or repeat; repeated rows are documents of their own; very long documents span blocks; an
+empty table gives no rows.  Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import common as C
@@ -76,9 +78,9 @@ def scan(files: DataFrame, end_id: int, block_ids: int = BLOCK_IDS) -> DataFrame
                     "ends": pa.array([here], pa.list_(pa.int64())), "n": pa.array([len(here)], pa.int64()), "last": pa.array([int(here[-1]) if len(here) else None], pa.int64()),
                 })
 
-    found = blocks.mapInArrow(C.tidy(find), "path string, n_ids long, block long, ends array<long>, n long, last long")
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    stitched = found.withColumns({"_from": F.coalesce(F.max("last").over(before) + 1, F.lit(0)), "_base": F.coalesce(F.sum("n").over(before), F.lit(0))})
+    found = C.materialize(blocks.mapInArrow(C.tidy(find), "path string, n_ids long, block long, ends array<long>, n long, last long"), "separators")
+    carried = C.running(found.select("path", "block", "n", "last"), ["path"], "block", {"_last": ("max", "last"), "_base": ("sum", "n")}).select("path", "block", F.coalesce(F.col("_last") + 1, F.lit(0)).alias("_from"), F.coalesce("_base", F.lit(0)).alias("_base"))
+    stitched = found.filter("n > 0").join(carried, ["path", "block"])
     closed = stitched.select("path", "_base", "_from", "ends", F.posexplode("ends").alias("_k", "_end")).select(
         "path", (F.col("_base") + F.col("_k")).alias("ordinal"),
         F.when(F.col("_k") == 0, F.col("_from")).otherwise(F.try_element_at("ends", F.greatest(F.col("_k"), F.lit(1))) + 1).alias("start"), "_end",
@@ -87,6 +89,14 @@ def scan(files: DataFrame, end_id: int, block_ids: int = BLOCK_IDS) -> DataFrame
     return closed.unionByName(rest.select("path", "ordinal", "start", (F.col("_n") - F.col("start")).alias("n_tokens"), F.lit(False).alias("complete")))
 
 
+def end_of(vocabulary: str, token: str = "<|endoftext|>") -> int:
+    """The id of a vocabulary's end-of-document token."""
+    found = encoder(vocabulary, True).tok.token_to_id(token)
+    if found is None:
+        raise ValueError(f"{vocabulary} has no token {token}")
+    return found
+
+
 def count_documents(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
     """doc_id, n_tokens, file and ordinal of each document, counted in the flat files that are written first."""
     manifest = write_flat(docs, folder or C.new_path(docs.sparkSession, "flat"), vocabulary, end_id)

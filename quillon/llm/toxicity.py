@@ -11,10 +11,12 @@ The classifier is fitted on a bounded sample of labelled rows: TRAIN_ROWS rows a
 about, chosen by a hash of the id.  Every whole text is scored where it lies, without a shuffle; what is
 broadcast is the model, of at most MAX_FEATURES weights.
 
-Defined results: a null or empty text has no features and gets the score of the intercept, at least 0 and
-under the threshold; labels that are null, or of no document, are not used; a null id is not held out;
-repeated rows are scored alike.  Without toxic and other labels the score is the share of toxic labels
-(0 if there are none).  Other columns are not looked at.
+Defined results: a null or empty text has no features and gets the score of the intercept, between 0 and 1 (under
+the threshold as long as well under a third of the labelled texts are toxic); labels that are null, or of no
+document, are not used; a null id is not held out; repeated rows are scored alike, and equal rows of one id are
+fitted on once; very long texts are scored whole.  Without toxic and other labels the score is the share of toxic
+labels (0 if there are none).  An empty table gives an empty result.  Other columns are not looked at, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -113,6 +115,22 @@ def _swapped(w: C.Words, found: np.ndarray, sets: Sequence[Sequence[str]]) -> np
     return out
 
 
+def objective(weight: np.ndarray, bias: float, toxic: np.ndarray, has: tuple, twin_has: tuple, is_twin: np.ndarray, balance: float, ridge: float) -> tuple[float, np.ndarray, float]:
+    """(loss, its gradient by the weights, by the intercept).  has, twin_has: (text, weight) of the features of texts and twins.
+
+    The loss is the mean of the log loss and of `balance` times the squared difference of a text's and its twin's
+    log-odds, and a ridge on the weights.
+    """
+    n, (row, col), (trow, tcol) = len(toxic), has, twin_has
+    z = bias + np.bincount(row, weight[col], minlength=n)
+    p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    d = np.where(is_twin, z - bias - np.bincount(trow, weight[tcol], minlength=n), 0.0)
+    g = p - toxic
+    grad = (np.bincount(col, g[row] + 2 * balance * d[row], minlength=len(weight)) - 2 * balance * np.bincount(tcol, d[trow], minlength=len(weight))) / n + ridge * weight / 100
+    loss = (np.logaddexp(0, z) - toxic * z + balance * d * d).mean() + ridge / 200 * (weight @ weight)
+    return float(loss), grad, float(g.mean())
+
+
 def fit(texts: pa.Array, toxic: np.ndarray, identity: Sequence[Sequence[str]] = IDENTITY, balance: float = 1.0, ridge: float = 0.02, steps: int = 400) -> Model:
     """Fit the weights on labelled texts."""
     n, base = len(toxic), float(toxic.mean()) if len(toxic) else 0.0
@@ -166,12 +184,9 @@ def fit(texts: pa.Array, toxic: np.ndarray, identity: Sequence[Sequence[str]] =
     weight, bias = np.zeros(len(keys)), float(np.log(base / (1 - base)))
     m, v, mb, vb, rate = np.zeros(len(keys)), np.zeros(len(keys)), 0.0, 0.0, 0.1
     for step in range(1, steps + 1):
-        z = bias + np.bincount(row, weight[col], minlength=n)
-        g = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - toxic
-        d = np.where(is_twin, z - bias - np.bincount(trow, weight[tcol], minlength=n), 0.0)
-        grad = (np.bincount(col, g[row] + 2 * balance * d[row], minlength=len(keys)) - 2 * balance * np.bincount(tcol, d[trow], minlength=len(keys))) / n + ridge * weight / 100
+        _, grad, gb = objective(weight, bias, toxic, (row, col), (trow, tcol), is_twin, balance, ridge)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-        mb, vb = 0.9 * mb + 0.1 * g.mean(), 0.99 * vb + 0.01 * g.mean() ** 2
+        mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
         fix = np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
         now = rate * (1 if step < steps // 2 else 0.2)
         weight -= now * fix * m / (np.sqrt(v) + 1e-8)
@@ -192,18 +207,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     order = F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1 << 30))
     few = known.filter(order < F.lit(int(min(1.0, share) * (1 << 30)))).limit(2 * TRAIN_ROWS)
     mine = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(few), "_id")  # at most 2 * TRAIN_ROWS rows
-    size = mine.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)).alias("b")).first()["b"]
-    if size > TRAIN_BYTES:
-        mine = mine.filter(F.pmod(F.xxhash64("_id", F.lit(12)), F.lit(1 << 30)) < F.lit(int(TRAIN_BYTES / size * (1 << 30))))
+    # an id may repeat: equal rows count once, and the rest is thinned by a hash of id and text
+    mine = mine.groupBy("_id", "_y", F.xxhash64("_text").alias("_k")).agg(F.min("_text").alias("_text"))
+    got = mine.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    part = min(1.0, TRAIN_BYTES / max(1, got["b"]), 2 * TRAIN_ROWS / max(1, got["n"]))
+    if part < 1:
+        mine = mine.filter(F.pmod(F.xxhash64("_id", "_k", F.lit(12)), F.lit(1 << 30)) < F.lit(int(part * (1 << 30))))
 
     def fit_one(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("_id", "ascending")]).combine_chunks()
+        t = t.sort_by([("_id", "ascending"), ("_k", "ascending"), ("_y", "ascending")]).combine_chunks()
         C.trim(now=True)
         model = fit(t["_text"].combine_chunks().cast(pa.large_string()).fill_null(""), t["_y"].to_numpy().astype(float).clip(0, 1), identity, balance)
         C.trim(now=True)
         return pa.table({"model": pa.array([np.r_[model.keys.view(np.float64), model.weights, model.bias].tobytes()], pa.binary())})
 
-    got = mine.select("_id", "_text", "_y", F.lit(0).alias("_all")).groupBy("_all").applyInArrow(fit_one, "model binary").collect()
+    got = mine.select("_id", "_k", "_text", "_y", F.lit(0).alias("_all")).groupBy("_all").applyInArrow(fit_one, "model binary").collect()
     if not got:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -40.0)
     raw = np.frombuffer(got[0]["model"], np.float64)

@@ -73,3 +73,35 @@ def cosine_links(vectors, threshold=0.9):
         if (new == label).all():
             return near.sum(axis=1), label
         label = new
+
+
+def diagonal_overlaps(docs, items, masks_for, least=13, share=0.8, penalty=3, seeded=True):
+    """Best (matching words, -words, -start, item start) of each document row and item id, over all diagonals one by one."""
+    out = {}
+    for row, (doc, text) in enumerate(docs):
+        a = words(lower(text))
+        for item, item_text in items:
+            b = words(lower(item_text))
+            best = None
+            for shift in range(-len(b) + 1, len(a)) if a and b else []:
+                same = [0 <= j + shift < len(a) and a[j + shift] == b[j] for j in range(len(b))]
+                hit = any(0 <= j + shift and j + shift + len(m) <= len(a) and all(same[j + k] for k in range(len(m)) if m[k] == "1") for m in masks_for(len(b)) for j in range(len(b) - len(m) + 1))
+                if seeded and not hit:
+                    continue
+                top, got = 0, None
+                for i in range(len(b)):
+                    score = 0
+                    for j in range(i, len(b)):
+                        score += 1 if same[j] else -penalty
+                        if score > top or (score == top and got and j - i < got[1] - got[0] and j + 1 == got[1]):
+                            top, got = score, (i, j + 1)
+                if got is None:
+                    continue
+                i, j = got
+                n = sum(same[i:j])
+                if n >= max(1, min(least, -int(-share * len(b) // 1))):
+                    cand = (n, i - j, -(i + shift), i)
+                    best = cand if best is None or cand > best else best
+            if best and (out.get((row, item)) is None or best > out[row, item]):
+                out[row, item] = best
+    return out
