@@ -8,6 +8,7 @@ Rows without an id are never dropped by id; an empty table passes through every
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillon.llm import common, decontaminate, id_files, mixing, ngram_join, queries, toxicity
 
@@ -18,8 +19,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under the threshold of the toxicity classifier."""
-    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model, score_col="_quillon_score").filter(f"_quillon_score < {toxicity.THRESHOLD}").drop("_quillon_score")
+    model, score = toxicity.train(docs, _table(spark, sf_dir, "labels")), common.free_name(docs, "_score")
+    return toxicity.scored(docs, model, score_col=score).filter(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
