@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
@@ -34,10 +34,11 @@ def detector(name: str):
 
 
 class Pair:
-    """Snapshots, and the pairs (pair_id, old_id, new_id) to compare."""
+    """Snapshots, and the pairs (pair_id, old_id, new_id) to compare.  store: writes a relation that many detectors read."""
 
-    def __init__(self, snapshots: DataFrame, pairs: DataFrame):
-        self.snapshots, self.pairs = snapshots, pairs
+    def __init__(self, snapshots: DataFrame, pairs: DataFrame, store: Callable[[DataFrame, str], DataFrame] | None = None):
+        self.snapshots, self.pairs, self.store = snapshots, pairs, store
+        self._kept: dict[tuple, DataFrame] = {}
 
     def documents(self, side: str) -> DataFrame:
         return self.pairs.select("pair_id", F.col(f"{side}_id").alias("snapshot_id")).join(self.snapshots, "snapshot_id")
@@ -47,9 +48,12 @@ class Pair:
 
     def unique(self, side: str, name: str, key: str) -> DataFrame:
         """Rows by key, the first of a repeated key."""
-        rows = self.rows(side, name)
-        rest = [c for c in rows.columns if c not in ("pair_id", key)]
-        return rows.groupBy("pair_id", key).agg(F.min_by(F.struct(*rest), "ordinal").alias("_r")).select("pair_id", key, "_r.*")
+        if (side, name, key) not in self._kept:
+            rows = self.rows(side, name)
+            rest = [c for c in rows.columns if c not in ("pair_id", key)]
+            made = rows.groupBy("pair_id", key).agg(F.min_by(F.struct(*rest), "ordinal").alias("_r")).select("pair_id", key, "_r.*")
+            self._kept[side, name, key] = self.store(made, name) if self.store else made
+        return self._kept[side, name, key]
 
     def nested(self, side: str, name: str, key: str, member: str) -> DataFrame:
         """Members of the nested list `member`, with its owner's key and whether the owner is on both sides."""
@@ -112,6 +116,12 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def paired(lost: DataFrame, found: DataFrame, on: Sequence[str], left: str, right: str) -> DataFrame:
+    """One to one: the k-th lost of a key (by name) with its k-th found, so that no row is used twice."""
+    nth = lambda df, c: df.withColumn("_nth", F.row_number().over(Window.partitionBy(*on).orderBy(c)))
+    return nth(lost, left).join(nth(found, right), [*on, "_nth"]).drop("_nth")
+
+
 # ---------------------------------------------------------------- functions
 
 
@@ -240,7 +250,7 @@ def fields(p: Pair) -> DataFrame:
     here = lambda df: df.select("pair_id", "type_key", "name")
     lost, found = old.join(here(new), ["pair_id", "type_key", "name"], "left_anti"), new.join(here(old), ["pair_id", "type_key", "name"], "left_anti")
     on_ = ["pair_id", "type_key", "offset_bits", "type"]
-    pairs = lost.select(*on_, F.col("name").alias("old_value")).join(found.select(*on_, F.col("name").alias("new_value")), on_).filter("offset_bits is not null")
+    pairs = paired(lost.select(*on_, F.col("name").alias("old_value")), found.select(*on_, F.col("name").alias("new_value")), on_, "old_value", "new_value").filter("offset_bits is not null")
     renamed = pairs.select("pair_id", F.lit("field_renamed").alias("kind"), F.concat_ws("::", "type_key", "old_value").alias("symbol"), "old_value", "new_value")
     old = old.join(pairs.select("pair_id", "type_key", F.col("old_value").alias("name"), F.lit(True).alias("_renamed")), ["pair_id", "type_key", "name"], "left")
     new = new.join(pairs.select("pair_id", "type_key", F.col("new_value").alias("name"), F.lit(True).alias("_renamed")), ["pair_id", "type_key", "name"], "left")
@@ -280,7 +290,7 @@ def enums(p: Pair) -> DataFrame:
     key = ["pair_id", "type_key", "name"]
     lost, found = old.join(new.select(*key), key, "left_anti"), new.join(old.select(*key), key, "left_anti")
     at = ["pair_id", "type_key", "value"]
-    pairs = lost.select(*at, F.col("name").alias("old_value")).join(found.select(*at, F.col("name").alias("new_value")), at)
+    pairs = paired(lost.select(*at, F.col("name").alias("old_value")), found.select(*at, F.col("name").alias("new_value")), at, "old_value", "new_value")
     renamed = pairs.select("pair_id", F.lit("enum_member_renamed").alias("kind"), F.concat_ws("::", "type_key", "old_value").alias("symbol"), "old_value", "new_value")
     mark = lambda df, c: df.join(pairs.select("pair_id", "type_key", F.col(c).alias("name"), F.lit(True).alias("_renamed")), key, "left")
 
@@ -353,10 +363,14 @@ def _requirements(p: Pair) -> DataFrame:
     return compared(old, new, ["lib", "tag"], "tag", lambda o, n: [(F.when(fine(n), "symbol_version_required_added_compat").otherwise("symbol_version_required_added"), came(o, n), None, F.col("lib")), ("symbol_version_required_removed", gone(o, n), F.col("lib"), None)])
 
 
+def floor_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Highest parseable tag of each library and prefix rose; rows: pair_id, lib, prefix, tag and v (tag_version)."""
+    top = lambda df: df.filter("v is not null").groupBy("pair_id", "lib", "prefix").agg(F.max("v").alias("v"), F.max_by("tag", "v").alias("tag"))
+    return compared(top(old), top(new), ["lib", "prefix"], "lib", lambda o, n: [("runtime_floor_raised", both(o, n) & (n("v") > o("v")), o("tag"), n("tag"))])
+
+
 def _floors(p: Pair) -> DataFrame:
-    """Highest parseable tag of each library and prefix rose."""
-    top = lambda side: _required(p, side).filter("v is not null").groupBy("pair_id", "lib", "prefix").agg(F.max("v").alias("v"), F.max_by("tag", "v").alias("tag"))
-    return compared(top("old"), top("new"), ["lib", "prefix"], "lib", lambda o, n: [("runtime_floor_raised", both(o, n) & (n("v") > o("v")), o("tag"), n("tag"))])
+    return floor_changes(_required(p, "old"), _required(p, "new"))
 
 
 @detector("elf_symbols")
@@ -384,12 +398,16 @@ def elf_symbols(p: Pair) -> DataFrame:
     return own.unionByName(compared(nodes("old"), nodes("new"), ["key"], "key", lambda o, n: [("symbol_version_node_removed", gone(o, n), o("some"), None)]))
 
 
+def import_rules(o, n):
+    return [("imported_symbol_added", came(o, n) & (n("binding") != "weak"), None, n("version")), ("imported_symbol_removed", gone(o, n), o("version"), None), ("imported_symbol_added", both(o, n) & (o("binding") == "weak") & (n("binding") != "weak"), F.lit("weak"), F.lit("(weak→strong)"))]
+
+
 @detector("elf_imports")
 def elf_imports(p: Pair) -> DataFrame:
     """Imports, where both sides have a recorded binary."""
     have = p.documents("old").filter("elf is not null").select("pair_id").join(p.documents("new").filter("elf is not null").select("pair_id"), "pair_id", "left_semi")
     imp = lambda side: p.unique(side, "elf_imports", "name").join(have, "pair_id", "left_semi")
-    return compared(imp("old"), imp("new"), ["name"], "name", lambda o, n: [("imported_symbol_added", came(o, n) & (n("binding") != "weak"), None, n("version")), ("imported_symbol_removed", gone(o, n), o("version"), None), ("imported_symbol_added", both(o, n) & (o("binding") == "weak") & (n("binding") != "weak"), F.lit("weak"), F.lit("(weak→strong)"))])
+    return compared(imp("old"), imp("new"), ["name"], "name", import_rules)
 
 
 def kabi_rules(o, n):
@@ -443,10 +461,21 @@ def type_spellings(p: Pair) -> DataFrame:
 
 @detector("integer_model")
 def integer_model(p: Pair) -> DataFrame:
-    """Integer widths flipped across the surface: at least 4 slots and half of those compared."""
-    ints = lambda side, tag: _slots(p, side).select("pair_id", "slot", T.integer_width(F.col("type"))["bits"].alias(tag)).filter(f"{tag} is not null")
-    both_ = ints("old", "a").join(ints("new", "b"), ["pair_id", "slot"]).groupBy("pair_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") != F.col("b")).alias("flips"), F.count_if(F.col("b") > F.col("a")).alias("ups"))
-    return both_.filter("flips >= 4 and flips * 2 >= n").select("pair_id", F.lit("integer_model_changed").alias("kind"), F.lit("integer model").alias("symbol"), F.col("n").cast("string").alias("old_value"), F.when(F.col("ups") * 2 >= F.col("flips"), "wider").otherwise("narrower").alias("new_value"))
+    """Integer widths flipped across the surface: at least 4 slots and half of those compared, or an integer typedef.
+
+    The model is LLP64 (long has 32 bits) if a side is a PE image, else LP64.
+    """
+    pe = p.documents("old").select("pair_id", (F.col("platform") == "pe").alias("_pe")).unionByName(p.documents("new").select("pair_id", (F.col("platform") == "pe").alias("_pe"))).groupBy("pair_id").agg(F.coalesce(F.max("_pe"), F.lit(False)).alias("_pe"))
+    bits = lambda c: F.when(F.col("_pe"), T.integer_width(c, "LLP64")["bits"]).otherwise(T.integer_width(c)["bits"])
+    wide = lambda df, c, tag: df.join(pe, "pair_id").withColumn(tag, bits(F.col(c))).filter(F.col(tag).isin(32, 64)).drop("_pe", c)
+    functions = lambda side: _slots(p, side).filter(F.contains("slot", F.lit("()")) | F.contains("slot", F.lit("#")))
+    slots = wide(functions("old"), "type", "a").join(wide(functions("new"), "type", "b"), ["pair_id", "slot"]).select("pair_id", "a", "b", F.lit(False).alias("_alias"))
+    named = lambda side: p.map(side, "typedefs").filter(F.col("key").rlike("_INT|_int|INT_T"))
+    aliases = wide(named("old"), "value", "a").join(wide(named("new"), "value", "b"), ["pair_id", "key"]).select("pair_id", "a", "b", F.lit(True).alias("_alias"))
+    flip, alias = F.col("a") != F.col("b"), F.col("_alias")
+    got = slots.unionByName(aliases).groupBy("pair_id").agg(F.count_if(~alias).alias("n"), F.count_if(flip & ~alias).alias("flips"), F.count_if(flip & alias).alias("aliases"), F.count_if(F.col("b") > F.col("a")).alias("ups"), F.count_if(F.col("b") < F.col("a")).alias("downs"))
+    hit = got.filter("(flips >= 4 and flips * 2 >= n) or aliases > 0")
+    return hit.select("pair_id", F.lit("integer_model_changed").alias("kind"), F.lit("__integer_model").alias("symbol"), F.concat(F.col("downs").cast("string"), F.lit(" narrowing / "), F.col("ups").cast("string"), F.lit(" widening transitions")).alias("old_value"), F.when(F.col("ups") >= F.col("downs"), "wider").otherwise("narrower").alias("new_value"))
 
 
 def _removed_added(p: Pair) -> tuple[DataFrame, DataFrame]:
@@ -463,10 +492,34 @@ def _keyed_renames(p: Pair, key: Column, kind: str, only: Column) -> DataFrame:
     return pick(gone_, "old_value").join(pick(came_, "new_value"), ["pair_id", "_k"]).select("pair_id", F.lit(kind).alias("kind"), F.col("old_value").alias("symbol"), "old_value", "new_value")
 
 
+#: An ABI tag in a mangled name: B, the length of the tag, and as many characters.
+ABI_TAG = "B(?:" + "|".join(f"{n}[A-Za-z_]\\w{{{n - 1}}}" for n in range(1, 61)) + ")"
+CXX11 = "__cxx11|B5cxx11"
+
+
+def _dual_abi(gone_: DataFrame, came_: DataFrame) -> DataFrame:
+    """pair_id and marked names of pairs that went from one std::string to the other: 5 removed and 5 added at least, 30 % of them marked."""
+    marked = F.count_if(F.col("mangled").rlike(CXX11)).alias("_m")
+    n = lambda df, c: df.groupBy("pair_id").agg(F.count(F.lit(1)).alias(c), marked.alias(f"{c}_m"))
+    both_ = n(gone_, "r").join(n(came_, "a"), "pair_id")
+    return both_.filter("r >= 5 and a >= 5 and r_m + a_m > 0 and (r_m + a_m) >= 0.3 * (r + a)").select("pair_id", F.col("r_m").cast("string").alias("old_value"), F.col("a_m").cast("string").alias("new_value"))
+
+
+@detector("glibcxx_dual_abi")
+def glibcxx_dual_abi(p: Pair) -> DataFrame:
+    """The surface went from one libstdc++ string ABI to the other."""
+    return _dual_abi(*_removed_added(p)).select("pair_id", F.lit("glibcxx_dual_abi_flip_detected").alias("kind"), F.lit("__glibcxx_dual_abi").alias("symbol"), "old_value", "new_value")
+
+
 @detector("abi_tags")
 def abi_tags(p: Pair) -> DataFrame:
-    """[abi:tag] of a mangled name (B and a length) came, went or changed."""
-    return _keyed_renames(p, F.regexp_replace("mangled", r"B\d+[A-Za-z_]\w*?(?=[EIv]|$)", ""), "abi_tag_changed", F.col("mangled").rlike("^_Z"))
+    """ABI tags of a mangled name came, went or changed; each added symbol is used once; silent under a dual-ABI flip."""
+    gone_, came_ = _removed_added(p)
+    base = lambda df, c: df.filter(F.startswith("mangled", F.lit("_Z"))).select("pair_id", F.regexp_replace("mangled", ABI_TAG, "").alias("_base"), F.col("mangled").alias(c))
+    tags = lambda c: F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(f"({ABI_TAG})"), F.lit(1))))
+    pairs = paired(base(gone_, "old_value"), base(came_, "new_value"), ["pair_id", "_base"], "old_value", "new_value").filter(tags("old_value") != tags("new_value"))
+    quiet = pairs.join(_dual_abi(gone_, came_).select("pair_id"), "pair_id", "left_anti")
+    return quiet.select("pair_id", F.lit("abi_tag_changed").alias("kind"), F.col("old_value").alias("symbol"), "old_value", "new_value")
 
 
 @detector("long_double")
@@ -485,13 +538,15 @@ def namespaces(p: Pair) -> DataFrame:
         stem = F.regexp_replace(F.regexp_replace("name", exp, "$1"), r"(^|::)v\d+::", "$1")
         return names(side).groupBy("pair_id", stem.alias("stem")).agg(F.max(F.col("name").rlike(exp)).alias("exp"), F.max(~F.col("name").rlike(exp)).alias("stable"), F.max(F.regexp_extract("name", r"(?:^|::)v(\d{1,6})::", 1).try_cast("int")).alias("version"))
 
-    def rules(o, n):
-        return [
-            ("experimental_graduated", both(o, n) & o("exp") & ~o("stable") & n("exp") & n("stable"), None, F.col("stem")), ("experimental_removed_without_replacement", gone(o, n) & o("exp") & ~o("stable"), F.col("stem"), None),
-            ("inline_namespace_version_bumped", both(o, n) & known(o, n, "version") & (n("version") > o("version")), o("version"), n("version")),
-        ]
+    return compared(stems("old"), stems("new"), ["stem"], "stem", namespace_rules)
+
 
-    return compared(stems("old"), stems("new"), ["stem"], "stem", rules)
+def namespace_rules(o, n):
+    """Of a stem: is it experimental, stable, and its highest inline version."""
+    return [
+        ("experimental_graduated", both(o, n) & o("exp") & ~o("stable") & n("exp") & n("stable"), None, F.col("stem")), ("experimental_removed_without_replacement", gone(o, n) & o("exp") & ~o("stable"), F.col("stem"), None),
+        ("inline_namespace_version_bumped", both(o, n) & known(o, n, "version") & (n("version") > o("version")), o("version"), n("version")),
+    ]
 
 
 @detector("versioned_scheme")

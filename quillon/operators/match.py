@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.storage import materialize
+
 
 def unique_pairs(removed: DataFrame, added: DataFrame, on: Sequence[str], left: str, right: str) -> DataFrame:
     """left, right of rows that agree on `on` and are the only ones of it on their sides.
@@ -34,41 +36,77 @@ def band_join(a: DataFrame, b: DataFrame, x: str, y: str, tolerance: float, low:
     return left.join(b.withColumn("_band", band(y)), "_band").filter(F.abs(F.col(x) - F.col(y)) <= F.lit(tolerance) * F.greatest(F.col(x), F.col(y))).drop("_band")
 
 
-def _greedy(tolerance: float, exact: bool):
-    """Old names in order take their one unused candidate, within one bucket of sizes."""
+#: Most pairs of old and new names for which sizes that differ a little are tried.
+PASS_THREE_PAIRS = 2_000_000
+
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        old = rows[rows.side == 0].sort_values("name")
-        new = rows[rows.side == 1].sort_values("name")
-        used, out = set(), []
-        for o in old.itertuples():
-            fits = [n for n in new.itertuples() if n.name not in used and (n.size == o.size and (not o.hash or not n.hash or o.hash == n.hash) if exact else abs(n.size - o.size) / max(n.size, o.size, 1) <= tolerance)]
-            if len(fits) == 1:
-                used.add(fits[0].name)
-                out.append((o.name, fits[0].name))
-        return pd.DataFrame(out, columns=["old_name", "new_name"])
+def _take_only(pairs: pd.DataFrame) -> pd.DataFrame:
+    """Of candidate pairs: old names in order take their one unused candidate, if exactly one is unused."""
+    used, out = set(), []
+    for old_name, mine in pairs.sort_values(["old_name", "new_name"]).groupby("old_name", sort=True):
+        free = [n for n in mine.new_name.unique() if n not in used]
+        if len(free) == 1:
+            used.add(free[0])
+            out.append((old_name, free[0]))
+    return pd.DataFrame(out, columns=["old_name", "new_name"])
 
-    return run
 
+def _same_size(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pass 2 without a name filter, by counts: what the walk over sorted old names comes to.
 
-def rename_match(old: DataFrame, new: DataFrame, least_size: int = 8) -> DataFrame:
+    After pass 1 no old name has exactly one new name of its own hash.  So a hashed old name can only take the one new
+    name without a hash of its size, and one without a hash only the last new name that is left of its size.
+    """
+    same = b.filter("hash <> ''").select("hash", "size").distinct()
+    news = b.groupBy("size").agg(F.count_if(F.col("hash") == "").alias("_p"), F.count_if(F.col("hash") != "").alias("_h"), F.min(F.when(F.col("hash") == "", F.col("name"))).alias("_plain"), F.min(F.when(F.col("hash") != "", F.col("name"))).alias("_hashed"))
+    free = a.filter("hash <> ''").join(same, ["hash", "size"], "left_anti").groupBy("size").agg(F.min("name").alias("_t"))
+    blank = a.filter("hash = ''").select("size", F.col("name").alias("_m"))
+    state = news.join(free, "size", "left").join(blank.groupBy("size").agg(F.min("_m").alias("_first")), "size", "left")
+    winner = F.when((F.col("_p") == 1) & (F.col("_h") == 0), F.least("_t", "_first")).when((F.col("_p") == 1) & (F.col("_h") > 0), F.col("_t")).when((F.col("_p") == 0) & (F.col("_h") == 1), F.col("_first"))
+    one = state.select(winner.alias("old_name"), F.when(F.col("_p") == 1, F.col("_plain")).otherwise(F.col("_hashed")).alias("new_name")).filter("old_name is not null")
+    late = state.filter("_p = 1 and _h = 1 and _t is not null").join(blank, "size").filter("_m > _t").groupBy("size", F.col("_hashed").alias("new_name")).agg(F.min("_m").alias("old_name"))
+    return one.unionByName(late.select("old_name", "new_name"))
+
+
+def rename_match(old: DataFrame, new: DataFrame, least_size: int = 8, tolerance: float = 0.05, similar: Column | None = None) -> DataFrame:
     """old_name, new_name, confidence for functions (name, size, hash) on one side only.
 
-    Pass 1: same non-empty hash and size, 1.0.  Pass 2: same size, hashes not both present and different,
-    0.8.  In each pass an old name, in sorted order, takes its candidate if exactly one is unused; a bucket
-    is one size, so buckets are small and independent.
+    Pass 1: same non-empty hash and size, 1.0.  Pass 2: same size, hashes not both present and different, and
+    `similar` (a condition on old_name and new_name, if given), 0.8.  Pass 3, if the candidates make at most
+    PASS_THREE_PAIRS pairs: sizes that differ by `tolerance` of the larger at most, 0.5.  In each pass old names, in
+    sorted order, take their candidate if exactly one is unused.
+
+    Passes 1 and 2 are aggregates and one-to-one joins.  With `similar`, pass 2 walks the pairs that it lets through
+    size by size; pass 3 walks its pairs in one task, which PASS_THREE_PAIRS bounds.
     """
-    a = old.join(new.select("name"), "name", "left_anti").filter(F.col("size") >= least_size).select("name", "size", F.coalesce("hash", F.lit("")).alias("hash"))
-    b = new.join(old.select("name"), "name", "left_anti").filter(F.col("size") >= least_size).select("name", "size", F.coalesce("hash", F.lit("")).alias("hash"))
-    # of one (hash, size) the first old name takes the candidate if it is the only one
+    fine = lambda df, other: df.join(other.select("name"), "name", "left_anti").filter(F.col("size") >= least_size).select("name", "size", F.coalesce("hash", F.lit("")).alias("hash"))
+    a, b = materialize(fine(old, new), "old_names"), materialize(fine(new, old), "new_names")
+    few = a.count() * b.count() <= PASS_THREE_PAIRS
+    schema = "old_name string, new_name string"
+
+    def left(one: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return tuple(df.join(one.select(F.col(c).alias("name")), "name", "left_anti") for df, c in ((a, "old_name"), (b, "new_name")))
+
+    # pass 1: of one hash and size the first old name takes the new one, if there is only one
     first = a.filter("hash <> ''").groupBy("hash", "size").agg(F.min("name").alias("old_name"))
     only = b.filter("hash <> ''").groupBy("hash", "size").agg(F.count(F.lit(1)).alias("_n"), F.min("name").alias("new_name")).filter("_n = 1")
-    one = first.join(only, ["hash", "size"]).select("old_name", "new_name", F.lit(1.0).alias("confidence"))
-    a2 = a.join(one.select(F.col("old_name").alias("name")), "name", "left_anti")
-    b2 = b.join(one.select(F.col("new_name").alias("name")), "name", "left_anti")
-    rows = a2.withColumn("side", F.lit(0)).unionByName(b2.withColumn("side", F.lit(1)))
-    two = rows.groupBy("size").applyInPandas(_greedy(0.0, True), "old_name string, new_name string").withColumn("confidence", F.lit(0.8))
-    return one.unionByName(two)
+    one = materialize(first.join(only, ["hash", "size"]).select("old_name", "new_name", F.lit(1.0).alias("confidence")), "renames")
+    a, b = left(one)
+    if similar is None:
+        two = _same_size(a, b)
+    else:
+        x, y = a.select("size", F.col("name").alias("old_name"), F.col("hash").alias("_ha")), b.select("size", F.col("name").alias("new_name"), F.col("hash").alias("_hb"))
+        near = x.join(y, "size").filter(similar & ((F.col("_ha") == "") | (F.col("_hb") == "") | (F.col("_ha") == F.col("_hb"))))
+        two = near.select("size", "old_name", "new_name").groupBy("size").applyInPandas(_take_only, schema)
+    two = materialize(two.withColumn("confidence", F.lit(0.8)), "renames")
+    out = one.unionByName(two)
+    if few:
+        a, b = left(two)
+        x, y = a.select(F.col("name").alias("old_name"), F.col("size").alias("_x")), b.select(F.col("name").alias("new_name"), F.col("size").alias("_y"))
+        three = band_join(x, y, "_x", "_y", tolerance, float(least_size))
+        three = three if similar is None else three.filter(similar)
+        out = out.unionByName(three.select("old_name", "new_name", F.lit(0).alias("_all")).groupBy("_all").applyInPandas(lambda t: _take_only(t), schema).withColumn("confidence", F.lit(0.5)))
+    return out
 
 
 def scheme_pairs(removed: DataFrame, added: DataFrame, name: str, key: Column, least_pairs: int = 3, least_share: float = 0.5) -> DataFrame:

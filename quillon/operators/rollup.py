@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -79,3 +79,15 @@ def sampled(col: Column | str, k: int = 5) -> Column:
 def coverage(expected: DataFrame, observed: DataFrame, key: Sequence[str], state: str = "state", good: str = "ok") -> DataFrame:
     """Expected keys that were not observed in a good state: missing or the state."""
     return expected.join(observed.select(*key, state), list(key), "left").filter(~F.col(state).eqNullSafe(F.lit(good))).select(*key, F.coalesce(F.col(state), F.lit("missing")).alias("failure"))
+
+
+def breakdown(df: DataFrame, by: Sequence[str], **counts: Column) -> DataFrame:
+    """by, n (rows) and for each name the rows of which its condition holds."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.count_if(c).alias(k) for k, c in counts.items()))
+
+
+def sessions(events: DataFrame, key: str, time: str, tie: str, gap: str) -> DataFrame:
+    """key, sessions and n: a session ends where the next event is more than `gap` (an interval) later."""
+    before = F.lag(time).over(Window.partitionBy(key).orderBy(time, tie))
+    starts = events.select(key, F.when(before.isNull() | (F.col(time) - before > F.expr(f"INTERVAL {gap}")), 1).otherwise(0).alias("_b"))
+    return starts.groupBy(key).agg(F.sum("_b").alias("sessions"), F.count(F.lit(1)).alias("n"))

@@ -42,34 +42,74 @@ def small(rules: DataFrame) -> DataFrame:
     return F.broadcast(rules) if rules.count() <= RULES_TO_SEND else rules
 
 
+#: Selectors of a rule, and what a table of rules that lacks one is taken to hold.
+SELECTORS = {"symbol": "string", "symbol_pattern": "string", "type_pattern": "string", "member_name": "string", "change_kind": "string", "source_glob": "string", "namespace": "string", "reachability": "string", "allow_public_break": "boolean"}
+#: Beginnings of kinds that concern types: what type_pattern may match.
+TYPE_KINDS = ("type_", "field_", "union_", "enum_", "typedef_", "base_class_", "virtual_base_", "vptr_", "tail_padding", "standard_layout", "trivially_copyable", "layout_", "source_level", "struct_")
+
+
+def is_type_kind(kind: Column) -> Column:
+    out = F.lit(False)
+    for p in TYPE_KINDS:
+        out = out | F.startswith(kind, F.lit(p))
+    return out
+
+
+def completed(rules: DataFrame) -> DataFrame:
+    """rules with every selector, null where the table has none."""
+    return rules.withColumns({c: F.lit(None).cast(t) for c, t in SELECTORS.items() if c not in rules.columns})
+
+
+def is_broad(prefix: str = "") -> Column:
+    """A rule that names no symbol, type or member."""
+    return F.coalesce(*(F.col(prefix + c) for c in ("symbol", "symbol_pattern", "type_pattern", "member_name"))).isNull()
+
+
 def matches(findings: DataFrame, rules: DataFrame, today: str) -> DataFrame:
     """All (finding, rule) pairs that match.
 
-    rules: rule_idx, symbol, symbol_pattern, change_kind, source_glob, namespace, expires; a null selector
-    matches all, an expired rule nothing.  Patterns match whole symbols.
+    rules: rule_idx, expires and any of SELECTORS; a null selector matches all, an expired rule nothing.  Patterns
+    match whole symbols (type_pattern: symbols of findings about types; member_name: what follows the last ::).
+    Rules that name a symbol, or else a kind, or else a namespace are equi-joined on it; only patterns and globs
+    without any of these are tried on every finding.
     """
-    f, r = findings.alias("f"), small(rules).alias("r")
+    rules = completed(rules).filter(F.col("expires").isNull() | (F.col("expires") >= F.lit(today).cast("date")))
+    f = findings if "source" in findings.columns else findings.withColumn("source", F.lit(None).cast("string"))
     glob = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("r.source_glob"), r"([.+^$(){}|\[\]\\])", r"\\$1"), r"\*", ".*"), r"\?", "."), F.lit("$"))
-    holds = (
-        (F.col("r.expires").isNull() | (F.col("r.expires") >= F.lit(today).cast("date")))
-        & (F.col("r.symbol").isNull() | (F.col("r.symbol") == F.col("f.symbol")))
+    whole = lambda text, pattern: F.col(pattern).isNull() | F.coalesce(F.regexp_like(text, F.concat(F.lit("^(?:"), F.col(pattern), F.lit(")$"))), F.lit(False))
+    rest = (
+        (F.col("r.symbol").isNull() | (F.col("r.symbol") == F.col("f.symbol")))
         & (F.col("r.change_kind").isNull() | (F.col("r.change_kind") == F.col("f.kind")))
-        & (F.col("r.symbol_pattern").isNull() | F.expr("f.symbol rlike concat('^(?:', r.symbol_pattern, ')$')"))
+        & whole(F.col("f.symbol"), "r.symbol_pattern")
+        & (F.col("r.type_pattern").isNull() | (is_type_kind(F.col("f.kind")) & whole(F.col("f.symbol"), "r.type_pattern")))
+        & whole(F.substring_index("f.symbol", "::", -1), "r.member_name")
         & (F.col("r.source_glob").isNull() | F.coalesce(F.regexp_like(F.col("f.source"), glob), F.lit(False)))
         & (F.col("r.namespace").isNull() | F.coalesce((F.col("f.symbol") == F.col("r.namespace")) | F.startswith(F.col("f.symbol"), F.concat("r.namespace", F.lit("::"))), F.lit(False)))
     )
-    return f.join(r, holds).select("f.*", "r.rule_idx", "r.expires")
+    take = [*(f"f.{c}" for c in findings.columns), "r.rule_idx", "r.expires", "r.allow_public_break", "r.reachability", "_is_broad"]
+    dealt = rules.withColumns({"_is_broad": is_broad(), "_by": F.when(F.col("symbol").isNotNull(), 0).when(F.col("change_kind").isNotNull(), 1).when(F.col("namespace").isNotNull(), 2).otherwise(3)})
+    left, right = f.alias("f"), [small(dealt.filter(F.col("_by") == k)).alias("r") for k in range(4)]
+    parts = F.split("symbol", "::")
+    up = f.withColumn("_ns", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "::"))))
+    out = left.join(right[0], (F.col("f.symbol") == F.col("r.symbol")) & rest).select(*take)
+    out = out.unionByName(left.join(right[1], (F.col("f.kind") == F.col("r.change_kind")) & rest).select(*take))
+    out = out.unionByName(up.alias("f").join(right[2], (F.col("f._ns") == F.col("r.namespace")) & rest).select(*take))
+    return out.unionByName(left.join(right[3], rest).select(*take))
 
 
 def suppressed(findings: DataFrame, rules: DataFrame, key: Sequence[str], today: str, public_break: Column | None = None) -> DataFrame:
-    """findings with rule_idx of the first rule that matches (null: none).
+    """findings with rule_idx of the first rule that matches (null: none), and `withheld_by` of one that a gate held back.
 
-    Where public_break holds, a rule without symbol is too broad to hide the finding; it is `withheld`.
+    Where public_break holds, a broad rule (is_broad) does not hide the finding unless it has allow_public_break.  A
+    rule's reachability is any, public-only or unreachable-only (null: any), judged by public_reachable.
     """
-    broad = rules.filter("symbol is null").select(F.col("rule_idx").alias("_broad"))
-    hit = matches(findings, rules, today).join(small(broad), F.col("rule_idx") == F.col("_broad"), "left")
-    held = F.lit(False) if public_break is None else public_break & F.col("_broad").isNotNull()
-    best = hit.groupBy(*key).agg(F.min(F.when(~held, F.col("rule_idx"))).alias("rule_idx"), F.min(F.when(held, F.col("rule_idx"))).alias("withheld_by"))
+    broken = F.lit(False) if public_break is None else F.coalesce(public_break, F.lit(False))
+    allowed = F.coalesce("allow_public_break", F.lit(False))
+    public = F.coalesce("public_reachable", F.lit(True)) if "public_reachable" in findings.columns else F.lit(True)
+    held = F.col("_is_broad") & broken & ~allowed
+    held = held | ((F.col("reachability") == "unreachable-only") & public & ~(broken & allowed)) | ((F.col("reachability") == "public-only") & ~public)
+    hit = matches(findings, rules, today).withColumn("_held", F.coalesce(held, F.lit(False)))
+    best = hit.groupBy(*key).agg(F.min(F.when(~F.col("_held"), F.col("rule_idx"))).alias("rule_idx"), F.min(F.when(F.col("_held"), F.col("rule_idx"))).alias("withheld_by"))
     return findings.join(best, list(key), "left").withColumn("disposition", F.when(F.col("rule_idx").isNotNull(), "suppressed").otherwise("active"))
 
 

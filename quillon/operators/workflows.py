@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -233,3 +235,21 @@ def mandatory_template_parameter(old: DataFrame, new: DataFrame) -> DataFrame:
 def fingerprint_renames(old: DataFrame, new: DataFrame) -> DataFrame:
     """Renames of functions known by size and hash only, as findings."""
     return match.rename_match(old, new).select(F.lit("func_likely_renamed").alias("kind"), F.col("old_name").alias("symbol"), F.col("old_name").alias("old_value"), F.col("new_name").alias("new_value"), "confidence")
+
+
+# ---------------------------------------------------------------- risk, matching of releases
+
+
+def path_risk(paths: DataFrame, by: Sequence[str], path: Column, weights: Sequence[tuple[Column, int]], other: int) -> DataFrame:
+    """by, score and n_paths: each path has the weight of the first condition that holds, a group its greatest."""
+    weight = F.lit(other)
+    for cond, w in reversed(weights):
+        weight = F.when(cond, w).otherwise(weight)
+    return paths.groupBy(*by).agg(F.max(weight).alias("score"), F.count(path).alias("n_paths"))
+
+
+def match_releases(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """key and state (matched, removed, added) of the libraries of two releases."""
+    side = lambda df, c: df.select(key).distinct().withColumn(c, F.lit(True))
+    both = side(old, "_o").join(side(new, "_n"), key, "full_outer")
+    return both.select(key, F.when(F.col("_n").isNull(), "removed").when(F.col("_o").isNull(), "added").otherwise("matched").alias("state"))

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators import diff, graph, match, rollup, rules
+from quillon.operators import detectors, detectors_more, diff, graph, match, rollup, rules, workflows
+from quillon.sources import readers
+from quillon.streaming import ingest
 
 FLAGSHIP = "keyed_diff_orders"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,18 +169,17 @@ def dedupe_first_wins(spark, d):
 @query("""WITH x AS (SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) k FROM events), y AS (SELECT event_id, CASE WHEN event_id % 6 = 0 THEN k + 1 WHEN event_id % 10 = 0 THEN NULL ELSE k END k2 FROM x)
 SELECT event_id, CAST(k AS VARCHAR) old_k, CAST(k2 AS VARCHAR) new_k FROM x JOIN y USING (event_id) WHERE k IS DISTINCT FROM k2""")
 def json_attr_diff(spark, d):
-    x = table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("old_k"))
-    return x.withColumn("new_k", F.when(F.col("event_id") % 6 == 0, F.col("old_k") + 1).when(F.col("event_id") % 10 != 0, F.col("old_k"))).filter(~F.col("old_k").eqNullSafe(F.col("new_k"))).select("event_id", F.col("old_k").cast("string"), F.col("new_k").cast("string"))
+    old = table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    new = old.select("event_id", F.when(F.col("event_id") % 6 == 0, F.col("k") + 1).when(F.col("event_id") % 10 != 0, F.col("k")).alias("k"))
+    return diff.keyed_diff(old, new, ["event_id"], ["k"]).select("event_id", F.col("old_value").alias("old_k"), F.col("new_value").alias("new_k"))
 
 
-@query("""WITH o AS (SELECT l_partkey s, min(l_returnflag) b FROM lineitem WHERE l_orderkey % 29 = 0 GROUP BY 1), n AS (SELECT l_partkey s, max(l_returnflag) b FROM lineitem WHERE l_orderkey % 31 = 0 GROUP BY 1)
-SELECT coalesce(o.s, n.s) symbol, CASE WHEN n.s IS NULL THEN 'removed' WHEN o.s IS NULL THEN 'added' ELSE 'strengthened' END change FROM o FULL JOIN n ON o.s = n.s WHERE n.s IS NULL OR (o.s IS NULL AND n.b <> 'N') OR (o.b = 'N' AND n.b <> 'N')""")
+@query("""WITH l AS (SELECT 's' || (l_partkey * 10 + l_linenumber) s, CASE WHEN l_returnflag = 'N' THEN 'weak' ELSE 'global' END b, l_orderkey % 2 side FROM lineitem), o AS (SELECT s, max(b) b FROM l WHERE side = 0 GROUP BY 1), n AS (SELECT s, min(b) b FROM l WHERE side = 1 GROUP BY 1)
+SELECT coalesce(o.s, n.s) symbol, CASE WHEN n.s IS NULL THEN 'imported_symbol_removed' ELSE 'imported_symbol_added' END kind FROM o FULL JOIN n ON o.s = n.s WHERE n.s IS NULL OR (o.s IS NULL AND n.b <> 'weak') OR (o.b = 'weak' AND n.b <> 'weak')""")
 def import_set_diff(spark, d):
-    l = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("symbol"), F.col("l_returnflag").alias("b"))
-    a = l.filter("l_orderkey % 29 = 0").groupBy("symbol").agg(F.min("b").alias("old_b"), F.lit(True).alias("_o"))
-    b = l.filter("l_orderkey % 31 = 0").groupBy("symbol").agg(F.max("b").alias("new_b"), F.lit(True).alias("_n"))
-    change = F.when(F.col("_n").isNull(), "removed").when(F.col("_o").isNull() & (F.col("new_b") != "N"), "added").when((F.col("old_b") == "N") & (F.col("new_b") != "N"), "strengthened")
-    return a.join(b, "symbol", "full_outer").select("symbol", change.alias("change")).filter("change is not null")
+    l = table(spark, d, "lineitem").select((F.col("l_orderkey") % 2).alias("side"), F.concat(F.lit("s"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).cast("string")).alias("name"), F.when(F.col("l_returnflag") == "N", "weak").otherwise("global").alias("b"))
+    side = lambda k, pick: l.filter(f"side = {k}").groupBy(F.lit("0").alias("pair_id"), "name").agg(pick("b").alias("binding"), F.lit("").alias("version"))
+    return detectors.compared(side(0, F.max), side(1, F.min), ["name"], "name", detectors.import_rules).select("symbol", "kind")
 
 
 # ------------------------------------------------------------------ rules
@@ -220,22 +221,21 @@ def version_floor_check(spark, d):
     return table(spark, d, "part").select(k.alias("k"), rules.with_floor(F.lit("floor"), tag, F.lit("GLIBC_2.17")).alias("verdict"))
 
 
-@query("""WITH t AS (SELECT l_suppkey lib, l_orderkey % 2 side, l_partkey % 3 + 1 maj, l_partkey % 30 mnr FROM lineitem WHERE l_orderkey % 101 IN (0, 1)), m AS (SELECT lib, side, max(maj * 1000 + mnr) v FROM t GROUP BY 1, 2)
-SELECT a.lib, a.v // 1000 || '.' || a.v % 1000 old_max, b.v // 1000 || '.' || b.v % 1000 new_max FROM m a JOIN m b ON a.lib = b.lib AND a.side = 0 AND b.side = 1 WHERE b.v > a.v""")
+@query("""WITH t AS (SELECT l_suppkey || '/' || l_partkey % 1000 lib, l_orderkey % 2 side, l_partkey % 3 + 1 maj, l_linenumber * 3 + l_partkey % 2 mnr FROM lineitem), m AS (SELECT lib, side, max(maj * 1000 + mnr) v FROM t GROUP BY 1, 2)
+SELECT a.lib, 'LIB_' || a.v // 1000 || '.' || a.v % 1000 old_max, 'LIB_' || b.v // 1000 || '.' || b.v % 1000 new_max FROM m a JOIN m b ON a.lib = b.lib AND a.side = 0 AND b.side = 1 WHERE b.v > a.v""")
 def runtime_floor_rollup(spark, d):
-    tag = F.concat(F.lit("LIB_"), (F.col("l_partkey") % 3 + 1).cast("string"), F.lit("."), (F.col("l_partkey") % 30).cast("string"))
-    t = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("lib"), (F.col("l_orderkey") % 2).alias("side"), T.tag_version(tag).alias("v"), (F.col("l_orderkey") % 101).isin(0, 1).alias("_in")).filter("_in")
-    m = t.groupBy("lib").agg(F.max(F.when(F.col("side") == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("v"))).alias("b"))
-    dotted = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ".")
-    return m.filter("a is not null and b > a").select("lib", dotted(F.col("a")).alias("old_max"), dotted(F.col("b")).alias("new_max"))
+    p = F.col("l_partkey")
+    tag = F.concat(F.lit("LIB_"), (p % 3 + 1).cast("string"), F.lit("."), (F.col("l_linenumber") * 3 + p % 2).cast("string"))
+    t = table(spark, d, "lineitem").select(F.lit("0").alias("pair_id"), (F.col("l_orderkey") % 2).alias("side"), F.concat_ws("/", F.col("l_suppkey").cast("string"), (p % 1000).cast("string")).alias("lib"), F.lit("LIB").alias("prefix"), tag.alias("tag"), T.tag_version(tag).alias("v"))
+    return detectors.floor_changes(t.filter("side = 0"), t.filter("side = 1")).select(F.col("symbol").alias("lib"), F.col("old_value").alias("old_max"), F.col("new_value").alias("new_max"))
 
 
 @query("""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) host, regexp_replace(url, '^[a-z]+://[^/]+', '') path FROM pages)
 SELECT host, max(CASE WHEN regexp_matches(path, '\\.h$') THEN 100 WHEN regexp_matches(path, '[0-9]') THEN 40 WHEN path = '' OR path = '/' THEN -10 ELSE 10 END) AS score, count(*) n_paths FROM p GROUP BY 1""")
 def risk_score_paths(spark, d):
-    path = F.regexp_replace("url", "^[a-z]+://[^/]+", "")
-    weight = F.when(path.rlike(r"\.h$"), 100).when(path.rlike("[0-9]"), 40).when(path.isin("", "/"), -10).otherwise(10)
-    return table(spark, d, "pages").groupBy(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host")).agg(F.max(weight).alias("score"), F.count(F.lit(1)).alias("n_paths"))
+    pages = table(spark, d, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), F.regexp_replace("url", "^[a-z]+://[^/]+", "").alias("path"))
+    path = F.col("path")
+    return workflows.path_risk(pages, ["host"], path, [(path.rlike(r"\.h$"), 100), (path.rlike("[0-9]"), 40), (path.isin("", "/"), -10)], 10)
 
 
 @query("""WITH p AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN '/usr/include/x' WHEN 1 THEN '/src/include/api/y' WHEN 2 THEN '/src/build/gen/z' WHEN 3 THEN '/src/lib/w' ELSE '' END || CASE WHEN page_id % 5 = 4 THEN '' ELSE page_id || '.h' END path FROM pages)
@@ -276,20 +276,20 @@ def rename_exact_match(spark, d):
     return match.unique_pairs(gone.withColumnRenamed("p_partkey", "old_key"), came.withColumnRenamed("p_partkey", "new_key"), ["p_type", "p_size", "p_brand"], "old_key", "new_key")
 
 
-@query("""SELECT a.p_partkey old_key, count(*) candidates FROM part a JOIN part b ON a.p_partkey % 50 = 0 AND b.p_partkey % 50 = 1 AND abs(a.p_retailprice - b.p_retailprice) <= 0.05 * greatest(a.p_retailprice, b.p_retailprice) GROUP BY 1""")
+@query("""SELECT a.p_partkey old_key, count(*) candidates FROM part a JOIN part b ON a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1 AND abs(a.p_retailprice - b.p_retailprice) <= 0.05 * greatest(a.p_retailprice, b.p_retailprice) GROUP BY 1""")
 def rename_band_match(spark, d):
     p = table(spark, d, "part")
-    a = p.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("old_key"), F.col("p_retailprice").alias("x"))
-    b = p.filter("p_partkey % 50 = 1").select(F.col("p_partkey").alias("new_key"), F.col("p_retailprice").alias("y"))
+    a = p.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("old_key"), F.col("p_retailprice").alias("x"))
+    b = p.filter("p_partkey % 2 = 1").select(F.col("p_partkey").alias("new_key"), F.col("p_retailprice").alias("y"))
     return match.band_join(a, b, "x", "y", 0.05).groupBy("old_key").agg(F.count(F.lit(1)).alias("candidates"))
 
 
 @query("""WITH o AS (SELECT n_nationkey k FROM nation WHERE n_nationkey % 6 <> 0), n AS (SELECT DISTINCT s_nationkey k FROM supplier WHERE s_nationkey % 4 <> 0)
 SELECT CASE WHEN n.k IS NULL THEN 'removed' WHEN o.k IS NULL THEN 'added' ELSE 'matched' END state, count(*) n FROM o FULL JOIN n ON o.k = n.k GROUP BY 1""")
 def release_key_match(spark, d):
-    a = table(spark, d, "nation").select(F.col("n_nationkey").alias("k")).filter("k % 6 <> 0").withColumn("_o", F.lit(1))
-    b = table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")).filter("k % 4 <> 0").distinct().withColumn("_n", F.lit(1))
-    return a.join(b, "k", "full_outer").groupBy(F.when(F.col("_n").isNull(), "removed").when(F.col("_o").isNull(), "added").otherwise("matched").alias("state")).agg(F.count(F.lit(1)).alias("n"))
+    a = table(spark, d, "nation").select(F.col("n_nationkey").alias("k")).filter("k % 6 <> 0")
+    b = table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")).filter("k % 4 <> 0")
+    return workflows.match_releases(a, b, "k").groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH o AS (SELECT p_partkey k, p_size || p_brand al FROM part WHERE p_partkey % 3 <> 0), n AS (SELECT p_partkey k, p_size || p_brand al FROM part WHERE p_partkey % 5 <> 0),
@@ -347,10 +347,10 @@ def baseline_before(spark, d):
 # ------------------------------------------------------------------ aggregates
 
 
-@query("""WITH c AS (SELECT DISTINCT event_type FROM events), p AS (SELECT DISTINCT user_id, event_type FROM events), g AS (SELECT user_id, list_sort(list(event_type)) pr FROM p GROUP BY 1), a AS (SELECT list(event_type) al FROM c)
-SELECT user_id, array_to_string(pr, ',') present, array_to_string(list_sort(list_filter(al, lambda x: NOT list_contains(pr, x))), ',') absent FROM g, a WHERE len(pr) < len(al)""")
+@query("""WITH c AS (SELECT DISTINCT o_orderpriority p FROM orders), g AS (SELECT o_custkey, list_sort(list(DISTINCT o_orderpriority)) pr FROM orders GROUP BY 1), a AS (SELECT list(p) al FROM c)
+SELECT o_custkey, array_to_string(pr, ',') present, array_to_string(list_sort(list_filter(al, lambda x: NOT list_contains(pr, x))), ',') absent FROM g, a WHERE len(pr) < len(al)""")
 def config_matrix_presence(spark, d):
-    return rollup.presence(table(spark, d, "events"), "user_id", "event_type").select("user_id", F.array_join("present", ",").alias("present"), F.array_join("absent", ",").alias("absent"))
+    return rollup.presence(table(spark, d, "orders"), "o_custkey", "o_orderpriority").select("o_custkey", F.array_join("present", ",").alias("present"), F.array_join("absent", ",").alias("absent"))
 
 
 @query("""SELECT p_brand, count(DISTINCT p_type) n_values, array_to_string(list_sort(list(DISTINCT p_type)), '|') AS "values" FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 1""")
@@ -390,14 +390,14 @@ def field_precedence(spark, d):
     return rollup.first_tier(table(spark, d, "events").select("user_id", (F.col("event_id") % 4).alias("tier"), F.col("event_type").alias("v")), ["user_id"], "tier", "v")
 
 
-@query("""WITH f AS (SELECT DISTINCT user_id % 20 target, 'f' || user_id % 7 AS identity, event_type profile FROM events WHERE event_id % 37 = 0),
+@query("""WITH f AS (SELECT DISTINCT user_id % 20 target, 'f' || user_id || '/' || event_id // 1000 AS identity, event_type profile FROM events),
 c AS (SELECT user_id % 20 target, event_type profile, min(CASE WHEN event_id % 997 = 0 THEN 0 ELSE 1 END) complete FROM events GROUP BY 1, 2),
 g AS (SELECT i.target, i.identity, c.profile, CASE WHEN f.profile IS NOT NULL THEN 'a' WHEN c.complete = 0 THEN 'u' ELSE 'n' END s FROM (SELECT DISTINCT target, identity FROM f) i JOIN c USING (target) LEFT JOIN f ON f.target = i.target AND f.identity = i.identity AND f.profile = c.profile)
 SELECT target, identity, coalesce(string_agg(CASE WHEN s = 'a' THEN profile END, ',' ORDER BY profile), '') affected, coalesce(string_agg(CASE WHEN s = 'n' THEN profile END, ',' ORDER BY profile), '') unaffected, coalesce(string_agg(CASE WHEN s = 'u' THEN profile END, ',' ORDER BY profile), '') undetermined,
 CASE WHEN count(*) FILTER (s = 'u') > 0 THEN 'undetermined' WHEN count(*) FILTER (s = 'n') = 0 THEN 'all_profiles' WHEN count(*) FILTER (s = 'a') = 1 THEN 'profile_specific' ELSE 'partial' END scope FROM g GROUP BY 1, 2""")
 def finding_matrix(spark, d):
-    e = table(spark, d, "events").select("event_id", (F.col("user_id") % 20).alias("target"), F.concat(F.lit("f"), (F.col("user_id") % 7).cast("string")).alias("identity"), F.col("event_type").alias("profile"))
-    out = rollup.finding_matrix(e.filter("event_id % 37 = 0"), e.select("target", "profile", (F.col("event_id") % 997 != 0).alias("complete")))
+    e = table(spark, d, "events").select("event_id", (F.col("user_id") % 20).alias("target"), F.concat(F.lit("f"), F.col("user_id").cast("string"), F.lit("/"), F.expr("event_id div 1000").cast("string")).alias("identity"), F.col("event_type").alias("profile"))
+    out = rollup.finding_matrix(e, e.select("target", "profile", (F.col("event_id") % 997 != 0).alias("complete")))
     return out.select("target", "identity", *(F.array_join(c, ",").alias(c) for c in ("affected", "unaffected", "undetermined")), "scope")
 
 
@@ -415,39 +415,41 @@ def sampled_detail(spark, d):
 
 @query("""SELECT lang, source, count(*) n, CAST(count(*) FILTER (text IS NULL OR text = '') AS BIGINT) AS empty FROM documents GROUP BY 1, 2""")
 def surface_breakdown(spark, d):
-    return table(spark, d, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("text").isNull() | (F.col("text") == "")).alias("empty"))
+    return rollup.breakdown(table(spark, d, "documents"), ["lang", "source"], empty=F.col("text").isNull() | (F.col("text") == ""))
 
 
-@query("""WITH m AS (SELECT count(*) FILTER (p_partkey % 13 <> 0) old_n, count(*) FILTER (p_partkey % 17 <> 0) new_n, count(*) FILTER (p_partkey % 13 <> 0 AND p_size > 40) old_u, count(*) FILTER (p_partkey % 17 <> 0 AND p_size > 38) new_u FROM part)
-SELECT old_n, new_n, round(old_u / old_n, 6) old_ratio, round(new_u / new_n, 6) new_ratio, CASE WHEN new_n > old_n THEN 'grew' WHEN new_n < old_n THEN 'shrank' ELSE 'same' END size_drift, new_u / new_n - old_u / old_n > 0.01 AS ratio_drift FROM m""")
+@query("""WITH m AS (SELECT p_brand b, count(*) FILTER (p_partkey % 13 <> 0) old_n, count(*) FILTER (p_partkey % 17 <> 0) new_n, count(*) FILTER (p_partkey % 13 <> 0 AND p_size > 40) old_u, count(*) FILTER (p_partkey % 17 <> 0 AND p_size > 38) new_u FROM part GROUP BY 1)
+SELECT b pair_id, 'public_surface_grew' kind, CAST(old_n AS VARCHAR) old_value, CAST(new_n AS VARCHAR) new_value FROM m WHERE old_n > 0 AND new_n > old_n UNION ALL SELECT b, 'public_surface_shrank', CAST(old_n AS VARCHAR), CAST(new_n AS VARCHAR) FROM m WHERE new_n > 0 AND new_n < old_n
+UNION ALL SELECT b, 'undocumented_export_ratio_increased', '', '' FROM m WHERE old_n > 0 AND new_n > 0 AND new_u / new_n - old_u / old_n > 0.01""")
 def surface_metrics(spark, d):
-    n = lambda c: F.count_if(F.expr(c))
-    m = table(spark, d, "part").agg(n("p_partkey % 13 <> 0").alias("old_n"), n("p_partkey % 17 <> 0").alias("new_n"), n("p_partkey % 13 <> 0 and p_size > 40").alias("old_u"), n("p_partkey % 17 <> 0 and p_size > 38").alias("new_u"))
-    a, b = F.col("old_u") / F.col("old_n"), F.col("new_u") / F.col("new_n")
-    return m.select("old_n", "new_n", F.round(a, 6).alias("old_ratio"), F.round(b, 6).alias("new_ratio"), F.when(F.col("new_n") > F.col("old_n"), "grew").when(F.col("new_n") < F.col("old_n"), "shrank").otherwise("same").alias("size_drift"), (b - a > 0.01).alias("ratio_drift"))
+    fn = lambda size: F.struct(F.lit("public").alias("visibility"), F.when(F.col("p_size") > size, "EXPORT_ONLY").otherwise("PUBLIC_HEADER").alias("origin"))
+    side = lambda tag, keep, size: table(spark, d, "part").filter(keep).groupBy(F.concat(F.lit(tag), "p_brand").alias("snapshot_id"), F.col("p_brand").alias("pair_id")).agg(F.collect_list(fn(size)).alias("functions"))
+    old, new = side("o", "p_partkey % 13 <> 0", 40), side("n", "p_partkey % 17 <> 0", 38)
+    docs = old.unionByName(new)
+    pairs = docs.groupBy("pair_id").agg(F.max(F.when(F.startswith("snapshot_id", F.lit("o")), F.col("snapshot_id"))).alias("old_id"), F.max(F.when(F.startswith("snapshot_id", F.lit("n")), F.col("snapshot_id"))).alias("new_id"))
+    found = detectors.surface_metrics(detectors.Pair(docs.drop("pair_id"), pairs))
+    plain = lambda c: F.when(F.startswith("kind", F.lit("public_")), F.col(c)).otherwise("").alias(c)
+    return found.select("pair_id", "kind", plain("old_value"), plain("new_value"))
 
 
 @query("""WITH x AS (SELECT p_brand isa, p_type stem, p_partkey % 3 = 0 gone FROM part), s AS (SELECT DISTINCT stem, isa FROM x WHERE NOT gone), r AS (SELECT DISTINCT isa, stem FROM x WHERE gone)
 SELECT r.isa, count(*) removed, count(*) FILTER (EXISTS (SELECT 1 FROM s WHERE s.stem = r.stem AND s.isa <> r.isa)) surviving FROM r GROUP BY 1 HAVING count(*) >= 3 AND count(*) FILTER (EXISTS (SELECT 1 FROM s WHERE s.stem = r.stem AND s.isa <> r.isa)) > 0""")
 def isa_drop_cluster(spark, d):
     x = table(spark, d, "part").select(F.col("p_brand").alias("isa"), F.col("p_type").alias("stem"), (F.col("p_partkey") % 3 == 0).alias("gone"))
-    alive = x.filter("not gone").groupBy("stem").agg(F.min("isa").alias("_lo"), F.max("isa").alias("_hi"))
-    r = x.filter("gone").select("isa", "stem").distinct().join(alive, "stem", "left")
-    other = F.coalesce((F.col("_lo") != F.col("isa")) | (F.col("_hi") != F.col("isa")), F.lit(False))
-    return r.groupBy("isa").agg(F.count(F.lit(1)).alias("removed"), F.count_if(other).alias("surviving")).filter("removed >= 3 and surviving > 0")
+    return detectors_more.isa_drops(x.filter("gone"), x.filter("not gone"), [])
 
 
-@query("""SELECT p_brand family, count(*) n, bool_and(p_partkey % 2 = 0) AS all_removed FROM part WHERE p_size > 48 GROUP BY 1 HAVING count(*) >= 2""")
+@query("""SELECT p_brand, p_size family, count(*) n, bool_and(p_partkey % 2 = 0) AS all_removed FROM part GROUP BY 1, 2 HAVING count(*) >= 2""")
 def overload_family_removal(spark, d):
-    return table(spark, d, "part").filter("p_size > 48").groupBy(F.col("p_brand").alias("family")).agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("p_partkey") % 2 == 0).alias("all_removed")).filter("n >= 2")
+    x = table(spark, d, "part").select("p_brand", F.col("p_size").alias("family"), (F.col("p_partkey") % 2 == 0).alias("_gone"))
+    return detectors_more.family_removals(x, ["p_brand"], "family", "_gone")
 
 
-@query("""WITH v AS (SELECT p_partkey % 501 stem, p_partkey % 2 side, 1 + p_size % 7 ver FROM part), g AS (SELECT stem, max(ver) FILTER (side = 0) a, max(ver) FILTER (side = 1) b, list_sort(list(DISTINCT ver) FILTER (side = 0)) la, list_sort(list(DISTINCT ver) FILTER (side = 1)) lb FROM v GROUP BY 1) SELECT stem, a old_version, b new_version FROM g WHERE la <> lb AND b > a""")
+@query("""WITH v AS (SELECT p_partkey % 501 stem, p_partkey % 2 side, 1 + p_size % 7 ver FROM part), g AS (SELECT stem, max(ver) FILTER (side = 0) a, max(ver) FILTER (side = 1) b FROM v GROUP BY 1) SELECT CAST(stem AS VARCHAR) stem, CAST(a AS VARCHAR) old_version, CAST(b AS VARCHAR) new_version FROM g WHERE b > a""")
 def inline_namespace_bump(spark, d):
-    v = table(spark, d, "part").select((F.col("p_partkey") % 501).alias("stem"), (F.col("p_partkey") % 2).alias("side"), (1 + F.col("p_size") % 7).alias("ver"))
-    side = lambda s: F.when(F.col("side") == s, F.col("ver"))
-    g = v.groupBy("stem").agg(F.max(side(0)).alias("old_version"), F.max(side(1)).alias("new_version"), F.array_sort(F.collect_set(side(0))).alias("_a"), F.array_sort(F.collect_set(side(1))).alias("_b"))
-    return g.filter("_a <> _b and new_version > old_version").select("stem", "old_version", "new_version")
+    v = table(spark, d, "part").select((F.col("p_partkey") % 2).alias("side"), (F.col("p_partkey") % 501).cast("string").alias("stem"), (1 + F.col("p_size") % 7).alias("ver"))
+    side = lambda k: v.filter(f"side = {k}").groupBy(F.lit("0").alias("pair_id"), "stem").agg(F.lit(False).alias("exp"), F.lit(True).alias("stable"), F.max("ver").alias("version"))
+    return detectors.compared(side(0), side(1), ["stem"], "stem", detectors.namespace_rules).select(F.col("symbol").alias("stem"), F.col("old_value").alias("old_version"), F.col("new_value").alias("new_version"))
 
 
 # ------------------------------------------------------------------ graphs
@@ -483,13 +485,13 @@ def graph_components(spark, d):
     return graph.components(p.select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).cast("long").alias("dst")))
 
 
-@query("""WITH r AS (SELECT p_partkey k, p_type, p_brand, p_size FROM part WHERE p_partkey % 20 = 0), a AS (SELECT p_partkey k, p_type, p_brand, p_size FROM part WHERE p_partkey % 20 = 1),
+@query("""WITH r AS (SELECT p_partkey k, p_type, p_brand, p_size FROM part WHERE p_partkey % 2 = 0), a AS (SELECT p_partkey k, p_type, p_brand, p_size FROM part WHERE p_partkey % 2 = 1),
 t0 AS (SELECT x.k ok, y.k nk FROM (SELECT p_type || p_brand || p_size u, min(k) k FROM r GROUP BY 1 HAVING count(*) = 1) x JOIN (SELECT p_type || p_brand || p_size u, min(k) k FROM a GROUP BY 1 HAVING count(*) = 1) y USING (u)),
 t1 AS (SELECT x.k ok, y.k nk FROM (SELECT p_type || p_brand u, min(k) k FROM r WHERE k NOT IN (SELECT ok FROM t0) GROUP BY 1 HAVING count(*) = 1) x JOIN (SELECT p_type || p_brand u, min(k) k FROM a WHERE k NOT IN (SELECT nk FROM t0) GROUP BY 1 HAVING count(*) = 1) y USING (u))
 SELECT ok old_node, nk new_node, 0 tier FROM t0 UNION ALL SELECT ok, nk, 1 FROM t1""")
 def graph_reconcile(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.concat("p_type", "p_brand", F.col("p_size").cast("string")).alias("exact"), F.concat("p_type", "p_brand").alias("alias"))
-    return graph.reconcile(p.filter("node % 20 = 0"), p.filter("node % 20 = 1"), ["exact", "alias"])
+    return graph.reconcile(p.filter("node % 2 = 0"), p.filter("node % 2 = 1"), ["exact", "alias"])
 
 
 # ------------------------------------------------------------------ text
@@ -497,23 +499,23 @@ def graph_reconcile(spark, d):
 WORD_SQL = "regexp_split_to_array(trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), '[ \\t\\n\\r\\f\\v]+')"
 
 
-@query(f"""WITH w AS (SELECT DISTINCT doc_id, unnest({WORD_SQL}) word FROM documents), b AS (SELECT DISTINCT unnest({WORD_SQL}) word FROM benchmark) SELECT word, count(*) n_docs FROM w JOIN b USING (word) WHERE word <> '' GROUP BY 1""")
+@query("""SELECT p_partkey, t.w AS token FROM part JOIN (SELECT DISTINCT unnest(string_split(p_name, ' ')) w FROM part WHERE p_size <= 25) t ON list_contains(string_split(p_name, ' '), t.w)""")
 def token_reference_join(spark, d):
-    words = lambda t: F.explode(F.array_distinct(F.split(F.regexp_replace("text", r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$", ""), r"[ \t\n\r\f\x0B]+"))).alias("word")  # noqa: E731, ARG005
-    b = table(spark, d, "benchmark").select(words(0)).distinct()
-    return table(spark, d, "documents").select(words(0)).filter("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n_docs")).join(b, "word")
+    p = table(spark, d, "part")
+    tokens = p.filter("p_size <= 25").select(F.explode(T.type_names(F.col("p_name"))).alias("token")).distinct()
+    return p.select("p_partkey", F.explode(T.type_names(F.col("p_name"))).alias("token")).join(tokens, "token")
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) line FROM documents) SELECT doc_id, count(*) n_lines, count(*) FILTER (regexp_matches(line, '[A-Za-z0-9._]+@[A-Za-z0-9.]+')) email, count(*) FILTER (regexp_matches(line, '[0-9]{3}')) digits, count(*) FILTER (regexp_matches(line, '\\|')) bars FROM l GROUP BY 1""")
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) line FROM documents) SELECT doc_id, 'email' fact, count(*) n FROM l WHERE regexp_matches(line, '[A-Za-z0-9._]+@[A-Za-z0-9.]+') GROUP BY 1 UNION ALL SELECT doc_id, 'digits', count(*) FROM l WHERE regexp_matches(line, '[0-9]{3}') GROUP BY 1 UNION ALL SELECT doc_id, 'bars', count(*) FROM l WHERE regexp_matches(line, '\\|') GROUP BY 1""")
 def pattern_scan_lines(spark, d):
     lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
-    hit = lambda p: F.count_if(F.col("line").rlike(p))
-    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), hit("[A-Za-z0-9._]+@[A-Za-z0-9.]+").alias("email"), hit("[0-9]{3}").alias("digits"), hit(r"\|").alias("bars"))
+    found = readers.scan_patterns(lines, "line", (("email", "[A-Za-z0-9._]+@[A-Za-z0-9.]+"), ("digits", "[0-9]{3}"), ("bars", r"\|")))
+    return found.groupBy("doc_id", "fact").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT n_nationkey, sha256(n_name || chr(1) || n_regionkey) AS digest FROM nation""")
+@query("""SELECT n_nationkey, sha256('{"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}') AS digest FROM nation""")
 def content_digest(spark, d):
-    return table(spark, d, "nation").select("n_nationkey", F.sha2(F.concat("n_name", F.lit("\u0001"), F.col("n_regionkey").cast("string")), 256).alias("digest"))
+    return table(spark, d, "nation").select("n_nationkey", T.content_hash("n_name", "n_regionkey").alias("digest"))
 
 
 # ------------------------------------------------------------------ time
@@ -521,12 +523,10 @@ def content_digest(spark, d):
 
 @query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) n FROM events GROUP BY 1, 2""")
 def hourly_counts(spark, d):
-    return table(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "event_type", "n")
+    return ingest.windowed_counts(table(spark, d, "events"), "ts", "event_type")
 
 
 @query("""WITH s AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER w > INTERVAL '6 hours' OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, CAST(sum(b) AS BIGINT) AS sessions, count(*) n FROM s GROUP BY 1""")
 def user_sessions(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.col("ts") - F.lag("ts").over(w)
-    s = table(spark, d, "events").select("user_id", F.when(gap.isNull() | (gap > F.expr("INTERVAL 6 HOURS")), 1).otherwise(0).alias("b"))
-    return s.groupBy("user_id").agg(F.sum("b").alias("sessions"), F.count(F.lit(1)).alias("n"))
+    return rollup.sessions(table(spark, d, "events"), "user_id", "ts", "event_id", "6 HOURS")
+

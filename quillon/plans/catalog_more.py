@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators import build, detectors, graph, workflows
+from quillon.operators import build, detectors, detectors_more, graph, workflows
+from quillon.plans import compare
 from quillon.plans.catalog import query, table
+from quillon.sources import schemas
 
 KABI_SQL = """WITH o AS (SELECT 'k' || p_partkey s, CAST(p_size AS VARCHAR) crc, CASE WHEN p_partkey % 5 = 0 THEN 'EXPORT_SYMBOL_GPL' ELSE 'EXPORT_SYMBOL' END e, CASE WHEN p_partkey % 6 = 0 THEN 'NS' ELSE '' END ns FROM part WHERE p_partkey % 7 <> 0),
 n AS (SELECT 'k' || p_partkey s, CAST(p_size + CASE WHEN p_partkey % 9 = 0 THEN 1 ELSE 0 END AS VARCHAR) crc, CASE WHEN p_partkey % 4 = 0 THEN 'EXPORT_SYMBOL_GPL' ELSE 'EXPORT_SYMBOL' END e, CASE WHEN p_partkey % 8 = 0 THEN 'NS2' ELSE '' END ns FROM part WHERE p_partkey % 11 <> 0)
@@ -37,10 +39,10 @@ def odr_new_conflicts(spark, d):
     return build.new_odr_conflicts(t.filter("p_partkey % 5 = 0"), t.filter("p_partkey % 5 <> 0")).select("qualified_name", F.col("n_values").cast("long").alias("n"))
 
 
-@query("""WITH o AS (SELECT 'opt' || p_size k, list_sort(list(DISTINCT p_brand)) v FROM part WHERE p_partkey % 19 = 0 GROUP BY 1), n AS (SELECT 'opt' || p_size k, list_sort(list(DISTINCT p_brand)) v FROM part WHERE p_partkey % 19 = 1 GROUP BY 1)
+@query("""WITH o AS (SELECT 'opt' || p_size k, list_sort(list(DISTINCT p_brand)) v FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), n AS (SELECT 'opt' || p_size k, list_sort(list(DISTINCT p_brand)) v FROM part WHERE p_partkey % 2 = 1 GROUP BY 1)
 SELECT coalesce(o.k, n.k) AS "key", coalesce(array_to_string(o.v, ','), '') old_values, coalesce(array_to_string(n.v, ','), '') new_values FROM o FULL JOIN n ON o.k = n.k WHERE o.v IS DISTINCT FROM n.v""")
 def build_option_changes(spark, d):
-    side = lambda r: table(spark, d, "part").filter(f"p_partkey % 19 = {r}").select(F.concat(F.lit("opt"), F.col("p_size").cast("string")).alias("key"), F.col("p_brand").alias("value"), F.lit(True).alias("abi_relevant"))
+    side = lambda r: table(spark, d, "part").filter(f"p_partkey % 2 = {r}").select(F.concat(F.lit("opt"), F.col("p_size").cast("string")).alias("key"), F.col("p_brand").alias("value"), F.lit(True).alias("abi_relevant"))
     return build.option_changes(side(0), side(1)).select("key", F.array_join("old_values", ",").alias("old_values"), F.array_join("new_values", ",").alias("new_values"))
 
 
@@ -69,21 +71,21 @@ def stack_changes(spark, d):
     return workflows.stack_changes(old, new)
 
 
-@query("""WITH l AS (SELECT p_brand cohort, p_partkey % 4 = 0 moved FROM part WHERE p_size > 47) SELECT cohort, CAST(count(*) FILTER (moved) AS BIGINT) bumped, CAST(count(*) FILTER (NOT moved) AS BIGINT) kept FROM l GROUP BY 1 HAVING count(*) FILTER (moved) > 0 AND count(*) FILTER (NOT moved) > 0""")
+@query("""WITH l AS (SELECT p_brand cohort, p_partkey % 4 = 0 moved FROM part) SELECT cohort, CAST(count(*) FILTER (moved) AS BIGINT) bumped, CAST(count(*) FILTER (NOT moved) AS BIGINT) kept FROM l GROUP BY 1 HAVING count(*) FILTER (moved) > 0 AND count(*) FILTER (NOT moved) > 0""")
 def soname_skew(spark, d):
     name = lambda major: F.concat(F.lit("lib"), F.col("p_partkey").cast("string"), F.lit(".so."), major.cast("string"))
-    libs = table(spark, d, "part").filter("p_size > 47").select(F.col("p_brand").alias("cohort"), F.col("p_name").alias("library"), name(F.lit(1)).alias("old_soname"), name(F.when(F.col("p_partkey") % 4 == 0, 2).otherwise(1)).alias("new_soname"))
+    libs = table(spark, d, "part").select(F.col("p_brand").alias("cohort"), F.col("p_name").alias("library"), name(F.lit(1)).alias("old_soname"), name(F.when(F.col("p_partkey") % 4 == 0, 2).otherwise(1)).alias("new_soname"))
     return workflows.soname_skew(libs).select("cohort", "bumped", "kept")
 
 
-@query("""WITH u AS (SELECT DISTINCT 'c' || l_orderkey % 20 lib, 's' || l_partkey % 300 s FROM lineitem), o AS (SELECT 's' || l_partkey % 300 s, min('p' || l_suppkey % 9) p FROM lineitem WHERE l_orderkey % 40 = 0 GROUP BY 1), n AS (SELECT 's' || l_partkey % 300 s, min('p' || l_suppkey % 9) p FROM lineitem WHERE l_orderkey % 41 = 0 GROUP BY 1)
+@query("""WITH u AS (SELECT DISTINCT 'c' || l_orderkey % 20 lib, 's' || (l_partkey * 10 + l_linenumber) s FROM lineitem), o AS (SELECT 's' || (l_partkey * 10 + l_linenumber) s, min('p' || l_suppkey % 9) p FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1), n AS (SELECT 's' || (l_partkey * 10 + l_linenumber) s, min('p' || l_suppkey % 9) p FROM lineitem WHERE l_orderkey % 2 = 1 GROUP BY 1)
 SELECT lib library, u.s symbol, CASE WHEN n.p IS NULL THEN 'bundle_intra_dep_removed' ELSE 'bundle_provider_changed' END kind FROM u JOIN o ON u.s = o.s LEFT JOIN n ON n.s = u.s WHERE n.p IS NULL OR n.p <> o.p""")
 def bundle_findings(spark, d):
     l = table(spark, d, "lineitem")
-    s = F.concat(F.lit("s"), (F.col("l_partkey") % 300).cast("string")).alias("symbol")
+    s = F.concat(F.lit("s"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).cast("string")).alias("symbol")
     exp = lambda keep: l.filter(keep).select(F.concat(F.lit("p"), (F.col("l_suppkey") % 9).cast("string")).alias("library"), s)
     used = l.select(F.concat(F.lit("c"), (F.col("l_orderkey") % 20).cast("string")).alias("library"), s)
-    return workflows.bundle_findings(used, exp("l_orderkey % 40 = 0"), exp("l_orderkey % 41 = 0")).select("library", "symbol", "kind")
+    return workflows.bundle_findings(used, exp("l_orderkey % 2 = 0"), exp("l_orderkey % 2 = 1")).select("library", "symbol", "kind")
 
 
 @query("""SELECT n_name || '@' || r_name || '#main@l' || n_nationkey % 3 check_id, n_name target FROM nation JOIN region ON n_regionkey = r_regionkey""")
@@ -163,3 +165,109 @@ UNION ALL SELECT b, 'func_return_changed' FROM p WHERE o AND n AND k % 11 = 0 UN
 def snapshot_compare(spark, d):
     docs, pairs = _catalogue(spark, d)
     return detectors.functions(detectors.Pair(docs, pairs)).groupBy("pair_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _numbers(spark, d):
+    """A pair a customer: two headers whose attributes follow from its key."""
+    k = F.col("c_custkey")
+    word = lambda cond, yes, no: F.when(cond, yes).otherwise(no)
+    names = lambda *some: F.filter(F.array(*(F.when(c, w) for c, w in some)), lambda x: x.isNotNull())
+
+    def head(s):
+        m = lambda n, off=0: (k + s * off) % n == 0
+        return table(spark, d, "customer").select(
+            k.cast("string").alias("pair_id"), word(m(31, 1), "EM_ARM", "EM_X86_64").alias("machine"), word(m(29, 1), 32, 64).alias("elf_class"), word(m(37, 1), "ELFDATA2MSB", "ELFDATA2LSB").alias("ei_data"), word(m(7, 1), "ELFOSABI_FREEBSD", word(m(5, 1), "ELFOSABI_GNU", "ELFOSABI_SYSV")).alias("osabi"),
+            F.array().cast("array<string>").alias("abi_flags"), word(m(41, 1), 2, 1).cast("long").alias("e_flags"), names((m(3, s), "IBT"), (m(4, 1), "SHSTK"), (m(6, 1), "x86-64-v3"), (m(10, 1), "x86-64-v2")).alias("gnu_properties"),
+            names((m(8, 1), "NODELETE"), (m(9, 1), "NOW")).alias("dynamic_flags"), m(11, 1).alias("has_init"), F.lit(None).cast("boolean").alias("has_fini"), names((F.lit(True), "gnu"), (m(12, 1), "sysv")).alias("hash_styles"), m(13, 1).alias("has_dt_relr"), m(14, 1).alias("has_stack_canary"), m(15, 1).alias("has_fortify_source"),
+            m(16, 1).alias("has_writable_executable_segment"), m(17, 1).alias("is_symbolic"), F.concat(F.lit("2.6."), ((k + s * 3) % 40).cast("string")).alias("min_kernel"),
+        )
+
+    return head(0), head(1)
+
+
+@query("""WITH h AS (SELECT c_custkey k, s, (c_custkey + s) % 31 = 0 arm, (c_custkey + s) % 29 = 0 c32, (c_custkey + s) % 37 = 0 big, (c_custkey + s) % 7 = 0 bsd, (c_custkey + s) % 41 = 0 ef, (c_custkey + s * s) % 3 = 0 ibt, (c_custkey + s) % 4 = 0 shstk, CASE WHEN (c_custkey + s) % 6 = 0 THEN 3 WHEN (c_custkey + s) % 10 = 0 THEN 2 ELSE 1 END isa,
+(c_custkey + s) % 8 = 0 nodelete, (c_custkey + s) % 9 = 0 nw, (c_custkey + s) % 11 = 0 init, (c_custkey + s) % 12 = 0 sysv, (c_custkey + s) % 13 = 0 relr, (c_custkey + s) % 14 = 0 canary, (c_custkey + s) % 15 = 0 fort, (c_custkey + s) % 16 = 0 wx, (c_custkey + s) % 17 = 0 sym, (c_custkey + s * 3) % 40 kern FROM customer, (SELECT unnest([0, 1]) s)),
+p AS (SELECT a.k, a.arm = b.arm same, struct_pack(a := a, b := b) x FROM h a JOIN h b ON a.k = b.k AND a.s = 0 AND b.s = 1), q AS (SELECT k, same, x.a a, x.b b FROM p)
+SELECT CAST(k AS VARCHAR) pair_id, unnest(list_filter([CASE WHEN NOT same THEN 'elf_machine_changed' END, CASE WHEN same AND a.c32 <> b.c32 THEN 'elf_class_changed' END, CASE WHEN same AND a.big <> b.big THEN 'elf_endianness_changed' END, CASE WHEN same AND a.ef <> b.ef AND NOT a.arm THEN 'elf_abi_flags_changed' END,
+CASE WHEN same AND a.bsd <> b.bsd THEN 'elf_osabi_changed' END, CASE WHEN a.nodelete <> b.nodelete OR a.nw <> b.nw THEN 'dynamic_loading_flags_changed' END, CASE WHEN a.init <> b.init THEN 'elf_init_fini_changed' END, CASE WHEN b.relr AND NOT a.relr THEN 'dt_relr_introduced' WHEN a.relr AND NOT b.relr THEN 'dt_relr_removed' END,
+CASE WHEN a.sysv AND NOT b.sysv THEN 'hash_style_removed' END, CASE WHEN a.sym <> b.sym THEN 'symbolic_binding_mode_changed' END, CASE WHEN b.kern > a.kern THEN 'os_deployment_floor_raised' END, CASE WHEN a.canary AND NOT b.canary THEN 'stack_canary_removed' END, CASE WHEN a.fort AND NOT b.fort THEN 'fortify_source_weakened' END,
+CASE WHEN b.wx AND NOT a.wx THEN 'writable_executable_segment' END, CASE WHEN same AND b.isa > a.isa THEN 'x86_isa_baseline_raised' END,
+CASE WHEN same AND ((a.ibt AND NOT b.ibt) OR (a.shstk AND NOT b.shstk)) THEN 'cet_protection_weakened' WHEN same AND (a.ibt <> b.ibt OR a.shstk <> b.shstk) THEN 'cet_protection_improved' END], lambda v: v IS NOT NULL)) kind FROM q""")
+def elf_header_contract(spark, d):
+    return detectors_more.header_changes(*_numbers(spark, d)).select("pair_id", "kind")
+
+
+@query("""WITH x AS (SELECT c_custkey k, s, CASE WHEN c_custkey % 6 = 0 THEN 'libc' END origin, CASE WHEN (c_custkey + s) % 5 = 0 THEN 'unique' ELSE 'global' END b, CASE WHEN c_custkey % 4 = 0 THEN 'object' ELSE 'func' END t, (c_custkey * (1 + s)) % 7 * 8 al, CASE WHEN c_custkey % 9 = 0 THEN (c_custkey * (1 + s)) % 3 END de FROM customer, (SELECT unnest([0, 1]) s) WHERE c_custkey % (11 + s * 2) <> 0),
+o AS (SELECT * FROM x WHERE s = 0), n AS (SELECT * FROM x WHERE s = 1)
+SELECT '_ZN3Foo1b' || o.k || 'Ev' symbol, 'symbol_leaked_from_dependency_changed' kind FROM o LEFT JOIN n USING (k) WHERE n.k IS NULL AND o.origin IS NOT NULL UNION ALL SELECT '_ZN3Foo1b' || n.k || 'Ev', 'symbol_leaked_from_dependency_changed' FROM n LEFT JOIN o USING (k) WHERE o.k IS NULL AND n.origin IS NOT NULL
+UNION ALL SELECT '_ZN3Foo1b' || n.k || 'Ev', 'symbol_binding_became_unique' FROM n LEFT JOIN o USING (k) WHERE o.k IS NULL AND n.b = 'unique'
+UNION ALL SELECT '_ZN3Foo1b' || o.k || 'Ev', 'exported_object_alignment_reduced' FROM o JOIN n USING (k) WHERE n.t = 'object' AND o.al > 0 AND n.al > 0 AND n.al < o.al AND NOT coalesce(n.de >= o.de, false)""")
+def elf_symbol_contract(spark, d):
+    k = F.col("c_custkey")
+
+    def side(s):
+        return table(spark, d, "customer").filter(k % (11 + s * 2) != 0).select(
+            F.lit("0").alias("pair_id"), F.concat(F.lit("_ZN3Foo1b"), k.cast("string"), F.lit("Ev")).alias("name"), F.when(k % 6 == 0, "libc").alias("origin_lib"), F.when((k + s) % 5 == 0, "unique").otherwise("global").alias("binding"),
+            F.when(k % 4 == 0, "object").otherwise("func").alias("sym_type"), ((k * (1 + s)) % 7 * 8).cast("int").alias("value_alignment"), F.when(k % 9 == 0, ((k * (1 + s)) % 3).cast("int")).alias("_declared"),
+        )
+
+    return detectors_more.symbol_changes(side(0), side(1)).select("symbol", "kind")
+
+
+@query("""WITH t AS (SELECT p_brand b, ['time_t', 'off_t', 'ino_t', 'size_t'][CAST(p_partkey % 4 + 1 AS INTEGER)] nm, p_partkey k FROM part), o AS (SELECT b, nm, max(CASE WHEN k % 3 = 0 THEN 'long' ELSE 'int' END) v FROM t WHERE k % 2 = 0 OR k % 3 = 0 GROUP BY 1, 2), n AS (SELECT b, nm, max(CASE WHEN k % 5 = 0 THEN 'unsigned long long' ELSE 'long int' END) v FROM t WHERE k % 7 <> 0 GROUP BY 1, 2)
+SELECT b pair_id, nm AS name, o.v old_value, n.v new_value FROM o JOIN n USING (b, nm) WHERE nm <> 'size_t' AND (CASE o.v WHEN 'long' THEN 32 ELSE 32 END) <> (CASE n.v WHEN 'long int' THEN 32 ELSE 64 END)""")
+def time64_typedefs(spark, d):
+    k = F.col("p_partkey")
+    t = table(spark, d, "part").select(F.col("p_brand").alias("pair_id"), F.element_at(F.array(*map(F.lit, ["time_t", "off_t", "ino_t", "size_t"])), (k % 4 + 1).cast("int")).alias("name"), k.alias("k"), F.lit(True).alias("bits32"))
+    side = lambda keep, v: t.filter(keep).groupBy("pair_id", "name", "bits32").agg(F.max(v).alias("target"))
+    return detectors_more.resized_typedefs(side("k % 2 = 0 or k % 3 = 0", F.when(F.col("k") % 3 == 0, "long").otherwise("int")), side("k % 7 <> 0", F.when(F.col("k") % 5 == 0, "unsigned long long").otherwise("long int"))).drop("bits")
+
+
+@query("""WITH x AS (SELECT p_brand b, CASE WHEN p_partkey % 3 = 0 THEN 'n::' || p_size || '_tag' WHEN p_partkey % 3 = 1 THEN 'n::TagId' ELSE 'n::v' || p_size END nm, p_partkey k FROM part), o AS (SELECT b, nm, min(CAST(k AS VARCHAR)) v FROM x WHERE k % 2 = 0 GROUP BY 1, 2), n AS (SELECT b, nm, min(CAST(k AS VARCHAR)) v FROM x GROUP BY 1, 2)
+SELECT b pair_id, nm symbol, o.v old_value, n.v new_value FROM o JOIN n USING (b, nm) WHERE (ends_with(nm, '_tag') OR nm = 'n::TagId') AND o.v <> n.v""")
+def serialization_tag_changes(spark, d):
+    k = F.col("p_partkey")
+    z = F.col("p_size").cast("string")
+    x = table(spark, d, "part").select(F.col("p_brand").alias("pair_id"), F.when(k % 3 == 0, F.concat(F.lit("n::"), z, F.lit("_tag"))).when(k % 3 == 1, "n::TagId").otherwise(F.concat(F.lit("n::v"), z)).alias("name"), k.alias("k"), k.cast("string").alias("value"))
+    return detectors_more.tag_changes(x.filter("k % 2 = 0"), x).select("pair_id", "symbol", "old_value", "new_value")
+
+
+@query("""WITH x AS (SELECT p_brand b, 'n::f' || p_size nm, p_partkey % 2 = 0 fn, p_partkey % 5 s FROM part), o AS (SELECT b, nm, bool_or(fn) f, bool_or(NOT fn) v FROM x WHERE s < 2 GROUP BY 1, 2), n AS (SELECT b, nm, bool_or(fn) f, bool_or(NOT fn) v FROM x WHERE s >= 2 GROUP BY 1, 2)
+SELECT b pair_id, nm symbol, CASE WHEN o.f THEN 'function' ELSE 'variable' END old_value FROM o JOIN n USING (b, nm) WHERE (o.f AND NOT o.v AND n.v AND NOT n.f) OR (o.v AND NOT o.f AND n.f AND NOT n.v)""")
+def cpo_kind_flips(spark, d):
+    x = table(spark, d, "part").select(F.col("p_brand").alias("pair_id"), F.concat(F.lit("n::f"), F.col("p_size").cast("string")).alias("name"), (F.col("p_partkey") % 2 == 0).alias("is_function"), (F.col("p_partkey") % 5).alias("s"))
+    return detectors_more.kind_flips(x.filter("s < 2"), x.filter("s >= 2")).select("pair_id", "symbol", "old_value")
+
+
+@query("""WITH r AS (SELECT o_custkey b, 'GLIBC_2.' || (o_orderkey % 40) tag, o_orderkey % 40 m FROM orders), f AS (SELECT b, max(m) m FROM r GROUP BY 1) SELECT CAST(b AS VARCHAR) pair_id, 'GLIBC_2.' || m symbol FROM f WHERE m > 17""")
+def platform_floor(spark, d):
+    r = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("pair_id"), F.concat(F.lit("GLIBC_2."), (F.col("o_orderkey") % 40).cast("string")).alias("tag"))
+    return detectors_more.floor_breaches(r, spark.createDataFrame([("GLIBC", "2.17")], "prefix string, floor string")).select("pair_id", "symbol")
+
+
+@query("""WITH r AS (SELECT s_suppkey k, ['$ORIGIN/../lib', '/opt/lib', '', '$ORIGIN:/usr/lib'][CAST(s_suppkey % 4 + 1 AS INTEGER)] rp, ['', '/x', '$ORIGIN'][CAST(s_suppkey % 3 + 1 AS INTEGER)] ru FROM supplier), e AS (SELECT DISTINCT k, unnest(string_split(rp || ':' || ru, ':')) v FROM r) SELECT CAST(k AS VARCHAR) pair_id, v symbol FROM e WHERE v <> '' AND NOT starts_with(v, '$ORIGIN')""")
+def wheel_search_paths(spark, d):
+    k = F.col("s_suppkey")
+    pick = lambda n, *some: F.element_at(F.array(*map(F.lit, some)), (k % n + 1).cast("int"))
+    s = table(spark, d, "supplier").select(k.cast("string").alias("pair_id"), pick(4, "$ORIGIN/../lib", "/opt/lib", "", "$ORIGIN:/usr/lib").alias("rpath"), pick(3, "", "/x", "$ORIGIN").alias("runpath"))
+    return detectors_more.wheel_paths(s).select("pair_id", "symbol")
+
+
+@query("""WITH x AS (SELECT p_partkey k, '_ZN3FooB5cxx113bar' || p_partkey || 'Ev' a, '_ZN3Foo3bar' || p_partkey || 'Ev' b, p_partkey % 3 c FROM part) SELECT k, CASE WHEN c = 0 THEN a ELSE b END mangled, b base FROM x""")
+def abi_tag_bases(spark, d):
+    k = F.col("p_partkey").cast("string")
+    m = F.concat(F.when(F.col("p_partkey") % 3 == 0, "_ZN3FooB5cxx113bar").otherwise("_ZN3Foo3bar"), k, F.lit("Ev"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), m.alias("mangled"), F.regexp_replace(m, detectors.ABI_TAG, "").alias("base"))
+
+
+@query("""WITH p AS (SELECT p_brand b, p_partkey k, p_partkey % 13 <> 0 o, p_partkey % 17 <> 0 n FROM part), m AS (SELECT b, count(*) FILTER (o) x, count(*) FILTER (n) y FROM p GROUP BY 1),
+f AS (SELECT b, k, 'func_removed' kind FROM p WHERE o AND NOT n UNION ALL SELECT b, k, 'func_added' FROM p WHERE n AND NOT o UNION ALL SELECT b, k, 'func_return_changed' FROM p WHERE o AND n AND k % 11 = 0 UNION ALL SELECT b, k, 'func_noexcept_added' FROM p WHERE o AND n AND k % 7 = 0
+UNION ALL SELECT b, -1, 'public_surface_grew' FROM m WHERE y > x UNION ALL SELECT b, -1, 'public_surface_shrank' FROM m WHERE y < x)
+SELECT b pair_id, kind, CASE WHEN kind = 'func_removed' AND k % 5 = 0 THEN 'suppressed' WHEN kind = 'func_noexcept_added' THEN 'suppressed' ELSE 'active' END disposition, CASE WHEN kind IN ('func_removed', 'func_return_changed') THEN 'BREAKING' ELSE 'COMPATIBLE' END effective_verdict, count(*) n FROM f GROUP BY ALL""")
+def compare_whole(spark, d):
+    """All detectors and steps, with a narrow rule, a broad one that may not hide a public break, and one by kind."""
+    docs, pairs = _catalogue(spark, d)
+    whole = docs.select(F.from_json(F.to_json(F.struct(*docs.columns)), schemas.SNAPSHOT).alias("s")).select("s.*")
+    rules = spark.createDataFrame([(0, r"_Z1f\d*[05]", "func_removed"), (1, None, "func_return_changed"), (2, None, "func_noexcept_added")], "rule_idx int, symbol_pattern string, change_kind string").withColumn("expires", F.lit(None).cast("date"))
+    out = compare.compare(whole, pairs, suppressions=rules)
+    return out.findings.groupBy("pair_id", "kind", "disposition", "effective_verdict").agg(F.count(F.lit(1)).alias("n"))

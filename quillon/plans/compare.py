@@ -15,11 +15,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators import detectors, graph, rules
+from quillon.operators import detectors, detectors_more, graph, rules  # noqa: F401  (detectors_more registers its own)
 from quillon.plans import kinds
 from quillon.storage import materialize
 
-TYPE_KINDS = ("type_", "field_", "union_", "enum_", "base_class_", "virtual_base_", "vptr_", "tail_padding", "standard_layout", "trivially_copyable", "layout_", "source_level")
 RENAME_KINDS = ("abi_tag_changed", "long_double_abi_changed", "func_likely_renamed")
 
 
@@ -61,10 +60,7 @@ def public_types(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def is_type_kind():
-    out = F.lit(False)
-    for p in TYPE_KINDS:
-        out = out | F.startswith("kind", F.lit(p))
-    return out
+    return rules.is_type_kind(F.col("kind")) & ~F.startswith("kind", F.lit("typedef_"))
 
 
 def scoped(found: DataFrame, public: DataFrame, pair: detectors.Pair) -> DataFrame:
@@ -78,6 +74,18 @@ def scoped(found: DataFrame, public: DataFrame, pair: detectors.Pair) -> DataFra
     return seen.withColumns({"disposition": F.when(out, "out_of_surface").otherwise(F.col("disposition")), "public_reachable": ~is_type_kind() | F.col("_pub").isNotNull() | F.col("_pub2").isNotNull()}).drop("_pub", "_pub2", "_owner", "_blind")
 
 
+def with_sources(found: DataFrame, pair: detectors.Pair) -> DataFrame:
+    """findings with `source`: the header that declares the symbol or, for members, its owner; the new side's where both have one."""
+    parts = []
+    for k, side in enumerate(("new", "old")):
+        for name, key in (("functions", "mangled"), ("records", "type_key"), ("enums", "type_key")):
+            parts.append(pair.rows(side, name).filter("source_header is not null").select("pair_id", F.col(key).alias("_declared"), "source_header", F.lit(k).alias("_k")))
+    of = reduce(DataFrame.unionByName, parts).groupBy("pair_id", "_declared").agg(F.min_by("source_header", "_k").alias("_h"))
+    owner = of.select("pair_id", F.col("_declared").alias("_owner"), F.col("_h").alias("_h2"))
+    out = found.withColumn("_owner", F.regexp_replace("symbol", r"::[^:]*$", "")).join(of.withColumnRenamed("_declared", "symbol"), ["pair_id", "symbol"], "left").join(owner, ["pair_id", "_owner"], "left")
+    return out.withColumn("source", F.coalesce("_h", "_h2")).drop("_owner", "_h", "_h2")
+
+
 def renames_consumed(found: DataFrame) -> DataFrame:
     """Removals and additions that a rename explains."""
     pairs = found.filter(F.col("kind").isin(*RENAME_KINDS))
@@ -145,14 +153,17 @@ def compare(snapshots: DataFrame, pairs: DataFrame, suppressions: DataFrame | No
     """Compare all pairs.  snapshots as read_snapshots gives them; pairs: pair_id, old_id, new_id."""
     # documents are parsed once; the detectors then read only the columns of their relations
     pairs = materialize(pairs, "pairs")
-    pair = detectors.Pair(materialize(snapshots, "snapshots"), pairs)
+    pair = detectors.Pair(materialize(snapshots, "snapshots"), pairs, materialize)
     edges, roots = type_graph(pair)
     found = materialize(deduplicated(findings(pair, detectors_)), "findings")
     found = redundant_collapsed(renames_consumed(scoped(found, public_types(edges, roots), pair)))
     found = with_policy(found, overrides, frozen)
     if suppressions is not None:
-        hit = rules.matches(found.filter("disposition = 'active'").withColumn("source", F.lit(None).cast("string")), suppressions, today).groupBy("pair_id", "kind", "symbol").agg(F.min("rule_idx").alias("suppression_rule"))
-        found = found.join(hit, ["pair_id", "kind", "symbol"], "left").withColumn("disposition", F.when(F.col("suppression_rule").isNotNull() & (F.col("disposition") == "active"), "suppressed").otherwise(F.col("disposition")))
+        found = materialize(with_sources(found, pair).withColumn("_key", F.xxhash64("pair_id", "kind", "symbol", "old_value", "new_value")), "sourced")
+        breaks = F.col("public_reachable") & F.col("verdict").isin("BREAKING", "API_BREAK")
+        live = rules.suppressed(found.filter("disposition = 'active'"), suppressions, ["_key"], today, breaks)
+        hit = live.groupBy("_key").agg(F.min("rule_idx").alias("suppression_rule"), F.min("withheld_by").alias("withheld_by"))
+        found = found.join(hit, "_key", "left").drop("_key").withColumn("disposition", F.when(F.col("suppression_rule").isNotNull() & (F.col("disposition") == "active"), "suppressed").otherwise(F.col("disposition")))
     touched = affected_symbols(found, edges).withColumnRenamed("type_key", "symbol")
     found = materialize(found.join(touched, ["pair_id", "symbol"], "left"), "findings")
     live = rules.worst_verdict(found.filter("disposition = 'active'"), ["pair_id"], "effective_verdict")

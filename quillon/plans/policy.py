@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quillon.operators import rules
 from quillon.plans import kinds
 
-RULE_SCHEMA = "rule_idx int, symbol string, symbol_pattern string, change_kind string, source_glob string, namespace string, expires string, reason string"
+RULE_SCHEMA = ", ".join(["rule_idx int", *(f"{c} {t}" for c, t in rules.SELECTORS.items()), "expires string", "reason string"])
 #: Levels of the severity categories unless a policy says otherwise.
 LEVELS = {"abi_breaking": "error", "potential_breaking": "warning", "quality": "info", "addition": "info"}
 

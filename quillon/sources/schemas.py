@@ -3,7 +3,7 @@
 PARAM = "struct<name:string,type:string,kind:string,default:string,pointer_depth:int,is_restrict:boolean,is_va_list:boolean>"
 FUNCTION = (
     "struct<mangled:string,name:string,return_type:string,params:array<" + PARAM + ">,visibility:string,access:string,is_virtual:boolean,is_noexcept:boolean,is_extern_c:boolean,is_static:boolean,is_const:boolean,"
-    "is_volatile:boolean,is_pure_virtual:boolean,is_deleted:boolean,is_inline:boolean,is_explicit:boolean,is_variadic:boolean,vtable_index:int,ref_qualifier:string,elf_visibility:string,exception_spec:string,deprecated:string,source_header:string,origin:string>"
+    "is_volatile:boolean,is_pure_virtual:boolean,is_deleted:boolean,is_inline:boolean,is_explicit:boolean,is_variadic:boolean,vtable_index:int,ref_qualifier:string,elf_visibility:string,exception_spec:string,deprecated:string,source_header:string,origin:string,is_hidden_friend:boolean,hidden_friend_owner:string>"
 )
 VARIABLE = "struct<mangled:string,name:string,type:string,visibility:string,is_const:boolean,value:string,access:string,alignment_bits:int,origin:string>"
 FIELD = "struct<name:string,type:string,offset_bits:bigint,is_bitfield:boolean,bitfield_bits:int,is_const:boolean,is_volatile:boolean,is_mutable:boolean,access:string,default:string,deprecated:string>"
@@ -12,8 +12,11 @@ RECORD = (
     "data_size_bits:bigint,vptr_offset_bits:bigint,bases:array<string>,virtual_bases:array<string>,vtable:array<string>,base_offsets:map<string,bigint>,fields:array<" + FIELD + ">,source_header:string,origin:string>"
 )
 ENUM = "struct<type_key:string,name:string,underlying_type:string,is_scoped:boolean,members:array<struct<name:string,value:decimal(20,0)>>,source_header:string,origin:string>"
-SYMBOL = "struct<name:string,binding:string,sym_type:string,visibility:string,size:bigint,version:string,is_default:boolean>"
-ELF_HEADER = "struct<soname:string,needed:array<string>,rpath:string,runpath:string,versions_defined:array<string>,versions_required:map<string,array<string>>,interpreter:string,relro:string,bind_now:boolean,is_pie:boolean,has_static_tls:boolean,has_textrel:boolean,executable_stack:boolean>"
+SYMBOL = "struct<name:string,binding:string,sym_type:string,visibility:string,size:bigint,version:string,is_default:boolean,origin_lib:string,value_alignment:int>"
+ELF_HEADER = (
+    "struct<soname:string,needed:array<string>,rpath:string,runpath:string,versions_defined:array<string>,versions_required:map<string,array<string>>,interpreter:string,relro:string,bind_now:boolean,is_pie:boolean,has_static_tls:boolean,has_textrel:boolean,executable_stack:boolean,machine:string,elf_class:int,pointer_size:int,ei_data:string,osabi:string,abi_flags:array<string>,e_flags:bigint,gnu_properties:array<string>,"
+    "dynamic_flags:array<string>,has_init:boolean,has_fini:boolean,hash_styles:array<string>,has_dt_relr:boolean,has_stack_canary:boolean,has_fortify_source:boolean,has_writable_executable_segment:boolean,is_symbolic:boolean,min_kernel:string>"
+)
 KABI = "struct<crc:string,symbol:string,module:string,export_type:string,namespace:string>"
 
 SNAPSHOT = (
