@@ -140,4 +140,4 @@ def test_each_catalog_query_calls_the_library():
 
 def test_registered_kinds_exist():
     assert set(detectors.DETECTORS) >= {"elf_contract", "elf_exports", "time64_abi", "hidden_friends"}
-    assert len(detectors.DETECTORS) >= 30 and detectors_more.X86_LEVELS[0] == "x86-64-baseline"
+    assert detectors_more.X86_LEVELS[0] == "x86-64-baseline"
