@@ -9,9 +9,9 @@ Each level is one round of the cluster.  Chunks of documents send the names of t
 names, and learn which of them more than one document has.  A window that holds the evidence of a name of one
 document only is no repeat; names of the next level are asked for only where windows are left.  So names shared at
 all levels reveal the long repeats, level after level with fewer questions.  Evidence grows by about four words a
-level, and rounds end where it no longer fits a window (`levels_of`).  What is left is verified by 104-bit
-fingerprints of the windows' words, with the smallest document id that has them.  Two symbols of one name (a
-collision) can only leave a window to the verification, never drop one.
+level, and rounds end where it no longer fits a window (`levels_of`).  What is left is verified by fingerprints of
+the windows' words (88 bits and those of the bucket), with the smallest document id that has them.  Two symbols of
+one name (a collision) can only leave a window to the verification, never drop one.
 
 The exchange is one of packed blocks (exchange.py).  A chunk (about 1 to 8 MB of documents) sends each distinct key
 once, so a passage in a third of all documents costs one entry per chunk.  Nothing is collected; a task holds one
@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 from quillon.llm import common as C
 from quillon.llm import exchange as X
 
-#: Bytes of a fingerprint's second part; the first has 8.
-TWO = 5
+#: Bytes that are sent of a name and of the two parts of a window's fingerprint; the bucket gives more bits of a key, and
+#: buckets grow in number with the corpus, not in size, so that these widths do for any size.
+NAME, ONE, TWO = 5, 7, 4
 _SIDE, _RUN, _PAIR = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
 
@@ -171,7 +172,7 @@ class _Chunk:
     def ask(self, alive: np.ndarray, x: Level, n_buckets: int) -> pa.Table:
         at = within(x, alive, self.width)
         keys, several, _ = _distinct_owner(x.name[at], self.ids[x.text[at]])
-        return X.send(self.chunk, keys, X.columns((keys, 6), (several, 1)), n_buckets, alive)
+        return X.send(self.chunk, keys, X.columns((keys, NAME), (several, 1)), n_buckets, alive)
 
     def symbols(self, level: int, x: Level | None = None) -> Level:
         return symbols(self.h, self.words.off, self.width, level, x)
@@ -202,12 +203,12 @@ def _tell_shared(table: pa.Table) -> pa.Table:
     """Of each name sent: does more than one document have it?"""
 
     def shared(records: np.ndarray) -> np.ndarray:
-        _, inverse, count = np.unique(X.column(records, 0, 6), return_inverse=True, return_counts=True)
+        _, inverse, count = np.unique(X.column(records, 0, NAME), return_inverse=True, return_counts=True)
         several = count > 1
-        several[inverse[records[:, 6] > 0]] = True
+        several[inverse[records[:, NAME] > 0]] = True
         return several[inverse].astype(np.uint8)[:, None]
 
-    return X.answer(table, 7, shared)
+    return X.answer(table, NAME + 1, shared)
 
 
 def _fingerprints(h: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -235,18 +236,18 @@ def _ask_windows(table: pa.Table, told: pa.Table, ids: Ids, width: int, level: i
     alive, _ = c.after(told, level)
     starts = np.flatnonzero(alive)
     a, b, least, _ = _distinct_windows(*_fingerprints(c.h, starts, width), c.ids[c.words.doc_of()[starts]])
-    return X.send(c.chunk, a, X.columns((a, 8), (b, TWO), (least, ids.width)), n_buckets, alive)
+    return X.send(c.chunk, a, X.columns((a, ONE), (b, TWO), (least, ids.width)), n_buckets, alive)
 
 
 def _tell_earlier(table: pa.Table, ids: Ids) -> pa.Table:
     """Of each window sent: does a document of smaller id have it?"""
 
     def earlier(records: np.ndarray) -> np.ndarray:
-        own = X.column(records, 8 + TWO, ids.width)
-        _, _, least, inverse = _distinct_windows(X.column(records, 0, 8), X.column(records, 8, TWO), own)
+        own = X.column(records, ONE + TWO, ids.width)
+        _, _, least, inverse = _distinct_windows(X.column(records, 0, ONE), X.column(records, ONE, TWO), own)
         return (least[inverse] < own).astype(np.uint8)[:, None]
 
-    return X.answer(table, 8 + TWO + ids.width, earlier)
+    return X.answer(table, ONE + TWO + ids.width, earlier)
 
 
 def _remove(table: pa.Table, told: pa.Table, ids: Ids, width: int) -> pa.Table:
