@@ -9,7 +9,6 @@ where null means "not recorded" the rule asks for both sides.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,7 +112,10 @@ def _access(c: Column) -> Column:
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+    """UNION ALL as a balanced tree: each step analyses its inputs again, so a chain would cost their square."""
+    while len(parts) > 1:
+        parts = [a.unionByName(b) for a, b in zip(parts[::2], parts[1::2], strict=False)] + parts[len(parts) // 2 * 2 :]
+    return parts[0]
 
 
 def paired(lost: DataFrame, found: DataFrame, on: Sequence[str], left: str, right: str) -> DataFrame:

@@ -25,8 +25,7 @@ RENAME_KINDS = ("abi_tag_changed", "long_double_abi_changed", "func_likely_renam
 def findings(pair: detectors.Pair, names: Sequence[str] = ()) -> DataFrame:
     """UNION ALL of the detectors, in order of registration, with default verdicts."""
     parts = [f(pair).withColumns({"detector": F.lit(name), "detector_ord": F.lit(k)}) for k, (name, f) in enumerate(detectors.DETECTORS.items()) if not names or name in names]
-    out = reduce(DataFrame.unionByName, parts)
-    return out.withColumns({"verdict": kinds.default_verdict(F.col("kind")), "disposition": F.lit("active")})
+    return detectors._union(parts).withColumns({"verdict": kinds.default_verdict(F.col("kind")), "disposition": F.lit("active")})
 
 
 def deduplicated(found: DataFrame) -> DataFrame:
