@@ -110,5 +110,6 @@ def count_documents(docs: DataFrame, vocabulary: str, end_id: int, folder: str |
                 yield pa.RecordBatch.from_pydict({"path": [row["path"]] * n, "ordinal": pa.array(np.arange(n)), "doc_id": pa.array(np.frombuffer(raw, "<i8", n, n), mask=null)})
 
     names = manifest.select("path", "doc_ids").mapInArrow(C.tidy(unfold), "path string, ordinal long, doc_id long")
-    got = names.join(scan(manifest, end_id, block_ids), ["path", "ordinal"])
+    # the packed ids look far smaller to the planner than what they unfold to, a row a document: never broadcast them
+    got = scan(manifest, end_id, block_ids).join(names.hint("merge"), ["path", "ordinal"])
     return got.select("doc_id", "n_tokens", F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "ordinal", "start", "complete")
