@@ -15,6 +15,13 @@ FUNCTION_TYPES = ("func", "ifunc", "notype")
 VARIABLE_TYPES = ("object", "tls", "common", "notype")
 # Marks of version nodes that are not public.
 PRIVATE_NODE_MARKS = ("PRIVATE", "INTERNAL")
+# Types of compilers, namespaces of the standard library, marks of types without a name, beginnings of the
+# names of C++ runtime libraries, and floating types that make a homogeneous aggregate.
+COMPILER_TYPES = ("__va_list_tag", "__builtin_va_list", "__gnuc_va_list", "__int128", "__int128_t", "__uint128_t", "__NSConstantString_tag", "__NSConstantString")
+STDLIB_NAMESPACES = ("std::", "__gnu_cxx::", "__gnu_debug::", "__cxxabiv1::", "__cxx11::")
+ANONYMOUS_MARKS = ("<lambda", "{lambda", "(anonymous", "(unnamed", "<unnamed")
+CXX_RUNTIMES = ("stdc++", "c++abi", "supc++", "c++")
+HFA_TYPES = ("float", "double", "long double", "__fp16", "_Float16", "__bf16")
 RTTI_PREFIXES = ("_ZTI", "_ZTS", "_ZTV", "_ZTT")
 
 
@@ -217,3 +224,41 @@ def integer_width(name: Column, model: str = "LP64") -> Column:
         .when(t.rlike(r"\bchar\b|^u?int8_t$"), 8).when(t.rlike(r"^(un)?signed( int)?$|\bint\b|^u?int32_t$"), 32)
     )
     return F.when(bits.isNotNull() & t.rlike(r"^(\w+ ?)+$"), F.struct(bits.alias("bits"), (~unsigned).alias("signed")))
+
+
+def signature_cv_only(old: Column, new: Column) -> Column:
+    """Spellings of a parameter or result that differ in const and volatile only, at any level; they name one function."""
+    return cv_only(old, new)
+
+
+def cxx_runtime(library: Column) -> Column:
+    """The library (path, soname or short name) is a C++ runtime, whose own surface std:: is."""
+    return F.coalesce(_starts(F.regexp_replace(F.substring_index(library, "/", -1), "^lib", ""), CXX_RUNTIMES), F.lit(False))
+
+
+def non_abi_type(name: Column, exclude_stdlib: Column | None = None) -> Column:
+    """Types that are no library's own surface: a compiler's, the standard library's (unless excluded from this), unnamed ones."""
+    bare, pattern = F.trim(name), r"^typedef\s+(.+?)\s+([A-Za-z_][\w:]*)$"
+    own = bare.isin(*COMPILER_TYPES) | (F.trim(F.regexp_extract(bare, pattern, 1)).isin(*COMPILER_TYPES) & F.regexp_extract(bare, pattern, 2).isin(*COMPILER_TYPES))
+    out = own | (_starts(name, STDLIB_NAMESPACES) & (F.lit(True) if exclude_stdlib is None else exclude_stdlib))
+    for mark in ANONYMOUS_MARKS:
+        out = out | F.contains(name, F.lit(mark))
+    return F.coalesce(out, F.lit(False))
+
+
+def abi3_version(text: Column, known_minor: int = 15) -> Column:
+    """(major, minor) of a floor such as 3 or 3.9, 3.2 at least; null if it is none or lies over ten releases beyond known_minor."""
+    pattern = r"^\s*0*3(?:\.([0-9]{1,9}))?\s*$"
+    minor = F.coalesce(F.regexp_extract(text, pattern, 1).try_cast("int"), F.lit(0))
+    return F.when(text.rlike(pattern) & (minor <= known_minor + 10), F.struct(F.lit(3).alias("major"), F.greatest(minor, F.lit(2)).alias("minor")))
+
+
+def relation_key(src: Column, dst: Column, kind: Column, role: Column) -> Column:
+    """Identity of an edge: the same ends and kind in another role are another edge."""
+    return F.struct(src.alias("src"), dst.alias("dst"), kind.alias("kind"), F.coalesce(role, F.lit("")).alias("role"))
+
+
+def hash_recipe(recipe: Column, producer: Column, producer_version: Column, family: Column, version: Column) -> Column:
+    """Identity of the way in which hashes were made: the declared one, else producer and compiler with their versions."""
+    parts = [F.coalesce(c, F.lit("")) for c in (producer, producer_version, family, version)]
+    return F.coalesce(F.nullif(recipe, F.lit("")), F.concat_ws("|", *parts))

@@ -1,0 +1,149 @@
+"""Operators over exported surfaces: stable interfaces, version nodes, manifests, merged flags and summaries."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quillon.functions import text as T
+from quillon.operators import rules
+
+# Beginnings of names of the CPython interface and of its private part.
+CPYTHON, PRIVATE_API = ("Py", "_Py"), ("_Py", "PyUnstable")
+# What a relevance is called that could not be decided.
+UNDECIDED = ("UNKNOWN_UNRESOLVED", "UNKNOWN_UNPROVEN")
+
+
+# ---------------------------------------------------------------- stable interfaces
+
+
+def stable_abi(imports: DataFrame, known: DataFrame, floor: tuple[int, int] | None = None) -> DataFrame:
+    """imports (name, ...) with status and added: not_cpython, private, unknown, above_floor or stable.
+
+    known: name, major, minor of the release in which a name became stable; the earliest counts.
+    """
+    since = known.groupBy("name").agg(F.min(F.struct(F.col("major").cast("int").alias("major"), F.col("minor").cast("int").alias("minor"))).alias("added"))
+    both = imports.join(rules.small(since), "name", "left")
+    mine, hidden = T._starts(F.col("name"), CPYTHON), T._starts(F.col("name"), PRIVATE_API)
+    late = F.lit(False) if floor is None else F.col("added") > F.struct(F.lit(floor[0]).alias("major"), F.lit(floor[1]).alias("minor"))
+    status = F.when(~mine, "not_cpython").when(F.col("added").isNull(), F.when(hidden, "private").otherwise("unknown")).when(late, "above_floor").otherwise("stable")
+    return both.withColumns({"status": status, "added": F.when(mine, F.col("added"))})
+
+
+def stable_abi_violations(imports: DataFrame, known: DataFrame, floor: tuple[int, int] | None = None) -> DataFrame:
+    """Imports that an extension for a stable interface may not have."""
+    return stable_abi(imports, known, floor).filter(F.col("status").isin("private", "above_floor"))
+
+
+# ---------------------------------------------------------------- exports
+
+
+def exported_names(symbols: DataFrame, types: Sequence[str], relevant_only: bool = False, runtime_is_foreign: bool = True, by: Sequence[str] = ()) -> DataFrame:
+    """by and name: distinct exports of the given symbol types (name, sym_type); with relevant_only, the library's own."""
+    keep = F.col("sym_type").isin(*types) & (F.col("name") != "")
+    if relevant_only:
+        keep = keep & T.abi_relevant(F.col("name"), runtime_is_foreign)
+    return symbols.filter(keep).select(*by, "name").distinct()
+
+
+def export_delta(old: DataFrame, new: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """kind, by, symbol: functions that the symbol table alone shows to be gone."""
+    side = lambda df: exported_names(df, T.FUNCTION_TYPES, relevant_only=True, by=by)
+    return side(old).join(side(new), [*by, "name"], "left_anti").select(F.lit("func_removed_elf_only").alias("kind"), *by, F.col("name").alias("symbol"))
+
+
+def node_of(symbols: DataFrame, nodes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, name and the defined node that holds it; of several the node that the table (name, version, ordinal) shows first."""
+    held = symbols.filter("version <> ''").join(nodes.select(*by, "version").distinct(), [*by, "version"], "left_semi")
+    first = held.groupBy(*by, "version").agg(F.min("ordinal").alias("_at"))
+    return held.select(*by, "version", "name").join(first, [*by, "version"]).groupBy(*by, "name").agg(F.min_by("version", F.struct("_at", "version")).alias("version"))
+
+
+def moved_nodes(old: DataFrame, new: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """kind, by, symbol, old_value, new_value of names on both sides that are held by another node; tables as node_of gives them."""
+    both = old.withColumnRenamed("version", "old_value").join(new.withColumnRenamed("version", "new_value"), [*by, "name"]).filter("old_value <> new_value")
+    return both.select(F.lit("symbol_moved_version_node").alias("kind"), *by, F.col("name").alias("symbol"), "old_value", "new_value")
+
+
+# ---------------------------------------------------------------- manifests, flags, rules, caches
+
+
+def manifest_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """c_symbol, change of two manifests (c_symbol, return_dtype, params, ufunc: signature and loop_symbol, or null).
+
+    A ufunc that an export gains is an addition; one that it loses or alters is a change of signature or loop symbol.
+    """
+    side = lambda df, c: df.select("c_symbol", F.struct("return_dtype", "params", "ufunc").alias(c))
+    both = side(old, "_o").join(side(new, "_n"), "c_symbol", "full_outer")
+    here = F.col("_o").isNotNull() & F.col("_n").isNotNull()
+    had, has = F.col("_o.ufunc").isNotNull(), F.col("_n.ufunc").isNotNull()
+    other = lambda c: F.coalesce(F.col(f"_o.ufunc.{c}"), F.lit("")) != F.coalesce(F.col(f"_n.ufunc.{c}"), F.lit(""))
+    same = F.col("_o.return_dtype").eqNullSafe(F.col("_n.return_dtype")) & F.col("_o.params").eqNullSafe(F.col("_n.params"))
+    tests = [
+        (F.col("_n").isNull(), "removed"), (F.col("_o").isNull(), "added"), (here & ~same, "signature"), (here & ~had & has, "ufunc_added"),
+        (here & had & other("signature"), "ufunc_signature"), (here & had & other("loop_symbol"), "ufunc_loop_symbol"),
+    ]
+    return both.select("c_symbol", F.explode(F.filter(F.array(*(F.when(c, name) for c, name in tests)), lambda x: x.isNotNull())).alias("change"))
+
+
+def merged_defines(defines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, macro, value of its first unit, and conflicts: its spellings if they differ; defines: ordinal, macro, value (null: no value)."""
+    shown = F.coalesce("value", F.lit("(defined)"))
+    each = defines.groupBy(*by, "macro", "value").agg(F.min("ordinal").alias("_at"))  # one row a spelling before they are gathered
+    out = each.groupBy(*by, "macro").agg(F.min_by(F.struct("value"), F.struct("_at", shown)).alias("_v"), F.array_sort(F.collect_set(shown)).alias("_all"))
+    return out.select(*by, "macro", F.col("_v.value").alias("value"), F.when(F.size("_all") > 1, F.col("_all")).alias("conflicts"))
+
+
+def merged_paths(paths: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, path, ordinal of its first place: a search list without repeats."""
+    return paths.groupBy(*by, "path").agg(F.min("ordinal").alias("ordinal"))
+
+
+def merged_rules(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The rules of two lists, those of the second after those of the first."""
+    last = first.agg(F.max("rule_idx").alias("_last"))
+    moved = second.crossJoin(F.broadcast(last)).withColumn("rule_idx", F.col("rule_idx") + F.coalesce(F.col("_last") + 1, F.lit(0))).drop("_last")  # one row
+    return first.unionByName(moved, allowMissingColumns=True)
+
+
+def evicted(entries: DataFrame, keep: int, name: str = "name", at: str = "mtime") -> DataFrame:
+    """Entries beyond the `keep` newest; the cache's size bounds what is held in one place."""
+    newest = entries.orderBy(F.col(at).desc(), F.col(name).desc()).limit(keep).select(name)
+    return entries.join(newest, name, "left_anti")
+
+
+# ---------------------------------------------------------------- summaries
+
+
+def unresolved_rate(decisions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by and rate: the share of decisions (relevance) that were not decided; 0 without any."""
+    open_ = F.coalesce(F.col("relevance").isin(*UNDECIDED), F.lit(False))
+    return decisions.groupBy(*by).agg(F.coalesce(F.avg(open_.cast("double")), F.lit(0.0)).alias("rate"))
+
+
+def surface_breakdown(findings: DataFrame, by: Sequence[str] = ("pair_id",)) -> DataFrame:
+    """by, total, rtti, internal and public: findings by the origin of their symbol."""
+    origin = T.symbol_origin(F.coalesce("symbol", F.lit("")))
+    return findings.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), *(F.count_if(origin == o).alias(o) for o in ("rtti", "internal", "public")))
+
+
+def report_summary(findings: DataFrame, sizes: DataFrame, verdict: str = "effective_verdict") -> DataFrame:
+    """A row for each pair of sizes (pair_id, old_symbols): counts by verdict and the two percentages."""
+    of = lambda v: F.count_if(F.col(verdict) == v)
+    n = findings.groupBy("pair_id").agg(of("BREAKING").alias("breaking"), of("API_BREAK").alias("source_breaks"), of("COMPATIBLE_WITH_RISK").alias("risk_count"), of("COMPATIBLE").alias("compatible_additions"), F.count(F.lit(1)).alias("total_changes"))
+    out = sizes.join(n, "pair_id", "left").na.fill(0, ["breaking", "source_breaks", "risk_count", "compatible_additions", "total_changes"])
+    old, bad = F.col("old_symbols"), F.col("breaking")
+    affected = F.when(old > 0, F.least(F.lit(100.0), bad / old * 100)).otherwise(0.0)
+    return out.withColumns({"binary_compatibility_pct": rules.compatibility_percent(old, bad, F.col("total_changes")), "affected_pct": affected})
+
+
+def aggregate_class(size: Column, members: Column) -> Column:
+    """How AArch64 passes an aggregate by value: hfa<n>, hva<n>, register or indirect, from its size and its members' types."""
+    some = F.filter(members, lambda x: F.coalesce(x != "", F.lit(False)))
+    one = F.size(some).between(1, 4) & (F.size(F.array_distinct(some)) == 1)
+    kind = F.lower(F.try_element_at(some, F.lit(1)))
+    vector = kind.rlike(r"(?:u?int|float|poly|bfloat)\d+x\d+|vector|__simd")
+    floating = F.try_element_at(some, F.lit(1)).isin(*T.HFA_TYPES)
+    return F.when(one & floating, F.concat(F.lit("hfa"), F.size(some))).when(one & vector, F.concat(F.lit("hva"), F.size(some))).when(size > 16, "indirect").otherwise("register")

@@ -72,6 +72,16 @@ def junit(found: DataFrame, limit: int | None = None) -> DataFrame:
     return _documents(found, _junit, limit)
 
 
+def junit_release(found: DataFrame) -> DataFrame:
+    """One JUnit document (tests, failures, document) of all pairs, a suite each, in order of pair_id."""
+    body = F.trim(F.regexp_replace("document", r"^<\?xml[^>]*>\s*", ""))
+    number = lambda k: F.regexp_extract("document", rf'<testsuite name=[^>]*? {k}="(\d+)"', 1).cast("long")
+    suites = junit(found).select("pair_id", body.alias("body"), number("tests").alias("tests"), number("failures").alias("failures"))
+    whole = suites.agg(F.coalesce(F.sum("tests"), F.lit(0)).alias("tests"), F.coalesce(F.sum("failures"), F.lit(0)).alias("failures"), F.array_sort(F.collect_list(F.struct("pair_id", "body"))).alias("_s"))
+    head = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<testsuites tests="'), F.col("tests").cast("string"), F.lit('" failures="'), F.col("failures").cast("string"), F.lit('">\n'))
+    return whole.select("tests", "failures", F.concat(head, F.array_join(F.transform("_s", lambda x: x["body"]), "\n"), F.lit("\n</testsuites>\n")).alias("document"))
+
+
 def html(found: DataFrame, limit: int | None = None) -> DataFrame:
     return _documents(found, _html, limit)
 

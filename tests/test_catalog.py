@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 import pandas as pd
 import pytest
-from quillon.plans import catalog, catalog_more  # noqa: F401
+from quillon.plans import catalog, catalog_more, catalog_surfaces  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
