@@ -10,12 +10,16 @@
     n-grams of one document).  Small tries share a task; one of more than PART_GRAMS n-grams is dealt over several.
     Neighbours in a trie, which share the longest paths, are joined first: that contracts groups of near copies to
     few components at a cost that grows with their members.
-4.  Probes.  A prefix n-gram that still meets two components sends the classes that have it down every trie that
-    holds it.  A probe visits the stored paths that share a prefix n-gram with it, in the order of the trie: the
-    overlap of a shared path is counted once, and a subtree is left as soon as the overlap so far and the n-grams
-    that remain on both sides cannot reach what the lengths ask for.  Neither pairs of a group nor pairs that
-    share an n-gram are ever listed: what moves is one row for each probe and trie.  Classes already in one component
-    need no test, as they cannot change it.
+4.  Probes.  If the first n-gram that two sets share stands at place i of a set of n, the other has at most
+    (100 + percent) (n - i) / percent - n n-grams.  A class leaves an n-gram where that, or the same seen from the
+    others, excludes every class that has it.  A prefix n-gram that still meets two components sends the classes that
+    have it to its centre, the one among them of least hash: n-grams that the same classes share have one centre, so
+    a class is sent to few, and at most once for each of its n-grams, however many tries hold them.  The classes
+    around a centre are stored in a trie; each probes it, and visits the stored paths that share a prefix n-gram with
+    it, in the order of the trie: the overlap of a shared path is counted once, and a subtree is left as soon as the
+    overlap so far and the n-grams that remain on both sides cannot reach what the lengths ask for.  Neither pairs of
+    a group nor pairs that share an n-gram are ever listed.  A centre of more than PROBE_GRAMS n-grams is dealt in
+    blocks, two of which meet in a task.  Classes already in one component need no test, as they cannot change it.
 
 The traversal is exact: it counts whole paths, so what reaches its length's overlap is a link and needs no other check.
 
@@ -40,7 +44,7 @@ from quillon.llm import exchange as X
 from quillon.llm.components import components, spanning
 from quillon.llm.substring_dedup import _sorted
 
-#: N-grams that the tries of one task hold, and those of the probes that it takes, about; a set is never divided.
+#: N-grams that the tries of one task hold, and those that two blocks of a large centre hold, about; a set is never divided.
 PART_GRAMS, PROBE_GRAMS = 1 << 18, 1 << 19
 #: Neighbours on each path that are joined before the exact probes.
 NEAR = 16
@@ -138,6 +142,11 @@ def _prefixes(table: pa.Table, told: pa.Table, width: int, percent: int) -> pa.T
     return pa.table([*cols, *(pa.array(v, t) for v, t in zip(rows, kinds[5:], strict=True))], names=list(names))
 
 
+def _largest(n, place, percent: int):
+    """Most n-grams of a set that links with a set of n, if the first n-gram that they share is at this place of the latter."""
+    return (100 + percent) * (n - place) // percent - n
+
+
 # ---------------------------------------------------------------- tries
 
 
@@ -234,32 +243,40 @@ def _join_neighbours(table: pa.Table, width: int, percent: int) -> pa.Table:
 
 
 def _probe(table: pa.Table, width: int, percent: int) -> pa.Table:
-    """Rows of stored sets and of probes (is_probe): the links between sets of different components."""
-    table = table.sort_by([("is_probe", "ascending"), ("node", "ascending"), ("one", "ascending"), ("two", "ascending")]).combine_chunks()
+    """Rows of stored sets (is_probe is false), of probes (true), or of sets that are both (null): the links between sets of different components."""
+    table = table.sort_by([("node", "ascending"), ("one", "ascending"), ("two", "ascending")]).combine_chunks()
     nodes, comps, sizes = table["node"].to_numpy(), table["comp"].to_pylist(), table["n"].to_numpy().astype(np.int64)
-    probes = table["is_probe"].to_numpy(zero_copy_only=False)
-    stored = int((~probes).sum())
-    if not stored or stored == len(table):
+    both = table["is_probe"].is_null().to_numpy()
+    asks = table["is_probe"].fill_null(True).to_numpy()
+    stored, probes = np.flatnonzero(both | ~asks), np.flatnonzero(asks)
+    if not len(stored) or not len(probes) or len(set(comps)) == 1:
         return _links([], [])
     paths = paths_of(table, width)
-    tree, joined, u, v = Tree(paths[:stored], sizes[:stored], percent), _Union(), [], []
-    prefix = np.maximum(_reach(sizes, percent) - (sizes - [len(p) for p in paths]), 0)
-    place = np.empty(stored, np.int64)
-    place[tree.order] = np.arange(stored)
-    gram = np.concatenate([paths[i][: prefix[i]] for i in range(stored)])
-    at = np.repeat(place, np.minimum(prefix[:stored], [len(p) for p in paths[:stored]]))
+    tree, joined, u, v = Tree([paths[i] for i in stored], sizes[stored], percent), _Union(), [], []
+    length = np.array([len(p) for p in paths])
+    alone = sizes - length
+    prefix = np.clip(_reach(sizes, percent) - alone, 0, length)
+    place = np.empty(len(stored), np.int64)
+    place[tree.order] = np.arange(len(stored))
+    gram = np.concatenate([paths[i][: prefix[i]] for i in stored])
+    at, of = np.repeat(place, prefix[stored]), np.repeat(stored, prefix[stored])
+    most = _largest(sizes[of], C.ragged(alone[stored], prefix[stored]), percent)
     by = np.lexsort((at, gram))
-    gram, at = gram[by], at[by]
-    for i in range(stored, len(table)):
+    gram, at, size, most = gram[by], at[by], sizes[of][by], most[by]
+    for i in probes.tolist():
         mine = paths[i][: prefix[i]]
         lo, hi = np.searchsorted(gram, mine), np.searchsorted(gram, mine, "right")
-        some = tree.order[np.unique(at[C.ragged(lo, hi - lo)])]
-        n = sizes[some]
-        some = some[((n < sizes[i]) | ((n == sizes[i]) & (nodes[some] < nodes[i]))) & (100 * n >= percent * sizes[i])].tolist()
-        for j in tree.walk(paths[i], int(sizes[i]), (j for j in some if joined.find(comps[j]) != joined.find(comps[i]))):
-            joined.join(comps[i], comps[j])
+        held = C.ragged(lo, hi - lo)
+        mine_most = np.repeat(_largest(sizes[i], alone[i] + np.arange(len(mine)), percent), hi - lo)
+        held = held[(size[held] <= mine_most) & (most[held] >= sizes[i])]
+        some = tree.order[np.unique(at[held])]
+        if both[i]:
+            n = tree.sizes[some]
+            some = some[(n < sizes[i]) | ((n == sizes[i]) & (nodes[stored[some]] < nodes[i]))]
+        for j in tree.walk(paths[i], int(sizes[i]), (j for j in some.tolist() if joined.find(comps[stored[j]]) != joined.find(comps[i]))):
+            joined.join(comps[i], comps[stored[j]])
             u.append(int(nodes[i]))
-            v.append(int(nodes[j]))
+            v.append(int(nodes[stored[j]]))
     return _links(u, v)
 
 
@@ -275,6 +292,25 @@ def in_tries(classes: DataFrame, part_grams: int) -> DataFrame:
     return classes.join(several, "first", "left").withColumn("part", F.when(F.col("_k").isNull(), F.pmod(F.xxhash64("first"), F.lit(slots))).otherwise(F.xxhash64("first", F.pmod(F.xxhash64("node", "one"), "_k")))).drop("_k")
 
 
+def at_centres(open_: DataFrame, part_grams: int, probe_grams: int) -> DataFrame:
+    """The classes of open_ once for each task (part, salt) that they meet others in: several centres to a task, or one dealt in blocks.
+
+    open_: gram, centre and the columns of a class.  A block meets itself in one task, where its classes are stored
+    and probe (is_probe is null), and each other block in one, where one of the two is stored and the other probes.
+    """
+    key = ["node", "one", "two", "comp", "n"]
+    spokes = C.materialize(open_.select("centre", *key).distinct(), "spokes")
+    weight = spokes.groupBy("centre").agg(F.sum("n").alias("_w"))
+    total = weight.agg(F.coalesce(F.sum("_w"), F.lit(0)).alias("w")).first()["w"]
+    slots = max(1, -(-total // part_grams))
+    several = weight.filter(F.col("_w") > probe_grams).select("centre", F.ceil(F.col("_w") * 2 / F.lit(probe_grams)).cast("int").alias("_k"))
+    dealt = spokes.join(several, "centre", "left").withColumn("_block", F.pmod(F.xxhash64("node", "one", "two"), "_k").cast("int"))
+    met = dealt.withColumn("_other", F.explode(F.when(F.col("_k").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("_k") - 1))))
+    part = F.when(F.col("_k").isNull(), F.pmod(F.xxhash64("centre"), F.lit(slots))).otherwise(F.xxhash64("centre"))
+    salt = F.coalesce(F.least("_block", "_other").cast("long") * F.col("_k") + F.greatest("_block", "_other"), F.lit(-1).cast("long"))
+    return met.select(*key, part.alias("part"), salt.alias("salt"), F.when(F.col("_block") != F.col("_other"), F.col("_block") > F.col("_other")).alias("is_probe")).distinct()
+
+
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, chunk_bytes: int | None = None, part_grams: int = PART_GRAMS, probe_grams: int = PROBE_GRAMS) -> DataFrame:
     """id_col, n_shingles and component_id of each row of docs; see the head of this file."""
     total = C.chunk_count(docs, text_col, 1)[1]
@@ -298,25 +334,23 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = near(in_tries(heads, part_grams)).unionByName(first.select(F.col("node").alias("u"), F.col("component").alias("v")))
         first = C.materialize(components(more), "components")
 
-    # prefix n-grams that two components share
+    # prefix n-grams that two components share, of classes that may link by them
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blob = batch["prefix"].to_pylist()
-            at = pa.array(np.repeat(np.arange(len(blob)), [len(b) // 8 for b in blob]))
-            yield pa.RecordBatch.from_pydict({"gram": np.frombuffer(b"".join(blob), np.int64), **{c: batch[c].take(at) for c in ("node", "one", "two", "comp", "n", "part")}})
+            blob, n = batch["prefix"].to_pylist(), batch["n"].to_numpy().astype(np.int64)
+            count = np.array([len(b) // 8 for b in blob], np.int64)
+            at = np.repeat(np.arange(len(blob)), count)
+            most = _largest(n[at], C.ragged(_reach(n, percent) - count, count), percent)
+            yield pa.RecordBatch.from_pydict({"gram": np.frombuffer(b"".join(blob), np.int64), **{c: batch[c].take(pa.array(at)) for c in key}, "most": most})
 
-    placed = classes.join(first.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    grams = placed.select("node", "one", "two", "comp", "n", "part", "prefix").mapInArrow(C.tidy(unfold), "gram long, node long, one long, two long, comp long, n int, part long")
-    mixed = grams.groupBy("gram").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a <> _b").select("gram")
-    open_ = C.materialize(grams.join(mixed, "gram"), "open")
-    stores = open_.groupBy("gram", "part").agg(F.min("n").alias("_lo"), F.max("n").alias("_hi"), F.min("comp").alias("_a"), F.max("comp").alias("_b"))
-    fits = (F.col("_lo") <= F.col("n")) & (F.col("_hi") * 100 >= F.col("n") * percent) & ((F.col("_a") != F.col("comp")) | (F.col("_b") != F.col("comp")))
     key = ["node", "one", "two", "comp", "n"]
-    probes = C.materialize(open_.drop("part").join(stores, "gram").filter(fits).select(*key, "part").distinct(), "probes")
-    salts = probes.groupBy("part").agg(F.ceil(F.sum("n") / F.lit(probe_grams)).cast("int").alias("_k"))
-    dealt = probes.join(salts, "part").select(*key, "part", F.pmod(F.xxhash64("node", "one"), "_k").cast("int").alias("salt"), F.lit(True).alias("is_probe"))
-    kept = open_.select(*key, "part").distinct().join(salts, "part").select(*key, "part", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("salt"), F.lit(False).alias("is_probe"))
-    sent = dealt.unionByName(kept).join(classes.select("node", "one", "two", "text", "df"), ["node", "one", "two"])
+    meet = [F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.min("n").alias("_least"), F.max("most").alias("_most")]
+    may_link = (F.col("_a") != F.col("_b")) & (F.col("most") >= F.col("_least")) & (F.col("n") <= F.col("_most"))
+    placed = classes.join(first.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    grams = placed.select(*key, "prefix").mapInArrow(C.tidy(unfold), "gram long, node long, one long, two long, comp long, n int, most long")
+    open_ = C.materialize(grams.join(grams.groupBy("gram").agg(*meet).filter("_a <> _b"), "gram").filter(may_link).select("gram", *key, "most"), "open")
+    centres = open_.groupBy("gram").agg(*meet, F.min_by("node", F.xxhash64("node")).alias("centre")).filter("_a <> _b")
+    sent = at_centres(open_.join(centres, "gram").filter(may_link), part_grams, probe_grams).join(classes.select("node", "one", "two", "text", "df"), ["node", "one", "two"])
     more = sent.select("part", "salt", "is_probe", "node", "one", "two", "comp", "n", "text", "df").groupBy("part", "salt").applyInArrow(C.tidy_group(lambda t: _probe(t, width, percent)), "u long, v long")
 
     linked = members.unionByName(first.select(F.col("node").alias("u"), F.col("component").alias("v"))).unionByName(more)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import random
 
 import brute
@@ -129,6 +130,44 @@ def test_ngram_join_of_a_large_group(spark, part, probe):
     assert all(got[i] == want[i][1] for i in range(240) if i not in group and i != 7)
 
 
+def rows_of_joins(spark, run):
+    """Most rows that one join of run() makes, by Spark's own metrics."""
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    each = lambda seq: (seq.apply(i) for i in range(seq.size()))
+    bus.waitUntilEmpty()
+    before = {e.executionId() for e in each(store.executionsList())}
+    run()
+    bus.waitUntilEmpty()
+    made = [0]
+    for k in {e.executionId() for e in each(store.executionsList())} - before:
+        values = store.executionMetrics(k)
+        for node in each(store.planGraph(k).allNodes()):
+            if "Join" in node.name():
+                made += [int(values.apply(m.accumulatorId()).replace(",", "")) for m in each(node.metrics()) if m.name() == "number of output rows" and values.contains(m.accumulatorId())]
+    return max(made)
+
+
+@pytest.mark.parametrize(("part", "probe", "few"), [(1 << 12, 1 << 13, True), (300, 2000, False)])
+def test_ngram_join_of_common_passages(spark, part, probe, few):
+    """Texts made of the same passages share n-grams across many tries: no join makes more rows than the prefixes have n-grams.
+
+    Not so where a block holds three texts (few is false), since each block meets all others; the result holds.
+    """
+    rng = random.Random(5)
+    passages = [[f"p{k}w{i}" for i in range(rng.randint(60, 120))] for k in range(9)]
+    docs = [(i, " ".join(w for k in some for w in passages[k])) for i, some in enumerate(s for size in (3, 4) for s in itertools.combinations(range(9), size))]
+    want, got = brute.jaccard_components(docs), {}
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+
+    def run():
+        got.update({r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_components(frame, chunk_bytes=20_000, part_grams=part, probe_grams=probe).collect()})
+
+    made = rows_of_joins(spark, run)
+    assert got == want
+    assert len(docs) > len({c for _, c in want.values()}) > 1
+    assert not few or made <= sum(ngram_join._reach(n, 75) for n, _ in want.values())
+
+
 @pytest.mark.parametrize("leaf_rows", [2048, 100])
 def test_vectors(spark, leaf_rows):
     rng = np.random.default_rng(0)
