@@ -34,6 +34,26 @@ def test_stages(spark):
         assert empty.count() == 0
 
 
+def test_near_copies_of_common_passages(spark, monkeypatch):
+    """Texts made of the same passages, in tasks of few texts: one of each group is kept, and no join of the stage lists pairs."""
+    import itertools
+    from functools import partial
+
+    import brute
+    import corpus_pipeline as P
+    from quillon.llm import ngram_join
+    from test_dedup import rows_of_joins
+
+    texts = [" ".join(f"p{k}w{i}" for k in some for i in range(60 + 7 * k)) for size in (3, 4) for some in itertools.combinations(range(9), size)]
+    rows = [*enumerate(texts), (len(texts), texts[0] + " end")]
+    docs, kept = spark.createDataFrame(rows, "doc_id long, text string"), []
+    monkeypatch.setattr(ngram_join, "link_components", partial(ngram_join.link_components, chunk_bytes=20_000, part_grams=1 << 12, probe_grams=1 << 13))
+    made = rows_of_joins(spark, lambda: kept.extend(r.doc_id for r in dict(P.STAGES)["near_copies"](spark, docs, DATA).collect()))
+    want = brute.jaccard_components(rows)
+    assert sorted(kept) == [i for i, (_, c) in sorted(want.items()) if i == c]
+    assert made <= sum(ngram_join._reach(n, 75) for n, _ in want.values())
+
+
 def test_mixing_meets_the_targets(spark, tmp_path):
     """Tokens by language come to the target shares although one language has to be repeated many times."""
     import corpus_pipeline as P
