@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators import surfaces
+from quillon.operators import build, diff, rollup, rules
 from quillon.plans.catalog import query, table
 from quillon.sinks import report
 
@@ -29,12 +29,12 @@ def _api(spark, d):
 
 @query(API_SQL + "SELECT * FROM r")
 def stable_abi_status(spark, d):
-    return surfaces.stable_abi(*_api(spark, d), floor=(3, 4)).select("k", "status")
+    return rules.stable_abi(*_api(spark, d), floor=(3, 4)).select("k", "status")
 
 
 @query(API_SQL + "SELECT * FROM r WHERE status IN ('private', 'above_floor')")
 def stable_abi_audit(spark, d):
-    return surfaces.stable_abi_violations(*_api(spark, d), floor=(3, 4)).select("k", "status")
+    return rules.stable_abi_violations(*_api(spark, d), floor=(3, 4)).select("k", "status")
 
 
 @query("""WITH x AS (SELECT p_partkey k, ['3', '3.' || p_size, '4', '3.9.1', ' 3.12 ', '39'][CAST(p_partkey % 6 + 1 AS INTEGER)] v FROM part), m AS (SELECT k, CASE WHEN trim(v) = '3' THEN 0 WHEN regexp_full_match(trim(v), '3\\.[0-9]+') THEN CAST(split_part(trim(v), '.', 2) AS INTEGER) END m FROM x)
@@ -56,12 +56,12 @@ def _symbols(spark, d, keep="true"):
 
 @query(SYMBOLS_SQL + "SELECT DISTINCT b library, nm AS name FROM e")
 def exported_function_names(spark, d):
-    return surfaces.exported_names(_symbols(spark, d), T.FUNCTION_TYPES, relevant_only=True, by=["library"])
+    return diff.exported_names(_symbols(spark, d), T.FUNCTION_TYPES, relevant_only=True, by=["library"])
 
 
 @query(SYMBOLS_SQL + "SELECT 'func_removed_elf_only' kind, b library, nm symbol FROM e WHERE s = 0 AND (b, nm) NOT IN (SELECT (b, nm) FROM e WHERE s = 1)")
 def export_table_delta(spark, d):
-    return surfaces.export_delta(_symbols(spark, d, "p_partkey % 2 = 0"), _symbols(spark, d, "p_partkey % 2 = 1"), by=["library"])
+    return diff.export_delta(_symbols(spark, d, "p_partkey % 2 = 0"), _symbols(spark, d, "p_partkey % 2 = 1"), by=["library"])
 
 
 @query("""WITH x AS (SELECT 's' || l_partkey nm, 'V' || (l_suppkey + l_orderkey % 2) % 7 v, l_orderkey * 10 + l_linenumber o, l_orderkey % 2 side FROM lineitem), y AS (SELECT * FROM x WHERE v <> 'V6'), f AS (SELECT side, v, min(o) at_ FROM y GROUP BY 1, 2),
@@ -70,7 +70,7 @@ def moved_version_nodes(spark, d):
     v = F.concat(F.lit("V"), ((F.col("l_suppkey") + F.col("l_orderkey") % 2) % 7).cast("string"))
     x = table(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_partkey").cast("string")).alias("name"), v.alias("version"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"), (F.col("l_orderkey") % 2).alias("side"))
     nodes = spark.createDataFrame([(f"V{i}",) for i in range(6)], "version string")
-    return surfaces.moved_nodes(surfaces.node_of(x.filter("side = 0"), nodes), surfaces.node_of(x.filter("side = 1"), nodes))
+    return diff.moved_nodes(diff.node_of(x.filter("side = 0"), nodes), diff.node_of(x.filter("side = 1"), nodes))
 
 
 @query("""WITH o AS (SELECT p_partkey k, 'd' || p_size % 4 r, CASE WHEN p_partkey % 3 <> 0 THEN 'g' || p_size % 3 END g, 'l' || p_size % 2 l FROM part WHERE p_partkey % 11 <> 0), n AS (SELECT p_partkey k, 'd' || (p_size + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END) % 4 r, CASE WHEN p_partkey % 5 <> 0 THEN 'g' || (p_size + p_partkey % 2) % 3 END g, 'l' || (p_size + p_partkey % 3) % 2 l FROM part WHERE p_partkey % 13 <> 0),
@@ -83,36 +83,36 @@ def manifest_diff(spark, d):
     def side(keep, has, ret, sig, loop):
         return _part(spark, d, keep).select(word("c", k).alias("c_symbol"), word("d", ret % 4).alias("return_dtype"), F.array(F.lit("f8")).alias("params"), F.when(has, F.struct(word("g", sig % 3).alias("signature"), word("l", loop % 2).alias("loop_symbol"))).alias("ufunc"))
 
-    return surfaces.manifest_changes(side("p_partkey % 11 <> 0", k % 3 != 0, z, z, z), side("p_partkey % 13 <> 0", k % 5 != 0, z + F.when(k % 7 == 0, 1).otherwise(0), z + k % 2, z + k % 3))
+    return diff.manifest_changes(side("p_partkey % 11 <> 0", k % 3 != 0, z, z, z), side("p_partkey % 13 <> 0", k % 5 != 0, z + F.when(k % 7 == 0, 1).otherwise(0), z + k % 2, z + k % 3))
 
 
 @query("""WITH x AS (SELECT p_brand b, 'M' || p_size m, p_partkey o, CASE WHEN p_partkey % 4 <> 0 THEN CAST(p_partkey % 3 AS VARCHAR) END v FROM part) SELECT b target, m macro, coalesce(arg_min(coalesce(v, '(defined)'), o), '') "value", CASE WHEN count(DISTINCT coalesce(v, '(defined)')) > 1 THEN array_to_string(list_sort(list(DISTINCT coalesce(v, '(defined)'))), ',') END conflicts FROM x GROUP BY 1, 2""")
 def merged_build_defines(spark, d):
     k = F.col("k")
     x = _part(spark, d).select(F.col("p_brand").alias("target"), F.concat(F.lit("M"), F.col("p_size").cast("string")).alias("macro"), k.alias("ordinal"), F.when(k % 4 != 0, (k % 3).cast("string")).alias("value"))
-    out = surfaces.merged_defines(x, by=["target"])
+    out = build.merged_defines(x, by=["target"])
     return out.select("target", "macro", F.coalesce("value", F.lit("(defined)")).alias("value"), F.array_join("conflicts", ",").alias("conflicts"))
 
 
 @query("""SELECT l_orderkey target, '/i' || l_suppkey AS "path", min(l_linenumber) AS ordinal FROM lineitem GROUP BY 1, 2""")
 def merged_search_paths(spark, d):
-    return surfaces.merged_paths(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("target"), F.concat(F.lit("/i"), F.col("l_suppkey").cast("string")).alias("path"), F.col("l_linenumber").alias("ordinal")), by=["target"])
+    return build.merged_paths(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("target"), F.concat(F.lit("/i"), F.col("l_suppkey").cast("string")).alias("path"), F.col("l_linenumber").alias("ordinal")), by=["target"])
 
 
 @query("""SELECT n_nationkey rule_idx, n_name symbol FROM nation UNION ALL SELECT (SELECT max(n_nationkey) + 1 FROM nation) + r_regionkey, r_name FROM region""")
 def merged_rule_lists(spark, d):
-    return surfaces.merged_rules(table(spark, d, "nation").select(F.col("n_nationkey").alias("rule_idx"), F.col("n_name").alias("symbol")), table(spark, d, "region").select(F.col("r_regionkey").alias("rule_idx"), F.col("r_name").alias("symbol")))
+    return rules.merged_rules(table(spark, d, "nation").select(F.col("n_nationkey").alias("rule_idx"), F.col("n_name").alias("symbol")), table(spark, d, "region").select(F.col("r_regionkey").alias("rule_idx"), F.col("r_name").alias("symbol")))
 
 
 @query("""SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) n FROM events) WHERE n > 500""")
 def evicted_entries(spark, d):
-    return surfaces.evicted(table(spark, d, "events").select("event_id", "ts"), 500, "event_id", "ts").select("event_id")
+    return rollup.evicted(table(spark, d, "events").select("event_id", "ts"), 500, "event_id", "ts").select("event_id")
 
 
 @query("""SELECT o_custkey, avg(CASE WHEN o_orderkey % 5 IN (1, 3) THEN 1.0 ELSE 0.0 END) rate FROM orders GROUP BY 1""")
 def unresolved_decisions(spark, d):
     names = ("IN_CONTRACT", "UNKNOWN_UNRESOLVED", "NOT_APPLICABLE", "UNKNOWN_UNPROVEN", "PROVEN_OUT_OF_CONTRACT")
-    return surfaces.unresolved_rate(table(spark, d, "orders").select("o_custkey", _pick(F.col("o_orderkey"), *names).alias("relevance")), by=["o_custkey"])
+    return rollup.unresolved_rate(table(spark, d, "orders").select("o_custkey", _pick(F.col("o_orderkey"), *names).alias("relevance")), by=["o_custkey"])
 
 
 FOUND_SQL = """WITH f AS (SELECT p_brand b, p_partkey k, ['BREAKING', 'API_BREAK', 'COMPATIBLE_WITH_RISK', 'COMPATIBLE'][CAST(p_partkey % 4 + 1 AS INTEGER)] v, p_partkey % 3 o FROM part WHERE p_size > 10) """
@@ -121,19 +121,19 @@ FOUND_SQL = """WITH f AS (SELECT p_brand b, p_partkey k, ['BREAKING', 'API_BREAK
 def _found(spark, d):
     k = F.col("k")
     name = F.concat(_pick(k, "_ZTI", "ns::detail::f", "f"), F.col("s"))
-    return _part(spark, d, "p_size > 10").select(F.col("p_brand").alias("pair_id"), F.lit("func_removed").alias("kind"), name.alias("symbol"), F.lit(None).cast("string").alias("old_value"), F.lit(None).cast("string").alias("new_value"), _pick(k, "BREAKING", "API_BREAK", "COMPATIBLE_WITH_RISK", "COMPATIBLE").alias("effective_verdict"), F.lit("active").alias("disposition"))
+    return _part(spark, d, "p_size > 10").select(F.col("p_brand").alias("pair_id"), F.lit("func_removed").alias("kind"), name.alias("symbol"), F.lit(None).cast("string").alias("old_value"), F.lit(None).cast("string").alias("new_value"), rules.verdict_of((4 - k % 4).cast("int")).alias("effective_verdict"), F.lit("active").alias("disposition"))
 
 
 @query(FOUND_SQL + "SELECT b pair_id, count(*) total, CAST(count(*) FILTER (o = 0) AS BIGINT) rtti, CAST(count(*) FILTER (o = 1) AS BIGINT) internal, CAST(count(*) FILTER (o = 2) AS BIGINT) public FROM f GROUP BY 1")
 def origin_breakdown(spark, d):
-    return surfaces.surface_breakdown(_found(spark, d))
+    return rollup.surface_breakdown(_found(spark, d))
 
 
 @query(FOUND_SQL + """, s AS (SELECT p_brand b, count(*) FILTER (p_partkey % 2 = 0) n FROM part GROUP BY 1), c AS (SELECT b, count(*) FILTER (v = 'BREAKING') br, count(*) FILTER (v = 'API_BREAK') sb, count(*) FILTER (v = 'COMPATIBLE_WITH_RISK') rk, count(*) FILTER (v = 'COMPATIBLE') ok, count(*) t FROM f GROUP BY 1)
 SELECT s.b pair_id, coalesce(br, 0) breaking, coalesce(sb, 0) source_breaks, coalesce(rk, 0) risk_count, coalesce(ok, 0) compatible_additions, coalesce(t, 0) total_changes, CASE WHEN coalesce(br, 0) = 0 THEN 100.0 WHEN n > 0 THEN greatest(0.0, (n - br) / n * 100) ELSE greatest(0.0, (t - br) / t * 100) END binary_compatibility_pct, CASE WHEN n > 0 THEN least(100.0, coalesce(br, 0) / n * 100) ELSE 0.0 END affected_pct FROM s LEFT JOIN c ON s.b = c.b""")
 def report_summaries(spark, d):
     sizes = _part(spark, d).groupBy(F.col("p_brand").alias("pair_id")).agg(F.count_if(F.col("k") % 2 == 0).alias("old_symbols"))
-    return surfaces.report_summary(_found(spark, d), sizes).drop("old_symbols")
+    return rollup.report_summary(_found(spark, d), sizes).drop("old_symbols")
 
 
 @query(FOUND_SQL + "SELECT CAST(count(*) AS BIGINT) tests, CAST(count(*) FILTER (v IN ('BREAKING', 'API_BREAK')) AS BIGINT) failures, CAST(count(DISTINCT b) AS BIGINT) suites FROM f")
@@ -146,7 +146,7 @@ def aggregate_passing(spark, d):
     k, z = F.col("k"), F.col("p_size")
     many = lambda t: F.array_repeat(F.lit(t), (z % 4 + 1).cast("int"))
     members = F.when(k % 5 == 0, many("double")).when(k % 5 == 1, many("float32x4_t")).when(k % 5 == 2, F.array(F.lit("float"), F.lit("double"))).when(k % 5 == 3, F.array_repeat(F.lit("float"), 5)).otherwise(many("int"))
-    return _part(spark, d).select("k", surfaces.aggregate_class(z, members).alias("class"))
+    return _part(spark, d).select("k", T.aggregate_class(z, members).alias("class"))
 
 
 @query("""SELECT p_partkey k, p_partkey % 6 IN (0, 2, 4) OR (p_partkey % 6 = 1 AND p_size % 2 = 0) foreign_type, p_size % 2 = 1 runtime FROM part""")

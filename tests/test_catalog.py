@@ -38,3 +38,10 @@ def test_query(spark, db, name):
     got, want = catalog.QUERIES[name](spark, DATA).toPandas(), db.execute(catalog.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_queries_of_all_catalogs_call_the_library():
+    """With all catalogs registered, whichever tests ran before."""
+    import test_detectors_more
+
+    test_detectors_more.test_each_catalog_query_calls_the_library()
