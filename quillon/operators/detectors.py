@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators import match, rollup
+from quillon.storage import shuffled
 
 Rule = tuple
 DETECTORS: dict[str, Callable[[Pair], DataFrame]] = {}
@@ -58,7 +59,7 @@ class Pair:
         """Members of the nested list `member`, with its owner's key and whether the owner is on both sides."""
         mine, other = self.unique(side, name, key), self.unique("new" if side == "old" else "old", name, key)
         flags = [c for c in ("is_union", "is_opaque") if c in mine.columns]
-        return mine.join(other.select("pair_id", key), ["pair_id", key], "left_semi").select("pair_id", key, *flags, F.posexplode(member).alias("pos", "_e")).select("pair_id", key, *flags, "pos", "_e.*")
+        return mine.join(shuffled(other.select("pair_id", key)), ["pair_id", key], "left_semi").select("pair_id", key, *flags, F.posexplode(member).alias("pos", "_e")).select("pair_id", key, *flags, "pos", "_e.*")
 
     def map(self, side: str, name: str) -> DataFrame:
         return self.documents(side).select("pair_id", F.explode(name).alias("key", "value"))
@@ -121,7 +122,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def paired(lost: DataFrame, found: DataFrame, on: Sequence[str], left: str, right: str) -> DataFrame:
     """One to one: the k-th lost of a key (by name) with its k-th found, so that no row is used twice."""
     nth = lambda df, c: df.withColumn("_nth", F.row_number().over(Window.partitionBy(*on).orderBy(c)))
-    return nth(lost, left).join(nth(found, right), [*on, "_nth"]).drop("_nth")
+    return nth(lost, left).join(shuffled(nth(found, right)), [*on, "_nth"]).drop("_nth")
 
 
 # ---------------------------------------------------------------- functions
@@ -134,7 +135,7 @@ def functions(p: Pair) -> DataFrame:
     shape = lambda side: p.unique(side, "functions", "mangled").withColumns({"_ret": T.canonical_type(F.col("return_type")), "_types": F.array_join(types, ", "), "_base": F.regexp_replace("name", r"\(.*$", "")})
     old, new = shape("old"), shape("new")
     names = old.filter("visibility = 'public'").select("pair_id", F.col("_base")).distinct().withColumn("_known", F.lit(True))
-    new = new.join(names, ["pair_id", "_base"], "left")
+    new = new.join(shuffled(names), ["pair_id", "_base"], "left")
     pub = lambda x: x("visibility") == "public"
 
     def rules(o, n):
@@ -250,7 +251,7 @@ def fields(p: Pair) -> DataFrame:
     """Fields of records on both sides, by name; a removed and an added field at one offset and of one type are a rename."""
     old, new = _fields(p)
     here = lambda df: df.select("pair_id", "type_key", "name")
-    lost, found = old.join(here(new), ["pair_id", "type_key", "name"], "left_anti"), new.join(here(old), ["pair_id", "type_key", "name"], "left_anti")
+    lost, found = old.join(shuffled(here(new)), ["pair_id", "type_key", "name"], "left_anti"), new.join(shuffled(here(old)), ["pair_id", "type_key", "name"], "left_anti")
     on_ = ["pair_id", "type_key", "offset_bits", "type"]
     pairs = paired(lost.select(*on_, F.col("name").alias("old_value")), found.select(*on_, F.col("name").alias("new_value")), on_, "old_value", "new_value").filter("offset_bits is not null")
     renamed = pairs.select("pair_id", F.lit("field_renamed").alias("kind"), F.concat_ws("::", "type_key", "old_value").alias("symbol"), "old_value", "new_value")
@@ -288,9 +289,9 @@ def enums(p: Pair) -> DataFrame:
     own = compared(p.unique("old", "enums", "type_key"), p.unique("new", "enums", "type_key"), ["type_key"], "type_key", rules)
     old, new = (p.nested(side, "enums", "type_key", "members") for side in ("old", "new"))
     top = lambda df: df.groupBy("pair_id", "type_key").agg(F.max("value").alias("_top"))
-    old, new = old.join(top(old), ["pair_id", "type_key"]), new.join(top(new), ["pair_id", "type_key"])
+    old, new = old.join(shuffled(top(old)), ["pair_id", "type_key"]), new.join(shuffled(top(new)), ["pair_id", "type_key"])
     key = ["pair_id", "type_key", "name"]
-    lost, found = old.join(new.select(*key), key, "left_anti"), new.join(old.select(*key), key, "left_anti")
+    lost, found = old.join(shuffled(new.select(*key)), key, "left_anti"), new.join(shuffled(old.select(*key)), key, "left_anti")
     at = ["pair_id", "type_key", "value"]
     pairs = paired(lost.select(*at, F.col("name").alias("old_value")), found.select(*at, F.col("name").alias("new_value")), at, "old_value", "new_value")
     renamed = pairs.select("pair_id", F.lit("enum_member_renamed").alias("kind"), F.concat_ws("::", "type_key", "old_value").alias("symbol"), "old_value", "new_value")
@@ -360,7 +361,7 @@ def _requirements(p: Pair) -> DataFrame:
     old, new = _required(p, "old"), _required(p, "new")
     most = old.groupBy("pair_id", "lib", "prefix").agg(F.max("v").alias("_most"))
     libs = old.select("pair_id", "lib").union(p.documents("old").filter("elf is not null").select("pair_id", F.explode("elf.needed"))).distinct().withColumn("_old", F.lit(True))
-    new = new.join(libs, ["pair_id", "lib"], "left").join(most, ["pair_id", "lib", "prefix"], "left")
+    new = new.join(shuffled(libs), ["pair_id", "lib"], "left").join(shuffled(most), ["pair_id", "lib", "prefix"], "left")
     fine = lambda n: n("_old").isNull() | F.coalesce(n("v") <= n("_most"), F.lit(False))
     return compared(old, new, ["lib", "tag"], "tag", lambda o, n: [(F.when(fine(n), "symbol_version_required_added_compat").otherwise("symbol_version_required_added"), came(o, n), None, F.col("lib")), ("symbol_version_required_removed", gone(o, n), F.col("lib"), None)])
 
@@ -468,15 +469,21 @@ def integer_model(p: Pair) -> DataFrame:
     The model is LLP64 (long has 32 bits) if a side is a PE image, else LP64.
     """
     pe = p.documents("old").select("pair_id", (F.col("platform") == "pe").alias("_pe")).unionByName(p.documents("new").select("pair_id", (F.col("platform") == "pe").alias("_pe"))).groupBy("pair_id").agg(F.coalesce(F.max("_pe"), F.lit(False)).alias("_pe"))
-    bits = lambda c: F.when(F.col("_pe"), T.integer_width(c, "LLP64")["bits"]).otherwise(T.integer_width(c)["bits"])
-    wide = lambda df, c, tag: df.join(pe, "pair_id").withColumn(tag, bits(F.col(c))).filter(F.col(tag).isin(32, 64)).drop("_pe", c)
+    bits = lambda c, pe: T.integer_width(F.col(c), "LLP64" if pe else "LP64")["bits"]
+    sized = lambda df, c, tag: df.withColumnRenamed(c, tag).filter(bits(tag, False).isin(32, 64) | bits(tag, True).isin(32, 64))
+
+    def joined(f, key, c, alias):
+        # widths by both models, then sums by pair: a row a pair meets its model, not its whole surface
+        models = F.array(*(F.struct(F.lit(pe).alias("_pe"), bits("_a", pe).alias("a"), bits("_b", pe).alias("b")) for pe in (False, True)))
+        rows = sized(f("old"), c, "_a").join(shuffled(sized(f("new"), c, "_b")), ["pair_id", key]).select("pair_id", F.inline(models))
+        return rows.filter(F.col("a").isin(32, 64) & F.col("b").isin(32, 64)).withColumn("_alias", F.lit(alias))
+
     functions = lambda side: _slots(p, side).filter(F.contains("slot", F.lit("()")) | F.contains("slot", F.lit("#")))
-    slots = wide(functions("old"), "type", "a").join(wide(functions("new"), "type", "b"), ["pair_id", "slot"]).select("pair_id", "a", "b", F.lit(False).alias("_alias"))
     named = lambda side: p.map(side, "typedefs").filter(F.col("key").rlike("_INT|_int|INT_T"))
-    aliases = wide(named("old"), "value", "a").join(wide(named("new"), "value", "b"), ["pair_id", "key"]).select("pair_id", "a", "b", F.lit(True).alias("_alias"))
+    rows = joined(functions, "slot", "type", False).unionByName(joined(named, "key", "value", True))
     flip, alias = F.col("a") != F.col("b"), F.col("_alias")
-    got = slots.unionByName(aliases).groupBy("pair_id").agg(F.count_if(~alias).alias("n"), F.count_if(flip & ~alias).alias("flips"), F.count_if(flip & alias).alias("aliases"), F.count_if(F.col("b") > F.col("a")).alias("ups"), F.count_if(F.col("b") < F.col("a")).alias("downs"))
-    hit = got.filter("(flips >= 4 and flips * 2 >= n) or aliases > 0")
+    got = rows.groupBy("pair_id", "_pe").agg(F.count_if(~alias).alias("n"), F.count_if(flip & ~alias).alias("flips"), F.count_if(flip & alias).alias("aliases"), F.count_if(F.col("b") > F.col("a")).alias("ups"), F.count_if(F.col("b") < F.col("a")).alias("downs"))
+    hit = got.join(pe, ["pair_id", "_pe"]).filter("(flips >= 4 and flips * 2 >= n) or aliases > 0")
     return hit.select("pair_id", F.lit("integer_model_changed").alias("kind"), F.lit("__integer_model").alias("symbol"), F.concat(F.col("downs").cast("string"), F.lit(" narrowing / "), F.col("ups").cast("string"), F.lit(" widening transitions")).alias("old_value"), F.when(F.col("ups") >= F.col("downs"), "wider").otherwise("narrower").alias("new_value"))
 
 
@@ -484,14 +491,14 @@ def _removed_added(p: Pair) -> tuple[DataFrame, DataFrame]:
     f = lambda side: p.unique(side, "functions", "mangled").filter("visibility = 'public'").select("pair_id", "mangled", "name")
     old, new = f("old"), f("new")
     key = ["pair_id", "mangled"]
-    return old.join(new.select(*key), key, "left_anti"), new.join(old.select(*key), key, "left_anti")
+    return old.join(shuffled(new.select(*key)), key, "left_anti"), new.join(shuffled(old.select(*key)), key, "left_anti")
 
 
 def _keyed_renames(p: Pair, key: Column, kind: str, only: Column) -> DataFrame:
     """Removed and added symbols with one normalised key; each key once, least names."""
     gone_, came_ = _removed_added(p)
     pick = lambda df, c: df.filter(only).groupBy("pair_id", key.alias("_k")).agg(F.min("mangled").alias(c))
-    return pick(gone_, "old_value").join(pick(came_, "new_value"), ["pair_id", "_k"]).select("pair_id", F.lit(kind).alias("kind"), F.col("old_value").alias("symbol"), "old_value", "new_value")
+    return pick(gone_, "old_value").join(shuffled(pick(came_, "new_value")), ["pair_id", "_k"]).select("pair_id", F.lit(kind).alias("kind"), F.col("old_value").alias("symbol"), "old_value", "new_value")
 
 
 #: An ABI tag in a mangled name: B, the length of the tag, and as many characters.

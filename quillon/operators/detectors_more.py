@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators.detectors import Pair, _removed_added, _union, both, came, compared, detector, differs, gone, known, off, on
+from quillon.storage import shuffled
 
 # Operating systems that a loader treats alike, features of control-flow protection, levels of x86-64 from
 # the least on, machines whose ABI flags are decoded, typedefs that time64 and large-file options resize, beginnings of
@@ -123,7 +124,7 @@ def elf_exports(p: Pair) -> DataFrame:
 
     def side(tag: str) -> DataFrame:
         declared = p.unique(tag, "variables", "mangled").select("pair_id", F.col("mangled").alias("name"), F.col("alignment_bits").alias("_declared"))
-        return p.unique(tag, "elf_symbols", "name").join(have, "pair_id", "left_semi").join(declared, ["pair_id", "name"], "left")
+        return p.unique(tag, "elf_symbols", "name").join(have, "pair_id", "left_semi").join(shuffled(declared), ["pair_id", "name"], "left")
 
     return _union([symbol_changes(side("old"), side("new")), _allocators(p), _version_script(p), _leaks(p)])
 
@@ -178,7 +179,7 @@ def resized_typedefs(old: DataFrame, new: DataFrame) -> DataFrame:
     Tables: pair_id, name, target and bits32.
     """
     side = lambda df, c: df.filter(F.col("name").isin(*TIME64)).select("pair_id", "name", F.col("target").alias(f"{c}_value"), width_bucket(F.col("target"), F.col("bits32")).alias(f"_{c}")).filter(f"_{c} is not null")
-    return side(old, "old").join(side(new, "new"), ["pair_id", "name"]).filter("_old <> _new").select("pair_id", "name", "old_value", "new_value", F.col("_new").alias("bits"))
+    return side(old, "old").join(shuffled(side(new, "new")), ["pair_id", "name"]).filter("_old <> _new").select("pair_id", "name", "old_value", "new_value", F.col("_new").alias("bits"))
 
 
 @detector("time64_abi")
@@ -192,7 +193,7 @@ def time64_abi(p: Pair) -> DataFrame:
 
     flips = resized_typedefs(side("old"), side("new"))
     named = _union([_surface_names(p, tag) for tag in ("old", "new")]).distinct()
-    used = flips.join(named, ["pair_id", "name"], "left_semi")
+    used = flips.join(shuffled(named), ["pair_id", "name"], "left_semi")
     got = used.groupBy("pair_id").agg(F.count_if(F.col("bits") == 64).alias("up"), F.count_if(F.col("bits") == 32).alias("down"), F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("names"))  # at most the eight of the family
     return got.select("pair_id", F.lit("time64_abi_changed").alias("kind"), F.lit("__time64_abi").alias("symbol"), F.when(F.col("up") >= F.col("down"), "32-bit → 64-bit").otherwise("64-bit → 32-bit").alias("old_value"), F.col("names").alias("new_value"))
 
@@ -275,7 +276,7 @@ def isa_drops(removed: DataFrame, surviving: DataFrame, by: list[str], least: in
     removed: by, isa, stem; surviving: by, stem and isa.  Gives by, isa, removed and surviving (stems that live on under another set).
     """
     alive = surviving.groupBy(*by, "stem").agg(F.min("isa").alias("_lo"), F.max("isa").alias("_hi"))
-    rows = removed.select(*by, "isa", "stem").distinct().join(alive, [*by, "stem"], "left")
+    rows = removed.select(*by, "isa", "stem").distinct().join(shuffled(alive), [*by, "stem"], "left")
     other = F.coalesce((F.col("_lo") != F.col("isa")) | (F.col("_hi") != F.col("isa")), F.lit(False))
     return rows.groupBy(*by, "isa").agg(F.count(F.lit(1)).alias("removed"), F.count_if(other).alias("surviving")).filter(F.col("removed") >= least).filter("surviving > 0")
 
@@ -301,10 +302,10 @@ def overload_families(p: Pair) -> DataFrame:
     stem = T.template_stem(F.regexp_replace("name", r"\(.*$", ""))
     f = lambda side: queue(p.unique(side, "functions", "mangled").filter("visibility in ('public', 'elf_only') and size(params) > 0")).select("pair_id", "mangled", "_q", stem.alias("stem"))
     old, new = f("old"), f("new")
-    marked = old.filter("_q").join(new.select("pair_id", "mangled", F.lit(True).alias("_here")), ["pair_id", "mangled"], "left").withColumn("_gone", F.col("_here").isNull())
+    marked = old.filter("_q").join(shuffled(new.select("pair_id", "mangled", F.lit(True).alias("_here"))), ["pair_id", "mangled"], "left").withColumn("_gone", F.col("_here").isNull())
     every = family_removals(marked, ["pair_id"], "stem", "_gone").filter("all_removed")
     plain = p.unique("new", "functions", "mangled").filter("visibility in ('public', 'elf_only')").select("pair_id", stem.alias("stem"))
-    return every.join(plain, ["pair_id", "stem"], "left_semi").select("pair_id", F.lit("sycl_overload_set_removed").alias("kind"), F.col("stem").alias("symbol"), F.col("n").cast("string").alias("old_value"), F.lit(None).cast("string").alias("new_value"))
+    return every.join(shuffled(plain), ["pair_id", "stem"], "left_semi").select("pair_id", F.lit("sycl_overload_set_removed").alias("kind"), F.col("stem").alias("symbol"), F.col("n").cast("string").alias("old_value"), F.lit(None).cast("string").alias("new_value"))
 
 
 # ---------------------------------------------------------------- declared floors

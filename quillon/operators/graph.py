@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.storage import materialize
+from quillon.storage import materialize, shuffled
 
 MAX_ROUNDS = 100
 
@@ -19,7 +19,7 @@ def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int = MAX_ROUNDS) -> D
     pairs = edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
     seen = frontier = materialize(seeds.select("root", "node").distinct().withColumn("hops", F.lit(0)), "reach")
     for k in range(1, max_rounds + 1):
-        step = frontier.join(pairs, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct().join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("hops", F.lit(k))
+        step = frontier.join(shuffled(pairs), F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct().join(shuffled(seen.select("root", "node")), ["root", "node"], "left_anti").withColumn("hops", F.lit(k))
         frontier = materialize(step, "frontier")
         if frontier.isEmpty():
             return seen

@@ -27,3 +27,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """df for a join that shuffles.  The planner takes the size of compressed files for that of their rows, and would
+    send tables of millions of rows to the driver and on to all executors."""
+    return df.hint("merge")
