@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.storage import materialize
+from quillon.storage import materialize, shuffled
 
 
 def unique_pairs(removed: DataFrame, added: DataFrame, on: Sequence[str], left: str, right: str) -> DataFrame:
@@ -36,6 +36,39 @@ def band_join(a: DataFrame, b: DataFrame, x: str, y: str, tolerance: float, low:
     return left.join(b.withColumn("_band", band(y)), "_band").filter(F.abs(F.col(x) - F.col(y)) <= F.lit(tolerance) * F.greatest(F.col(x), F.col(y))).drop("_band")
 
 
+def band_counts(a: DataFrame, b: DataFrame, key: str, x: str, y: str, tolerance: float) -> DataFrame:
+    """key, n: pairs of band_join by key, counted without listing them; keys without one are left out.  tolerance <= 0.5.
+
+    A value x > 0 meets the values of an interval around it (zero meets zero, a negative value none).  Both ends are
+    exact: of the doubles near x (1 - tolerance) and x / (1 - tolerance), the last that satisfy the condition.  Ends and
+    values of y, each value once with its count, are dealt by range; counts up to an end are a running sum in its range
+    and the total of the ranges before, one row a range.  NaN is above all numbers and equal to itself, as in SQL.
+    """
+    if not 0 <= tolerance <= 0.5:
+        raise ValueError("tolerance must be from 0 to 0.5")
+    t, big = F.lit(float(tolerance)), F.lit(float("inf"))
+    ys = b.select(F.col(y).cast("double").alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    rest = ys.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_all"), F.coalesce(F.sum(F.when(F.isnan("v"), F.col("n"))), F.lit(0)).alias("_nan"), F.coalesce(F.sum(F.when(F.col("v") == big, F.col("n"))), F.lit(0)).alias("_inf"))
+    rows = a.select(F.col(key).alias("_key"), F.col(x).cast("double").alias("_x")).filter("_x is not null").groupBy("_key", "_x").agg(F.count(F.lit(1)).alias("_rows"))
+    xs = rows.select("_x").distinct()
+    # steps of half an ulp to one: no double is left out
+    near = lambda c: F.transform(F.sequence(F.lit(-16), F.lit(16)), lambda i: c + i * (c * F.lit(2.0**-53)))
+    c = F.col("_x")
+    low = F.array_min(F.filter(near(c - t * c), lambda v: F.abs(c - v) <= t * F.greatest(c, v)))
+    high = F.array_max(F.filter(near(c / (F.lit(1.0) - t)), lambda v: F.abs(c - v) <= t * F.greatest(c, v)))
+    ends = xs.filter((c >= 0) & (c < big)).select("_x", F.inline(F.array(F.struct(low.alias("v"), F.lit(0).alias("_at")), F.struct(high.alias("v"), F.lit(2).alias("_at")))))
+    events = ys.filter((F.col("v") < big) & (F.col("v") > -big)).select("v", F.lit(1).alias("_at"), "n", F.lit(None).cast("double").alias("_x")).unionByName(ends.withColumn("n", F.lit(0).cast("long")))
+    dealt = materialize(events.repartitionByRange("v").withColumn("_range", F.spark_partition_id()), "events")
+    upto = F.sum("n").over(Window.partitionBy("_range").orderBy("v", "_at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = dealt.groupBy("_range").agg(F.sum("n").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).select("_range", "_before")  # a row a partition
+    ranked = dealt.withColumn("_upto", upto).filter("_x is not null").join(F.broadcast(before), "_range").withColumn("_upto", F.col("_upto") + F.col("_before"))
+    within = ranked.groupBy("_x").agg(F.sum(F.when(F.col("_at") == 2, F.col("_upto")).otherwise(-F.col("_upto"))).alias("_n"))
+    # infinite differences: NaN meets all, infinity all but itself, every number both of them
+    n = F.when(F.isnan("_x"), F.col("_all")).when(c == big, F.col("_all") - F.col("_inf")).otherwise(F.coalesce("_n", F.lit(0)) + F.col("_nan") + F.col("_inf"))
+    counted = xs.join(shuffled(within), "_x", "left").crossJoin(F.broadcast(rest)).select("_x", n.alias("_n"))  # one row
+    return rows.join(shuffled(counted), "_x").groupBy(F.col("_key").alias(key)).agg(F.sum(F.col("_n") * F.col("_rows")).alias("n")).filter("n > 0")
+
+
 #: Most pairs of old and new names for which sizes that differ a little are tried.
 PASS_THREE_PAIRS = 2_000_000
 

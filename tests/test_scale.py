@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import random
 import re
 
 import pytest
-from quillon.operators import detectors
-from quillon.plans import catalog_more
+from pyspark.sql import functions as F
+from quillon.operators import detectors, match
+from quillon.plans import catalog, catalog_more
 from quillon.storage import materialize
 
 DATA = "/root/testdata/sf0.001"
@@ -29,3 +32,27 @@ def test_detectors_broadcast_pairs_only(spark, name):
     found = detectors.DETECTORS[name](pair)
     assert "SortMergeJoin" in plan(found)
     assert broadcast_keys(found) <= {"snapshot_id", "pair_id, _pe"}  # a row a pair
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_band_counts_equal_the_listed_pairs(spark, parts):
+    """Also at the ends of the band, with ties, repeated and null keys and values that are no numbers."""
+    rng = random.Random(5)
+    inf, nan = float("inf"), float("nan")
+    odd = [0.0, -0.0, -3.0, -3.1, None, inf, -inf, nan]
+    xs = [rng.choice([rng.uniform(0.1, 3000), 900 + rng.randrange(1000) / 10]) for _ in range(150)] + odd
+    ys = [y for x in xs[:150] for e in (x * 0.95, x / 0.95, x - 0.05 * x) for y in (e, math.nextafter(e, 0), math.nextafter(e, inf))] + odd
+    a = spark.createDataFrame([(k % 140 if k % 9 else None, x) for k, x in enumerate(xs)], "k int, x double")
+    b = spark.createDataFrame([(y,) for y in ys], "y double")
+    want = a.join(b, F.abs(F.col("x") - F.col("y")) <= F.lit(0.05) * F.greatest("x", "y")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        assert {tuple(r) for r in match.band_counts(a, b, "k", "x", "y", 0.05).collect()} == {tuple(r) for r in want.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+
+
+def test_rename_band_match_lists_no_pairs(spark):
+    text = plan(catalog.QUERIES["rename_band_match"](spark, DATA))
+    assert "Generate explode" not in text and "_band" not in text
