@@ -125,18 +125,55 @@ def refers_to(type_name: Column, name: Column) -> Column:
     return F.array_contains(type_names(type_name), name)
 
 
-def _scan(name: Column) -> Column:
-    """Depth of <> ( ) [ ] after each character, by a fold; for template-aware splits."""
-    chars = F.split(name, "")
-    step = lambda c: F.when(c.isin("<", "(", "["), 1).when(c.isin(">", ")", "]"), -1).otherwise(0)
-    return F.aggregate(chars, F.array().cast("array<int>"), lambda acc, c: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + step(c))))
+#: Levels of brackets that the patterns below follow; deeper or unbalanced names are folded token by token.
+NESTED = 6
+_PLAIN = r"[^<>()\[\]]"
+
+
+def _bracketed(opening: str) -> str:
+    """Pattern of a bracket with all that it holds; possessive, so it never goes back."""
+    out = rf"{opening}{_PLAIN}*+[>)\]]"
+    for _ in range(NESTED):
+        out = rf"{opening}(?:{_PLAIN}++|{out})*+[>)\]]"
+    return out
+
+
+_GROUP = _bracketed(r"[<(\[]")
+_BALANCED = rf"\A(?:{_PLAIN}++|{_GROUP})*+\z"
+_SEGMENT = rf"(?:[^<>()\[\]:]++|{_GROUP})++"
+#: What is before the first template arguments, these without their brackets, and the rest.
+_TEMPLATE = rf"(?s)\A((?:{_PLAIN}++|" + _bracketed(r"[(\[]") + rf")*+)<((?:{_PLAIN}++|{_GROUP})*+)[>)\]](.*)\z"
+_TOKEN = r"[<>()\[\],]|:+|[^<>()\[\],:]+"
+
+
+def _fold(name: Column, zero: dict, step, finish) -> Column:
+    """finish(name, state) after one pass over brackets, commas, colons and what is between.
+
+    step(name, state, token, place of its first character, depth after it) gives the new values of zero's names.
+    """
+
+    def over(n):
+        def merge(acc, t):
+            depth = acc["depth"] + F.when(t.isin("<", "(", "["), 1).when(t.isin(">", ")", "]"), -1).otherwise(0)
+            more = step(n, acc, t, acc["at"], depth)
+            return F.struct((acc["at"] + F.length(t)).alias("at"), depth.alias("depth"), *(more[k].alias(k) for k in zero))
+
+        start = F.struct(F.lit(1).alias("at"), F.lit(0).alias("depth"), *(v.alias(k) for k, v in zero.items()))
+        return F.aggregate(F.regexp_extract_all(n, F.lit(_TOKEN), F.lit(0)), start, merge, lambda acc: finish(n, acc))
+
+    return F.element_at(F.transform(F.array(name), over), 1)  # so that name is computed once
 
 
 def namespace_segments(name: Column) -> Column:
     """Segments between "::" that stand outside template arguments and parentheses."""
-    chars = F.split(name, "")
-    mark = F.zip_with(chars, _scan(name), lambda c, d: F.when((c == ":") & (d == 0), "\u0001").otherwise(c))
-    return F.filter(F.split(F.array_join(mark, ""), "\u0001"), lambda x: x != "")
+    zero = {"begin": F.lit(1), "parts": F.array().cast("array<string>")}
+
+    def step(n, acc, t, at, depth):
+        cut = F.startswith(t, F.lit(":")) & (depth == 0)
+        return {"begin": F.when(cut, at + F.length(t)).otherwise(acc["begin"]), "parts": F.when(cut, F.concat(acc["parts"], F.array(F.substring(n, acc["begin"], at - acc["begin"])))).otherwise(acc["parts"])}
+
+    last = lambda n, acc: F.filter(F.concat(acc["parts"], F.array(F.substring(n, acc["begin"], F.length(n)))), lambda x: x != "")
+    return F.when(name.rlike(_BALANCED), F.regexp_extract_all(name, F.lit(_SEGMENT), F.lit(0))).otherwise(_fold(name, zero, step, last))
 
 
 def base_name(name: Column) -> Column:
@@ -144,23 +181,31 @@ def base_name(name: Column) -> Column:
     return F.regexp_extract(F.element_at(namespace_segments(name), -1), r"^(~?[A-Za-z_]\w*|operator[^(]+)", 1)
 
 
+def _template(name: Column, finish) -> Column:
+    """finish(name, state): places of the first "<" and of its end (0: none), and the commas of its own between them."""
+
+    def step(n, acc, t, at, depth):
+        inside = (acc["first"] > 0) & (acc["close"] == 0)
+        return {
+            "first": F.when((acc["first"] == 0) & (t == "<"), at).otherwise(acc["first"]), "close": F.when(inside & (depth == 0), at).otherwise(acc["close"]),
+            "commas": acc["commas"] + F.when(inside & (t == ",") & (depth == 1), 1).otherwise(0),
+        }
+
+    return _fold(name, {k: F.lit(0) for k in ("first", "close", "commas")}, step, finish)
+
+
 def template_stem(name: Column) -> Column:
     """Name without its first top-level template arguments."""
-    chars = F.split(name, "")
-    depth = _scan(name)
-    first = F.array_position(chars, F.lit("<"))
-    close = F.array_position(F.zip_with(F.sequence(F.lit(1), F.size(chars)), depth, lambda i, d: (i > first) & (d == 0)), F.lit(True))
-    return F.when((first > 0) & (close > 0), F.concat(F.substring(name, F.lit(1), (first - 1).cast("int")), F.substring(name, (close + 1).cast("int"), F.length(name)))).otherwise(name)
+    cut = lambda n, x: F.when(x["close"] > 0, F.concat(F.substring(n, F.lit(1), x["first"] - 1), F.substring(n, x["close"] + 1, F.length(n)))).otherwise(n)
+    return F.when(~F.contains(name, F.lit("<")), name).when(name.rlike(_TEMPLATE), F.regexp_replace(name, _TEMPLATE, "$1$3")).otherwise(_template(name, cut))
 
 
 def template_arity(name: Column) -> Column:
     """Top-level arguments of the first template argument list; 0 without one."""
-    chars = F.split(name, "")
-    depth = _scan(name)
-    first = F.array_position(chars, F.lit("<"))
-    close = F.array_position(F.zip_with(F.sequence(F.lit(1), F.size(chars)), depth, lambda i, d: (i > first) & (d == 0)), F.lit(True))
-    inside = F.zip_with(chars, F.zip_with(F.sequence(F.lit(1), F.size(chars)), depth, lambda i, d: F.struct(i.alias("i"), d.alias("d"))), lambda c, x: (c == ",") & (x["d"] == 1) & (x["i"] > first) & (x["i"] < close))
-    return F.when((first > 0) & (close > 0), F.size(F.filter(inside, lambda x: x)) + 1).otherwise(F.lit(0))
+    own = F.regexp_replace(F.regexp_extract(name, _TEMPLATE, 2), _GROUP, "")
+    commas = F.length(own) - F.length(F.replace(own, F.lit(","), F.lit("")))
+    count = lambda n, x: F.when(x["close"] > 0, x["commas"] + 1).otherwise(0)
+    return F.when(~F.contains(name, F.lit("<")), 0).when(name.rlike(_TEMPLATE), commas + 1).otherwise(F.coalesce(_template(name, count), F.lit(0)))
 
 
 def cross_abi_name(name: Column, description: Column) -> Column:

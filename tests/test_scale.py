@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
+from quillon.functions import text as T
 from quillon.operators import detectors, match
 from quillon.plans import catalog, catalog_more
 from quillon.storage import materialize
@@ -56,3 +58,48 @@ def test_band_counts_equal_the_listed_pairs(spark, parts):
 def test_rename_band_match_lists_no_pairs(spark):
     text = plan(catalog.QUERIES["rename_band_match"](spark, DATA))
     assert "Generate explode" not in text and "_band" not in text
+
+
+def plain_names(name):
+    """segments, stem and arity by one walk over the characters."""
+    depth, cur, parts, depths = 0, "", [], []
+    for c in name:
+        depth += (c in "<([") - (c in ">)]")
+        depths.append(depth)
+        if c == ":" and depth == 0:
+            parts.append(cur)
+            cur = ""
+        else:
+            cur += c
+    first = name.find("<")
+    close = next((i for i in range(first + 1, len(name)) if depths[i] == 0), -1) if first >= 0 else -1
+    stem = name[:first] + name[close + 1 :] if close >= 0 else name
+    arity = 1 + sum(c == "," and d == 1 for c, d in zip(name[first + 1 : close], depths[first + 1 : close], strict=True)) if close >= 0 else 0
+    return [p for p in [*parts, cur] if p], stem, arity
+
+
+def test_names_equal_a_walk_over_characters(spark):
+    """Also unbalanced names, ones nested deeper than the patterns follow, and characters beyond the basic plane."""
+    rng = random.Random(6)
+    names = ["".join(rng.choice(pool) for _ in range(rng.randrange(1, 25))) for pool in ("<>()[],::ab", "<<>>,:a", "a:<é\U0001f600>,", "ab::,", "<>\n,:") for _ in range(400)]
+    names += ["a::" + "b<x, " * k + "c::d" + ">" * k + "::e" for k in range(1, 12)] + ["", "a::operator<", "a->b<c>", "f(a<b, c>, d)::x<y>", "V<" + "int, " * 3000 + "W>::f"]
+    name = F.col("name")
+    got = spark.createDataFrame([(n,) for n in names], "name string").select("name", T.namespace_segments(name), T.template_stem(name), T.template_arity(name)).collect()
+    assert len(got) == len(names)
+    for n, *rest in got:
+        assert tuple(rest) == plain_names(n), n
+    none = spark.range(1).select(F.lit(None).cast("string").alias("name")).select(T.namespace_segments(name), T.template_stem(name), T.template_arity(name)).first()
+    assert tuple(none) == (None, None, 0)
+
+
+def test_names_cost_in_proportion_to_their_length(spark):
+    """Names too deep for the patterns: a fold per character took the cube of their length."""
+
+    def seconds(arguments):
+        df = spark.range(0, 60, 1, 1).select(F.concat(F.lit("V<" * 10 + "a, " * arguments + "b" + ">" * 10 + "::f"), F.col("id").cast("string")).alias("name"))
+        began = time.perf_counter()
+        df.select(T.template_arity(F.col("name")), T.template_stem(F.col("name"))).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    seconds(1)
+    assert seconds(1600) < 10
