@@ -1,7 +1,8 @@
 """Graph operators over edge tables: closures, levels, components, degrees and proof paths.
 
 Loops run on the driver, one round a job; each round joins the frontier with the edges and drops what was
-visited, and its result is written to the shared folder, so plans stay short.  The rounds are bounded.
+visited, and its result is written to the shared folder, so plans stay short.  The rounds are bounded.  Joins
+shuffle: no table of nodes or edges goes through the driver.
 """
 
 from __future__ import annotations
@@ -45,8 +46,8 @@ def load_order(edges: DataFrame, root: str, max_rounds: int = MAX_ROUNDS) -> Dat
     level = spark.createDataFrame([(root, 0, "")], "node string, level int, path string")
     seen = level
     for k in range(1, max_rounds + 1):
-        step = level.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.lit(k).alias("level"), F.concat("path", F.lpad(F.col("ordinal").cast("string"), 6, "0")).alias("path"))
-        step = step.groupBy("node", "level").agg(F.min("path").alias("path")).join(seen.select("node"), "node", "left_anti").select("node", "level", "path")
+        step = level.join(shuffled(edges), F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.lit(k).alias("level"), F.concat("path", F.lpad(F.col("ordinal").cast("string"), 6, "0")).alias("path"))
+        step = step.groupBy("node", "level").agg(F.min("path").alias("path")).join(shuffled(seen.select("node")), "node", "left_anti").select("node", "level", "path")
         level = materialize(step, "level")
         if level.isEmpty():
             break
@@ -60,9 +61,9 @@ def components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     both = materialize(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src is not null and dst is not null").distinct(), "edges")
     label = materialize(both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("label")).select(F.col("src").alias("node"), "label"), "labels")
     for _ in range(max_rounds):
-        near = both.join(label.select(F.col("node").alias("dst"), "label"), "dst").groupBy("src").agg(F.min("label").alias("_near")).select(F.col("src").alias("node"), "_near")
-        low = label.join(near, "node").select("node", "label", F.least("label", "_near").alias("_low"))
-        jump = low.join(label.select(F.col("node").alias("_low"), F.col("label").alias("_jump")), "_low", "left")
+        near = both.join(shuffled(label.select(F.col("node").alias("dst"), "label")), "dst").groupBy("src").agg(F.min("label").alias("_near")).select(F.col("src").alias("node"), "_near")
+        low = label.join(shuffled(near), "node").select("node", "label", F.least("label", "_near").alias("_low"))
+        jump = low.join(shuffled(label.select(F.col("node").alias("_low"), F.col("label").alias("_jump"))), "_low", "left")
         new = materialize(jump.select("node", F.least(F.col("_low"), F.coalesce("_jump", "_low")).alias("label"), (F.least(F.col("_low"), F.coalesce("_jump", "_low")) != F.col("label")).alias("moved")), "labels")
         moved = not new.filter("moved").isEmpty()
         label = new.select("node", "label")
@@ -86,8 +87,8 @@ def proof_paths(edges: DataFrame, seeds: DataFrame, max_rounds: int = MAX_ROUNDS
     pairs = edges.select("src", "dst").distinct()
     seen = frontier = materialize(seeds.select("node").distinct().select("node", F.lit(0).alias("hops"), F.array("node").alias("path")), "paths")
     for k in range(1, max_rounds + 1):
-        step = frontier.join(pairs, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
-        frontier = materialize(step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(k).alias("hops"), "path"), "frontier")
+        step = frontier.join(shuffled(pairs), F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
+        frontier = materialize(step.join(shuffled(seen.select("node")), "node", "left_anti").select("node", F.lit(k).alias("hops"), "path"), "frontier")
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
@@ -105,7 +106,7 @@ def reconcile(removed: DataFrame, added: DataFrame, tiers: list[str]) -> DataFra
     for k, tier in enumerate(tiers):
         a, b = (df.filter(F.col(tier).isNotNull()) for df in (removed, added))
         pairs = materialize(unique_pairs(a.select(F.col("node").alias("old_node"), tier), b.select(F.col("node").alias("new_node"), tier), [tier], "old_node", "new_node").withColumn("tier", F.lit(k)), "pairs")
-        removed = removed.join(pairs.select(F.col("old_node").alias("node")), "node", "left_anti")
-        added = added.join(pairs.select(F.col("new_node").alias("node")), "node", "left_anti")
+        removed = removed.join(shuffled(pairs.select(F.col("old_node").alias("node"))), "node", "left_anti")
+        added = added.join(shuffled(pairs.select(F.col("new_node").alias("node"))), "node", "left_anti")
         out = pairs if out is None else out.unionByName(pairs)
     return out

@@ -19,7 +19,7 @@ def unique_pairs(removed: DataFrame, added: DataFrame, on: Sequence[str], left:
     """
     a = removed.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), F.min(left).alias(left)).filter("_n = 1").drop("_n")
     b = added.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), F.min(right).alias(right)).filter("_n = 1").drop("_n")
-    return a.join(b, list(on)).select(left, right)
+    return a.join(shuffled(b), list(on)).select(left, right)
 
 
 def band_join(a: DataFrame, b: DataFrame, x: str, y: str, tolerance: float, low: float = 1.0) -> DataFrame:
@@ -92,12 +92,12 @@ def _same_size(a: DataFrame, b: DataFrame) -> DataFrame:
     """
     same = b.filter("hash <> ''").select("hash", "size").distinct()
     news = b.groupBy("size").agg(F.count_if(F.col("hash") == "").alias("_p"), F.count_if(F.col("hash") != "").alias("_h"), F.min(F.when(F.col("hash") == "", F.col("name"))).alias("_plain"), F.min(F.when(F.col("hash") != "", F.col("name"))).alias("_hashed"))
-    free = a.filter("hash <> ''").join(same, ["hash", "size"], "left_anti").groupBy("size").agg(F.min("name").alias("_t"))
+    free = a.filter("hash <> ''").join(shuffled(same), ["hash", "size"], "left_anti").groupBy("size").agg(F.min("name").alias("_t"))
     blank = a.filter("hash = ''").select("size", F.col("name").alias("_m"))
-    state = news.join(free, "size", "left").join(blank.groupBy("size").agg(F.min("_m").alias("_first")), "size", "left")
+    state = news.join(shuffled(free), "size", "left").join(shuffled(blank.groupBy("size").agg(F.min("_m").alias("_first"))), "size", "left")
     winner = F.when((F.col("_p") == 1) & (F.col("_h") == 0), F.least("_t", "_first")).when((F.col("_p") == 1) & (F.col("_h") > 0), F.col("_t")).when((F.col("_p") == 0) & (F.col("_h") == 1), F.col("_first"))
     one = state.select(winner.alias("old_name"), F.when(F.col("_p") == 1, F.col("_plain")).otherwise(F.col("_hashed")).alias("new_name")).filter("old_name is not null")
-    late = state.filter("_p = 1 and _h = 1 and _t is not null").join(blank, "size").filter("_m > _t").groupBy("size", F.col("_hashed").alias("new_name")).agg(F.min("_m").alias("old_name"))
+    late = state.filter("_p = 1 and _h = 1 and _t is not null").join(shuffled(blank), "size").filter("_m > _t").groupBy("size", F.col("_hashed").alias("new_name")).agg(F.min("_m").alias("old_name"))
     return one.unionByName(late.select("old_name", "new_name"))
 
 
@@ -112,18 +112,18 @@ def rename_match(old: DataFrame, new: DataFrame, least_size: int = 8, tolerance:
     Passes 1 and 2 are aggregates and one-to-one joins.  With `similar`, pass 2 walks the pairs that it lets through
     size by size; pass 3 walks its pairs in one task, which PASS_THREE_PAIRS bounds.
     """
-    fine = lambda df, other: df.join(other.select("name"), "name", "left_anti").filter(F.col("size") >= least_size).select("name", "size", F.coalesce("hash", F.lit("")).alias("hash"))
+    fine = lambda df, other: df.join(shuffled(other.select("name")), "name", "left_anti").filter(F.col("size") >= least_size).select("name", "size", F.coalesce("hash", F.lit("")).alias("hash"))
     a, b = materialize(fine(old, new), "old_names"), materialize(fine(new, old), "new_names")
     few = a.count() * b.count() <= PASS_THREE_PAIRS
     schema = "old_name string, new_name string"
 
     def left(one: DataFrame) -> tuple[DataFrame, DataFrame]:
-        return tuple(df.join(one.select(F.col(c).alias("name")), "name", "left_anti") for df, c in ((a, "old_name"), (b, "new_name")))
+        return tuple(df.join(shuffled(one.select(F.col(c).alias("name"))), "name", "left_anti") for df, c in ((a, "old_name"), (b, "new_name")))
 
     # pass 1: of one hash and size the first old name takes the new one, if there is only one
     first = a.filter("hash <> ''").groupBy("hash", "size").agg(F.min("name").alias("old_name"))
     only = b.filter("hash <> ''").groupBy("hash", "size").agg(F.count(F.lit(1)).alias("_n"), F.min("name").alias("new_name")).filter("_n = 1")
-    one = materialize(first.join(only, ["hash", "size"]).select("old_name", "new_name", F.lit(1.0).alias("confidence")), "renames")
+    one = materialize(first.join(shuffled(only), ["hash", "size"]).select("old_name", "new_name", F.lit(1.0).alias("confidence")), "renames")
     a, b = left(one)
     if similar is None:
         two = _same_size(a, b)

@@ -10,7 +10,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 from quillon.functions import text as T
-from quillon.operators import detectors, match
+from quillon.operators import detectors, graph, match
 from quillon.plans import catalog, catalog_more
 from quillon.storage import materialize
 
@@ -103,3 +103,19 @@ def test_names_cost_in_proportion_to_their_length(spark):
 
     seconds(1)
     assert seconds(1600) < 10
+
+
+@pytest.mark.parametrize("loop", ["components", "reach", "proof_paths", "load_order", "reconcile"])
+def test_graph_loops_send_no_table_to_the_driver(spark, monkeypatch, loop):
+    plans = []
+    monkeypatch.setattr(graph, "materialize", lambda df, name: (plans.append(plan(df)), materialize(df, name))[1])
+    edges = spark.range(40).select(F.col("id").cast("string").alias("src"), F.floor(F.col("id") / 2).cast("string").alias("dst"), F.col("id").alias("ordinal"))
+    seeds = spark.createDataFrame([("39", "39")], "root string, node string")
+    kinds = spark.range(40).select(F.col("id").cast("string").alias("node"), F.col("id").alias("exact"))
+    run = {
+        "components": lambda: graph.components(edges), "reach": lambda: graph.reach(edges, seeds), "proof_paths": lambda: graph.proof_paths(edges, seeds), "load_order": lambda: graph.load_order(edges, "39"),
+        "reconcile": lambda: graph.reconcile(kinds.filter("exact < 20"), kinds.filter("exact >= 10"), ["exact", "exact"]),
+    }
+    assert {"components": 40, "reach": 7, "proof_paths": 7, "load_order": 7, "reconcile": 10}[loop] == run[loop]().count()
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not any("Broadcast" in p for p in plans)
